@@ -101,9 +101,9 @@ def marker_line(c: Column | str, marker_prefix: str, needle: str) -> Column:
     ls = lines(c)
     flags = F.transform(ls, lambda x: F.startswith(F.lower(java_trim(x)), F.lit(marker_prefix)))
     m = F.array_position(flags, F.lit(True))  # 1-based, 0 if absent
-    idx = F.sequence(F.lit(1), F.size(ls))
-    hits = F.transform(idx, lambda i: (i > m) & F.contains(F.element_at(ls, i), F.lit(needle)))
-    k = F.array_position(hits, F.lit(True))
-    return F.when((m > 0) & (k > 0), F.struct(
+    after = F.slice(ls, F.greatest(m, F.lit(1)).cast("int") + 1, F.size(ls))
+    rel = F.array_position(F.transform(after, lambda x: F.contains(x, F.lit(needle))), F.lit(True))
+    k = m + rel
+    return F.when((m > 0) & (rel > 0), F.struct(
         (m - 1).alias("marker"), (k - 1).alias("match"),
         first_token(F.element_at(ls, k.cast("int"))).alias("value")))

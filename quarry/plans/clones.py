@@ -1 +1,118 @@
-"""clones queries (filled in below)."""
+r"""Clone queries on ``documents`` (project = source, file = doc_id).
+
+Line model: a duplication is a trimmed non-empty line repeated in a project.
+Token model: k-grams (k = 20) of ASCII tokens and their maximal clone runs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.operators import clones as C
+from quarry.plans.registry import register
+from quarry.sources.tables import table
+
+K = 20  # fixed value: the clone detector's minimum clone length in tokens
+
+LINES_SQL = r"""
+l AS (SELECT source, doc_id,
+             regexp_replace(unnest(string_split(text, chr(10))), '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS code
+      FROM documents),
+d AS (SELECT source, code, CAST(COUNT(*) AS BIGINT) AS n_occurrences, CAST(COUNT(DISTINCT doc_id) AS BIGINT) AS n_docs,
+             CAST(len(regexp_extract_all(lower(code), '[a-z0-9]+')) AS INTEGER) AS tokens
+      FROM l WHERE code <> '' GROUP BY source, code HAVING COUNT(*) >= 2),
+pp AS (SELECT l.source, l.code, l.doc_id, COUNT(*) AS k FROM l JOIN d ON l.source = d.source AND l.code = d.code
+       GROUP BY l.source, l.code, l.doc_id),
+same AS (SELECT * FROM d WHERE EXISTS (SELECT 1 FROM pp WHERE pp.source = d.source AND pp.code = d.code AND pp.k > 1)),
+across AS (SELECT * FROM d WHERE EXISTS (SELECT 1 FROM pp WHERE pp.source = d.source AND pp.code = d.code AND pp.k <= 1))"""
+
+
+def _line_model(spark: SparkSession, sf: str):
+    return C.line_clones(table(spark, sf, "documents"), "source", "doc_id", "text")
+
+
+@register("q_clone_occurrences", "WITH " + LINES_SQL + """
+SELECT source AS project, code, tokens, n_occurrences, n_docs FROM d""")
+def q_clone_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    """Duplications of the line model with their occurrence and file counts (CLN2)."""
+    dups, _ = _line_model(spark, sf)
+    return dups.select("project", "code", "tokens", "n_occurrences", "n_docs")
+
+
+@register("q_same_file_hist", "WITH " + LINES_SQL + """
+SELECT tokens, CAST(COUNT(*) AS BIGINT) AS dup_count FROM same GROUP BY tokens ORDER BY tokens""")
+def q_same_file_hist(spark: SparkSession, sf: str) -> DataFrame:
+    """Same-file duplications by size: semi-join on (dup, path) HAVING count > 1."""
+    dups, occs = _line_model(spark, sf)
+    return C.clone_histogram(C.same_file_duplications(dups, occs), "tokens")
+
+
+@register("q_across_file_hist", "WITH " + LINES_SQL + """
+SELECT tokens, CAST(COUNT(*) AS BIGINT) AS dup_count FROM across GROUP BY tokens ORDER BY tokens""")
+def q_across_file_hist(spark: SparkSession, sf: str) -> DataFrame:
+    """Across-file duplications by size: semi-join on (dup, path) HAVING count <= 1."""
+    dups, occs = _line_model(spark, sf)
+    return C.clone_histogram(C.across_file_duplications(dups, occs), "tokens")
+
+
+@register("q_clone_projects", "WITH " + LINES_SQL + """,
+t AS (SELECT COUNT(DISTINCT source) AS n FROM documents),
+c AS (SELECT 'same_file' AS kind, COUNT(DISTINCT source) AS n_projects FROM same
+      UNION ALL SELECT 'across_file', COUNT(DISTINCT source) FROM across)
+SELECT kind, CAST(c.n_projects AS BIGINT) AS n_projects, CAST(t.n AS BIGINT) AS n_total,
+       round(100.0 * c.n_projects / t.n, 2) AS pct FROM c, t""")
+def q_clone_projects(spark: SparkSession, sf: str) -> DataFrame:
+    """Projects with same-file / across-file clones, and their share of all projects (CLN6)."""
+    docs = table(spark, sf, "documents")
+    dups, occs = C.line_clones(docs, "source", "doc_id", "text")
+    same = C.same_file_duplications(dups, occs).select(F.lit("same_file").alias("kind"), "project")
+    across = C.across_file_duplications(dups, occs).select(F.lit("across_file").alias("kind"), "project")
+    per_kind = same.unionByName(across).groupBy("kind").agg(
+        C.projects_with(same).alias("n_projects"))
+    total = docs.agg(F.count_distinct("source").alias("n_total"))
+    return per_kind.join(F.broadcast(total), how="left").select(
+        "kind", "n_projects", "n_total",
+        F.round(F.lit(100.0) * F.col("n_projects") / F.col("n_total"), 2).alias("pct"))
+
+
+KGRAM_SQL = rf"""
+ln AS (SELECT source, doc_id, unnest(string_split(lower(text), chr(10))) AS line,
+              generate_subscripts(string_split(lower(text), chr(10)), 1) AS ln FROM documents),
+tk AS (SELECT source, doc_id, ln, unnest(regexp_extract_all(line, '[a-z0-9]+')) AS tok,
+              generate_subscripts(regexp_extract_all(line, '[a-z0-9]+'), 1) AS ti FROM ln),
+tp AS (SELECT source, doc_id, ln, tok, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY ln, ti) - 1 AS pos FROM tk),
+kg AS (SELECT source, doc_id, pos, ln AS first_line,
+              string_agg(tok, ' ' ORDER BY pos) OVER w AS kgram, COUNT(*) OVER w AS cnt,
+              max(ln) OVER w AS last_line
+       FROM tp WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {K - 1} FOLLOWING)),
+fk AS (SELECT * FROM kg WHERE cnt = {K}),
+rep AS (SELECT source, kgram, COUNT(*) AS n_occ, COUNT(DISTINCT doc_id) AS n_docs
+        FROM fk GROUP BY source, kgram HAVING COUNT(*) >= 2)"""
+
+
+@register("q_token_clones", "WITH " + KGRAM_SQL + """
+SELECT source AS project, kgram, CAST(n_occ AS BIGINT) AS n_occ, CAST(n_docs AS BIGINT) AS n_docs FROM rep""")
+def q_token_clones(spark: SparkSession, sf: str) -> DataFrame:
+    """Repeated 20-token k-grams per project: text, occurrences, documents (CLN1)."""
+    tc = C.token_clones(table(spark, sf, "documents"), "source", "doc_id", "text", k=K)
+    return tc.select("project", "kgram", "n_occ", "n_docs")
+
+
+@register("q_clone_runs", "WITH " + KGRAM_SQL + f""",
+occ AS (SELECT fk.* FROM fk JOIN rep ON fk.source = rep.source AND fk.kgram = rep.kgram),
+ch AS (SELECT *, lead(doc_id) OVER (PARTITION BY source, kgram ORDER BY doc_id, pos) AS next_doc,
+                 lead(pos) OVER (PARTITION BY source, kgram ORDER BY doc_id, pos) AS next_pos FROM occ),
+pr AS (SELECT *, next_pos - pos AS delta FROM ch WHERE next_doc IS NOT NULL),
+isl AS (SELECT *, pos - ROW_NUMBER() OVER (PARTITION BY source, doc_id, next_doc, delta ORDER BY pos) AS island FROM pr)
+SELECT source AS project, doc_id AS doc, CAST(min(pos) AS BIGINT) AS start, next_doc AS other_doc,
+       CAST(min(pos) + delta AS BIGINT) AS other_start, CAST(COUNT(*) AS BIGINT) AS n_kgrams,
+       CAST(COUNT(*) + {K - 1} AS BIGINT) AS tokens, CAST(min(first_line) AS BIGINT) AS first_line,
+       CAST(max(last_line) AS BIGINT) AS last_line, CAST(max(last_line) - min(first_line) + 1 AS BIGINT) AS lines
+FROM isl GROUP BY source, doc_id, next_doc, delta, island""")
+def q_clone_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Maximal token clone runs (consecutive-occurrence chaining + gaps and islands)."""
+    fps = C.kgram_fingerprints(table(spark, sf, "documents"), "source", "doc_id", "text", k=K)
+    runs = C.clone_runs(fps, k=K)
+    return runs.select("project", "doc", *[F.col(c).cast("long").alias(c) for c in (
+        "start", "other_doc", "other_start", "n_kgrams", "tokens", "first_line", "last_line", "lines")])
