@@ -54,6 +54,14 @@ def read_violation_reports(spark: SparkSession, path: str, report_set: str = "ma
     raw = (spark.read.format("xml").option("rowTag", "file").option("recursiveFileLookup", "true")
            .option("pathGlobFilter", XML_GLOB).schema(VIOLATION_SCHEMA).load(path)
            .withColumn("report", F.col("_metadata.file_path")))
+    return violations_from_xml_rows(raw, report_set)
+
+
+def violations_from_xml_rows(raw: DataFrame, report_set: str = "main") -> DataFrame:
+    """Flatten ``<file>`` rows (VIOLATION_SCHEMA + ``report`` path) to one row per violation.
+
+    Shared by the batch reader and the streaming ingest.
+    """
     v = raw.select(F.col("_name").alias("file"), "report", F.explode("violation").alias("v"))
     name = F.substring_index("report", "/", -1)
     return v.select(
