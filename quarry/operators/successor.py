@@ -8,7 +8,8 @@ partitions - and computes successors inside each sorted partition. Only the
 last row of a partition can have its successor in a later partition; those
 tails (at most one per partition) are resolved against the first row of the
 next non-empty partition. The heads/tails tables have at most
-``num_partitions`` rows, so broadcasting them is bounded by a parameter.
+``num_partitions`` rows (default: the shuffle partition count), so
+broadcasting them is bounded by a parameter.
 
 The range-partitioned, sorted rows are checkpointed to the shared
 checkpoint folder before they are read twice, so partition numbers stay
@@ -106,7 +107,6 @@ def next_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     fields = {f.name: f for f in df.schema.fields}
     int_carry = {c for c in carry if isinstance(fields[c].dataType, _INT_TYPES)}
     out_schema = Ty.StructType(
@@ -115,7 +115,10 @@ def next_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str],
            for c in carry]
         + [Ty.StructField("_kind", Ty.StringType(), False),
            Ty.StructField("_pid", Ty.IntegerType(), False)])
-    ranged = df.repartitionByRange(parts, *keys, *order).sortWithinPartitions(*keys, *order)
+    # Without an explicit count AQE may coalesce small range partitions; they stay
+    # contiguous ranges, so partition order still follows (keys, order).
+    ranged = (df.repartitionByRange(num_partitions, *keys, *order) if num_partitions
+              else df.repartitionByRange(*keys, *order)).sortWithinPartitions(*keys, *order)
     mapped = ranged.mapInPandas(_successor_fn(keys, carry, prefix, int_carry), out_schema)
     mapped = mapped.checkpoint(eager=True)
 

@@ -26,6 +26,11 @@ MARKER_NEEDLE = " and "
 HREF = r'href="(/[^"]*)"'
 
 
+def ntz_epoch_seconds(ts):
+    """Whole seconds since 1970-01-01 of a TIMESTAMP_NTZ, independent of the session zone."""
+    return F.timestamp_diff("SECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 def jtrim(x: str) -> str:
     return JTRIM.format(x=x)
 
@@ -252,4 +257,4 @@ def q_json_epoch(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events")
     return ev.select("event_id", "event_type",
                      F.from_json("props", "k BIGINT")["k"].alias("k"),
-                     F.unix_seconds(F.col("ts").cast("timestamp")).alias("epoch"))
+                     ntz_epoch_seconds(F.col("ts")).alias("epoch"))
