@@ -21,6 +21,7 @@ occurrence only.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,11 +143,20 @@ def repeated_kgrams(fps: DataFrame, min_occurrences: int = 2) -> DataFrame:
 
 def kgram_text(repeated: DataFrame, docs: DataFrame, doc_col: str, text_col: str,
                k: int = 20) -> DataFrame:
-    """Attach the k-gram text, cut from each repeated k-gram's first occurrence."""
-    d = docs.select(F.col(doc_col).alias("first_doc"), T.ascii_tokens(text_col).alias("_toks"))
-    j = repeated.join(d, "first_doc")
-    return j.withColumn("kgram", F.concat_ws(" ", F.slice("_toks", F.col("first_pos") + 1, k))) \
-        .drop("_toks")
+    """Attach the k-gram text, cut from each repeated k-gram's first occurrence.
+
+    First occurrences are grouped per document (at most one entry per token
+    position of that document), joined to the document text, and the
+    document is tokenised once for all its entries. Documents holding no
+    first occurrence are never tokenised again.
+    """
+    per_doc = repeated.groupBy("first_doc").agg(
+        F.collect_list(F.struct(*[c for c in repeated.columns if c != "first_doc"])).alias("_e"))
+    d = docs.select(F.col(doc_col).alias("first_doc"), F.col(text_col).alias("_text"))
+    j = per_doc.join(d, "first_doc").select("first_doc", "_e", T.ascii_tokens("_text").alias("_toks"))
+    cut = F.transform("_e", lambda x: F.struct(x.alias("_x"), F.concat_ws(
+        " ", F.slice("_toks", x["first_pos"] + 1, k)).alias("kgram")))
+    return j.select("first_doc", F.inline(cut)).select("first_doc", "_x.*", "kgram")
 
 
 def token_clones(docs: DataFrame, project_col: str, doc_col: str, text_col: str,
@@ -167,10 +177,16 @@ def clone_runs(fps: DataFrame, k: int = 20, min_occurrences: int = 2) -> DataFra
     Output: (project, doc, start, other_doc, other_start, n_kgrams, tokens,
     first_line, last_line, lines); tokens = n_kgrams + k - 1.
     """
+    # fps feeds both the repeat count and the occurrence filter; keep it while the
+    # successor step runs (it checkpoints eagerly, after which fps is not needed)
+    fps = fps.persist(StorageLevel.MEMORY_AND_DISK)
     rep = repeated_kgrams(fps, min_occurrences).select("project", "h1", "h2")
     occ = fps.join(rep, ["project", "h1", "h2"], "left_semi")
-    chained = next_in_order(occ, keys=["project", "h1", "h2"], order=["doc", "pos"],
-                            carry=["doc", "pos"], prefix="next_")
+    try:
+        chained = next_in_order(occ, keys=["project", "h1", "h2"], order=["doc", "pos"],
+                                carry=["doc", "pos"], prefix="next_")
+    finally:
+        fps.unpersist()
     pairs = chained.filter(F.col("next_doc").isNotNull()).withColumn(
         "_delta", F.col("next_pos") - F.col("pos"))
     diag = Window.partitionBy("project", "doc", "next_doc", "_delta").orderBy("pos")
