@@ -90,3 +90,10 @@ def write_latex_table(summary: DataFrame, path: str, caption: str, label: str,
 def route_empty(files: DataFrame, path: str, flag_col: str = "is_empty") -> None:
     """SNK10: write files split by emptiness (``<path>/is_empty=true|false``); inputs are not moved."""
     files.write.mode("overwrite").partitionBy(flag_col).parquet(path)
+
+
+def write_jdbc(df: DataFrame, url: str, table: str, batch_size: int = 50,
+               properties: dict | None = None) -> None:
+    """SNK7/SNK8: append rows to a SQL table in batches (Spark's JDBC sink; one
+    connection per partition, not per row). Not exercised here: no database."""
+    df.write.option("batchsize", batch_size).jdbc(url, table, mode="append", properties=dict(properties or {}))
