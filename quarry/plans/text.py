@@ -258,3 +258,21 @@ def q_json_epoch(spark: SparkSession, sf: str) -> DataFrame:
     return ev.select("event_id", "event_type",
                      F.from_json("props", "k BIGINT")["k"].alias("k"),
                      ntz_epoch_seconds(F.col("ts")).alias("epoch"))
+
+
+# --------------------------------------------------------------------------- SRC14
+@register("q_page_seeds", r"""
+WITH s AS (SELECT regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/list' AS base,
+                  max(TRY_CAST(split_part(regexp_extract(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1),
+                                                         '([^/]+)/?$', 1), '.', 1) AS INTEGER)) + 1 AS hi
+           FROM pages GROUP BY 1),
+g AS (SELECT base, unnest(range(1, hi)) AS page FROM s WHERE hi > 1)
+SELECT base, CAST(page AS BIGINT) AS page, base || '?page=' || CAST(page AS VARCHAR) AS url FROM g
+""")
+def q_page_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Listing-page seeds per site: pages 1 .. (highest page number seen on that site)."""
+    pages = table(spark, sf, "pages")
+    page_no = P.id_from_name(P.base_name(P.url_path("url")))
+    sites = pages.groupBy(F.concat(P.url_origin("url"), F.lit("/list")).alias("base")).agg(
+        (F.max(page_no) + 1).alias("hi"))
+    return web.site_page_seeds(sites, "base", "hi")

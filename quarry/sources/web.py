@@ -48,6 +48,19 @@ def page_seeds(spark: SparkSession, base_url: str, lo: int = 1, hi: int = 689,
         F.concat(F.lit(f"{base_url}?{param}="), F.col("id").cast("string")).alias("url"))
 
 
+def site_page_seeds(sites: DataFrame, base_col: str, hi_col: str, lo: int = 1,
+                    param: str = "page") -> DataFrame:
+    """Listing page request rows ``lo .. hi-1`` for every site row (upper bound exclusive).
+
+    ``sites`` holds one row per site with its base URL and exclusive upper
+    page bound; each site expands to its own range inside the task.
+    """
+    page = F.explode(F.sequence(F.lit(lo), F.col(hi_col) - 1))
+    rows = sites.filter(F.col(hi_col) > lo).select(base_col, page.alias("page"))
+    return rows.select(base_col, F.col("page").cast("long").alias("page"),
+                       F.concat(F.col(base_col), F.lit(f"?{param}="), F.col("page").cast("string")).alias("url"))
+
+
 def read_issue_json(df: DataFrame, json_col: str = "value") -> DataFrame:
     """Issue-search responses -> (key, type, reporter, created, epoch) per issue.
 
