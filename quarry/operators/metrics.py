@@ -36,13 +36,14 @@ def per_file_metrics(decls: DataFrame) -> DataFrame:
     declarations, private fields, parse flag and the emptiness rule.
 
     Members count only when they are direct members of a file-level type. A
-    body is non-empty when it holds more than its braces (comments and
-    whitespace removed). ``is_empty`` uses non-empty methods (the rule's
+    method counts as non-empty unless it has a body holding nothing but its
+    braces (comments and whitespace removed); body-less methods count. ``is_empty`` uses non-empty methods (the rule's
     intent); ``is_empty_all_methods`` counts every method as the reference's
     run did.
     """
     top = F.col("top_level_member")
-    nonempty = F.col("body_chars") > 2
+    # a body-less (abstract / interface) method is a declaration, not an empty body
+    nonempty = F.col("body_chars").isNull() | (F.col("body_chars") > 2)
     per = decls.groupBy("project_id", "file").agg(
         F.max(F.col("parse_ok").cast("int")).cast("boolean").alias("parse_ok"),
         _n(_kind("method") & top).alias("method_count_all"),

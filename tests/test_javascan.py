@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from quarry.operators import javascan as J
 from quarry.operators import metrics as M
 
@@ -80,7 +82,8 @@ def test_metrics_on_spark(spark):
     assert per["9/Only.java"]["is_empty"] is True
     r = per["7/Rocket.java"]
     assert (r["method_count_all"], r["method_count"], r["constructor_count"], r["field_count"],
-            r["private_field_count"]) == (5, 2, 1, 6, 2)  # Shape.area() is a top-level member too
+            r["private_field_count"]) == (5, 4, 1, 6, 2)  # Shape.area() is a top-level member too;
+    # only act() has an empty body
     ps = {x["project_id"]: x for x in M.project_stats(decls).collect()}
     p = ps[7]
     assert p["class_count"] == 5 and p["interface_count"] == 1  # Rocket, Inner, Local, Base, E
@@ -94,3 +97,39 @@ def test_metrics_on_spark(spark):
     nonempty, total = M.files_per_project(M.per_file_metrics(decls))
     assert {r["project_id"]: r["count"] for r in total.collect()} == {7: 3, 9: 1}
     assert {r["project_id"]: r["count"] for r in nonempty.collect()} == {7: 2}
+
+
+def test_statistics_table_end_to_end(spark):
+    from quarry.operators import statistics_table as ST
+    from tests.test_stats import ref_five
+
+    files = spark.createDataFrame(
+        [(1, "1/A.java", "class A { int x; void f() { if (a) {} } void g() { b(); } }"),
+         (1, "1/B.java", "interface B extends C { void h(); }"),
+         (1, "1/E.java", "class E { }"),
+         (2, "2/D.java", "abstract class D<T> extends Actor { abstract void k(); int y, z; }")],
+        "project_id int, file string, text string")
+    decls = J.scan_declarations(files).cache()
+    per_file = M.per_file_metrics(decls).cache()
+    nonempty, total = M.files_per_project(per_file)
+    keep = per_file.filter(~F.col("is_empty")).select("project_id", "file")
+    ps = M.project_stats(decls, files=keep)
+    sizes = spark.createDataFrame([(1, 4096), (2, 1500)], "project_id int, package_size long")
+    psloc = spark.createDataFrame([(1, 12), (2, 5)], "project_id int, sloc int")
+    fsloc = spark.createDataFrame([(3,), (4,), (5,)], "sloc int")
+    per_method, per_class = M.method_complexity(decls)
+    table = ST.statistics_table(ps, per_file.select("project_id", "method_count", "field_count"),
+                                nonempty, total, sizes, psloc, fsloc,
+                                per_class.select(F.col("complexity").alias("value")),
+                                per_method.select(F.col("complexity").alias("value"))).collect()
+    rows = {(r["metric_group"], r["ord"]): r for r in table}
+    assert len(rows) == 21
+    size1 = rows[("Size", 1)]
+    assert size1["name"] == "Number of classes per Scenario" and size1["n"] == 2
+    assert rows[("Size", 7)]["max"] == 3.0          # project 1 has 3 files in total
+    assert rows[("Size", 6)]["max"] == 2.0          # of which 2 are non-empty
+    assert rows[("Size", 8)]["max"] == 4.0          # 4096 bytes div 1024
+    e = ref_five([3, 4, 5])
+    assert (rows[("Size", 10)]["q1"], rows[("Size", 10)]["median"], rows[("Size", 10)]["q3"]) == e[3:6]
+    assert rows[("OOP Concepts", 1)]["max"] == 1.0  # one interface in project 1
+    assert rows[("Complexity", 2)]["max"] == 2.0    # f() has one decision point
