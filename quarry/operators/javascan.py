@@ -406,7 +406,6 @@ class _Scanner:
             j += 2
         if not re.match(r"[A-Za-z_$]", self.tok(j)) or self.tok(j + 1) not in ("=", ";", ",", ":"):
             return None
-        left = self.tok(j - 1) if self.tok(j - 1) not in (">", "]") else None
         decl_type = "".join(x[0] for x in self.t[i:j])
         decl_type = re.split(r"[<\[]", decl_type)[0]
         # last ``new`` that directly initialises a declarator of this statement
@@ -430,7 +429,6 @@ class _Scanner:
                     m += 2
                 new_type = ".".join(parts) if parts else None
             k += 1
-        del left
         if new_type is not None:
             self.emit(kind="localvar", decl_type=decl_type, new_type=new_type,
                       begin_line=self.t[i][1], end_line=self.t[min(k, len(self.t) - 1)][1])

@@ -156,9 +156,9 @@ def pareto_share(df: DataFrame, value_col: str, share: float = 0.2) -> DataFrame
                      F.max("_total").cast("long").alias("total"))
     return out.select(
         "n_entities", "n_total",
-        F.round(F.lit(100.0) * F.col("n_entities") / F.col("n_total"), 2).alias("entity_pct"),
+        F.round(F.try_divide(F.lit(100.0) * F.col("n_entities"), F.col("n_total")), 2).alias("entity_pct"),
         "covered", "total",
-        F.round(F.lit(100.0) * F.col("covered") / F.col("total"), 2).alias("covered_pct"))
+        F.round(F.try_divide(F.lit(100.0) * F.col("covered"), F.col("total")), 2).alias("covered_pct"))
 
 
 def display_number(c: Column) -> Column:

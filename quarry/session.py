@@ -62,7 +62,9 @@ def spread(df, min_partitions: int | None = None):
     otherwise do all of it. A many-file input already has enough splits, and
     then this adds no shuffle. Planning the scan to count its splits runs no job.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # e.g. a Spark Connect session has no RDD view: leave the plan alone
+        return df
+    return df.repartition(target) if current < target else df
