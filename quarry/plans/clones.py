@@ -6,7 +6,7 @@ Token model: k-grams (k = 20) of ASCII tokens and their maximal clone runs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import clones as C
@@ -68,10 +68,12 @@ def q_clone_projects(spark: SparkSession, sf: str) -> DataFrame:
     dups, occs = C.line_clones(docs, "source", "doc_id", "text")
     same = C.same_file_duplications(dups, occs).select(F.lit("same_file").alias("kind"), "project")
     across = C.across_file_duplications(dups, occs).select(F.lit("across_file").alias("kind"), "project")
-    per_kind = same.unionByName(across).groupBy("kind").agg(
+    every = docs.select(F.lit("all").alias("kind"), F.col("source").alias("project"))
+    per_kind = same.unionByName(across).unionByName(every).groupBy("kind").agg(
         C.projects_with(same).alias("n_projects"))
-    total = docs.agg(F.count_distinct("source").alias("n_total"))
-    return per_kind.join(F.broadcast(total), how="left").select(
+    # the 'all' row's count reaches the other rows through a window over these few rows
+    total = F.max(F.when(F.col("kind") == "all", F.col("n_projects"))).over(Window.partitionBy())
+    return per_kind.withColumn("n_total", total).filter(F.col("kind") != "all").select(
         "kind", "n_projects", "n_total",
         F.round(F.lit(100.0) * F.col("n_projects") / F.col("n_total"), 2).alias("pct"))
 
