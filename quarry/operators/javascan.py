@@ -96,6 +96,12 @@ def _tokens(clean: str) -> list[tuple[str, int, int]]:
     return merged
 
 
+def stmt_start_is_decl(sc: "_Scanner", i: int) -> bool:
+    """True when the identifier at i is itself being declared (``Type name(``) - not a call."""
+    prev = sc.tok(i - 1)
+    return bool(re.match(r"[A-Za-z_$]", prev)) and prev not in NOT_A_TYPE
+
+
 class _Scanner:
     def __init__(self, clean: str):
         self.clean = clean
@@ -298,7 +304,7 @@ class _Scanner:
                     self.emit(kind=kind, depth=depth, top_level_member=top, name=name, parent=parent,
                               modifiers=mods, n_type_params=n_tp, n_params=n_params, body_chars=chars,
                               begin_line=begin, end_line=self.t[e][1], decisions=dec)
-                    self.code_block(j + 1, e, depth)
+                    self.code_block(j + 1, e, depth, method=(name, n_params, parent))
                     return e + 1
                 self.emit(kind=kind, depth=depth, top_level_member=top, name=name, parent=parent,
                           modifiers=mods, n_type_params=n_tp, n_params=n_params,
@@ -354,8 +360,9 @@ class _Scanner:
         return False
 
     # -- code -------------------------------------------------------------
-    def code_block(self, i: int, end: int, depth: int) -> None:
-        """Statements of a block: local types, local variables with ``new``, anonymous classes."""
+    def code_block(self, i: int, end: int, depth: int, method: tuple | None = None) -> None:
+        """Statements of a block: local types, local variables with ``new``, anonymous
+        classes, and (inside a method) unscoped calls to a method of the same name and arity."""
         stmt_start = True
         while i < end:
             s = self.tok(i)
@@ -364,9 +371,16 @@ class _Scanner:
                 if i > 0 and self.tok(i - 1) == ")" and self._after_new_call(i):
                     self.type_body(i + 1, e, depth + 1, None)
                 else:
-                    self.code_block(i + 1, e, depth)
+                    self.code_block(i + 1, e, depth, method)
                 i, stmt_start = e + 1, True
                 continue
+            if method is not None and s == method[0] and self.tok(i + 1) == "(" \
+                    and self.tok(i - 1) not in (".", "new") and not stmt_start_is_decl(self, i):
+                close = self.match(i + 1, "(", ")")
+                n_args = self.count_items(i + 1, close)
+                if n_args >= 1 and n_args == method[1]:
+                    self.emit(kind="selfcall", name=s, parent=method[2], n_params=n_args,
+                              begin_line=self.t[i][1], end_line=self.t[close][1])
             if stmt_start:
                 j = i
                 mods = []

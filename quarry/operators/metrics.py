@@ -164,3 +164,12 @@ def size_metrics_long(decls: DataFrame) -> DataFrame:
                   for c in ("class_lines", "n_fields", "n_methods", "public_members")]).alias("_m"))
     both = meth.unionByName(tt)
     return both.select("project_id", "file", "parent", "name", F.inline("_m"))
+
+
+def self_call_candidates(decls: DataFrame) -> DataFrame:
+    """MET17 (experimental): per project, unscoped calls with >= 1 argument whose name
+    and arity equal the enclosing method's - recursion candidates. Calls are not
+    resolved, so an overload of the same arity also counts. The reference
+    detects these but never reports them."""
+    return decls.filter(_kind("selfcall")).groupBy("project_id").agg(
+        F.count(F.lit(1)).alias("self_call_candidates"))

@@ -133,3 +133,19 @@ def test_statistics_table_end_to_end(spark):
     assert (rows[("Size", 10)]["q1"], rows[("Size", 10)]["median"], rows[("Size", 10)]["q3"]) == e[3:6]
     assert rows[("OOP Concepts", 1)]["max"] == 1.0  # one interface in project 1
     assert rows[("Complexity", 2)]["max"] == 2.0    # f() has one decision point
+
+
+def test_self_call_candidates():
+    src = """class R {
+        int fact(int n) { return n <= 1 ? 1 : n * fact(n - 1); }
+        int fib(int n) { if (n < 2) return n; return fib(n - 1) + this.fib(n - 2); }
+        void tick() { tick(); }
+        int sum(int a, int b) { return sum(a); }
+        void g(int x) { h(x); new Runnable() { public void run() { g(1); } }; }
+    }"""
+    ok, rows = J.scan_source(src)
+    assert ok
+    calls = sorted((r["name"], r["parent"]) for r in rows if r["kind"] == "selfcall")
+    # fact(n-1); fib(n-1) only (this.fib is scoped); tick() has no argument; sum's arity
+    # differs; g(1) sits in run(), whose nearest enclosing method is run, not g
+    assert calls == [("fact", "R"), ("fib", "R")]
