@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.prefix import running_sum
+
 FIVE_NUMBER_COLUMNS = ("n", "mean", "min", "q1", "median", "q3", "max")
 
 
@@ -54,12 +56,18 @@ def _rank_positions(n: Column) -> dict[str, tuple[Column, Column]]:
 
 
 def five_number(df: DataFrame, value_col: str, keys: Sequence[str] = (),
-                rule: str = "reference") -> DataFrame:
+                rule: str = "reference", method: str = "window") -> DataFrame:
     """Exact ``n, mean, min, q1, median, q3, max`` of ``value_col`` per ``keys``.
 
     ``rule="reference"`` reproduces the reference's rank rule (see
     ``_rank_positions``); ``rule="linear"`` gives the interpolated quartiles of
     Spark's exact ``percentile``. Keys with no rows produce no output row.
+
+    ``method`` chooses how the running count over the per-key value histogram
+    is computed: ``"window"`` (one task per key over its distinct values - right
+    for counts and sizes, whose distinct values are few) or ``"range"``
+    (``prefix.running_sum``: range-partitioned, for keys with very many
+    distinct values, e.g. unrounded doubles).
     """
     keys = list(keys)
     v = F.col(value_col)
@@ -76,11 +84,23 @@ def five_number(df: DataFrame, value_col: str, keys: Sequence[str] = (),
 
     hist = (df.filter(v.isNotNull())
             .groupBy(*keys, v.alias("_v")).agg(F.count(F.lit(1)).alias("_c")))
-    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    running = by_key.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (hist
-              .withColumn("_n", F.sum("_c").over(by_key))
-              .withColumn("_before", F.sum("_c").over(running) - F.col("_c")))
+    if method == "range":
+        upto = running_sum(hist, keys, ["_v"], "_c", out="_upto", method="range")
+        if keys:
+            n_tab = upto.groupBy(*keys).agg(F.max("_upto").alias("_n"))
+            upto = upto.join(n_tab, keys)
+        else:
+            upto = upto.withColumn("_k", F.lit(0)).join(
+                upto.agg(F.max("_upto").alias("_n")).withColumn("_k", F.lit(0)), "_k").drop("_k")
+        ranked = upto.withColumn("_before", F.col("_upto") - F.col("_c"))
+    elif method == "window":
+        by_key = Window.partitionBy(*keys) if keys else Window.partitionBy()
+        running = by_key.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = (hist
+                  .withColumn("_n", F.sum("_c").over(by_key))
+                  .withColumn("_before", F.sum("_c").over(running) - F.col("_c")))
+    else:
+        raise ValueError(f"unknown method {method!r}")
     n = F.col("_n")
     positions = _rank_positions(n)
 
@@ -102,13 +122,14 @@ def five_number(df: DataFrame, value_col: str, keys: Sequence[str] = (),
 
 def summary(long_df: DataFrame, group_col: str = "metric_group", ord_col: str = "ord",
             name_col: str = "name", value_col: str = "value",
-            rule: str = "reference") -> DataFrame:
+            rule: str = "reference", method: str = "window") -> DataFrame:
     """Grouped summary table: one five-number row per (group, ord, name).
 
     ``long_df`` holds every metric in one long frame so that all rows of the
     table come out of one job (one histogram shuffle, one window, one agg).
     """
-    return five_number(long_df, value_col, keys=[group_col, ord_col, name_col], rule=rule)
+    return five_number(long_df, value_col, keys=[group_col, ord_col, name_col], rule=rule,
+                       method=method)
 
 
 def zero_prevalence(wide: DataFrame, feature_cols: Sequence[str],

@@ -110,3 +110,34 @@ def test_latex_rows_format(spark):
     assert got[("Size", 1)] == " Size & A & 0.1 & 1 & 2 & 2.5 & 3 & 12345.2 \\\\ "
     assert got[("Size", 2)] == "  & B & 0.2 & 0 & 0 & 0 & 0 & 2 \\\\ "
     assert got[("OOP", 1)] == " OOP & C & 0.3 & 1 & 1 & 1 &  & 1 \\\\ "
+
+
+def test_range_method_equals_window(spark):
+    rnd = random.Random(5)
+    rows = [("hot", float(rnd.randint(-500, 500)) / 4) for _ in range(3000)]
+    rows += [(f"k{i % 7}", float(rnd.randint(0, 30))) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    a = {r["k"]: tuple(r) for r in stats.five_number(df, "v", keys=["k"], method="range").collect()}
+    b = {r["k"]: tuple(r) for r in stats.five_number(df, "v", keys=["k"], method="window").collect()}
+    assert a == b
+    ga = stats.five_number(df, "v", method="range").collect()[0]
+    gb = stats.five_number(df, "v", method="window").collect()[0]
+    assert tuple(ga) == tuple(gb)
+
+
+def test_running_sum_batches_and_partitions(spark):
+    from quarry.operators.prefix import running_sum
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [("a" if i < 40 else "b", i, i % 3 + 1) for i in range(100)]
+        df = spark.createDataFrame(rows, "k string, o long, c long")
+        got = {(r["k"], r["o"]): r["running"] for r in running_sum(df, ["k"], ["o"], "c").collect()}
+        want, run, prev = {}, 0, None
+        for k, o, c in rows:
+            run = c if k != prev else run + c
+            want[(k, o)] = run
+            prev = k
+        assert got == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
