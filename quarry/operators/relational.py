@@ -36,16 +36,25 @@ def missing_from(left: DataFrame, right: DataFrame, left_key: str,
     return left.join(r, F.col(left_key) == F.col("_rk"), "left_anti")
 
 
-def first_seen_ids(df: DataFrame, key: str, order_col: str, id_col: str = "id") -> DataFrame:
+def first_seen_ids(df: DataFrame, key: str, order_col: str, id_col: str = "id",
+                   method: str = "window") -> DataFrame:
     """Dimension of distinct ``key`` values with a dense id in first-seen order.
 
     The distinct keys are found by a partially aggregated ``groupBy``; the
-    dense numbering then runs over the (small) dimension only, never over the
-    fact rows.
+    dense numbering then runs over the dimension only, never over the fact
+    rows. ``method="window"`` numbers it in one task (rule, ruleset, type
+    dimensions); ``method="range"`` range-partitions the numbering for a
+    dimension with very many keys.
     """
-    dim = df.groupBy(key).agg(F.min(order_col).alias(f"first_{order_col}"))
-    w = Window.orderBy(f"first_{order_col}", key)
-    return dim.withColumn(id_col, F.row_number().over(w).cast("long"))
+    first = f"first_{order_col}"
+    dim = df.groupBy(key).agg(F.min(order_col).alias(first))
+    if method == "window":
+        w = Window.orderBy(first, key)
+        return dim.withColumn(id_col, F.row_number().over(w).cast("long"))
+    from quarry.operators.prefix import running_sum
+
+    ones = dim.withColumn("_one", F.lit(1).cast("long"))
+    return running_sum(ones, [], [first, key], "_one", out=id_col, method=method).drop("_one")
 
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, key: str | Sequence[str],

@@ -147,25 +147,27 @@ def zero_prevalence(wide: DataFrame, feature_cols: Sequence[str],
         "pct", F.round(F.lit(100.0) * F.col("zero_count") / F.col("total"), 2))
 
 
-def pareto_share(df: DataFrame, value_col: str, share: float = 0.2) -> DataFrame:
+def pareto_share(df: DataFrame, value_col: str, share: float = 0.2,
+                 method: str = "window") -> DataFrame:
     """How many of the smallest entities together hold at most ``share`` of the total.
 
     Entities are taken in ascending order of ``value_col`` (ties in any fixed
     order, which does not change the counts) while the running sum stays
-    <= share * total. Computed from the per-value histogram: the window runs
-    over distinct values only, and the cut inside the last value group is
-    integer arithmetic, so no global row-level sort happens.
+    <= share * total. Computed from the per-value histogram: the running sum
+    runs over distinct values only (``method="range"`` range-partitions it
+    for very many distinct values), and the cut inside the last value group
+    is integer arithmetic, so no global row-level sort happens.
     """
     v = F.col(value_col).cast("long")
     hist = (df.filter(F.col(value_col).isNotNull()).groupBy(v.alias("_v"))
             .agg(F.count(F.lit(1)).alias("_c")))
-    whole = Window.partitionBy()
-    upto = Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (hist
-              .withColumn("_total", F.sum(F.col("_v") * F.col("_c")).over(whole))
-              .withColumn("_entities", F.sum("_c").over(whole))
-              .withColumn("_before", F.sum(F.col("_v") * F.col("_c")).over(upto)
-                          - F.col("_v") * F.col("_c")))
+    hist = hist.withColumn("_s", F.col("_v") * F.col("_c"))
+    ranked = running_sum(hist, [], ["_v"], "_s", out="_upto", method=method)
+    totals = hist.agg(F.sum("_s").alias("_total"), F.sum("_c").alias("_entities"))
+    # one-row totals joined on a constant key (an equi-join, not a cross join)
+    ranked = (ranked.withColumn("_one", F.lit(1))
+              .join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").drop("_one")
+              .withColumn("_before", F.col("_upto") - F.col("_s")))
     limit = F.floor(F.lit(float(share)) * F.col("_total")).cast("long")
     fit = (F.when(F.col("_before") > limit, F.lit(0))
            .when(F.col("_v") <= 0, F.col("_c"))

@@ -141,3 +141,17 @@ def test_running_sum_batches_and_partitions(spark):
         assert got == want
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pareto_and_dense_ids_range_equal_window(spark):
+    from quarry.operators import relational as rel
+
+    rnd = random.Random(9)
+    df = spark.createDataFrame([(i, rnd.randint(0, 40)) for i in range(500)], "id long, v long")
+    a = stats.pareto_share(df, "v", 0.3, method="range").collect()[0]
+    b = stats.pareto_share(df, "v", 0.3, method="window").collect()[0]
+    assert tuple(a) == tuple(b)
+    ev = spark.createDataFrame([(i, f"t{rnd.randint(0, 60)}") for i in range(400)], "eid long, t string")
+    x = sorted(map(tuple, rel.first_seen_ids(ev, "t", "eid", method="range").collect()))
+    y = sorted(map(tuple, rel.first_seen_ids(ev, "t", "eid").collect()))
+    assert x == y
