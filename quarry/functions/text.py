@@ -107,3 +107,21 @@ def marker_line(c: Column | str, marker_prefix: str, needle: str) -> Column:
     return F.when((m > 0) & (rel > 0), F.struct(
         (m - 1).alias("marker"), (k - 1).alias("match"),
         first_token(F.element_at(ls, k.cast("int"))).alias("value")))
+
+
+def with_marker_line(df, text_col: str, marker_prefix: str, needle: str, out: str = "m"):
+    """DataFrame form of ``marker_line``: the split lines and the marker index are
+    materialised as columns in their own projections, so each is computed once
+    per row instead of once per use."""
+    ls, m = "_ml_lines", "_ml_marker"
+    staged = df.withColumn(ls, lines(text_col))
+    staged = staged.withColumn(m, F.array_position(F.transform(
+        ls, lambda x: F.startswith(F.lower(java_trim(x)), F.lit(marker_prefix))), F.lit(True)))
+    after = F.slice(ls, F.greatest(F.col(m), F.lit(1)).cast("int") + 1, F.size(ls))
+    staged = staged.withColumn("_ml_rel", F.array_position(
+        F.transform(after, lambda x: F.contains(x, F.lit(needle))), F.lit(True)))
+    k = F.col(m) + F.col("_ml_rel")
+    res = F.when((F.col(m) > 0) & (F.col("_ml_rel") > 0), F.struct(
+        (F.col(m) - 1).alias("marker"), (k - 1).alias("match"),
+        first_token(F.element_at(ls, k.cast("int"))).alias("value")))
+    return staged.withColumn(out, res).drop(ls, m, "_ml_rel")

@@ -112,8 +112,8 @@ FROM k JOIN l ON l.doc_id = k.doc_id AND l.pos = k.match
 """)
 def q_marker_line(spark: SparkSession, sf: str) -> DataFrame:
     """First line containing a needle after the first marker line, per document (per row)."""
-    docs = table(spark, sf, "documents")
-    r = docs.select("doc_id", T.marker_line("text", MARKER_PREFIX, MARKER_NEEDLE).alias("r"))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    r = T.with_marker_line(docs, "text", MARKER_PREFIX, MARKER_NEEDLE, out="r")
     return r.filter(F.col("r").isNotNull()).select(
         "doc_id", F.col("r.marker").cast("long").alias("marker"),
         F.col("r.match").cast("long").alias("match"), "r.value")

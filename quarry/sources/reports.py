@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.paths import id_from_name
-from quarry.functions.text import marker_line
+from quarry.functions.text import with_marker_line
 
 XML_GLOB = "*.[xX][mM][lL]"
 
@@ -95,7 +95,7 @@ def read_sloc_reports(spark: SparkSession, path: str, per_file: bool = False,
     # ``text()`` sets wholetext itself, so it must be passed there, not as an option
     df = (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
           .withColumn("report", F.col("_metadata.file_path")))
-    r = df.select("report", marker_line("value", marker, needle).alias("m")).filter(
+    r = with_marker_line(df.select("report", "value"), "value", marker, needle, out="m").filter(
         F.col("m").isNotNull())
     sloc = F.col("m.value").try_cast("int").alias("sloc")
     name = F.substring_index("report", "/", -1)
