@@ -48,14 +48,3 @@ def rebase(c: Column | str, old_root: Column, new_root: Column) -> Column:
     c = _c(c)
     return F.when(F.startswith(c, old_root),
                   F.concat(new_root, F.substring(c, F.length(old_root) + 1, 1 << 30))).otherwise(c)
-
-
-def project_id_from_path(c: Column | str, root_depth: int | None = None) -> Column:
-    """Integer project id = name of the first folder under the corpus root.
-
-    With ``root_depth`` = number of path segments of the root, the segment
-    right after it is taken; NULL (a reject) when it is not an integer.
-    """
-    segs = F.split(F.regexp_replace(_c(c), r"^[a-z]+:", ""), "/")
-    seg = F.try_element_at(segs, F.lit((root_depth or 0) + 2))
-    return seg.try_cast("int")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import text as T
 from quarry.operators import relational as rel
 from quarry.operators import rules as rl
 from quarry.operators import stats
@@ -192,7 +193,7 @@ def summary_long(spark: SparkSession, sf: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").cast("long").alias("qty"))
     per_cust = table(spark, sf, "orders").groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n_orders"))
-    n_lines = F.length("text") - F.length(F.regexp_replace("text", "\n", "")) + 1
+    n_lines = T.line_count("text")
     parts = [
         m("Size", 1, "Lines per order", per_order, F.col("n_lines")),
         m("Size", 2, "Quantity per order", per_order, F.col("qty")),

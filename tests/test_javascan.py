@@ -149,3 +149,22 @@ def test_self_call_candidates():
     # fact(n-1); fib(n-1) only (this.fib is scoped); tick() has no argument; sum's arity
     # differs; g(1) sits in run(), whose nearest enclosing method is run, not g
     assert calls == [("fact", "R"), ("fib", "R")]
+
+
+def test_size_rules_emptiness_and_failed(spark):
+    from quarry.operators import rules as R
+
+    long_method = "void big() {\n" + "  x();\n" * 120 + "}\n"
+    many = "".join(f"  int f{i};\n" for i in range(16))
+    src = "public class Big {\n" + many + long_method + "  void p(int a,int b,int c,int d,int e,int f,int g,int h,int i,int j) {}\n}\n"
+    files = spark.createDataFrame([(3, "3/Big.java", src), (4, "4/E.java", "class E {}"), (4, "4/X.java", "class X {")],
+                                  "project_id int, file string, text string")
+    decls = J.scan_declarations(files).cache()
+    viol = R.apply_rules(M.size_metrics_long(decls), R.rules_frame(spark, R.SIZE_RULES))
+    got = {r["rule"]: r["n"] for r in R.rule_prevalence(viol, "project_id", alias="n").collect()}
+    assert got == {"ExcessiveMethodLength": 1, "ExcessiveParameterList": 1, "TooManyFields": 1, "*any*": 1}
+    per = M.per_file_metrics(decls)
+    emp = {r["project_id"]: (r["n_files"], r["n_empty"], r["is_empty_project"])
+           for r in M.project_emptiness(per).collect()}
+    assert emp == {3: (1, 0, False), 4: (2, 1, False)}   # the unparsable file is not empty
+    assert [r["file"] for r in M.failed_files(per).collect()] == ["4/X.java"]

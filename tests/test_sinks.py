@@ -44,3 +44,21 @@ def test_csv_exports_and_routing(spark, tmp_dir):
     failed = os.path.join(tmp_dir, "failed")
     W.write_failed(files.filter("is_empty"), failed)
     assert read_text(failed) == ["a"]
+
+
+def test_sloc_issue_and_stats_exports(spark, tmp_dir):
+    sloc = spark.createDataFrame([(10, 5), (2, 7), (9, 1)], "project_id int, sloc int")
+    out = os.path.join(tmp_dir, "sloc")
+    W.write_sloc(sloc, out)
+    lines = read_text(out)
+    body = [l for l in lines if l != "Project,SLOC Count"]
+    assert lines[0] == "Project,SLOC Count" and body == ["2,7", "9,1", "10,5"]
+    issues = spark.createDataFrame([("GF-1", "Bug", "ann", 1484088623)], "key string, type string, reporter string, epoch long")
+    out = os.path.join(tmp_dir, "issues")
+    W.write_issues(issues, out)
+    got = read_text(out)  # every part file carries the header
+    assert set(got) == {"key;type;reporter;date", "GF-1;Bug;ann;1484088623"}
+    stats = spark.createDataFrame([(1, 2)], "project_id int, method_count int")
+    out = os.path.join(tmp_dir, "stats")
+    W.write_project_stats(stats, out)
+    assert set(read_text(out)) == {"project_id,method_count", "1,2"}
