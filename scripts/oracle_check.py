@@ -46,7 +46,13 @@ def main():
     args = sys.argv[1:]
     sf = args[0] if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     names = [a for a in args if not a.startswith("/")] or sorted(QUERIES)
-    spark = build_session()
+    if os.environ.get("QUARRY_PLAIN_SESSION"):
+        from pyspark.sql import SparkSession
+
+        spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+                 .config("spark.sql.session.timeZone", "UTC").getOrCreate())
+    else:
+        spark = build_session()
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
@@ -64,6 +70,13 @@ def main():
         res = con.execute(sql)
         ocols = [d[0] for d in res.description]
         orows = res.fetchall()
+        duck_to_spark = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                         "BOOLEAN": "boolean", "FLOAT": "float", "HUGEINT": "HUGEINT!", "DECIMAL": "decimal"}
+        stypes = {f.name: f.dataType.simpleString() for f in sdf.schema.fields}
+        otypes = {d[0]: duck_to_spark.get(str(d[1]).split("(")[0], str(d[1])) for d in res.description}
+        tdiff = {c: (stypes.get(c), otypes.get(c)) for c in stypes if stypes.get(c) != otypes.get(c)}
+        if tdiff:
+            print(f"   type differences: {tdiff}")
         hs, ls = digest(scols, srows)
         ho, lo = digest(ocols, orows)
         same = (sorted(scols) == sorted(ocols)) and len(srows) == len(orows) and hs == ho
