@@ -74,7 +74,11 @@ def folder_sizes(files: DataFrame, flag_col: str | None = None) -> DataFrame:
     return files.groupBy("project_id").agg(*aggs)
 
 
-def list_archives(spark: SparkSession, root: str, suffixes=(".gfar", ".zip")) -> DataFrame:
+# Suffixes of the project archives (zip format).
+ARCHIVE_SUFFIXES = (".gfar", ".zip")
+
+
+def list_archives(spark: SparkSession, root: str, suffixes=ARCHIVE_SUFFIXES) -> DataFrame:
     """Archives ``<id>.<ext>`` directly or recursively under ``root``: (archive, project_id, length, content)."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_abs(root))
     name = F.substring_index("path", "/", -1)

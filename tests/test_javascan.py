@@ -5,7 +5,7 @@ from quarry.operators import metrics as M
 
 SRC_A = r'''
 package demo;
-import greenfoot.*;  // framework
+import framework.*;  // framework
 /** doc { not a brace */
 public class Rocket extends Actor implements Runnable, Comparable<Rocket> {
     private int a, b;                 // one declaration

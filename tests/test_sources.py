@@ -23,7 +23,7 @@ def test_project_tree_listing(spark, tmp_dir):
     write(f"{root}/2/sub/B.JAVA ", "class B {}")
     write(f"{root}/10/C.java", "class C { String s = \"é\"; }", enc="latin-1")
     write(f"{root}/9/readme.txt", "x")
-    write(f"{root}/9/project.greenfoot", "y")
+    write(f"{root}/9/project.meta", "y")
     write(f"{root}/.hidden/D.java", "class D {}")
     write(f"{root}/abc/E.java", "class E {}")
     java = FS.scan_project_files(spark, root)
@@ -31,7 +31,7 @@ def test_project_tree_listing(spark, tmp_dir):
     assert got == [(-1, "abc/E.java"), (2, "2/A.java"), (2, "2/sub/B.JAVA "), (10, "10/C.java")]
     idx = [tuple(r) for r in FS.project_index(FS.list_files(spark, root)).collect()]
     assert idx == [("2", 2), ("9", 9), ("10", 10), ("abc", None)]
-    named = FS.scan_files_named(spark, root, "PROJECT.greenfoot").collect()
+    named = FS.scan_files_named(spark, root, "PROJECT.meta").collect()
     assert [r["project_id"] for r in named] == [9]
     txt = FS.decode_source(java.filter(F.col("project_id") == 10)).collect()[0]["text"]
     assert "é" in txt
