@@ -30,19 +30,27 @@ def main() -> None:
     spark = build_session(master=f"local[{cpus}]", app="quarry-bench")
     names = only or sorted(QUERIES)
     times: dict[str, float] = {}
+    errors: dict[str, str] = {}
     for name in names:
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        samples = []
-        for _ in range(runs):
-            t0 = time.perf_counter()
+        try:
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            samples.append(time.perf_counter() - t0)
+            samples = []
+            for _ in range(runs):
+                t0 = time.perf_counter()
+                QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+                samples.append(time.perf_counter() - t0)
+        except Exception as e:  # report the failure, keep measuring the others
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            print(f"# {name}: FAILED {errors[name]}", file=sys.stderr)
+            continue
         times[name] = round(statistics.median(samples), 3)
         print(f"# {name}: {times[name]}s", file=sys.stderr)
     m = re.search(r"sf([0-9.]+)", sf_dir)
-    print(json.dumps({"metric": "total_median_query_sec", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times,
-                      "sf": float(m.group(1)) if m else sf_dir}))
+    out = {"metric": "total_median_query_sec", "value": round(sum(times.values()), 3),
+           "unit": "sec", "queries": times, "sf": float(m.group(1)) if m else sf_dir}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
