@@ -34,6 +34,14 @@ def read_clone_reports(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     raw = (spark.read.format("xml").option("rowTag", "duplication").option("recursiveFileLookup", "true")
            .option("pathGlobFilter", XML_GLOB).schema(CLONE_SCHEMA).load(path)
            .withColumn("report", F.col("_metadata.file_name")))
+    return clones_from_xml_rows(raw)
+
+
+def clones_from_xml_rows(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(duplications, occurrences) from ``<duplication>`` rows (CLONE_SCHEMA + ``report`` name).
+
+    Shared by the batch reader and the streaming ingest.
+    """
     keyed = raw.withColumn("dup_id", F.xxhash64("report", "_lines", "_tokens", "codefragment",
                                                 F.to_json("file")))
     dups = keyed.select("dup_id", id_from_name("report").alias("project_id"),
@@ -95,6 +103,12 @@ def read_sloc_reports(spark: SparkSession, path: str, per_file: bool = False,
     # ``text()`` sets wholetext itself, so it must be passed there, not as an option
     df = (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
           .withColumn("report", F.col("_metadata.file_path")))
+    return sloc_from_text_rows(df, per_file, marker, needle)
+
+
+def sloc_from_text_rows(df: DataFrame, per_file: bool = False, marker: str = "sloc",
+                        needle: str = "java=") -> DataFrame:
+    """Line counts from whole-file text rows (``value`` + ``report`` path); batch and stream."""
     r = with_marker_line(df.select("report", "value"), "value", marker, needle, out="m").filter(
         F.col("m").isNotNull())
     sloc = F.col("m.value").try_cast("int").alias("sloc")

@@ -44,3 +44,41 @@ def start_violation_ingest(spark: SparkSession, source_dir: str, table_dir: str,
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def _append(stream: DataFrame, table_dir: str, checkpoint_dir: str, available_now: bool,
+            partition_by: str | None = None) -> StreamingQuery:
+    writer = (stream.writeStream.format("parquet").option("path", table_dir)
+              .option("checkpointLocation", checkpoint_dir).outputMode("append"))
+    if partition_by:
+        writer = writer.partitionBy(partition_by)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def start_clone_ingest(spark: SparkSession, source_dir: str, dups_dir: str, occs_dir: str,
+                       checkpoint_dir: str, available_now: bool = False) -> tuple[StreamingQuery, StreamingQuery]:
+    """Append new clone reports as duplications and occurrences (two sinks, two checkpoints).
+
+    Both tables are keyed by the same content hash, so they join back even though
+    their queries commit independently.
+    """
+    from quarry.sources.reports import CLONE_SCHEMA, clones_from_xml_rows
+
+    raw = (spark.readStream.format("xml").option("rowTag", "duplication")
+           .option("recursiveFileLookup", "true").option("pathGlobFilter", XML_GLOB)
+           .schema(CLONE_SCHEMA).load(source_dir).withColumn("report", F.col("_metadata.file_name")))
+    dups, occs = clones_from_xml_rows(raw)
+    return (_append(dups, dups_dir, f"{checkpoint_dir}/dups", available_now),
+            _append(occs, occs_dir, f"{checkpoint_dir}/occs", available_now))
+
+
+def start_sloc_ingest(spark: SparkSession, source_dir: str, table_dir: str, checkpoint_dir: str,
+                      per_file: bool = False, available_now: bool = False) -> StreamingQuery:
+    """Append the line count of each new line-count report (whole file per row)."""
+    from quarry.sources.reports import sloc_from_text_rows
+
+    raw = (spark.readStream.option("recursiveFileLookup", "true").text(source_dir, wholetext=True)
+           .withColumn("report", F.col("_metadata.file_path")))
+    return _append(sloc_from_text_rows(raw, per_file), table_dir, checkpoint_dir, available_now)
