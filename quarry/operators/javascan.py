@@ -203,7 +203,7 @@ class _Scanner:
     def type_decl(self, i: int, mods: list[str], depth: int, parent: str | None,
                   top_member: bool, begin: int) -> int:
         kw = self.tok(i)
-        kind = {"@interface": "annotation", "record": "class"}.get(kw, kw)
+        kind = {"@interface": "annotation"}.get(kw, kw)  # records keep kind "record" (not a class)
         name = self.tok(i + 1)
         i += 2
         n_tp = 0

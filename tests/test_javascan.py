@@ -168,3 +168,10 @@ def test_size_rules_emptiness_and_failed(spark):
            for r in M.project_emptiness(per).collect()}
     assert emp == {3: (1, 0, False), 4: (2, 1, False)}   # the unparsable file is not empty
     assert [r["file"] for r in M.failed_files(per).collect()] == ["4/X.java"]
+
+
+def test_record_is_not_a_class():
+    ok, rows = J.scan_source("record P(int x, int y) { int sum() { return x + y; } }")
+    assert ok
+    kinds = sorted(r["kind"] for r in rows)
+    assert kinds == ["method", "record"]
