@@ -199,7 +199,7 @@ def clone_runs(fps: DataFrame, k: int = 20, min_occurrences: int = 2) -> DataFra
     occ = fps.join(rep, ["project", "h1", "h2"], "left_semi")
     try:
         chained = next_in_order(occ, keys=["project", "h1", "h2"], order=["doc", "pos"],
-                                carry=["doc", "pos"], prefix="next_")
+                                carry=["doc", "pos", "first_line"], prefix="next_")
     finally:
         fps.unpersist()
     pairs = chained.filter(F.col("next_doc").isNotNull()).withColumn(
@@ -208,9 +208,25 @@ def clone_runs(fps: DataFrame, k: int = 20, min_occurrences: int = 2) -> DataFra
     islands = pairs.withColumn("_island", F.col("pos") - F.row_number().over(diag))
     runs = islands.groupBy("project", "doc", "next_doc", "_delta", "_island").agg(
         F.min("pos").alias("start"), F.count(F.lit(1)).alias("n_kgrams"),
-        F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"))
+        F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"),
+        F.min("next_first_line").alias("other_first_line"))
     return runs.select(
         "project", "doc", "start", F.col("next_doc").alias("other_doc"),
         (F.col("start") + F.col("_delta")).alias("other_start"), "n_kgrams",
         (F.col("n_kgrams") + k - 1).alias("tokens"), "first_line", "last_line",
-        (F.col("last_line") - F.col("first_line") + 1).alias("lines"))
+        (F.col("last_line") - F.col("first_line") + 1).alias("lines"), "other_first_line")
+
+
+def runs_as_duplications(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The duplication/occurrence model of clone runs: one duplication per run, with
+    its two occurrences (path = document, line = first line of the copy).
+
+    ``dup_id`` hashes the run's natural key. A run inside one document has
+    both occurrences in the same path (a same-file clone); a run between two
+    documents has one in each (an across-file clone).
+    """
+    keyed = runs.withColumn("dup_id", F.xxhash64("project", "doc", "start", "other_doc", "other_start"))
+    dups = keyed.select("dup_id", "project", "lines", "tokens", F.lit(None).cast("string").alias("code"))
+    occs = keyed.select("dup_id", F.col("doc").alias("path"), F.col("first_line").alias("line")).unionByName(
+        keyed.select("dup_id", F.col("other_doc").alias("path"), F.col("other_first_line").alias("line")))
+    return dups, occs

@@ -101,20 +101,55 @@ def q_token_clones(spark: SparkSession, sf: str) -> DataFrame:
     return tc.select("project", "kgram", "n_occ", "n_docs")
 
 
-@register("q_clone_runs", "WITH " + KGRAM_SQL + f""",
+RUNS_SQL = KGRAM_SQL + f""",
 occ AS (SELECT fk.* FROM fk JOIN rep ON fk.source = rep.source AND fk.kgram = rep.kgram),
 ch AS (SELECT *, lead(doc_id) OVER (PARTITION BY source, kgram ORDER BY doc_id, pos) AS next_doc,
                  lead(pos) OVER (PARTITION BY source, kgram ORDER BY doc_id, pos) AS next_pos FROM occ),
 pr AS (SELECT *, next_pos - pos AS delta FROM ch WHERE next_doc IS NOT NULL),
-isl AS (SELECT *, pos - ROW_NUMBER() OVER (PARTITION BY source, doc_id, next_doc, delta ORDER BY pos) AS island FROM pr)
-SELECT source AS project, doc_id AS doc, CAST(min(pos) AS BIGINT) AS start, next_doc AS other_doc,
+isl AS (SELECT *, pos - ROW_NUMBER() OVER (PARTITION BY source, doc_id, next_doc, delta ORDER BY pos) AS island FROM pr),
+runs AS (SELECT source AS project, doc_id AS doc, CAST(min(pos) AS BIGINT) AS start, next_doc AS other_doc,
        CAST(min(pos) + delta AS BIGINT) AS other_start, CAST(COUNT(*) AS BIGINT) AS n_kgrams,
        CAST(COUNT(*) + {K - 1} AS BIGINT) AS tokens, CAST(min(first_line) AS BIGINT) AS first_line,
        CAST(max(last_line) AS BIGINT) AS last_line, CAST(max(last_line) - min(first_line) + 1 AS BIGINT) AS lines
-FROM isl GROUP BY source, doc_id, next_doc, delta, island""")
+FROM isl GROUP BY source, doc_id, next_doc, delta, island)"""
+
+
+@register("q_clone_runs", "WITH " + RUNS_SQL + "\nSELECT * FROM runs")
 def q_clone_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Maximal token clone runs (consecutive-occurrence chaining + gaps and islands)."""
     fps = C.kgram_fingerprints(table(spark, sf, "documents"), "source", "doc_id", "text", k=K)
     runs = C.clone_runs(fps, k=K)
     return runs.select("project", "doc", *[F.col(c).cast("long").alias(c) for c in (
         "start", "other_doc", "other_start", "n_kgrams", "tokens", "first_line", "last_line", "lines")])
+
+
+def _run_model(spark: SparkSession, sf: str):
+    fps = C.kgram_fingerprints(table(spark, sf, "documents"), "source", "doc_id", "text", k=K)
+    return C.runs_as_duplications(C.clone_runs(fps, k=K))
+
+
+def _run_hist(spark: SparkSession, sf: str, by: str) -> DataFrame:
+    dups, occs = _run_model(spark, sf)
+    same = C.clone_histogram(C.same_file_duplications(dups, occs), by, "dup_count")
+    across = C.clone_histogram(C.across_file_duplications(dups, occs), by, "dup_count")
+    return same.select(F.lit("same_file").alias("kind"), F.col(by).cast("long").alias(by), "dup_count") \
+        .unionByName(across.select(F.lit("across_file").alias("kind"), F.col(by).cast("long").alias(by),
+                                   "dup_count"))
+
+
+RUN_HIST_SQL = """
+SELECT 'same_file' AS kind, {by}, CAST(COUNT(*) AS BIGINT) AS dup_count FROM runs WHERE doc = other_doc GROUP BY {by}
+UNION ALL
+SELECT 'across_file' AS kind, {by}, CAST(COUNT(*) AS BIGINT) AS dup_count FROM runs WHERE doc <> other_doc GROUP BY {by}"""
+
+
+@register("q_run_hist_tokens", "WITH " + RUNS_SQL + RUN_HIST_SQL.format(by="tokens"))
+def q_run_hist_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Token clone runs as duplications: same-file / across-file histograms by tokens (CLN3-CLN5)."""
+    return _run_hist(spark, sf, "tokens")
+
+
+@register("q_run_hist_lines", "WITH " + RUNS_SQL + RUN_HIST_SQL.format(by="lines"))
+def q_run_hist_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Token clone runs as duplications: same-file / across-file histograms by lines (CLN3-CLN5)."""
+    return _run_hist(spark, sf, "lines")
