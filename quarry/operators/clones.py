@@ -85,6 +85,16 @@ def across_file_duplications(dups: DataFrame, occurrences: DataFrame) -> DataFra
     return dups.join(ids, "dup_id", "left_semi")
 
 
+def classify_duplications(dups: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """``dups`` with both flags from one per-path aggregation: ``same_file`` (some path
+    holds > 1 occurrence) and ``across_file`` (some path holds <= 1). Equivalent to
+    the two semi-joins above when both kinds are needed; a duplication without
+    occurrences gets neither flag."""
+    flags = _per_path_counts(occurrences).groupBy("dup_id").agg(
+        (F.max("_k") > 1).alias("same_file"), (F.min("_k") <= 1).alias("across_file"))
+    return dups.join(flags, "dup_id", "left").fillna(False, ["same_file", "across_file"])
+
+
 def clone_histogram(dups: DataFrame, by: str = "tokens", alias: str = "dup_count") -> DataFrame:
     """Number of duplications per size (tokens or lines), ascending (CLN5)."""
     return dups.groupBy(by).agg(F.count(F.lit(1)).alias(alias)).orderBy(by)

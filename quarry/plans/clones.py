@@ -66,8 +66,9 @@ def q_clone_projects(spark: SparkSession, sf: str) -> DataFrame:
     """Projects with same-file / across-file clones, and their share of all projects (CLN6)."""
     docs = table(spark, sf, "documents")
     dups, occs = C.line_clones(docs, "source", "doc_id", "text")
-    same = C.same_file_duplications(dups, occs).select(F.lit("same_file").alias("kind"), "project")
-    across = C.across_file_duplications(dups, occs).select(F.lit("across_file").alias("kind"), "project")
+    flagged = C.classify_duplications(dups, occs)
+    same = flagged.filter("same_file").select(F.lit("same_file").alias("kind"), "project")
+    across = flagged.filter("across_file").select(F.lit("across_file").alias("kind"), "project")
     every = docs.select(F.lit("all").alias("kind"), F.col("source").alias("project"))
     per_kind = same.unionByName(across).unionByName(every).groupBy("kind").agg(
         C.projects_with(same).alias("n_projects"))

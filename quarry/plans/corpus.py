@@ -84,8 +84,8 @@ def complexity_count(violations: DataFrame, value: int = 2) -> DataFrame:
 
 def clone_histograms(dups: DataFrame, occs: DataFrame) -> dict[str, DataFrame]:
     """The four clone histograms: same-file / across-file, by tokens / by lines."""
-    same = C.same_file_duplications(dups, occs)
-    across = C.across_file_duplications(dups, occs)
+    flagged = C.classify_duplications(dups, occs)
+    same, across = flagged.filter("same_file"), flagged.filter("across_file")
     return {"same_by_tokens": C.clone_histogram(same, "tokens", "file_count"),
             "same_by_lines": C.clone_histogram(same, "lines", "file_count"),
             "across_by_tokens": C.clone_histogram(across, "tokens", "file_count"),
@@ -94,8 +94,9 @@ def clone_histograms(dups: DataFrame, occs: DataFrame) -> dict[str, DataFrame]:
 
 def projects_with_clones(dups: DataFrame, occs: DataFrame, n_projects: int | None = None) -> DataFrame:
     """Projects having same-file and across-file clones (with % of ``n_projects``)."""
-    same = C.same_file_duplications(dups, occs).select(F.lit("same_file").alias("kind"), "project_id")
-    across = C.across_file_duplications(dups, occs).select(F.lit("across_file").alias("kind"), "project_id")
+    flagged = C.classify_duplications(dups, occs)
+    same = flagged.filter("same_file").select(F.lit("same_file").alias("kind"), "project_id")
+    across = flagged.filter("across_file").select(F.lit("across_file").alias("kind"), "project_id")
     out = same.unionByName(across).groupBy("kind").agg(F.count_distinct("project_id").alias("project_count"))
     if n_projects:
         out = out.withColumn("pct", F.round(F.lit(100.0) * F.col("project_count") / F.lit(n_projects), 2))

@@ -117,3 +117,16 @@ def test_numpy_and_jvm_fingerprints_agree(spark):
     runs_a = sorted(map(tuple, C.clone_runs(a, k=k).collect()))
     runs_b = sorted(map(tuple, C.clone_runs(b, k=k).collect()))
     assert runs_a == runs_b
+
+
+def test_classify_equals_semi_joins(spark):
+    dups = spark.createDataFrame([(1, "p", 1, 5, "a"), (2, "p", 1, 5, "b"), (3, "p", 1, 5, "c"), (4, "p", 1, 5, "d")],
+                                 "dup_id long, project string, lines int, tokens int, code string")
+    occs = spark.createDataFrame([(1, "A", 1), (1, "A", 2), (2, "A", 1), (2, "B", 1), (3, "A", 1), (3, "A", 5),
+                                  (3, "B", 2)], "dup_id long, path string, line int")
+    flags = {r["dup_id"]: (r["same_file"], r["across_file"]) for r in C.classify_duplications(dups, occs).collect()}
+    same = {r["dup_id"] for r in C.same_file_duplications(dups, occs).collect()}
+    across = {r["dup_id"] for r in C.across_file_duplications(dups, occs).collect()}
+    assert {d for d, f in flags.items() if f[0]} == same == {1, 3}
+    assert {d for d, f in flags.items() if f[1]} == across == {2, 3}
+    assert flags[4] == (False, False)
