@@ -72,7 +72,11 @@ def violations_from_xml_rows(raw: DataFrame, report_set: str = "main") -> DataFr
     """
     v = raw.select(F.col("_name").alias("file"), "report", F.explode("violation").alias("v"))
     name = F.substring_index("report", "/", -1)
+    # surrogate id = hash of the violation's natural key (stable across runs, no counter)
+    vid = F.xxhash64(F.lit(report_set), "report", "file", "v._beginline", "v._endline", "v._begincolumn",
+                     "v._endcolumn", "v._rule", "v._method", "v._variable", "v._VALUE")
     return v.select(
+        vid.alias("violation_id"),
         F.lit(report_set).alias("report_set"), id_from_name(name).alias("project_id"), "file",
         F.col("v._beginline").alias("begin_line"), F.col("v._endline").alias("end_line"),
         F.col("v._begincolumn").alias("begin_column"), F.col("v._endcolumn").alias("end_column"),
@@ -125,17 +129,17 @@ def projects_without_reports(projects: DataFrame, reports: DataFrame) -> DataFra
 
 
 def size_values(violations: DataFrame) -> DataFrame:
-    """(project_id, file, rule, method, value, max) from size-rule messages (EXP1)."""
+    """(violation_id, project_id, file, rule, class, method, value, max) from size-rule messages (EXP1)."""
     from quarry.functions.messages import value_and_max
 
     m = violations.withColumn("_m", value_and_max("message")).filter(F.col("_m").isNotNull())
-    return m.select("project_id", "file", "rule", "class", "method",
+    return m.select("violation_id", "project_id", "file", "rule", "class", "method",
                     F.col("_m.value").alias("value"), F.col("_m.max").alias("max"))
 
 
 def godclass_values(violations: DataFrame, rule: str = "GodClass") -> DataFrame:
-    """(project_id, file, class, wmc, atfd, tcc) of god-class violations (EXP2)."""
+    """(violation_id, project_id, file, class, wmc, atfd, tcc) of god-class violations (EXP2)."""
     from quarry.functions.messages import godclass_triple
 
     g = violations.filter(F.col("rule") == rule).withColumn("_t", godclass_triple("message"))
-    return g.select("project_id", "file", "class", "_t.wmc", "_t.atfd", "_t.tcc")
+    return g.select("violation_id", "project_id", "file", "class", "_t.wmc", "_t.atfd", "_t.tcc")

@@ -154,3 +154,11 @@ def test_issue_json_and_links(spark):
                    (2, 1, "http://www.example.org/scenarios/99")]
     seeds = W.page_seeds(spark, "http://x/list", 1, 4).collect()
     assert [r["url"] for r in seeds] == ["http://x/list?page=1", "http://x/list?page=2", "http://x/list?page=3"]
+
+
+def test_violation_ids_are_stable_and_unique(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "pmd2")
+    write(f"{root}/codesize/7.xml", VIOL_XML)
+    a = sorted(r["violation_id"] for r in R.read_violation_reports(spark, root).collect())
+    b = sorted(r["violation_id"] for r in R.read_violation_reports(spark, root).collect())
+    assert a == b and len(set(a)) == 3
