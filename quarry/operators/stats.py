@@ -89,9 +89,8 @@ def five_number(df: DataFrame, value_col: str, keys: Sequence[str] = (),
         if keys:
             n_tab = upto.groupBy(*keys).agg(F.max("_upto").alias("_n"))
             upto = upto.join(n_tab, keys)
-        else:
-            upto = upto.withColumn("_k", F.lit(0)).join(
-                upto.agg(F.max("_upto").alias("_n")).withColumn("_k", F.lit(0)), "_k").drop("_k")
+        else:  # one group: n is a scalar subquery, no join
+            upto = upto.withColumn("_n", hist.select(F.sum("_c")).scalar())
         ranked = upto.withColumn("_before", F.col("_upto") - F.col("_c"))
     elif method == "window":
         by_key = Window.partitionBy(*keys) if keys else Window.partitionBy()
@@ -163,10 +162,9 @@ def pareto_share(df: DataFrame, value_col: str, share: float = 0.2,
             .agg(F.count(F.lit(1)).alias("_c")))
     hist = hist.withColumn("_s", F.col("_v") * F.col("_c"))
     ranked = running_sum(hist, [], ["_v"], "_s", out="_upto", method=method)
-    totals = hist.agg(F.sum("_s").alias("_total"), F.sum("_c").alias("_entities"))
-    # one-row totals joined on a constant key (an equi-join, not a cross join)
-    ranked = (ranked.withColumn("_one", F.lit(1))
-              .join(F.broadcast(totals.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    # the two totals are scalar subqueries: computed once, no join
+    ranked = (ranked.withColumn("_total", hist.select(F.sum("_s")).scalar())
+              .withColumn("_entities", hist.select(F.sum("_c")).scalar())
               .withColumn("_before", F.col("_upto") - F.col("_s")))
     limit = F.floor(F.lit(float(share)) * F.col("_total")).cast("long")
     fit = (F.when(F.col("_before") > limit, F.lit(0))
