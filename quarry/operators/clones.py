@@ -205,7 +205,9 @@ def clone_runs(fps: DataFrame, k: int = 20, min_occurrences: int = 2) -> DataFra
     # fps feeds both the repeat count and the occurrence filter; keep it while the
     # successor step runs (it checkpoints eagerly, after which fps is not needed)
     fps = fps.persist(StorageLevel.MEMORY_AND_DISK)
-    rep = repeated_kgrams(fps, min_occurrences).select("project", "h1", "h2")
+    # only the keys of repeated k-grams are needed here: one partially aggregated count
+    rep = (fps.groupBy("project", "h1", "h2").agg(F.count(F.lit(1)).alias("_n"))
+           .filter(F.col("_n") >= min_occurrences).select("project", "h1", "h2"))
     occ = fps.join(rep, ["project", "h1", "h2"], "left_semi")
     try:
         chained = next_in_order(occ, keys=["project", "h1", "h2"], order=["doc", "pos"],
