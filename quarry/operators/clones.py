@@ -22,7 +22,6 @@ occurrence only.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,18 +201,14 @@ def clone_runs(fps: DataFrame, k: int = 20, min_occurrences: int = 2) -> DataFra
     Output: (project, doc, start, other_doc, other_start, n_kgrams, tokens,
     first_line, last_line, lines); tokens = n_kgrams + k - 1.
     """
-    # fps feeds both the repeat count and the occurrence filter; keep it while the
-    # successor step runs (it checkpoints eagerly, after which fps is not needed)
-    fps = fps.persist(StorageLevel.MEMORY_AND_DISK)
-    # only the keys of repeated k-grams are needed here: one partially aggregated count
+    # Only the keys of repeated k-grams are needed: one partially aggregated count.
+    # fps feeds the count and the filter; recomputing it (one pass over the texts)
+    # measured faster than caching every position.
     rep = (fps.groupBy("project", "h1", "h2").agg(F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_n") >= min_occurrences).select("project", "h1", "h2"))
     occ = fps.join(rep, ["project", "h1", "h2"], "left_semi")
-    try:
-        chained = next_in_order(occ, keys=["project", "h1", "h2"], order=["doc", "pos"],
-                                carry=["doc", "pos", "first_line"], prefix="next_")
-    finally:
-        fps.unpersist()
+    chained = next_in_order(occ, keys=["project", "h1", "h2"], order=["doc", "pos"],
+                            carry=["doc", "pos", "first_line"], prefix="next_")
     pairs = chained.filter(F.col("next_doc").isNotNull()).withColumn(
         "_delta", F.col("next_pos") - F.col("pos"))
     diag = Window.partitionBy("project", "doc", "next_doc", "_delta").orderBy("pos")
