@@ -153,8 +153,20 @@ def kgram_fingerprints(docs: DataFrame, project_col: str, doc_col: str, text_col
     return base.select("project", "doc", F.inline(grams))
 
 
+def repeated_keys(fps: DataFrame, min_occurrences: int = 2) -> DataFrame:
+    """(project, h1, h2) of k-grams occurring at least ``min_occurrences`` times
+    (one partially aggregated count)."""
+    return (fps.groupBy("project", "h1", "h2").agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") >= min_occurrences).select("project", "h1", "h2"))
+
+
 def repeated_kgrams(fps: DataFrame, min_occurrences: int = 2) -> DataFrame:
-    """(project, h1, h2, n_occ, n_docs, first_doc, first_pos) of repeated k-grams."""
+    """(project, h1, h2, n_occ, n_docs, first_doc, first_pos) of repeated k-grams.
+
+    Two partially aggregated ``groupBy``s over all positions (per document, then
+    per key). Filtering positions by ``repeated_keys`` first was measured slower:
+    it needs the fingerprints twice.
+    """
     per_doc = fps.groupBy("project", "h1", "h2", "doc").agg(
         F.count(F.lit(1)).alias("_c"), F.min("pos").alias("_p"))
     rep = per_doc.groupBy("project", "h1", "h2").agg(
@@ -204,9 +216,7 @@ def clone_runs(fps: DataFrame, k: int = 20, min_occurrences: int = 2) -> DataFra
     # Only the keys of repeated k-grams are needed: one partially aggregated count.
     # fps feeds the count and the filter; recomputing it (one pass over the texts)
     # measured faster than caching every position.
-    rep = (fps.groupBy("project", "h1", "h2").agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") >= min_occurrences).select("project", "h1", "h2"))
-    occ = fps.join(rep, ["project", "h1", "h2"], "left_semi")
+    occ = fps.join(repeated_keys(fps, min_occurrences), ["project", "h1", "h2"], "left_semi")
     chained = next_in_order(occ, keys=["project", "h1", "h2"], order=["doc", "pos"],
                             carry=["doc", "pos", "first_line"], prefix="next_")
     pairs = chained.filter(F.col("next_doc").isNotNull()).withColumn(
