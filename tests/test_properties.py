@@ -34,3 +34,26 @@ def test_pareto_matches_row_level(spark, xs, share):
         if run <= math.floor(share * total):
             n, cov = n + 1, cov + v
     assert (r["n_entities"], r["covered"]) == (n, cov)
+
+
+words = st.sampled_from(["a", "b", "c", "Ab", "x1"])
+doc_text = st.lists(st.lists(words, min_size=0, max_size=6).map(" ".join), min_size=1, max_size=4).map("\n".join)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(texts=st.lists(doc_text, min_size=1, max_size=5))
+def test_clones_match_brute_force(spark, texts):
+    from quarry.operators import clones as C
+    from tests.test_clones import _brute_kgrams, _brute_runs
+
+    k = 3
+    docs = [("p" if i % 2 else "q", i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, "project string, doc long, text string")
+    got = {(r["project"], r["kgram"]): (r["n_occ"], r["n_docs"])
+           for r in C.token_clones(df, "project", "doc", "text", k=k).collect()}
+    brute = _brute_kgrams(docs, k)
+    assert got == {key: (len(v), len({d for d, _ in v})) for key, v in brute.items()}
+    fps = C.kgram_fingerprints(df, "project", "doc", "text", k)
+    runs = sorted(tuple(r) for r in C.clone_runs(fps, k=k).select(
+        "project", "doc", "start", "other_doc", "other_start", "n_kgrams").collect())
+    assert runs == _brute_runs(docs, k)
