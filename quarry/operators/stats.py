@@ -60,8 +60,9 @@ def five_number(df: DataFrame, value_col: str, keys: Sequence[str] = (),
     """Exact ``n, mean, min, q1, median, q3, max`` of ``value_col`` per ``keys``.
 
     ``rule="reference"`` reproduces the reference's rank rule (see
-    ``_rank_positions``); ``rule="linear"`` gives the interpolated quartiles of
-    Spark's exact ``percentile``. Keys with no rows produce no output row.
+    ``_rank_positions``); ``rule="linear"`` (alias ``"standard"``) gives the
+    interpolated quartiles of Spark's exact ``percentile``. Keys with no rows
+    produce no output row.
 
     ``method`` chooses how the running count over the per-key value histogram
     is computed: ``"window"`` (one task per key over its distinct values - right
@@ -71,7 +72,7 @@ def five_number(df: DataFrame, value_col: str, keys: Sequence[str] = (),
     """
     keys = list(keys)
     v = F.col(value_col)
-    if rule == "linear":
+    if rule in ("linear", "standard"):
         pct = F.percentile(v.cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         return (df.filter(v.isNotNull()).groupBy(*keys)
                 .agg(F.count(F.lit(1)).alias("n"), F.avg(v.cast("double")).alias("mean"),
