@@ -175,3 +175,35 @@ def test_record_is_not_a_class():
     assert ok
     kinds = sorted(r["kind"] for r in rows)
     assert kinds == ["method", "record"]
+
+
+def test_more_java_constructs():
+    src = r'''
+    @Retention(RUNTIME) @interface Tag { String value() default "x"; int[] ids() default {1, 2}; }
+    interface Walker { default void walk(int n) { switch (n) { case 1: break; default: stop(); } } void stop(); }
+    @SuppressWarnings({"a", "b"})
+    public final class Box<K extends Comparable<K>, V> implements Walker {
+        private Runnable r = () -> { int inner = 1; };
+        static java.util.Comparator<String> C = new java.util.Comparator<>() {
+            public int compare(String a, String b) { return a.compareTo(b); }
+        };
+        public void stop() {}
+        public <T extends Number> T[] many(@Deprecated T first, T... rest) { return rest; }
+        char q = '\'';
+        String s = "\"{}";
+        { System.out.println("init"); }
+    }
+    '''
+    ok, rows = J.scan_source(src)
+    assert ok
+    by = lambda k: sorted(r["name"] for r in rows if r["kind"] == k)
+    assert by("annotation") == ["Tag"] and by("annotation_member") == ["ids", "value"]
+    assert by("interface") == ["Walker"] and by("class") == ["Box"]
+    methods = {r["name"]: r for r in rows if r["kind"] == "method"}
+    assert set(methods) == {"walk", "stop", "compare", "many"}
+    assert methods["many"]["n_params"] == 2 and methods["many"]["n_type_params"] == 1
+    assert "default" in methods["walk"]["modifiers"]
+    assert methods["compare"]["top_level_member"] is False         # anonymous class member
+    box = [r for r in rows if r["kind"] == "class"][0]
+    assert box["n_type_params"] == 2 and box["implements"] == ["Walker"]
+    assert sorted(r["name"] for r in rows if r["kind"] == "field") == ["C", "q", "r", "s"]
