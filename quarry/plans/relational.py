@@ -6,7 +6,7 @@ file = order, violation = lineitem, rule dimension = event type / part type.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
@@ -181,28 +181,34 @@ v AS (
 
 
 def summary_long(spark: SparkSession, sf: str) -> DataFrame:
-    """All summary metrics as one long (metric_group, ord, name, value) frame."""
+    """All summary metrics as one long (metric_group, ord, name, value) frame.
+
+    Tables feeding several metrics are scanned once: each row emits one
+    (metric, value) row per metric through ``inline``.
+    """
     li = table(spark, sf, "lineitem")
     docs = table(spark, sf, "documents")
 
-    def m(group: str, ord_: int, name: str, df: DataFrame, value) -> DataFrame:
-        return df.select(F.lit(group).alias("metric_group"), F.lit(ord_).alias("ord"),
-                         F.lit(name).alias("name"), value.cast("double").alias("value"))
+    def metric(group: str, ord_: int, name: str, value) -> Column:
+        return F.struct(F.lit(group).alias("metric_group"), F.lit(ord_).alias("ord"),
+                        F.lit(name).alias("name"), value.cast("double").alias("value"))
+
+    def rows(df: DataFrame, *metrics: Column) -> DataFrame:
+        return df.select(F.inline(F.array(*metrics)))
 
     per_order = li.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").cast("long").alias("qty"))
     per_cust = table(spark, sf, "orders").groupBy("o_custkey").agg(
         F.count(F.lit(1)).alias("n_orders"))
-    n_lines = T.line_count("text")
     parts = [
-        m("Size", 1, "Lines per order", per_order, F.col("n_lines")),
-        m("Size", 2, "Quantity per order", per_order, F.col("qty")),
-        m("Size", 3, "Orders per customer", per_cust, F.col("n_orders")),
-        m("Size", 4, "Document size (KB)", docs, F.expr("n_chars div 1024")),
-        m("Size", 5, "Lines per document", docs, n_lines),
-        m("Value", 1, "Customer balance", table(spark, sf, "customer"), F.col("c_acctbal")),
-        m("Value", 2, "Part size", table(spark, sf, "part"), F.col("p_size")),
-        m("Value", 3, "Supplier balance", table(spark, sf, "supplier"), F.col("s_acctbal")),
+        rows(per_order, metric("Size", 1, "Lines per order", F.col("n_lines")),
+             metric("Size", 2, "Quantity per order", F.col("qty"))),
+        rows(per_cust, metric("Size", 3, "Orders per customer", F.col("n_orders"))),
+        rows(docs, metric("Size", 4, "Document size (KB)", F.expr("n_chars div 1024")),
+             metric("Size", 5, "Lines per document", T.line_count("text"))),
+        rows(table(spark, sf, "customer"), metric("Value", 1, "Customer balance", F.col("c_acctbal"))),
+        rows(table(spark, sf, "part"), metric("Value", 2, "Part size", F.col("p_size"))),
+        rows(table(spark, sf, "supplier"), metric("Value", 3, "Supplier balance", F.col("s_acctbal"))),
     ]
     out = parts[0]
     for p in parts[1:]:
