@@ -130,3 +130,17 @@ def test_classify_equals_semi_joins(spark):
     assert {d for d, f in flags.items() if f[0]} == same == {1, 3}
     assert {d for d, f in flags.items() if f[1]} == across == {2, 3}
     assert flags[4] == (False, False)
+
+
+def test_successor_with_coalesced_range_partitions(spark):
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        rows = [("hot" if i % 4 else f"k{i % 9}", i // 7, i) for i in range(2000)]
+        df = spark.createDataFrame(rows, "key string, doc long, pos long")
+        a = next_in_order(df, ["key"], ["doc", "pos"], ["pos"])
+        b = next_in_order(df, ["key"], ["doc", "pos"], ["pos"], method="window")
+        cols = ["key", "doc", "pos", "next_pos"]
+        assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
