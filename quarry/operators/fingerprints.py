@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 # Odd multipliers of the two fingerprints (any odd 64-bit constants work).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 TOKEN_SEEDS = (0, 0x5151)
+# Positions buffered before a pandas frame is handed back to Spark (memory bound).
+MAX_ROWS_PER_OUTPUT = 1_000_000
 
 
 def _token_hasher():
@@ -52,8 +54,14 @@ def _batches(k: int):
 
         tok = re.compile(r"[a-z0-9]+")
         hasher = _token_hasher()
+        names = ("project", "doc", "pos", "h1", "h2", "first_line", "last_line")
+
+        def flush(cols):
+            return pd.DataFrame({c: np.concatenate(v) for c, v in cols.items()})
+
         for pdf in batches:
-            cols = {c: [] for c in ("project", "doc", "pos", "h1", "h2", "first_line", "last_line")}
+            cols = {c: [] for c in names}
+            pending = 0
             for proj, doc, text in zip(pdf["project"], pdf["doc"], pdf["text"]):
                 if text is None:
                     continue
@@ -75,8 +83,13 @@ def _batches(k: int):
                 cols["last_line"].append(line[k - 1:])
                 cols["project"].append(np.full(m, proj, dtype=object))
                 cols["doc"].append(np.full(m, doc, dtype=np.int64))
+                pending += m
+                if pending >= MAX_ROWS_PER_OUTPUT:  # output is ~8x the text: flush early
+                    yield flush(cols)
+                    cols = {c: [] for c in names}
+                    pending = 0
             if cols["pos"]:
-                yield pd.DataFrame({c: np.concatenate(v) for c, v in cols.items()})
+                yield flush(cols)
 
     return fn
 
