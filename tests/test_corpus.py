@@ -82,3 +82,33 @@ def test_reference_queries_on_disk_corpus(spark, tmp_dir):
         spark.createDataFrame([(9,), (4,)], "sloc int"),
         Q.class_complexity(v).select("value"), per_method.select(F.col("complexity").alias("value")))
     assert table.count() == 21
+
+
+def test_pipeline_end_to_end(spark, tmp_dir):
+    import io
+    import zipfile
+
+    from quarry.plans import pipeline as P
+
+    root = os.path.join(tmp_dir, "corpus")
+    write(f"{root}/1/A.java", "class A extends Actor { private int x; void f() { if (a) b(); } }")
+    write(f"{root}/2/B.java", "class B { void g() { h(); } }")
+    arch = os.path.join(tmp_dir, "archives")
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("A.java", "class A {}")
+    write(f"{arch}/1.gfar", buf.getvalue(), "wb")
+    write(f"{tmp_dir}/pmd/unused/1.xml", PMD_MAIN)
+    write(f"{tmp_dir}/pmdmin/size/2.xml", PMD_MIN)
+    write(f"{tmp_dir}/cpd/1.xml", CLONE_XML)
+    write(f"{tmp_dir}/sloc/1.txt", "SLOC\n12 java=12\n")
+    write(f"{tmp_dir}/sloc/2.txt", "SLOC\n5 java=5\n")
+    write(f"{tmp_dir}/fsloc/1/A.txt", "SLOC\n7 java=7\n")
+    t = P.analyse_corpus(spark, root, arch, f"{tmp_dir}/cpd", f"{tmp_dir}/pmd", f"{tmp_dir}/pmdmin",
+                         f"{tmp_dir}/sloc", f"{tmp_dir}/fsloc")
+    assert t["statistics_table"].count() == 21
+    sizes = {r["project_id"]: r["package_size"] for r in t["project_sizes"].collect()}
+    assert sizes[2] == 0 and sizes[1] > 0
+    out = os.path.join(tmp_dir, "store")
+    P.write_all({k: t[k] for k in ("project_stats", "violations", "duplications")}, out)
+    assert spark.read.parquet(f"{out}/violations").count() == 5
