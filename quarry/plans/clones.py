@@ -131,11 +131,12 @@ def _run_model(spark: SparkSession, sf: str):
 
 def _run_hist(spark: SparkSession, sf: str, by: str) -> DataFrame:
     dups, occs = _run_model(spark, sf)
-    same = C.clone_histogram(C.same_file_duplications(dups, occs), by, "dup_count")
-    across = C.clone_histogram(C.across_file_duplications(dups, occs), by, "dup_count")
-    return same.select(F.lit("same_file").alias("kind"), F.col(by).cast("long").alias(by), "dup_count") \
-        .unionByName(across.select(F.lit("across_file").alias("kind"), F.col(by).cast("long").alias(by),
-                                   "dup_count"))
+    flagged = C.classify_duplications(dups, occs)  # both kinds from one per-path aggregation
+    kinds = flagged.select(by, F.explode(F.filter(F.array(
+        F.when(F.col("same_file"), F.lit("same_file")),
+        F.when(F.col("across_file"), F.lit("across_file"))), lambda x: x.isNotNull())).alias("kind"))
+    return kinds.groupBy("kind", F.col(by).cast("long").alias(by)).agg(
+        F.count(F.lit(1)).alias("dup_count"))
 
 
 RUN_HIST_SQL = """
