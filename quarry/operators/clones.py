@@ -22,6 +22,7 @@ occurrence only.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,8 +221,15 @@ def clone_runs(fps: DataFrame, k: int = 20, min_occurrences: int = 2) -> DataFra
     # fps feeds the count and the filter; recomputing it (one pass over the texts)
     # measured faster than caching every position.
     occ = fps.join(repeated_keys(fps, min_occurrences), ["project", "h1", "h2"], "left_semi")
-    chained = next_in_order(occ, keys=["project", "h1", "h2"], order=["doc", "pos"],
-                            carry=["doc", "pos", "first_line"], prefix="next_")
+    # The range step samples its input before shuffling it; keeping the (small)
+    # repeated positions avoids recomputing the fingerprints for the sample. The
+    # successor checkpoints eagerly, after which occ is no longer read.
+    occ = occ.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        chained = next_in_order(occ, keys=["project", "h1", "h2"], order=["doc", "pos"],
+                                carry=["doc", "pos", "first_line"], prefix="next_")
+    finally:
+        occ.unpersist()
     pairs = chained.filter(F.col("next_doc").isNotNull()).withColumn(
         "_delta", F.col("next_pos") - F.col("pos"))
     diag = Window.partitionBy("project", "doc", "next_doc", "_delta").orderBy("pos")
