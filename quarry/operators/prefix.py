@@ -24,6 +24,21 @@ from pyspark.sql import types as Ty
 from quarry.session import ensure_checkpoint_dir
 
 
+def sorted_partitions_map(df: DataFrame, sort_cols: Sequence[str], fn, schema,
+                          num_partitions: int | None = None) -> DataFrame:
+    """Range-partition and sort ``df`` on ``sort_cols``, run ``fn`` over each sorted
+    partition (``mapInPandas``; ``fn`` may read ``TaskContext.partitionId()``), and
+    checkpoint the result to the shared folder so partition numbers stay fixed for
+    every later read. Without ``num_partitions`` AQE may coalesce small range
+    partitions; they stay contiguous ranges, so partition order follows the sort.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    cols = list(sort_cols)
+    ranged = (df.repartitionByRange(num_partitions, *cols) if num_partitions
+              else df.repartitionByRange(*cols)).sortWithinPartitions(*cols)
+    return ranged.mapInPandas(fn, schema).checkpoint(eager=True)
+
+
 def _local_cumsum(keys: list[str], value: str, out: str):
     def fn(batches):
         from pyspark import TaskContext
@@ -70,14 +85,12 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
             w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     if method != "range":
         raise ValueError(method)
-    ensure_checkpoint_dir(df.sparkSession)
     if not keys:
         df = df.withColumn("_k0", F.lit(0))
         keys = ["_k0"]
     schema = Ty.StructType(list(df.schema.fields) + [
         Ty.StructField(out, Ty.LongType(), False), Ty.StructField("_pid", Ty.IntegerType(), False)])
-    ranged = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    mapped = ranged.mapInPandas(_local_cumsum(keys, value, out), schema).checkpoint(eager=True)
+    mapped = sorted_partitions_map(df, keys + order, _local_cumsum(keys, value, out), schema)
     tot = mapped.groupBy(*keys, "_pid").agg(F.sum(value).alias("_ptot"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.withColumn("_off", F.coalesce(F.sum("_ptot").over(before), F.lit(0))).drop("_ptot")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from quarry.session import ensure_checkpoint_dir
+from quarry.operators.prefix import sorted_partitions_map
 
 _INT_TYPES = (Ty.ByteType, Ty.ShortType, Ty.IntegerType, Ty.LongType)
 
@@ -105,8 +105,6 @@ def next_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     if method != "range":
         raise ValueError(method)
 
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     fields = {f.name: f for f in df.schema.fields}
     int_carry = {c for c in carry if isinstance(fields[c].dataType, _INT_TYPES)}
     out_schema = Ty.StructType(
@@ -115,12 +113,8 @@ def next_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str],
            for c in carry]
         + [Ty.StructField("_kind", Ty.StringType(), False),
            Ty.StructField("_pid", Ty.IntegerType(), False)])
-    # Without an explicit count AQE may coalesce small range partitions; they stay
-    # contiguous ranges, so partition order still follows (keys, order).
-    ranged = (df.repartitionByRange(num_partitions, *keys, *order) if num_partitions
-              else df.repartitionByRange(*keys, *order)).sortWithinPartitions(*keys, *order)
-    mapped = ranged.mapInPandas(_successor_fn(keys, carry, prefix, int_carry), out_schema)
-    mapped = mapped.checkpoint(eager=True)
+    mapped = sorted_partitions_map(df, keys + order, _successor_fn(keys, carry, prefix, int_carry),
+                                   out_schema, num_partitions)
 
     heads = mapped.filter(F.col("_kind") == "head").select(
         F.col("_pid").alias("_hpid"), *[F.col(k).alias("_hk_" + k) for k in keys],
