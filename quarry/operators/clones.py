@@ -234,15 +234,42 @@ def clone_runs(fps: DataFrame, k: int = 20, min_occurrences: int = 2) -> DataFra
         "_delta", F.col("next_pos") - F.col("pos"))
     diag = Window.partitionBy("project", "doc", "next_doc", "_delta").orderBy("pos")
     islands = pairs.withColumn("_island", F.col("pos") - F.row_number().over(diag))
+    # content: the run's k-gram fingerprints in order (a list no longer than one document)
+    seq = F.array_sort(F.collect_list(F.struct("pos", "h1", "h2")))
     runs = islands.groupBy("project", "doc", "next_doc", "_delta", "_island").agg(
         F.min("pos").alias("start"), F.count(F.lit(1)).alias("n_kgrams"),
         F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"),
-        F.min("next_first_line").alias("other_first_line"))
+        F.min("next_first_line").alias("other_first_line"), seq.alias("_seq"))
+    content = F.transform("_seq", lambda x: F.struct(x["h1"], x["h2"]))
     return runs.select(
         "project", "doc", "start", F.col("next_doc").alias("other_doc"),
         (F.col("start") + F.col("_delta")).alias("other_start"), "n_kgrams",
         (F.col("n_kgrams") + k - 1).alias("tokens"), "first_line", "last_line",
-        (F.col("last_line") - F.col("first_line") + 1).alias("lines"), "other_first_line")
+        (F.col("last_line") - F.col("first_line") + 1).alias("lines"), "other_first_line",
+        F.xxhash64(content).alias("content_h1"), F.xxhash64(F.lit(FP_SEED), content).alias("content_h2"))
+
+
+def grouped_duplications(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clone-report model of the runs: one duplication per distinct fragment.
+
+    Runs with the same content (same k-gram fingerprint sequence) in a project
+    are one duplication; its occurrences are the distinct (document, start)
+    ends of those runs, so a fragment copied into n places is one duplication
+    with n occurrences (chaining links them pairwise). Lines come from the
+    duplication's first occurrence.
+    """
+    key = ["project", "content_h1", "content_h2", "n_kgrams"]
+    keyed = runs.withColumn("dup_id", F.xxhash64(*key))
+    ends = keyed.select("dup_id", F.col("doc").alias("path"), "start", F.col("first_line").alias("line"),
+                        "lines").unionByName(
+        keyed.select("dup_id", F.col("other_doc").alias("path"), F.col("other_start").alias("start"),
+                     F.col("other_first_line").alias("line"), F.lit(None).cast("long").alias("lines")))
+    occs = ends.groupBy("dup_id", "path", "start").agg(F.min("line").alias("line"))
+    dups = keyed.groupBy("dup_id", "project").agg(
+        F.first("tokens").alias("tokens"),
+        F.min(F.struct("doc", "start", "lines"))["lines"].alias("lines"),
+        F.lit(None).cast("string").alias("code"))
+    return dups, occs.select("dup_id", "path", "line")
 
 
 def runs_as_duplications(runs: DataFrame) -> tuple[DataFrame, DataFrame]:

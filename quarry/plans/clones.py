@@ -108,6 +108,10 @@ ch AS (SELECT *, lead(doc_id) OVER (PARTITION BY source, kgram ORDER BY doc_id,
                  lead(pos) OVER (PARTITION BY source, kgram ORDER BY doc_id, pos) AS next_pos FROM occ),
 pr AS (SELECT *, next_pos - pos AS delta FROM ch WHERE next_doc IS NOT NULL),
 isl AS (SELECT *, pos - ROW_NUMBER() OVER (PARTITION BY source, doc_id, next_doc, delta ORDER BY pos) AS island FROM pr),
+isl_runs AS (SELECT source, doc_id, next_doc, delta, island, min(pos) AS start, COUNT(*) AS n_kgrams,
+                    min(first_line) AS first_line, max(last_line) AS last_line,
+                    string_agg(kgram, '|' ORDER BY pos) AS content
+             FROM isl GROUP BY source, doc_id, next_doc, delta, island),
 runs AS (SELECT source AS project, doc_id AS doc, CAST(min(pos) AS BIGINT) AS start, next_doc AS other_doc,
        CAST(min(pos) + delta AS BIGINT) AS other_start, CAST(COUNT(*) AS BIGINT) AS n_kgrams,
        CAST(COUNT(*) + {K - 1} AS BIGINT) AS tokens, CAST(min(first_line) AS BIGINT) AS first_line,
@@ -155,3 +159,38 @@ def q_run_hist_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def q_run_hist_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Token clone runs as duplications: same-file / across-file histograms by lines (CLN3-CLN5)."""
     return _run_hist(spark, sf, "lines")
+
+
+
+def _dup_hist(spark: SparkSession, sf: str) -> DataFrame:
+    fps = C.kgram_fingerprints(table(spark, sf, "documents"), "source", "doc_id", "text", k=K)
+    dups, occs = C.grouped_duplications(C.clone_runs(fps, k=K))
+    flagged = C.classify_duplications(dups, occs)
+    kinds = flagged.select("tokens", "lines", F.explode(F.filter(F.array(
+        F.when(F.col("same_file"), F.lit("same_file")),
+        F.when(F.col("across_file"), F.lit("across_file"))), lambda x: x.isNotNull())).alias("kind"))
+    by_measure = kinds.select("kind", F.inline(F.array(
+        F.struct(F.lit("tokens").alias("measure"), F.col("tokens").cast("long").alias("size")),
+        F.struct(F.lit("lines").alias("measure"), F.col("lines").cast("long").alias("size")))))
+    return by_measure.groupBy("kind", "measure", "size").agg(F.count(F.lit(1)).alias("dup_count"))
+
+
+@register("q_dup_hist", "WITH " + RUNS_SQL + """,
+dg AS (SELECT r.*, dense_rank() OVER (ORDER BY source, content, n_kgrams) AS dup FROM isl_runs r),
+dends AS (SELECT dup, doc_id AS path, start, first_line AS line FROM dg
+         UNION ALL SELECT dup, next_doc, start + delta, NULL FROM dg),
+docc AS (SELECT dup, path, start FROM dends GROUP BY dup, path, start),
+dpp AS (SELECT dup, path, COUNT(*) AS k FROM docc GROUP BY dup, path),
+dfl AS (SELECT dup, max(k) > 1 AS same_file, min(k) <= 1 AS across_file FROM dpp GROUP BY dup),
+dd AS (SELECT dup, min(n_kgrams) + """ + str(K - 1) + """ AS tokens,
+             arg_min(last_line - first_line + 1, doc_id * 1000000000 + start) AS lines FROM dg GROUP BY dup),
+dk AS (SELECT 'same_file' AS kind, dd.* FROM dd JOIN dfl USING (dup) WHERE same_file
+      UNION ALL SELECT 'across_file', dd.* FROM dd JOIN dfl USING (dup) WHERE across_file)
+SELECT kind, 'tokens' AS measure, CAST(tokens AS BIGINT) AS size, CAST(COUNT(*) AS BIGINT) AS dup_count
+FROM dk GROUP BY kind, tokens
+UNION ALL
+SELECT kind, 'lines', CAST(lines AS BIGINT), CAST(COUNT(*) AS BIGINT) FROM dk GROUP BY kind, lines""")
+def q_dup_hist(spark: SparkSession, sf: str) -> DataFrame:
+    """Token clones as a clone report (one duplication per distinct fragment, all its
+    occurrences): same-file / across-file histograms by tokens and by lines (CLN2-CLN5)."""
+    return _dup_hist(spark, sf)
