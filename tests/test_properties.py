@@ -57,3 +57,22 @@ def test_clones_match_brute_force(spark, texts):
     runs = sorted(tuple(r) for r in C.clone_runs(fps, k=k).select(
         "project", "doc", "start", "other_doc", "other_start", "n_kgrams").collect())
     assert runs == _brute_runs(docs, k)
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(st.tuples(st.sampled_from(["a", "b", "c"]), st.integers(0, 2), st.integers(0, 50),
+                               st.integers(1, 9)), min_size=1, max_size=80, unique_by=lambda r: r[:3]),
+       parts=st.integers(1, 6))
+def test_range_operators_equal_windows(spark, rows, parts):
+    from quarry.operators.prefix import running_sum
+    from quarry.operators.successor import next_in_order
+
+    df = spark.createDataFrame(rows, "k1 string, k2 int, o long, v long")
+    a = next_in_order(df, ["k1", "k2"], ["o"], ["o", "v"], num_partitions=parts)
+    b = next_in_order(df, ["k1", "k2"], ["o"], ["o", "v"], method="window")
+    cols = ["k1", "k2", "o", "next_o", "next_v"]
+    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+    c = running_sum(df, ["k1", "k2"], ["o"], "v")
+    d = running_sum(df, ["k1", "k2"], ["o"], "v", method="window")
+    cols = ["k1", "k2", "o", "running"]
+    assert sorted(map(tuple, c.select(cols).collect())) == sorted(map(tuple, d.select(cols).collect()))
