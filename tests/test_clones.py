@@ -161,3 +161,22 @@ def test_grouped_duplications_one_per_fragment(spark):
     assert got == [(1, 1), (2, 1), (3, 1), (3, 2)]
     flags = C.classify_duplications(dups, occs).collect()[0]
     assert flags["same_file"] and flags["across_file"]
+
+
+def test_rolling_fingerprint_math():
+    import numpy as np
+
+    from quarry.operators.fingerprints import BASES, _fingerprints
+
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 2**63, size=50, dtype=np.int64).astype(np.uint64)
+    k, base = 7, BASES[0]
+    got = _fingerprints(h, k, base)
+    mask = (1 << 64) - 1
+    want = []
+    for i in range(len(h) - k + 1):
+        acc = 0
+        for j in range(k):
+            acc = (acc + int(h[i + j]) * pow(base, j, 1 << 64)) & mask
+        want.append(acc - (1 << 64) if acc >= 1 << 63 else acc)
+    assert got.tolist() == want
