@@ -197,3 +197,11 @@ def latex_rows(summary_df: DataFrame, group_col: str = "metric_group",
     line = F.concat_ws(" & ", F.concat(F.lit(" "), label), F.col(name_col),
                        *[F.coalesce(c, F.lit("")) for c in cells])
     return summary_df.select(group_col, ord_col, F.concat(line, F.lit(" \\\\ ")).alias("line"))
+
+
+def share_text(n: Column, total: Column, digits: int = 2) -> Column:
+    """EXP12 display: ``"n (p) of N"`` with p = 100 n / N rounded to ``digits`` decimals and
+    shown without trailing zeros (e.g. ``"1988 (33.3) of 5968"``); NULL share when N is 0."""
+    pct = F.round(F.try_divide(F.lit(100.0) * n, total), digits)
+    return F.concat(n.cast("string"), F.lit(" ("), F.coalesce(pct.cast("string"), F.lit("")),
+                    F.lit(") of "), total.cast("string"))

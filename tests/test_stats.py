@@ -155,3 +155,9 @@ def test_pareto_and_dense_ids_range_equal_window(spark):
     x = sorted(map(tuple, rel.first_seen_ids(ev, "t", "eid", method="range").collect()))
     y = sorted(map(tuple, rel.first_seen_ids(ev, "t", "eid").collect()))
     assert x == y
+
+
+def test_share_text(spark):
+    df = spark.createDataFrame([(1988, 5968), (167, 5968), (3666, 5968), (0, 0)], "n long, t long")
+    got = [r["s"] for r in df.select(stats.share_text(F.col("n"), F.col("t")).alias("s")).collect()]
+    assert got == ["1988 (33.31) of 5968", "167 (2.8) of 5968", "3666 (61.43) of 5968", "0 () of 0"]
