@@ -7,8 +7,8 @@ inside sentences): a window costs its padding plus the price of cutting at its
 end (nothing at a document end, little after a sentence, more inside one). As
 padding is linear in the window's start, the cheapest start of all those in
 reach is the head of a monotone queue, so the pass is linear in the cut places.
-Windows of a power-of-two length need no padding; those few starts are looked at
-directly.
+Windows of a power-of-two length need no padding; the starts of the three largest such
+lengths below the full one are looked at directly.
 
 Each task packs the rows of its own input partition, so no text is shuffled and a
 hot source or a long document is nobody's bottleneck; only the last window of a
@@ -17,6 +17,9 @@ partition may stay part empty.
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 from collections import deque
 from collections.abc import Iterator
 
@@ -28,9 +31,13 @@ from pyspark.sql import types as Ty
 from quarry.llm.words import per_process, text_pieces
 
 #: Chunks (white-space separated) whose ids a worker remembers; tokens packed at once.
-MEMO_CHUNKS, BLOCK_TOKENS = 400_000, 1 << 20
+MEMO_CHUNKS, MEMO_BYTES, BLOCK_TOKENS = 600_000, 64, 1 << 20
 SENTENCE_COST, INNER_COST, INNER_STEP = 8, 48, 64
 _SENTENCE_ENDS = frozenset(".!?")
+_MARKS = b".,;:!?"
+_LETTERS = re.compile("[a-zß-öø-ÿ]+\\Z")
+#: Below U+0300 no character combines with another, so lower-casing first changes nothing else.
+_COMPOSABLE = re.compile("[\u0300-\U0010ffff]")
 
 
 class _Chunks(dict):
@@ -41,6 +48,7 @@ class _Chunks(dict):
     """
 
     def __init__(self, tokenizer_file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks share the cores already
         from tokenizers import Tokenizer
 
         super().__init__()
@@ -50,34 +58,58 @@ class _Chunks(dict):
         self.ends_sentence = np.zeros(max(vocab.values()) + 1, bool)
         for token, i in vocab.items():
             self.ends_sentence[i] = token.removesuffix("</w>")[-1:] in _SENTENCE_ENDS
-
-    def learn(self, chunks: set[bytes]) -> None:
-        missing = [c for c in chunks if c not in self]
-        if len(self) + len(missing) > MEMO_CHUNKS:
+        self.model, self.letters = self.tokenizer.model, {}
+        self._find_letters()
+
+    def _find_letters(self) -> None:
+        """How the tokenizer writes each lower-case letter below U+0100 for its model: a word of such letters
+        can go straight to the model. Left empty if that doesn't give this tokenizer's ids."""
+        from tokenizers import pre_tokenizers
+
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(0x61, 0x100) if _LETTERS.match(chr(c))]
+        table = {ord(c): byte_level.pre_tokenize_str(c)[0][0] for c in letters}
+        probes = letters + [a + b for a in letters for b in letters] + ["the", "straße", "élève", "mañana"]
+        if all([t.id for t in self.model.tokenize(w.translate(table))]
+               == self.tokenizer.encode(w, add_special_tokens=False).ids for w in probes):
+            self.letters = table
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if len(self) >= MEMO_CHUNKS:
             self.clear()
-            missing = list(chunks)
-        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in missing],
-                                                 add_special_tokens=False)
-        for c, e in zip(missing, found, strict=True):
-            self[c] = np.array(e.ids, "<u4").tobytes()
+        text = chunk.decode("utf-8", "replace")
+        word = chunk.rstrip(_MARKS)
+        if self.letters and _LETTERS.match(text):
+            found = [t.id for t in self.model.tokenize(text.translate(self.letters))]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        elif word and len(word) < len(chunk) and word.decode("utf-8", "replace")[-1].isalpha():
+            ids = self[word] + self[chunk[len(word):]]  # letters and marks are never in one piece
+        else:
+            found = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(chunk) <= MEMO_BYTES:
+            self[chunk] = ids
+        return ids
 
     def encode(self, text: str | None) -> np.ndarray:
         parts = []
         for piece in text_pieces(text or "", 1 << 19):
-            chunks = piece.encode("utf-8", "replace").split()
-            self.learn(set(chunks))
-            parts.append(b"".join([self[c] for c in chunks]))
+            raw = piece.encode("utf-8", "replace")
+            if not _COMPOSABLE.search(piece):
+                raw = raw.lower()  # A-Z; the tokenizer lower-cases all letters, so fewer chunks differ
+            parts.append(b"".join([self[c] for c in raw.split()]))
         return np.frombuffer(b"".join(parts), "<u4")
 
 
 def cut_windows(places: np.ndarray, costs: np.ndarray, length: int) -> list[int]:
     """The cheapest increasing chain of cut places from the first to the last, with gaps of at
-    most ``length``: padding (none where a gap is a power of two) plus the cost of each place.
+    most ``length``: padding (none where a gap is one of the three largest smaller
+    powers of two) plus the cost of each place.
     The places must include a way: no two neighbours further apart than ``length``."""
     place, price = places.tolist(), costs.tolist()
     n = len(place)
     at = {p: i for i, p in enumerate(place)}
-    powers = [1 << k for k in range(length.bit_length()) if 1 << k < length]
+    powers = [w for w in (length >> 1, length >> 2, length >> 3) if w and w & (w - 1) == 0]
     best, came = [0.0] * n, [0] * n
     queue: deque[tuple[float, int]] = deque([(place[0], 0)])  # best[i] + place[i], increasing
     for j in range(1, n):
