@@ -5,7 +5,7 @@ to bigger neighbours, then small stars to smaller ones) until each component
 is one star around its smallest node: O(log^2 n) rounds, each two partially
 aggregated minima and two joins. The minima are checkpointed before the
 join, so both join sides are plain exchanges and AQE may split the rows of a
-hot node.
+hot node; sort-merge joins keep the many small tables of the rounds off the driver.
 """
 
 from __future__ import annotations
@@ -30,11 +30,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # large star: neighbours above a node point to the smallest node it touches
         sym = e.union(e.select("v", "u"))
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).checkpoint()
-        large = (sym.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = (sym.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .distinct().checkpoint())
         # small star: a node and its smaller neighbours point to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
-        pairs = large.join(low, "u")
+        pairs = large.join(low.hint("merge"), "u")
         e = (pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
              .union(low.select("u", F.col("m").alias("v"))).distinct().checkpoint())
         now = e.agg(F.count("*"), print_of).first()

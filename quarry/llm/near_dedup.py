@@ -30,8 +30,9 @@ from quarry.session import ensure_checkpoint_dir
 
 #: Rows of a shard that are indexed in one task; centroids per split; shards a vector goes to.
 SHARD, FANOUT, OVERLAP = 1_024, 64, 2
-#: Neighbours kept per node and shard, the pruning factor, beam width, and slack of the range expansion.
-DEGREE, ALPHA, BEAM, SLACK = 16, 1.2, 16, 0.10
+#: Neighbours kept per node and shard, the pruning factor, beam width, slack of the range
+#: expansion, and strong edges followed out of a shard.
+DEGREE, ALPHA, BEAM, SLACK, HOPS = 16, 1.2, 8, 0.10, 2
 
 
 def usable(vector: Column) -> Column:
@@ -75,18 +76,18 @@ def shards(nodes: DataFrame, size: int = SHARD, fanout: int = FANOUT, overlap: i
         count = rows.groupBy("shard").agg(F.count("*").alias("rows"), F.min("vector").alias("v0"),
                                           F.max("vector").alias("v1")).checkpoint()
         large = count.where((F.col("rows") > size) & (F.col("v0") != F.col("v1"))).select("shard", "rows")
-        fits = rows.join(large, "shard", "left_anti")
+        fits = rows.join(large.hint("merge"), "shard", "left_anti")
         done = fits if done is None else done.union(fits)
         if large.isEmpty():
             return done
-        some = rows.join(large, "shard")
+        some = rows.join(large.hint("merge"), "shard")
         # `fanout` slots per shard (fewer for smaller shards); each takes the member of the smallest hash
-        slots = F.least(F.lit(fanout), F.ceil(F.col("rows") * 2 / size)).cast("int")
+        slots = F.least(F.lit(fanout), F.ceil(F.col("rows") * 2 * overlap / size)).cast("int")
         slot = F.pmod(F.hash("node", "shard"), F.greatest(slots, F.lit(2)))
         picked = some.groupBy("shard", slot.alias("slot")).agg(
             F.min_by("vector", F.xxhash64("node", "shard")).alias("vector"))
         centroids = picked.groupBy("shard").agg(F.collect_list("vector").alias("centroids")).checkpoint()
-        rows = rows.join(centroids, "shard").mapInPandas(_nearest(overlap), schema).checkpoint()
+        rows = rows.join(centroids.hint("merge"), "shard").mapInPandas(_nearest(overlap), schema).checkpoint()
 
 
 def _prune(similar: np.ndarray, degree: int, alpha: float) -> list[np.ndarray]:
@@ -109,80 +110,109 @@ def _prune(similar: np.ndarray, degree: int, alpha: float) -> list[np.ndarray]:
     return out
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard's adjacency lists; edges go both ways."""
-    ids = pdf["node"].to_numpy()
-    if len(ids) < 2:
-        return pd.DataFrame({"node": pd.Series(dtype="int64"), "near": pd.Series(dtype="int64")})
-    x = _matrix(pdf["vector"])
-    lists = _prune(x @ x.T, DEGREE, ALPHA)
-    a = np.repeat(np.arange(len(ids)), [len(v) for v in lists])
-    b = np.concatenate(lists)
-    return pd.DataFrame({"node": ids[np.concatenate([a, b])], "near": ids[np.concatenate([b, a])]})
+def _build(threshold: float):
+    """Group function: one shard's adjacency lists; edges go both ways, strong ones are within the
+    slackened threshold."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["node"].to_numpy()
+        if len(ids) < 2:
+            return pd.DataFrame({"node": pd.Series(dtype="int64"), "near": pd.Series(dtype="int64"),
+                                 "strong": pd.Series(dtype="bool")})
+        x = _matrix(pdf["vector"])
+        similar = x @ x.T
+        lists = _prune(similar, DEGREE, ALPHA)
+        a = np.repeat(np.arange(len(ids)), [len(v) for v in lists])
+        b = np.concatenate(lists)
+        strong = similar[a, b] >= threshold - SLACK
+        return pd.DataFrame({"node": ids[np.concatenate([a, b])], "near": ids[np.concatenate([b, a])],
+                             "strong": np.concatenate([strong, strong])})
+
+    return run
+
+
+def walk(similar: np.ndarray, near: np.ndarray, starts: list[np.ndarray], reach: float) -> np.ndarray:
+    """Nodes that each query's search comes to know (a row per query, a column per node): greedily, the best
+    open node of a beam of BEAM is expanded until none is open; then every known node with a similarity of at
+    least ``reach`` is, until there are no more. ``similar``: queries x nodes; ``near``: nodes x neighbours,
+    filled up with the number of nodes."""
+    q, n = similar.shape
+    values = np.concatenate([similar, np.full((q, 1), -np.inf)], axis=1)
+    known = np.zeros((q, n + 1), bool)
+    expanded = np.zeros((q, n + 1), bool)
+    beam = np.full((q, BEAM), n)
+    for r, s in enumerate(starts):
+        fresh = ~known[np.arange(q), s]
+        beam[fresh, r] = s[fresh]
+        known[np.arange(q), s] = True
+    known[:, n] = True  # the filling is never new
+    worth = values[np.arange(q)[:, None], beam]
+    is_open = beam < n
+    while True:
+        ahead = np.where(is_open, worth, -np.inf)
+        best = ahead.argmax(1)
+        rows = np.flatnonzero(ahead.max(1) > -np.inf)
+        if not len(rows):
+            break
+        node = beam[rows, best[rows]]
+        is_open[rows, best[rows]] = False
+        expanded[rows, node] = True
+        next_to = near[node]
+        next_to = np.where(known[rows[:, None], next_to], n, next_to)
+        known[rows[:, None], next_to] = True
+        ids = np.concatenate([beam[rows], next_to], axis=1)
+        both = np.concatenate([worth[rows], values[rows[:, None], next_to]], axis=1)
+        opened = np.concatenate([is_open[rows], next_to < n], axis=1)
+        top = np.argpartition(-both, BEAM - 1, axis=1)[:, :BEAM]
+        at = np.arange(len(rows))[:, None]
+        beam[rows], worth[rows], is_open[rows] = ids[at, top], both[at, top], opened[at, top]
+    while True:  # range expansion
+        rows, nodes = np.nonzero(known & ~expanded & (values >= reach))
+        if not len(rows):
+            return known[:, :n]
+        expanded[rows, nodes] = True
+        known[rows[:, None], near[nodes]] = True
 
 
 def _search(threshold: float):
-    """Group function: a home shard's nodes and the nodes next to them, with united adjacency lists ->
-    per home node its link count, and edges of a spanning forest of the links found."""
+    """Group function: a shard's nodes (and those that strong edges of its home nodes lead to), with united
+    adjacency lists -> per home node its link count, and edges of a spanning forest of the links found."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("home", ascending=False, kind="stable").drop_duplicates("node").sort_values("node")
         ids, weights = pdf["node"].to_numpy(), pdf["weight"].to_numpy()
-        home = np.flatnonzero(pdf["home"].to_numpy())
+        n, home = len(ids), np.flatnonzero(pdf["home"].to_numpy())
         x = _matrix(pdf["vector"])
-        near = []
+        lists = []
         for v in pdf["near"]:
             v = np.asarray(v if v is not None else [], np.int64)
-            at = np.searchsorted(ids, v)
-            at = at[at < len(ids)]
-            near.append(at[np.isin(ids[at], v)])
-        middle = x[home].mean(0)
-        medoid = int(home[np.argmax(x[home] @ middle)])
-        parent = np.arange(len(ids))
-
-        def root(i):
+            at = np.minimum(np.searchsorted(ids, v), n - 1)
+            lists.append(at[ids[at] == v])
+        near = np.full((n, max(1, *map(len, lists))), n)
+        for i, v in enumerate(lists):
+            near[i, :len(v)] = v
+        medoid = home[np.argmax(x[home] @ x[home].mean(0))]
+        counts, parent = [], np.arange(n)
+
+        def root(i: int) -> int:
             while parent[i] != i:
                 parent[i] = parent[parent[i]]
                 i = parent[i]
             return i
 
-        counts = []
-        for q in home:
-            seen = {int(q), medoid}
-            known = {medoid: float(x[medoid] @ x[q]), int(q): 1.0}
-            beam = dict(known)
-            closed: set[int] = set()
-            while True:  # greedy: expand the best open node of the beam
-                ahead = [i for i in beam if i not in closed]
-                if not ahead:
-                    break
-                best = max(ahead, key=beam.get)
-                closed.add(best)
-                fresh = [j for j in near[best].tolist() if j not in seen]
-                seen.update(fresh)
-                if fresh:
-                    known.update(zip(fresh, (x[fresh] @ x[q]).tolist(), strict=True))
-                    beam.update((j, known[j]) for j in fresh)
-                    if len(beam) > BEAM:
-                        beam = dict(sorted(beam.items(), key=lambda kv: -kv[1])[:BEAM])
-            todo = [i for i, s in known.items() if s >= threshold - SLACK and i not in closed]
-            while todo:  # range expansion
-                i = todo.pop()
-                closed.add(i)
-                fresh = [j for j in near[i].tolist() if j not in seen]
-                seen.update(fresh)
-                if fresh:
-                    new = (x[fresh] @ x[q]).tolist()
-                    known.update(zip(fresh, new, strict=True))
-                    todo.extend(j for j, s in zip(fresh, new, strict=True) if s >= threshold - SLACK)
-            linked = [i for i, s in known.items() if s >= threshold and i != q]
-            counts.append(int(weights[linked].sum()))
-            for i in linked:
-                a, b = root(int(q)), root(i)
+        for at in range(0, len(home), 512):
+            asks = home[at:at + 512]
+            similar = x[asks] @ x.T
+            known = walk(similar, near, [asks, np.full(len(asks), medoid)], threshold - SLACK)
+            linked = known & (similar >= threshold)
+            linked[np.arange(len(asks)), asks] = False
+            counts.extend((linked @ weights).tolist())
+            for q, i in zip(*np.nonzero(linked), strict=True):
+                a, b = root(int(asks[q])), root(int(i))
                 if a != b:
                     parent[max(a, b)] = min(a, b)
-        roots = np.array([root(i) for i in range(len(ids))])
-        some = np.flatnonzero(roots != np.arange(len(ids)))
+        roots = np.array([root(i) for i in range(n)])
+        some = np.flatnonzero(roots != np.arange(n))
         return pd.DataFrame({
             "node": np.concatenate([ids[home], ids[some]]),
             "links": pd.array(counts + [None] * len(some), "Int64"),
@@ -219,21 +249,24 @@ def embedding_components(df: DataFrame, threshold: float = 0.98, vec_id: str = "
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                            F.lit(True).alias("kept"))
     members = parts.checkpoint()
-    graph = (members.groupBy("shard").applyInPandas(_build, "node long, near long")
-             .groupBy("node").agg(F.collect_set("near").alias("near")).checkpoint())
-    nodes = members.where("home").select("node", "weight", "vector").join(graph, "node", "left").checkpoint()
+    edges = members.groupBy("shard").applyInPandas(_build(threshold), "node long, near long, strong boolean").checkpoint()
+    graph = edges.groupBy("node").agg(F.collect_set("near").alias("near")).checkpoint()
+    nodes = members.where("home").select("node", "weight", "vector").join(graph.hint("merge"), "node", "left").checkpoint()
     homes = members.where("home").select("shard", "node").checkpoint()
-    # what a home shard's search walks over: its members, and the nodes next to them
-    around = (members.select("shard", "node").join(graph, "node").select("shard", F.explode("near").alias("node"))
-              .union(members.select("shard", "node")).distinct())
-    wanted = around.join(homes.select("shard").distinct(), "shard").join(
-        homes.withColumn("home", F.lit(True)), ["shard", "node"], "left")
-    local = wanted.join(nodes, "node").select(
+    # what a shard's search walks over: its members, and where up to HOPS strong edges lead from its home nodes
+    strong = edges.where("strong").select("node", "near").distinct().checkpoint()
+    around = homes
+    for _ in range(HOPS):
+        around = around.union(around.join(strong.hint("merge"), "node").select("shard", F.col("near").alias("node"))).distinct()
+    around = members.select("shard", "node").union(around).distinct()
+    wanted = around.join(homes.select("shard").distinct(), "shard", "left_semi").join(
+        homes.withColumn("home", F.lit(True)).hint("merge"), ["shard", "node"], "left")
+    local = wanted.join(nodes.hint("merge"), "node").select(
         "shard", "node", F.coalesce("home", F.lit(False)).alias("home"), "weight", "vector", "near")
     found = local.groupBy("shard").applyInPandas(_search(threshold), "node long, links long, other long").checkpoint()
     named = connected_components(found.where("other is not null"), "node", "other").withColumnRenamed("component", "root")
     links = found.where("links is not null").select("node", "links")
-    joined = (classes.select("h1", "h2", "label", "vector", "node", "weight").join(links, "node").join(named, "node", "left")
+    joined = (classes.select("h1", "h2", "label", "vector", "node", "weight").join(links.hint("merge"), "node").join(named.hint("merge"), "node", "left")
               .select("h1", "h2", "weight", "links", F.coalesce("root", "node").alias("root")).checkpoint())
     out = rows.withColumns({
         "h1": F.when(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & usable(F.col("vector")),
