@@ -82,7 +82,7 @@ class _Chunks(dict):
         if self.letters and _LETTERS.match(text):
             found = [t.id for t in self.model.tokenize(text.translate(self.letters))]
             ids = struct.pack(f"<{len(found)}I", *found)
-        elif word and len(word) < len(chunk) and word.decode("utf-8", "replace")[-1].isalpha():
+        elif word and len(word) < len(chunk) and word.decode("utf-8", "replace").lower()[-1].isalpha():
             ids = self[word] + self[chunk[len(word):]]  # letters and marks are never in one piece
         else:
             found = self.tokenizer.encode(text, add_special_tokens=False).ids
