@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.tables import kept, remove
 from quarry.session import ensure_checkpoint_dir
 
 
@@ -23,7 +24,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     ensure_checkpoint_dir(edges.sparkSession)
     hi, lo = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = e.select(hi, lo).distinct().checkpoint()
+    e, path = kept(e.select(hi, lo).distinct())
     print_of = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
     before = None
     while True:
@@ -35,8 +36,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # small star: a node and its smaller neighbours point to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         pairs = large.join(low.hint("merge"), "u")
-        e = (pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-             .union(low.select("u", F.col("m").alias("v"))).distinct().checkpoint())
+        old = path
+        e, path = kept(pairs.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
+                       .union(low.select("u", F.col("m").alias("v"))).distinct())
+        remove(edges.sparkSession, old)
         now = e.agg(F.count("*"), print_of).first()
         if now == before:
             break

@@ -171,7 +171,9 @@ def walk(similar: np.ndarray, near: np.ndarray, starts: list[np.ndarray], reach:
         if not len(rows):
             return known[:, :n]
         expanded[rows, nodes] = True
-        known[rows[:, None], near[nodes]] = True
+        step = max(1, (1 << 20) // near.shape[1])  # a node of a dense group may have very many neighbours
+        for at in range(0, len(rows), step):
+            known[rows[at:at + step, None], near[nodes[at:at + step]]] = True
 
 
 def _search(threshold: float):
@@ -200,8 +202,8 @@ def _search(threshold: float):
                 i = parent[i]
             return i
 
-        for at in range(0, len(home), 512):
-            asks = home[at:at + 512]
+        for at in range(0, len(home), 256):
+            asks = home[at:at + 256]
             similar = x[asks] @ x.T
             known = walk(similar, near, [asks, np.full(len(asks), medoid)], threshold - SLACK)
             linked = known & (similar >= threshold)
