@@ -144,10 +144,12 @@ def near_copies(rng, n_groups, size):
     return texts
 
 
-@pytest.mark.parametrize("width,num,cell", [(3, 90, 2_000_000), (5, 80, 2_000_000), (3, 90, 300)])
-def test_jaccard_join_equals_brute_force(spark, width, num, cell):
+@pytest.mark.parametrize("width,num,cell,split", [(3, 90, 2_000_000, 200), (5, 80, 2_000_000, 2_000_000), (5, 80, 2_000_000, 100),
+                                                  (3, 90, 300, 2_000_000)])
+def test_jaccard_join_equals_brute_force(spark, width, num, cell, split):
     texts = near_copies(random.Random(width * num + cell), 14 if cell > 1000 else 4, 9)
-    found = jaccard_join.jaccard_components(docs_frame(spark, texts, 5), width, num, 100, cell_shingles=cell).collect()
+    found = jaccard_join.jaccard_components(docs_frame(spark, texts, 5), width, num, 100, cell_shingles=cell,
+                                            split_shingles=split).collect()
     sets = {5 + i: shingle_set(t, width) for i, t in enumerate(texts)}
     wanted = brute_components(sets, num, 100)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {i: (len(s), wanted[i]) for i, s in sets.items()}
