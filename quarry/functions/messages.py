@@ -50,7 +50,7 @@ def key_value_pairs(c: Column | str, open_: str = "?", close: str = "#", item_se
     def pair(x: Column) -> Column:
         key = F.trim(F.substring_index(x, kv_sep, 1))
         has = F.locate(kv_sep, x) > 0
-        val = F.when(has, F.trim(F.substring(x, F.locate(kv_sep, x) + len(kv_sep), 1 << 30)))
+        val = F.when(has, F.trim(F.substring(x, F.locate(kv_sep, x) + len(kv_sep), F.length(x))))
         return F.struct(key.alias("key"), F.nullif(val, F.lit("")).alias("value"))
 
     return F.transform(items, pair)

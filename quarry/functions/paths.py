@@ -47,4 +47,4 @@ def rebase(c: Column | str, old_root: Column, new_root: Column) -> Column:
     """Swap a leading root for another (tree-prefix rewrite)."""
     c = _c(c)
     return F.when(F.startswith(c, old_root),
-                  F.concat(new_root, F.substring(c, F.length(old_root) + 1, 1 << 30))).otherwise(c)
+                  F.concat(new_root, F.substring(c, F.length(old_root) + 1, F.length(c)))).otherwise(c)

@@ -25,15 +25,9 @@ MAX_ROWS_PER_OUTPUT = 1_000_000
 
 
 def _token_hasher():
-    try:
-        import xxhash
+    import xxhash  # required on every worker: all must hash alike
 
-        return lambda t, seed: xxhash.xxh64_intdigest(t, seed)
-    except ImportError:  # pragma: no cover
-        import hashlib
-
-        return lambda t, seed: int.from_bytes(
-            hashlib.blake2b(t.encode(), digest_size=8, salt=seed.to_bytes(16, "little")).digest(), "little")
+    return lambda t, seed: xxhash.xxh64_intdigest(t, seed)
 
 
 def _fingerprints(h: np.ndarray, k: int, base: int) -> np.ndarray:

@@ -49,7 +49,7 @@ def _local_cumsum(keys: list[str], value: str, out: str):
             if len(pdf) == 0:
                 continue
             vals = pdf[value].to_numpy(dtype=np.int64)
-            kcols = [pdf[k].to_numpy() for k in keys]
+            kcols = [pdf[k].astype(object).where(pdf[k].notna(), None).to_numpy() for k in keys]
             start = np.zeros(len(pdf), dtype=bool)  # a new key starts at this row
             for a in kcols:
                 start[1:] |= a[1:] != a[:-1]
@@ -94,5 +94,9 @@ def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     tot = mapped.groupBy(*keys, "_pid").agg(F.sum(value).alias("_ptot"))
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.withColumn("_off", F.coalesce(F.sum("_ptot").over(before), F.lit(0))).drop("_ptot")
-    res = mapped.join(off, [*keys, "_pid"]).withColumn(out, F.col(out) + F.col("_off"))
-    return res.drop("_pid", "_off", *(["_k0"] if "_k0" in res.columns else []))
+    off = off.withColumnsRenamed({k: f"_of_{k}" for k in [*keys, "_pid"]})
+    same = mapped["_pid"] == off["_of__pid"]
+    for k in keys:  # a null key is a group like any other
+        same = same & mapped[k].eqNullSafe(off[f"_of_{k}"])
+    res = mapped.join(off, same).withColumn(out, F.col(out) + F.col("_off"))
+    return res.drop("_pid", "_off", *off.columns, *(["_k0"] if "_k0" in res.columns else []))

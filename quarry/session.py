@@ -53,19 +53,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="quarry-ckpt-", dir=os.environ.get("QUARRY_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     return path
-
-
-def spread(df, min_partitions: int | None = None):
-    """Spread rows over at least ``min_partitions`` tasks (default: the cluster's
-    parallelism) when the scan yields fewer - e.g. one file with one row group.
-
-    For CPU-heavy per-row work (tokenising whole texts) one scan task would
-    otherwise do all of it. A many-file input already has enough splits, and
-    then this adds no shuffle. Planning the scan to count its splits runs no job.
-    """
-    try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # e.g. a Spark Connect session has no RDD view: leave the plan alone
-        return df
-    return df.repartition(target) if current < target else df

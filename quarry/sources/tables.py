@@ -4,19 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.session import spread
-
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-# Tables whose rows are whole texts: per-row work on them is CPU-heavy.
-TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one table; text tables are spread over all cores when the scan is too coarse."""
+    """Read one table, split as ``spark.sql.files.maxPartitionBytes`` says."""
     if name not in TABLES:
         raise KeyError(name)
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

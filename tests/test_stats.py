@@ -161,3 +161,13 @@ def test_share_text(spark):
     df = spark.createDataFrame([(1988, 5968), (167, 5968), (3666, 5968), (0, 0)], "n long, t long")
     got = [r["s"] for r in df.select(stats.share_text(F.col("n"), F.col("t")).alias("s")).collect()]
     assert got == ["1988 (33.31) of 5968", "167 (2.8) of 5968", "3666 (61.43) of 5968", "0 () of 0"]
+
+
+def test_running_sum_keeps_null_keys(spark):
+    from quarry.operators.prefix import running_sum
+
+    rows = [(k, i, i % 5) for i in range(60) for k in (None, 1, 2)]
+    df = spark.createDataFrame(rows, "k long, i long, v long")
+    got = {(r.k, r.i): r.running for r in running_sum(df, ["k"], ["i"], "v", method="range").collect()}
+    want = {(r.k, r.i): r.running for r in running_sum(df, ["k"], ["i"], "v", method="window").collect()}
+    assert got == want and len(got) == 180
