@@ -90,23 +90,23 @@ class TemplateIndex:
         return (self.names[k] if scores[k] > 0 else None), float(scores[k])
 
 
-def windows_of(text: str, known, spans: tuple[int, ...] = (1, 2, 4)) -> Iterator[Counter]:
+def windows_of(text: str, known: set[str], spans: tuple[int, ...] = (1, 2, 4)) -> Iterator[Counter]:
     """Term counts of each run of 1, 2 and 4 lines (lines without terms left out) that holds a known
     term: notices are often wrapped."""
-    last: deque[Counter] = deque(maxlen=max(spans))
+    last: deque[list[str]] = deque(maxlen=max(spans))
     hits: deque[bool] = deque(maxlen=max(spans))
     for piece in text_pieces(text):
         for line in piece.split("\n"):
-            counts = Counter(terms(line))
-            if not counts:
+            own = terms(line)
+            if not own:
                 continue
-            last.append(counts)
-            hits.append(any(t in known for t in counts))
-            if not any(hits):
+            last.append(own)
+            hits.append(not known.isdisjoint(own))
+            if True not in hits:  # most lines: nothing is counted
                 continue
             for n in spans:
                 if n <= len(last) and any(list(hits)[-n:]):
-                    yield sum(list(last)[-n:], Counter())
+                    yield Counter(t for x in list(last)[-n:] for t in x)
 
 
 def scan(files: DataFrame, templates=TEMPLATES, path: str = "path", text: str = "text",
