@@ -22,7 +22,6 @@ occurrence only.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,25 +47,38 @@ def line_clones(docs: DataFrame, project_col: str, doc_col: str, text_col: str,
     """Duplications = trimmed lines occurring >= ``min_occurrences`` times in a project.
 
     Returns (duplications, occurrences). ``dup_id`` is a hash of the natural
-    key (project, code), stable across runs. Counts come from two partially
-    aggregated ``groupBy``s (per path, then per line), so a line repeated in a
-    third of all files is combined map-side; occurrences are found by a join
-    on the natural key (AQE splits a hot key's partition).
+    key (project, code), stable across runs. Queries that need only counts and
+    the two kinds take ``line_duplications``, which has no join. Occurrences are
+    joined on (dup_id, project, code): with dup_id among the keys the aggregate's
+    own partitioning no longer serves the join, so both sides are shuffled for it
+    and AQE can split the partition of a hot line. A null project is a project.
+    """
+    occ = line_occurrences(docs, project_col, doc_col, text_col).withColumn(
+        "dup_id", F.xxhash64("project", "code"))
+    dups = line_duplications(docs, project_col, doc_col, text_col, min_occurrences)
+    d = dups.select(F.col("dup_id").alias("_dup"), F.col("project").alias("_project"), F.col("code").alias("_code"))
+    occs = occ.join(d, (F.col("dup_id") == F.col("_dup")) & F.col("project").eqNullSafe(F.col("_project"))
+                    & (F.col("code") == F.col("_code"))).select("dup_id", "path", "line")
+    return dups.drop("same_file", "across_file"), occs
+
+
+def line_duplications(docs: DataFrame, project_col: str, doc_col: str, text_col: str,
+                      min_occurrences: int = 2) -> DataFrame:
+    """The duplications of ``line_clones`` with both kinds as flags: ``same_file`` (some path holds
+    more than one occurrence) and ``across_file`` (some path holds just one).
+
+    Two partially aggregated ``groupBy``s (per path, then per line) and no join: a line repeated
+    in a third of all files is combined before each shuffle.
     """
     occ = line_occurrences(docs, project_col, doc_col, text_col)
-    # Occurrences are re-derived from ``occ`` for the join: carrying line lists
-    # through the per-path aggregation instead was measured slower (an object
-    # aggregate over mostly one-line groups).
     per_path = occ.groupBy("project", "code", "path").agg(F.count(F.lit(1)).alias("_k"))
-    dups = (per_path.groupBy("project", "code")
-            .agg(F.sum("_k").alias("n_occurrences"), F.count(F.lit(1)).alias("n_docs"))
+    return (per_path.groupBy("project", "code")
+            .agg(F.sum("_k").alias("n_occurrences"), F.count(F.lit(1)).alias("n_docs"),
+                 (F.max("_k") > 1).alias("same_file"), (F.min("_k") <= 1).alias("across_file"))
             .filter(F.col("n_occurrences") >= min_occurrences)
             .select(F.xxhash64("project", "code").alias("dup_id"), "project",
                     F.lit(1).alias("lines"), F.size(T.ascii_tokens("code")).alias("tokens"),
-                    "code", "n_occurrences", "n_docs"))
-    occs = occ.join(dups.select("dup_id", "project", "code"), ["project", "code"]).select(
-        "dup_id", "path", "line")
-    return dups, occs
+                    "code", "n_occurrences", "n_docs", "same_file", "across_file"))
 
 
 def _per_path_counts(occurrences: DataFrame) -> DataFrame:
@@ -157,19 +169,12 @@ def kgram_fingerprints(docs: DataFrame, project_col: str, doc_col: str, text_col
     return base.select("project", "doc", F.inline(grams))
 
 
-def repeated_keys(fps: DataFrame, min_occurrences: int = 2) -> DataFrame:
-    """(project, h1, h2) of k-grams occurring at least ``min_occurrences`` times
-    (one partially aggregated count)."""
-    return (fps.groupBy("project", "h1", "h2").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") >= min_occurrences).select("project", "h1", "h2"))
-
-
 def repeated_kgrams(fps: DataFrame, min_occurrences: int = 2) -> DataFrame:
     """(project, h1, h2, n_occ, n_docs, first_doc, first_pos) of repeated k-grams.
 
     Two partially aggregated ``groupBy``s over all positions (per document, then
-    per key). Filtering positions by ``repeated_keys`` first was measured slower:
-    it needs the fingerprints twice.
+    per key). Finding the repeated keys first and filtering the positions by them
+    was measured slower: it needs the fingerprints twice.
     """
     per_doc = fps.groupBy("project", "h1", "h2", "doc").agg(
         F.count(F.lit(1)).alias("_c"), F.min("pos").alias("_p"))
@@ -207,30 +212,25 @@ def token_clones(docs: DataFrame, project_col: str, doc_col: str, text_col: str,
     return kgram_text(rep, docs, doc_col, text_col, k)
 
 
-def clone_runs(fps: DataFrame, k: int = 20, min_occurrences: int = 2) -> DataFrame:
-    """Maximal clone runs: consecutive positions whose k-grams repeat in step.
+def clone_runs(fps: DataFrame, k: int = 20) -> DataFrame:
+    """Clone runs: consecutive positions whose k-grams repeat in step.
 
     Each occurrence of a repeated k-gram is chained to the next occurrence of
     the same k-gram in (doc, pos) order - linear output, no all-pairs and no
-    cap. A run is a maximal set of consecutive positions that chain to the
-    same document with the same offset (gaps and islands on that diagonal).
+    cap. A run is a set of consecutive positions, as long as possible, that
+    chain to the same document with the same offset (gaps and islands on that
+    diagonal). Where a third text holds part of a fragment, the chain goes
+    through that text, so the run between the two others ends there.
     Output: (project, doc, start, other_doc, other_start, n_kgrams, tokens,
     first_line, last_line, lines); tokens = n_kgrams + k - 1.
+
+    A k-gram is repeated exactly when its row has a successor, so all positions
+    go through one range shuffle (a hot k-gram is spread over many tasks), and
+    positions without one are dropped inside the sorted partitions.
     """
-    # Only the keys of repeated k-grams are needed: one partially aggregated count.
-    # fps feeds the count and the filter; recomputing it (one pass over the texts)
-    # measured faster than caching every position.
-    occ = fps.join(repeated_keys(fps, min_occurrences), ["project", "h1", "h2"], "left_semi")
-    # The range step samples its input before shuffling it; keeping the (small)
-    # repeated positions avoids recomputing the fingerprints for the sample. The
-    # successor checkpoints eagerly, after which occ is no longer read.
-    occ = occ.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        chained = next_in_order(occ, keys=["project", "h1", "h2"], order=["doc", "pos"],
-                                carry=["doc", "pos", "first_line"], prefix="next_")
-    finally:
-        occ.unpersist()
-    pairs = chained.filter(F.col("next_doc").isNotNull()).withColumn(
+    chained = next_in_order(fps, keys=["project", "h1", "h2"], order=["doc", "pos"],
+                            carry=["doc", "pos", "first_line"], prefix="next_", matched_only=True)
+    pairs = chained.withColumn(
         "_delta", F.col("next_pos") - F.col("pos"))
     diag = Window.partitionBy("project", "doc", "next_doc", "_delta").orderBy("pos")
     islands = pairs.withColumn("_island", F.col("pos") - F.row_number().over(diag))
@@ -272,6 +272,23 @@ def grouped_duplications(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return dups, occs.select("dup_id", "path", "line")
 
 
+def classified_fragments(runs: DataFrame) -> DataFrame:
+    """The duplications of ``grouped_duplications`` with both kinds as flags: (project, tokens, lines,
+    same_file, across_file), keyed by the fragment itself (not by a hash of it). Three partially
+    aggregated ``groupBy``s over the ends of the runs, no join; the runs are read once."""
+    key = ["project", "content_h1", "content_h2", "n_kgrams"]
+    first = F.struct(F.col("doc").alias("path"), "start", "lines")
+    none = F.lit(None).cast(runs.select(first.alias("f")).schema["f"].dataType)
+    ends = runs.select(*key, "tokens", F.inline(F.array(
+        F.struct(F.col("doc").alias("path"), F.col("start").alias("at"), first.alias("first")),
+        F.struct(F.col("other_doc").alias("path"), F.col("other_start").alias("at"), none.alias("first")))))
+    occs = ends.groupBy(*key, "tokens", "path", "at").agg(F.min("first").alias("first"))
+    per_path = occs.groupBy(*key, "tokens", "path").agg(F.count(F.lit(1)).alias("_k"), F.min("first").alias("first"))
+    return per_path.groupBy(*key, "tokens").agg(
+        F.min("first")["lines"].alias("lines"), (F.max("_k") > 1).alias("same_file"),
+        (F.min("_k") <= 1).alias("across_file")).select("project", "tokens", "lines", "same_file", "across_file")
+
+
 def runs_as_duplications(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The duplication/occurrence model of clone runs: one duplication per run, with
     its two occurrences (path = document, line = first line of the copy).

@@ -88,12 +88,12 @@ def project_stats(decls: DataFrame, bases: Sequence[str] = FRAMEWORK_BASES,
     """MET10-MET16 and MET18: the 13-column per-project statistics row.
 
     ``files`` (project_id, file) restricts the declarations to those files
-    (e.g. the non-empty files left after routing). Projects without any
-    parsed file produce no row.
+    (e.g. the non-empty files left after routing). A file that did not parse
+    counts nothing; a project with no other files has a row of zeros.
     """
     if files is not None:
         decls = decls.join(files.select("project_id", "file"), ["project_id", "file"], "left_semi")
-    decls = decls.filter(F.col("parse_ok"))
+    decls = decls.withColumn("kind", F.when(F.col("parse_ok"), F.col("kind")))
     base_arr = F.array(*[F.lit(b) for b in bases])
     is_class, is_iface = _kind("class"), _kind("interface")
     own_ext = F.size(F.filter("extends", lambda x: ~F.array_contains(base_arr, x)))

@@ -41,7 +41,7 @@ def _null_column(values: np.ndarray, mask: np.ndarray, is_int: bool) -> pd.Serie
     return pd.Series(out)
 
 
-def _successor_fn(keys: list[str], carry: list[str], prefix: str, int_carry: set[str]):
+def _successor_fn(keys: list[str], carry: list[str], prefix: str, int_carry: set[str], matched_only: bool):
     def fn(batches):
         from pyspark import TaskContext
 
@@ -75,9 +75,11 @@ def _successor_fn(keys: list[str], carry: list[str], prefix: str, int_carry: set
                 same = np.ones(n - 1, dtype=bool)
                 for k in keys:
                     a = pdf[k].to_numpy()
-                    same &= a[1:] == a[:-1]
-                nxt = {c: _null_column(pdf[c].to_numpy()[1:], same, c in int_carry) for c in carry}
-                yield finish(pdf.iloc[: n - 1], "row", nxt)
+                    null = pd.isna(a)
+                    same &= ((a[1:] == a[:-1]) & ~null[1:]) | (null[1:] & null[:-1])
+                some = same if matched_only else np.ones(n - 1, dtype=bool)
+                nxt = {c: _null_column(pdf[c].to_numpy()[1:][some], same[some], c in int_carry) for c in carry}
+                yield finish(pdf.iloc[: n - 1][some], "row", nxt)
             held = pdf.iloc[n - 1:].reset_index(drop=True)
         if held is not None:
             yield finish(held, "tail", empty_next(1))
@@ -87,10 +89,12 @@ def _successor_fn(keys: list[str], carry: list[str], prefix: str, int_carry: set
 
 def next_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   carry: Sequence[str], prefix: str = "next_",
-                  num_partitions: int | None = None, method: str = "range") -> DataFrame:
+                  num_partitions: int | None = None, method: str = "range",
+                  matched_only: bool = False) -> DataFrame:
     """Add ``prefix + c`` for c in ``carry``: the values of the next row with the same
-    ``keys`` in ``order`` (NULL for the last row of a key). Rows must be unique
-    on (keys, order).
+    ``keys`` in ``order`` (NULL for the last row of a key; null keys are equal). Rows must be
+    unique on (keys, order). ``matched_only`` leaves out rows without a next row, before
+    anything is written; the first carried column must not be null then.
 
     ``method="window"`` is the plain ``lead`` form (one task per key), kept for
     small inputs and as the reference in tests.
@@ -101,7 +105,7 @@ def next_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         out = df
         for c in carry:
             out = out.withColumn(prefix + c, F.lead(c).over(w))
-        return out
+        return out.filter(F.col(prefix + carry[0]).isNotNull()) if matched_only else out
     if method != "range":
         raise ValueError(method)
 
@@ -113,7 +117,7 @@ def next_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str],
            for c in carry]
         + [Ty.StructField("_kind", Ty.StringType(), False),
            Ty.StructField("_pid", Ty.IntegerType(), False)])
-    mapped = sorted_partitions_map(df, keys + order, _successor_fn(keys, carry, prefix, int_carry),
+    mapped = sorted_partitions_map(df, keys + order, _successor_fn(keys, carry, prefix, int_carry, matched_only),
                                    out_schema, num_partitions)
 
     heads = mapped.filter(F.col("_kind") == "head").select(
@@ -123,8 +127,8 @@ def next_in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     tails = mapped.filter(F.col("_kind") == "tail").drop(*[prefix + c for c in carry])
     cond = F.col("_pid") == F.col("_prev")
     for k in keys:
-        cond = cond & (F.col(k) == F.col("_hk_" + k))
-    fixed = tails.join(F.broadcast(heads), cond, "left")
+        cond = cond & F.col(k).eqNullSafe(F.col("_hk_" + k))
+    fixed = tails.join(F.broadcast(heads), cond, "inner" if matched_only else "left")
     fixed = fixed.select(*df.columns, *[F.col("_hc_" + c).cast(
         out_schema[prefix + c].dataType).alias(prefix + c) for c in carry])
     rows = mapped.filter(F.col("_kind") == "row").select(*df.columns, *[prefix + c for c in carry])

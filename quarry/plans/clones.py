@@ -28,32 +28,29 @@ same AS (SELECT * FROM d WHERE EXISTS (SELECT 1 FROM pp WHERE pp.source = d.sour
 across AS (SELECT * FROM d WHERE EXISTS (SELECT 1 FROM pp WHERE pp.source = d.source AND pp.code = d.code AND pp.k <= 1))"""
 
 
-def _line_model(spark: SparkSession, sf: str):
-    return C.line_clones(table(spark, sf, "documents"), "source", "doc_id", "text")
+def _line_model(spark: SparkSession, sf: str) -> DataFrame:
+    return C.line_duplications(table(spark, sf, "documents"), "source", "doc_id", "text")
 
 
 @register("q_clone_occurrences", "WITH " + LINES_SQL + """
 SELECT source AS project, code, tokens, n_occurrences, n_docs FROM d""")
 def q_clone_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     """Duplications of the line model with their occurrence and file counts (CLN2)."""
-    dups, _ = _line_model(spark, sf)
-    return dups.select("project", "code", "tokens", "n_occurrences", "n_docs")
+    return _line_model(spark, sf).select("project", "code", "tokens", "n_occurrences", "n_docs")
 
 
 @register("q_same_file_hist", "WITH " + LINES_SQL + """
 SELECT tokens, CAST(COUNT(*) AS BIGINT) AS dup_count FROM same GROUP BY tokens ORDER BY tokens""")
 def q_same_file_hist(spark: SparkSession, sf: str) -> DataFrame:
-    """Same-file duplications by size: semi-join on (dup, path) HAVING count > 1."""
-    dups, occs = _line_model(spark, sf)
-    return C.clone_histogram(C.same_file_duplications(dups, occs), "tokens")
+    """Same-file duplications (some path holds more than one occurrence) by size."""
+    return C.clone_histogram(_line_model(spark, sf).filter("same_file"), "tokens")
 
 
 @register("q_across_file_hist", "WITH " + LINES_SQL + """
 SELECT tokens, CAST(COUNT(*) AS BIGINT) AS dup_count FROM across GROUP BY tokens ORDER BY tokens""")
 def q_across_file_hist(spark: SparkSession, sf: str) -> DataFrame:
-    """Across-file duplications by size: semi-join on (dup, path) HAVING count <= 1."""
-    dups, occs = _line_model(spark, sf)
-    return C.clone_histogram(C.across_file_duplications(dups, occs), "tokens")
+    """Across-file duplications (some path holds at most one occurrence) by size."""
+    return C.clone_histogram(_line_model(spark, sf).filter("across_file"), "tokens")
 
 
 @register("q_clone_projects", "WITH " + LINES_SQL + """,
@@ -65,8 +62,9 @@ SELECT kind, CAST(c.n_projects AS BIGINT) AS n_projects, CAST(t.n AS BIGINT) AS
 def q_clone_projects(spark: SparkSession, sf: str) -> DataFrame:
     """Projects with same-file / across-file clones, and their share of all projects (CLN6)."""
     docs = table(spark, sf, "documents")
-    dups, occs = C.line_clones(docs, "source", "doc_id", "text")
-    flagged = C.classify_duplications(dups, occs)
+    # one row per project (true where it has a clone of the kind) serves both kinds
+    flagged = C.line_duplications(docs, "source", "doc_id", "text").groupBy("project").agg(
+        F.bool_or("same_file").alias("same_file"), F.bool_or("across_file").alias("across_file"))
     same = flagged.filter("same_file").select(F.lit("same_file").alias("kind"), "project")
     across = flagged.filter("across_file").select(F.lit("across_file").alias("kind"), "project")
     every = docs.select(F.lit("all").alias("kind"), F.col("source").alias("project"))
@@ -121,25 +119,18 @@ FROM isl GROUP BY source, doc_id, next_doc, delta, island)"""
 
 @register("q_clone_runs", "WITH " + RUNS_SQL + "\nSELECT * FROM runs")
 def q_clone_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Maximal token clone runs (consecutive-occurrence chaining + gaps and islands)."""
+    """Token clone runs (consecutive-occurrence chaining + gaps and islands)."""
     fps = C.kgram_fingerprints(table(spark, sf, "documents"), "source", "doc_id", "text", k=K)
     runs = C.clone_runs(fps, k=K)
     return runs.select("project", "doc", *[F.col(c).cast("long").alias(c) for c in (
         "start", "other_doc", "other_start", "n_kgrams", "tokens", "first_line", "last_line", "lines")])
 
 
-def _run_model(spark: SparkSession, sf: str):
-    fps = C.kgram_fingerprints(table(spark, sf, "documents"), "source", "doc_id", "text", k=K)
-    return C.runs_as_duplications(C.clone_runs(fps, k=K))
-
-
 def _run_hist(spark: SparkSession, sf: str, by: str) -> DataFrame:
-    dups, occs = _run_model(spark, sf)
-    flagged = C.classify_duplications(dups, occs)  # both kinds from one per-path aggregation
-    kinds = flagged.select(by, F.explode(F.filter(F.array(
-        F.when(F.col("same_file"), F.lit("same_file")),
-        F.when(F.col("across_file"), F.lit("across_file"))), lambda x: x.isNotNull())).alias("kind"))
-    return kinds.groupBy("kind", F.col(by).cast("long").alias(by)).agg(
+    fps = C.kgram_fingerprints(table(spark, sf, "documents"), "source", "doc_id", "text", k=K)
+    # a run has two occurrences: both in one document, or one in each of two
+    kind = F.when(F.col("doc") == F.col("other_doc"), "same_file").otherwise("across_file")
+    return C.clone_runs(fps, k=K).groupBy(kind.alias("kind"), F.col(by).cast("long").alias(by)).agg(
         F.count(F.lit(1)).alias("dup_count"))
 
 
@@ -164,8 +155,7 @@ def q_run_hist_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 def _dup_hist(spark: SparkSession, sf: str) -> DataFrame:
     fps = C.kgram_fingerprints(table(spark, sf, "documents"), "source", "doc_id", "text", k=K)
-    dups, occs = C.grouped_duplications(C.clone_runs(fps, k=K))
-    flagged = C.classify_duplications(dups, occs)
+    flagged = C.classified_fragments(C.clone_runs(fps, k=K))
     kinds = flagged.select("tokens", "lines", F.explode(F.filter(F.array(
         F.when(F.col("same_file"), F.lit("same_file")),
         F.when(F.col("across_file"), F.lit("across_file"))), lambda x: x.isNotNull())).alias("kind"))

@@ -42,6 +42,16 @@ ZERO_FEATURES = ["abs_class_count", "abs_method_count", "polymorphism_usage_coun
                  "class_inheritance_count", "interface_inheritance_count"]
 
 
+def main_set(violations: DataFrame) -> DataFrame:
+    return violations.filter(F.col("report_set") == "main")
+
+
+def method_complexity_values(violations: DataFrame) -> DataFrame:
+    """Method-level cyclomatic complexity values of the first report set."""
+    return reports.size_values(main_set(violations).filter(
+        (F.col("rule") == COMPLEXITY_RULE) & F.col("method").isNotNull()))
+
+
 def with_classes(project_stats: DataFrame) -> DataFrame:
     return project_stats.filter(F.col("class_count") > 0)
 
@@ -62,8 +72,9 @@ def feature_histogram(project_stats: DataFrame, column: str) -> DataFrame:
 
 def class_complexity(violations: DataFrame) -> DataFrame:
     """Class-level cyclomatic complexity values: rule by name (a scalar lookup in the
-    reference), class rows are those without a method, value = first number of the message."""
-    cc = violations.filter((F.col("rule") == COMPLEXITY_RULE) & F.col("method").isNull())
+    reference), class rows are those without a method, value = first number of the message.
+    Only the first report set counts: the second runs the same size rules again."""
+    cc = main_set(violations).filter((F.col("rule") == COMPLEXITY_RULE) & F.col("method").isNull())
     return reports.size_values(cc).select("project_id", "file", "class", "value", "max")
 
 
@@ -104,8 +115,8 @@ def projects_with_clones(dups: DataFrame, occs: DataFrame, n_projects: int | Non
 
 
 def god_class_projects(violations: DataFrame) -> DataFrame:
-    """Distinct projects with a god-class violation (godclass values joined to their file)."""
-    return reports.godclass_values(violations, GOD_CLASS_RULE).agg(
+    """Distinct projects with a god-class violation in the first report set."""
+    return reports.godclass_values(main_set(violations), GOD_CLASS_RULE).agg(
         F.count_distinct("project_id").alias("project_count"))
 
 

@@ -24,8 +24,10 @@ def analyse_corpus(spark: SparkSession, corpus_root: str, archives_root: str | N
                    clone_reports: str | None = None, violation_reports: str | None = None,
                    size_reports: str | None = None, sloc_reports: str | None = None,
                    file_sloc_reports: str | None = None) -> dict[str, DataFrame]:
-    """All tables of one corpus (missing report folders leave their tables out)."""
-    files = FS.decode_source(FS.scan_project_files(spark, corpus_root))
+    """All tables of one corpus (missing report folders leave their tables out). Files and report
+    rows whose folder or report name gives no project id are in the ``rejected_*`` tables only."""
+    scanned, rejected = FS.split_rejects(FS.scan_project_files(spark, corpus_root))
+    files = FS.decode_source(scanned)
     decls = J.scan_declarations(files)
     per_file = M.per_file_metrics(decls)
     kept = per_file.filter(~F.col("is_empty")).select("project_id", "file")
@@ -36,12 +38,21 @@ def analyse_corpus(spark: SparkSession, corpus_root: str, archives_root: str | N
         "files_nonempty": nonempty, "files_total": total,
         "corpus_counters": M.corpus_counters(per_file), "failed_files": M.failed_files(per_file),
         "self_call_candidates": M.self_call_candidates(decls),
+        "rejected_files": rejected.select("project", "file", "length"),
     }
-    projects = FS.project_index(FS.list_files(spark, corpus_root)).select("project_id")
+    listed, _ = FS.split_rejects(FS.list_files(spark, corpus_root))
+    projects = FS.project_index(listed).select("project_id")
+    # bytes per project before and after its empty files are taken out
+    sizes = FS.folder_sizes(scanned.join(per_file.select("project_id", "file", "is_empty"),
+                                         ["project_id", "file"], "left")
+                            .withColumn("is_empty", F.coalesce("is_empty", F.lit(False))), "is_empty")
+    out["folder_sizes"] = sizes
     if archives_root:
         out["project_sizes"] = FS.archive_sizes(projects, FS.list_archives(spark, archives_root))
     if clone_reports:
         dups, occs = R.read_clone_reports(spark, clone_reports)
+        dups, out["rejected_duplications"] = FS.split_rejects(dups)
+        occs = occs.join(out["rejected_duplications"].select("dup_id"), "dup_id", "left_anti")
         out.update(duplications=dups, duplication_files=occs)
         out.update({f"clones_{k}": v for k, v in Q.clone_histograms(dups, occs).items()})
     violations = None
@@ -51,6 +62,7 @@ def analyse_corpus(spark: SparkSession, corpus_root: str, archives_root: str | N
         size = R.read_violation_reports(spark, size_reports, "min")
         violations = size if violations is None else violations.unionByName(size)
     if violations is not None:
+        violations, out["rejected_violations"] = FS.split_rejects(violations)
         out.update(violations=violations, violation_size=R.size_values(violations),
                    violation_godclass=R.godclass_values(violations),
                    unused_code_projects=Q.unused_code_projects(violations),
@@ -65,14 +77,11 @@ def analyse_corpus(spark: SparkSession, corpus_root: str, archives_root: str | N
                zero_features=Q.zero_features(stats_), class_share=Q.class_share(stats_))
     needed = ("project_sizes", "project_sloc", "project_file_sloc", "violations")
     if all(k in out for k in needed):
-        per_method, _ = M.method_complexity(decls)
         cc = Q.class_complexity(out["violations"])
-        method_cc = out["violations"].filter(
-            (F.col("rule") == Q.COMPLEXITY_RULE) & F.col("method").isNotNull())
         out["statistics_table"] = ST.statistics_table(
             stats_, per_file.select("project_id", "method_count", "field_count"), nonempty, total,
             out["project_sizes"], out["project_sloc"], out["project_file_sloc"].select("sloc"),
-            cc.select("value"), R.size_values(method_cc).select("value"))
+            cc.select("value"), Q.method_complexity_values(out["violations"]).select("value"))
     return out
 
 

@@ -2,13 +2,14 @@
 
 Layout: ``<root>/<project id>/**/<file>``. Listing is Spark's ``binaryFile``
 source with recursive lookup; the file content is only read when a later
-step needs it (the source prunes the ``content`` column), and filters on
-``path``/``length`` are applied before any content is read.
+step needs it (the source prunes the ``content`` column). Scans by suffix or
+name hand a glob to the listing, so the contents of other files aren't read.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,33 +22,52 @@ def _abs(root: str) -> str:
     return root if "://" in root else os.path.abspath(root)
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Every regular file under ``root`` with (project, project_id, file, name, length, content).
+#: Scheme and authority of a path: "file:", "hdfs://host:8020".
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
+def _any_case(name: str) -> str:
+    """Glob that matches ``name`` in upper and lower case; other special characters match any one."""
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isascii() and c.isalpha()
+                   else c if c.isascii() and (c.isalnum() or c in "._- ") else "?" for c in name)
+
+
+def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+    """Regular files under ``root`` with (project, project_id, file, name, length, content).
 
     ``file`` is the path relative to ``root``; ``project`` the first folder;
-    ``project_id`` its integer value (NULL for a non-numeric folder: a reject).
-    Hidden files and folders (leading '.') are skipped.
+    ``project_id`` its integer value (NULL for a non-numeric folder: a reject, see
+    ``split_rejects``). ``glob`` limits the listing by file name, so other files are never
+    opened. Spark's own listing leaves out files and folders whose name starts with '.' or '_'.
     """
     root = _abs(root).rstrip("/")
-    df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
-    rel = F.substring_index(F.col("path"), root.split("://")[-1] + "/", -1)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    df = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
+    top = re.sub(_SCHEME, "", root)
+    rel = F.regexp_replace("path", _SCHEME, "").substr(F.lit(len(top) + 2), F.length("path"))
     name = F.substring_index(F.col("path"), "/", -1)
     out = df.select(
         F.substring_index(rel, "/", 1).alias("project"), rel.alias("file"), name.alias("name"),
         "path", "length", "content")
-    out = out.filter(~F.startswith("project", F.lit(".")) & ~F.startswith("name", F.lit(".")))
     return out.withColumn("project_id", F.col("project").try_cast("int"))
 
 
+def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows with a project_id, rejects): files and reports whose folder or name gives no integer
+    belong to no project and must not be merged into one."""
+    return rows.filter(F.col("project_id").isNotNull()), rows.filter(F.col("project_id").isNull())
+
+
 def scan_project_files(spark: SparkSession, root: str, suffix: str = ".java") -> DataFrame:
-    """Files whose trimmed, lower-cased name ends with ``suffix`` (case-insensitive)."""
-    files = list_files(spark, root)
+    """Files whose trimmed, lower-cased name ends with ``suffix`` (case-insensitive). The listing
+    leaves out names without the suffix (what follows may be white space to trim)."""
+    files = list_files(spark, root, f"*{_any_case(suffix)}*")
     return files.filter(F.endswith(F.lower(java_trim("name")), F.lit(suffix.lower())))
 
 
 def scan_files_named(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Files with exactly this name, compared case-insensitively (SRC2)."""
-    files = list_files(spark, root)
+    files = list_files(spark, root, _any_case(name))
     return files.filter(F.lower("name") == F.lit(name.lower()))
 
 

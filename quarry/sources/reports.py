@@ -15,6 +15,9 @@ from quarry.functions.paths import id_from_name
 from quarry.functions.text import with_marker_line
 
 XML_GLOB = "*.[xX][mM][lL]"
+TXT_GLOB = "*.[tT][xX][tT]"
+# Fixed value: the ruleset whose messages hold size values.
+SIZE_RULESET = "Code Size"
 
 CLONE_SCHEMA = ("_lines int, _tokens int, "
                 "file array<struct<_line: int, _path: string, _VALUE: string>>, codefragment string")
@@ -74,7 +77,7 @@ def violations_from_xml_rows(raw: DataFrame, report_set: str = "main") -> DataFr
     name = F.substring_index("report", "/", -1)
     # surrogate id = hash of the violation's natural key (stable across runs, no counter)
     vid = F.xxhash64(F.lit(report_set), "report", "file", "v._beginline", "v._endline", "v._begincolumn",
-                     "v._endcolumn", "v._rule", "v._method", "v._variable", "v._VALUE")
+                     "v._endcolumn", "v._ruleset", "v._rule", "v._class", "v._method", "v._variable", "v._VALUE")
     return v.select(
         vid.alias("violation_id"),
         F.lit(report_set).alias("report_set"), id_from_name(name).alias("project_id"), "file",
@@ -105,7 +108,8 @@ def read_sloc_reports(spark: SparkSession, path: str, per_file: bool = False,
     ``per_file=True``: ``<project>/<name>.txt`` -> (project_id, file, sloc).
     """
     # ``text()`` sets wholetext itself, so it must be passed there, not as an option
-    df = (spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    df = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", TXT_GLOB)
+          .text(path, wholetext=True)
           .withColumn("report", F.col("_metadata.file_path")))
     return sloc_from_text_rows(df, per_file, marker, needle)
 
@@ -128,11 +132,12 @@ def projects_without_reports(projects: DataFrame, reports: DataFrame) -> DataFra
     return projects.join(reports.select("project_id").distinct(), "project_id", "left_anti")
 
 
-def size_values(violations: DataFrame) -> DataFrame:
-    """(violation_id, project_id, file, rule, class, method, value, max) from size-rule messages (EXP1)."""
+def size_values(violations: DataFrame, ruleset: str = SIZE_RULESET) -> DataFrame:
+    """(violation_id, project_id, file, rule, class, method, value, max) from the messages of the
+    size ruleset (EXP1)."""
     from quarry.functions.messages import value_and_max
 
-    m = violations.withColumn("_m", value_and_max("message")).filter(F.col("_m").isNotNull())
+    m = violations.filter(F.col("ruleset") == ruleset).withColumn("_m", value_and_max("message")).filter(F.col("_m").isNotNull())
     return m.select("violation_id", "project_id", "file", "rule", "class", "method",
                     F.col("_m.value").alias("value"), F.col("_m.max").alias("max"))
 

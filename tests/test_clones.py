@@ -94,6 +94,38 @@ def test_line_model_same_and_across(spark):
     assert same == {"x = 1;"} and across == {"y();"}
 
 
+def test_line_duplications_equal_the_occurrence_queries(spark):
+    docs = [("p", 1, "x = 1;\nx = 1;\ny();"), ("p", 2, "y();\nz();\nx = 1;"), ("q", 3, "z();\n  \n"),
+            (None, 4, "n();"), (None, 5, "n();"), ("q", 6, None)]
+    df = spark.createDataFrame(docs, "project string, doc long, text string")
+    dups, occs = C.line_clones(df, "project", "doc", "text")
+    flags = {(r["project"], r["code"]): (r["same_file"], r["across_file"])
+             for r in C.line_duplications(df, "project", "doc", "text").collect()}
+    assert flags == {("p", "x = 1;"): (True, True), ("p", "y();"): (False, True), (None, "n();"): (False, True)}
+    assert {(r["project"], r["code"]): (r["same_file"], r["across_file"])
+            for r in C.classify_duplications(dups, occs).collect()} == flags
+    assert occs.count() == 7
+
+
+def test_classified_fragments_equal_the_clone_report(spark):
+    k = 4
+    df = spark.createDataFrame(DOCS, "project string, doc long, text string")
+    runs = C.clone_runs(C.kgram_fingerprints(df, "project", "doc", "text", k), k=k)
+    dups, occs = C.grouped_duplications(runs)
+    cols = ["project", "tokens", "lines", "same_file", "across_file"]
+    assert (sorted(map(tuple, C.classified_fragments(runs).select(cols).collect()))
+            == sorted(map(tuple, C.classify_duplications(dups, occs).select(cols).collect())))
+
+
+def test_successor_matched_only_with_null_keys(spark):
+    rows = [(None if i % 5 == 0 else f"k{i % 90}", i % 7, i) for i in range(600)]
+    df = spark.createDataFrame(rows, "key string, doc long, pos long")
+    a = next_in_order(df, ["key"], ["doc", "pos"], ["pos"], num_partitions=5, matched_only=True)
+    b = next_in_order(df, ["key"], ["doc", "pos"], ["pos"], method="window").filter("next_pos is not null")
+    cols = [F.coalesce("key", F.lit("-")), "doc", "pos", "next_pos"]
+    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
+
+
 def test_duplication_both_same_and_across(spark):
     dups = spark.createDataFrame([(1, "p", 3, 40, "c")], "dup_id long, project string, lines int, tokens int, code string")
     occs = spark.createDataFrame([(1, "A", 1), (1, "A", 9), (1, "B", 4)], "dup_id long, path string, line int")

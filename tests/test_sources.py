@@ -39,6 +39,18 @@ def test_project_tree_listing(spark, tmp_dir):
     assert sizes[2] == 20
 
 
+def test_root_name_inside_a_project_and_rejects(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "src")
+    inner = root.lstrip("/")  # the root's own path occurs again inside a project
+    write(f"{root}/12/{inner}/main/A.java", "class A {}")
+    write(f"{root}/bad1/B.java", "class B {}")
+    write(f"{root}/bad2/C.java.bak", "class C {}")
+    java = FS.scan_project_files(spark, f"file://{root}/")
+    ok, rejects = FS.split_rejects(java)
+    assert [(r["project_id"], r["file"]) for r in ok.collect()] == [(12, f"12/{inner}/main/A.java")]
+    assert [r["file"] for r in rejects.collect()] == ["bad1/B.java"]
+
+
 def test_archives(spark, tmp_dir):
     root = os.path.join(tmp_dir, "arch")
     os.makedirs(root)
@@ -128,6 +140,7 @@ def test_sloc_reports(spark, tmp_dir):
     write(f"{root}/3.txt", "Have a nice day\nSLOC\tDirectory\tSLOC-by-Language\n291  top  java=291\n")
     write(f"{root}/4.txt", "no marker here\n12 java=12\n")
     write(f"{root}/5.txt", "sloc\nnothing\n")
+    write(f"{root}/6.log", "SLOC\n7 java=7\n")  # no .txt: not a report
     got = sorted(tuple(r) for r in R.read_sloc_reports(spark, root).collect())
     assert got == [(3, 291)]
     per = os.path.join(tmp_dir, "perfile")
