@@ -104,9 +104,16 @@ def test_pipeline_end_to_end(spark, tmp_dir):
     write(f"{tmp_dir}/sloc/1.txt", "SLOC\n12 java=12\n")
     write(f"{tmp_dir}/sloc/2.txt", "SLOC\n5 java=5\n")
     write(f"{tmp_dir}/fsloc/1/A.txt", "SLOC\n7 java=7\n")
+    write(f"{root}/2/Empty.java", "class Empty { }")
+    write(f"{root}/3/Bad.java", "class {{{")
+    write(f"{root}/named/D.java", "class D { void g() { h(); } }")
     t = P.analyse_corpus(spark, root, arch, f"{tmp_dir}/cpd", f"{tmp_dir}/pmd", f"{tmp_dir}/pmdmin",
                          f"{tmp_dir}/sloc", f"{tmp_dir}/fsloc")
     assert t["statistics_table"].count() == 21
+    assert [r["project"] for r in t["rejected_files"].collect()] == ["named"]
+    assert {r["project_id"]: r["class_count"] for r in t["project_stats"].collect()} == {1: 1, 2: 1, 3: 0}
+    folder = {r["project_id"]: (r["folder_size"], r["folder_size_after"]) for r in t["folder_sizes"].collect()}
+    assert set(folder) == {1, 2, 3} and folder[2][0] - folder[2][1] == len("class Empty { }")
     sizes = {r["project_id"]: r["package_size"] for r in t["project_sizes"].collect()}
     assert sizes[2] == 0 and sizes[1] > 0
     out = os.path.join(tmp_dir, "store")
