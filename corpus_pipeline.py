@@ -16,7 +16,7 @@ from quarry.llm.jaccard_join import jaccard_components
 from quarry.llm.packing import pack
 from quarry.llm.quality import classify
 from quarry.llm.queries import id_remainder
-from quarry.llm.substring import remove_repeats
+from quarry.llm.substring import RUN_WORDS, remove_repeats
 from quarry.session import ensure_checkpoint_dir
 
 
@@ -37,8 +37,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without lines that stand in an earlier document (or place); n_chars is renewed."""
-    out = remove_repeats(docs).select(*docs.columns)
+    """The documents without lines and passages of over 50 words that stand in an earlier document (or place);
+    n_chars is renewed."""
+    out = remove_repeats(docs, run_words=RUN_WORDS).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -83,7 +83,8 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = substring.remove_repeats(_table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+    out = substring.remove_repeats(_table(spark, sf_dir, "documents"), keep=["doc_id", "text"],
+                                   run_words=substring.RUN_WORDS)
     spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string")))
     return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"),
                       F.array_join(spans, ",").alias("removed"))

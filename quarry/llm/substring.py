@@ -1,4 +1,4 @@
-"""Removal of repeated lines: unit hashing with global digests and original offsets.
+"""Removal of repeated lines and passages: unit hashing with global digests and original offsets.
 
 Every whole text is cut into lines; a line of at least ``min_words`` words is a unit,
 normalised (case, white space) and hashed to 128 bits. Digests are grouped over all
@@ -8,6 +8,13 @@ is cut out. What is shuffled for the grouping are digests and offsets, not texts
 The earliest occurrences of repeated digests are checkpointed before they are joined
 back to the occurrences, so both sides are plain exchanges and AQE can split the rows
 of a line that a third of all documents hold.
+
+Passages are units of ``run_words`` + 1 words running, wherever they start, line breaks
+folded, grouped the same way; overlapping repeats merge to runs. Not all of them are
+grouped: a unit's anchor is the least hash of the shorter word runs inside it (half
+its length), which depends on the unit's words only, so equal units have equal anchors
+wherever they stand. Only units whose anchor stands in more than one place are
+hashed and grouped, which loses no repeat.
 """
 
 from __future__ import annotations
@@ -15,16 +22,25 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.tables import kept
+from quarry.llm.words import mix, text_pieces
 from quarry.session import ensure_checkpoint_dir
 
 #: Shorter lines are no units: common phrases repeat without being copied.
 MIN_WORDS = 10
+#: A passage has more words than that.
+RUN_WORDS = 50
+#: Distinct words a task remembers, and words it looks at together.
+HELD, BLOCK = 100_000, 1 << 17
 _LINE = re.compile(r"[^\n]+\n?")
+_WORD = re.compile(r"\S+")  # the words of str.split()
+_MULT, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
 def unit_digest(line: str) -> tuple[int, bytes]:
@@ -62,6 +78,172 @@ def units(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",)
     return frame.mapInArrow(run, schema)
 
 
+class _Words(dict):
+    """Lower-cased word -> 64-bit hash, remembered up to HELD words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= HELD:
+            self.clear()
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return value
+
+    def of(self, text: str) -> np.ndarray:
+        """Hashes of the words of a text, in order."""
+        parts = []
+        for piece in text_pieces(text):
+            words = piece.lower().split()
+            parts.append(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
+def _runs(h: np.ndarray, length: int) -> np.ndarray:
+    """Polynomial hashes of all runs of ``length`` words, put together from runs of powers of two."""
+    out, done, size, by = None, 0, 1, _MULT
+    while True:
+        if length & size:
+            out = h if out is None else out[:len(h) - done] * by + h[done:done + len(out)]
+            done += size
+        if 2 * size > length:
+            return out
+        h = h[:-size] * by + h[size:]
+        by = np.multiply(by, by)
+        size *= 2
+
+
+def _sliding(x: np.ndarray, width: int, of=np.minimum) -> np.ndarray:
+    """The least (or greatest) of each ``width`` values in a row."""
+    size, n = 1, len(x) - width + 1
+    while 2 * size <= width:
+        x = of(x[:-size], x[size:])
+        size *= 2
+    return of(x[:n], x[width - size:width - size + n])
+
+
+def _half(length: int) -> tuple[int, int]:
+    """Words of an anchor's run, and how many such runs a unit has."""
+    half = (length + 1) // 2
+    return half, length - half + 1
+
+
+def _between(text: str, spans: list[dict], least: int) -> Iterator[tuple[int, str]]:
+    """What stands between the cut lines of at least ``least`` words, with its place."""
+    done = 0
+    for s in spans or ():
+        if len(text[s["start"]:s["stop"]].split()) >= least:
+            yield done, text[done:s["start"]]
+            done = s["stop"]
+    yield done, text[done:]
+
+
+def _anchors(df: DataFrame, length: int) -> DataFrame:
+    """(_id, _print, anchor): one row for each place of an anchor of some unit outside long cut lines."""
+    schema = df.select("_id", "_print").schema.add("anchor", "long")
+    half, width = _half(length)
+
+    def places(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the text and anchor, for some texts in a row."""
+        h, stops = np.concatenate(hashes), np.cumsum([len(x) for x in hashes])
+        runs = _runs(h, half)
+        least = _sliding(runs, width)
+        text = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
+        at = np.arange(len(least))
+        least[at + length > stops[text[:len(least)]]] = 0  # reaches into the next text
+        edge = np.zeros(width - 1, np.uint64)
+        some = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == runs)
+        return text[some], runs[some].view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            row, hashes, size = [], [], 0
+            for n in range(batch.num_rows):
+                for _, x in _between(batch.column("_source")[n].as_py() or "", batch.column("removed")[n].as_py(), length):
+                    h = words.of(x)
+                    if len(h) >= length:
+                        row.append(n)
+                        hashes.append(h)
+                        size += len(h)
+                if size >= BLOCK or n + 1 == batch.num_rows and size:
+                    text, anchor = places(hashes)
+                    found = batch.select(["_id", "_print"]).take(pa.array(np.array(row)[text]))
+                    yield pa.RecordBatch.from_arrays([*found.columns, pa.array(anchor)], ["_id", "_print", "anchor"])
+                    row, hashes, size = [], [], 0
+
+    return df.mapInArrow(run, schema)
+
+
+def _passages(df: DataFrame, length: int) -> DataFrame:
+    """One row per unit of ``length`` words with one of the document's ``anchors``: _id, _print, start, stop,
+    digest. Units don't reach into cut lines (``removed``) that are as long themselves."""
+    schema = df.select("_id", "_print").schema.add("start", "long").add("stop", "long").add("digest", "binary")
+    half, width = _half(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _Words()
+        for batch in batches:
+            for n in range(batch.num_rows):
+                part = batch.slice(n, 1)
+                text, spans = part.column("_source")[0].as_py(), part.column("removed")[0].as_py()
+                anchors = part.column("anchors")[0].values.to_numpy().view(np.uint64)
+                for place, x in _between(text, spans, length):
+                    h = words.of(x)
+                    if len(h) < length:
+                        continue
+                    some = np.flatnonzero(np.isin(_sliding(_runs(h, half), width), anchors))
+                    if not len(some):
+                        continue
+                    at = np.array([m.span() for m in _WORD.finditer(x)], np.int64) + place
+                    both = np.stack([_runs(h, length)[some], _runs(mix(h ^ _OTHER), length)[some]], 1)
+                    digest = pa.FixedSizeBinaryArray.from_buffers(
+                        pa.binary(16), len(some), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
+                    key = part.select(["_id", "_print"]).take(pa.array(np.zeros(len(some), np.int64)))
+                    yield pa.RecordBatch.from_arrays(
+                        [*key.columns, pa.array(at[some, 0]),
+                         pa.array(at[some + length - 1, 1]), digest], ["_id", "_print", "start", "stop", "digest"])
+
+    return df.mapInArrow(run, schema)
+
+
+def _repeats(found: DataFrame) -> DataFrame:
+    """The units (_id, _print, start, stop) whose digest stands in an earlier place."""
+    place = F.struct("_id", "_print", "start")
+    first = (found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+             .where("first < last").select("digest", "first").checkpoint())
+    return found.join(first, "digest").where(place > F.col("first")).select("_id", "_print", "start", "stop")
+
+
+def _merged(cut: DataFrame) -> DataFrame:
+    """Overlapping spans put together; spans that only touch stay apart."""
+    own = Window.partitionBy("_id", "_print").orderBy("start", "stop")
+    before = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    rows = cut.withColumn("new", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
+    rows = rows.withColumn("part", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy("_id", "_print", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("part")
+
+
+def _spans(cut: DataFrame) -> DataFrame:
+    spans = cut.groupBy("_id", "_print").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
+    return spans.withColumnsRenamed({"_id": "_id2", "_print": "_print2"})
+
+
+def _same(rows: DataFrame, other: DataFrame):
+    return rows["_id"].eqNullSafe(other["_id2"]) & (rows["_print"] == other["_print2"])
+
+
+def _with_passages(rows: DataFrame, cut: DataFrame, length: int) -> DataFrame:
+    """The cut lines and the repeated units of ``length`` words."""
+    cut = cut.checkpoint()
+    texts = rows.select("_id", "_print", "_source")
+    lines = _spans(cut).checkpoint()
+    anchors, _ = kept(_anchors(texts.join(lines, _same(texts, lines), "left"), length))
+    repeated = anchors.groupBy("anchor").count().where("count > 1").select("anchor").checkpoint()
+    own = anchors.join(repeated, "anchor").groupBy("_id", "_print").agg(F.collect_set("anchor").alias("anchors"))
+    own = own.join(lines, _same(own, lines), "left").select(
+        F.col("_id").alias("_id2"), F.col("_print").alias("_print2"), "anchors", "removed")
+    some = texts.join(own, _same(texts, own)).select("_id", "_print", "_source", "anchors", "removed")
+    return cut.unionByName(_repeats(kept(_passages(some, length))[0]))
+
+
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
@@ -84,12 +266,17 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None,
-                   min_words: int = MIN_WORDS) -> DataFrame:
+                   min_words: int = MIN_WORDS, run_words: int | None = None) -> DataFrame:
     """Every document with the repeated lines cut out of its text: the ``keep`` columns (default:
     all, the text replaced) and ``removed``, the cut spans (start, stop; characters of the original
     text, in order). A line's earliest occurrence over all documents stays, by doc_id (null
     first), then text, then place; a repeat inside one document goes as well.
 
+    With ``run_words``, passages of more words than that (lower-cased, between white space; line breaks count
+    as spaces) go as well, wherever they start and stop, if all their words stand so in an earlier place, which
+    may overlap them. A repeated line of over ``run_words`` words is a passage by itself: what stands before and
+    after it is looked at apart. Spans that overlap are put together.
+
     A null text stays null and an empty one empty, with nothing removed; a document may end up
     empty, but its row stays. Rows with the same doc_id and the same text count as one document
     and get the same cuts. Lines of any length are hashed whole. An empty table gives no rows.
@@ -100,14 +287,9 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
     rest = [c for c in keep if c not in (doc_id, text)]
     rows = df.select(df[doc_id].alias("_id"), F.xxhash64(df[text]).alias("_print"), df[text].alias("_source"),
                      *[df[c] for c in rest])
-    found = units(rows, "_source", ("_id", "_print"), min_words).checkpoint()
-    place = F.struct("_id", "_print", "start")
-    first = (found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-             .where("first < last").select("digest", "first").checkpoint())
-    cut = found.join(first, "digest").where(place > F.col("first")).select("_id", "_print", "start", "stop").distinct()
-    spans = cut.groupBy("_id", "_print").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
-    spans = spans.withColumnsRenamed({"_id": "_id2", "_print": "_print2"})
-    both = rows.join(spans, rows["_id"].eqNullSafe(spans["_id2"]) & (rows["_print"] == spans["_print2"]), "left")
+    cut = _repeats(units(rows, "_source", ("_id", "_print"), min_words).checkpoint()).distinct()
+    spans = _spans(cut if run_words is None else _merged(_with_passages(rows, cut, run_words + 1)))
+    both = rows.join(spans, _same(rows, spans), "left")
     both = both.select("_id", *rest, F.coalesce("removed", F.array().cast(spans.schema["removed"].dataType))
                        .alias("removed"), "_source")
     out = both.mapInArrow(_without, both.drop("_source").schema.add("_text", "string"))

@@ -354,6 +354,56 @@ def test_repeated_lines_equal_brute_force(spark):
     assert substring.remove_repeats(docs_frame(spark, texts).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [51, 60, 130])
+def test_repeated_passages_go_mid_line_and_wrapped(spark, size):
+    rng = random.Random(size)
+    own = [f"w{i}" for i in range(4000)]
+
+    def fresh(n):
+        return " ".join(rng.choice(own) for _ in range(n))
+
+    passage = fresh(size).split()
+    short = fresh(50)
+    lines, at = [], 0
+    while at < size:
+        step = rng.randint(6, 12)
+        lines.append(" ".join(passage[at:at + step]))
+        at += step
+    wrapped = "\n".join(lines)
+    once = " ".join(passage)
+    parts = [(fresh(20), fresh(30)) for _ in range(6)]
+    forms = [once, once, wrapped, once.upper(), "  ".join(passage), short]
+    texts = [f"{a} {x} {b}" for (a, b), x in zip(parts, forms, strict=True)]
+    texts += [f"{fresh(9)} {short} {fresh(9)}", f"{fresh(5)} {once} {fresh(3)}\n{once} {fresh(2)}", None, ""]
+    rows = {r.doc_id: r for r in substring.remove_repeats(docs_frame(spark, texts), run_words=50).collect()}
+    for i in range(1, 5):
+        assert rows[i].text == f"{parts[i][0]}  {parts[i][1]}"
+        start = len(parts[i][0]) + 1
+        assert [tuple(s) for s in rows[i].removed] == [(start, start + len(forms[i]))]
+    for i in (0, 5, 6, 8, 9):  # the first occurrence, and a passage of 50 words
+        assert rows[i].text == texts[i] and not rows[i].removed
+    assert len(rows[7].removed) == 2 and passage[size // 2] not in rows[7].text.split()
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(4)
+    stock = [sentence(rng, rng.randint(9, 25)) for _ in range(4)]
+    texts = [rng.choice([" ", "\n"]).join(rng.choices(stock, k=rng.randint(0, 9))) for _ in range(70)] + [None, sentence(rng, 700)]
+    found = {r.doc_id: r for r in substring.remove_repeats(docs_frame(spark, texts), min_words=10 ** 9, run_words=50).collect()}
+    seen, some = set(), 0
+    for i, t in enumerate(texts):
+        words = (t or "").split()
+        gone = set()
+        for k in range(len(words) - 50):
+            unit = tuple(words[k:k + 51])
+            if unit in seen:
+                gone.update(range(k, k + 51))
+            seen.add(unit)
+        some += len(gone)
+        assert (found[i].text or "").split() == [w for k, w in enumerate(words) if k not in gone]
+    assert some
+
+
 # --- suffix tree
 
 def test_suffix_tree_base_scores_and_gain(spark):
