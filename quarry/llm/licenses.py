@@ -71,44 +71,51 @@ class TemplateIndex:
         self.rows /= np.sqrt((self.rows ** 2).sum(1))[:, None]
         self.other = np.log(n_files + 1) + 1  # idf of a term that no template has
 
-    def best(self, windows: list[Counter]) -> tuple[str | None, float]:
-        """Licence and cosine of the best template over all windows; ties to the earlier template."""
-        scores = np.zeros(len(self.names))
-        for counts in windows:
-            dot, norm = np.zeros(len(self.names)), 0.0
-            for t, c in counts.items():
-                i = self.at.get(t)
-                if i is None:
-                    norm += (c * self.other) ** 2
-                else:
-                    w = c * self.idf[i]
-                    norm += w * w
-                    dot += w * self.rows[:, i]
-            if norm:
-                scores = np.maximum(scores, dot / np.sqrt(norm))
+    def line(self, own: list[str]) -> tuple[np.ndarray, float]:
+        """Products of a line's vector with the templates, and its squared norm."""
+        dot, norm = np.zeros(len(self.names)), 0.0
+        for t, c in Counter(own).items():
+            i = self.at.get(t)
+            if i is None:
+                norm += (c * self.other) ** 2
+            else:
+                w = c * self.idf[i]
+                norm += w * w
+                dot += w * self.rows[:, i]
+        return dot, norm
+
+    def best(self, text: str, spans: tuple[int, ...] = (1, 2, 4)) -> tuple[str | None, float]:
+        """Licence and cosine of the best template over each run of 1, 2 and 4 lines (lines without
+        terms left out): notices are often wrapped. Ties go to the earlier template.
+
+        Only runs with a template's term have a product. The lines' products add up to their run's, and their
+        squared norms to no more than its, so the sums bound its cosine; a run below the best so far is left out.
+        """
+        scores, top = np.zeros(len(self.names)), 0.0
+        last: deque[list] = deque(maxlen=max(spans))  # terms, whether one is a template's, product and norm
+        for piece in text_pieces(text):
+            for line in piece.split("\n"):
+                own = terms(line)
+                if not own:
+                    continue
+                last.append([own, not self.at.keys().isdisjoint(own), None])
+                run = list(last)
+                for n in spans:
+                    lines = run[-n:]
+                    if n > len(run) or not any(hit for _, hit, _ in lines):
+                        continue
+                    for x in lines:
+                        if x[2] is None:
+                            x[2] = self.line(x[0])
+                    bound = sum(x[2][0] for x in lines).max() / np.sqrt(sum(x[2][1] for x in lines))
+                    if bound >= top * (1 - 1e-9):
+                        dot, norm = self.line([t for x in lines for t in x[0]])
+                        scores = np.maximum(scores, dot / np.sqrt(norm))
+                        top = scores.max()
         k = int(scores.argmax())
         return (self.names[k] if scores[k] > 0 else None), float(scores[k])
 
 
-def windows_of(text: str, known: set[str], spans: tuple[int, ...] = (1, 2, 4)) -> Iterator[Counter]:
-    """Term counts of each run of 1, 2 and 4 lines (lines without terms left out) that holds a known
-    term: notices are often wrapped."""
-    last: deque[list[str]] = deque(maxlen=max(spans))
-    hits: deque[bool] = deque(maxlen=max(spans))
-    for piece in text_pieces(text):
-        for line in piece.split("\n"):
-            own = terms(line)
-            if not own:
-                continue
-            last.append(own)
-            hits.append(not known.isdisjoint(own))
-            if True not in hits:  # most lines: nothing is counted
-                continue
-            for n in spans:
-                if n <= len(last) and any(list(hits)[-n:]):
-                    yield Counter(t for x in list(last)[-n:] for t in x)
-
-
 def scan(files: DataFrame, templates=TEMPLATES, path: str = "path", text: str = "text",
          keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: the path), license (best template's) and similarity of each file,
@@ -131,15 +138,12 @@ def scan(files: DataFrame, templates=TEMPLATES, path: str = "path", text: str =
     counted = files.select(files[text]).mapInArrow(frequencies, "term string, n long")
     frequency = {r.term: r.n for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect()}
     index = TemplateIndex(templates, frequency, frequency.pop("", 0))
-    # only lines that share an informative term with a template can come near one
-    rare = {t for t in index.at if index.idf[index.at[t]] > 1.5} or set(index.at)
     frame = files.select(*[files[c] for c in keep], files[text].alias("_source"))
     schema = frame.drop("_source").schema.add("license", "string").add("similarity", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [index.best(list(windows_of(t or "", rare)))
-                     for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [index.best(t or "") for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()),
                  pa.array([s for _, s in found], pa.float64())], [*keep, "license", "similarity"])

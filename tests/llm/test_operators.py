@@ -329,6 +329,33 @@ def test_license_scan_inherits_from_the_nearest_directory(spark):
     assert licenses.license_scan(df.limit(0)).count() == 0
 
 
+def test_license_of_a_header_that_every_file_has(spark):
+    rng = random.Random(6)
+    for header in ("All rights reserved.", "Released under the MIT License."):
+        files = [(f"a/{i}.py", (f"# {header}\n" if i % 20 else "") + sentence(rng, 30)) for i in range(40)]
+        rows = licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()
+        assert [r.similarity > 0.99 for r in rows] == [bool(int(r.path[2:-3]) % 20) for r in rows]
+
+
+def test_license_of_the_best_window_equals_brute_force():
+    rng = random.Random(7)
+    stock = [w for _, x in licenses.TEMPLATES for w in licenses.terms(x)] + list(WORDS)
+    index = licenses.TemplateIndex(licenses.TEMPLATES, {w: rng.randint(0, 900) for w in stock}, 1000)
+    for _ in range(150):
+        text = "\n".join(" ".join(rng.choices(stock, k=rng.randint(0, 6))) for _ in range(rng.randint(0, 12)))
+        lines = [x for x in map(licenses.terms, text.split("\n")) if x]
+        scores = np.zeros(len(index.names))
+        for n in (1, 2, 4):
+            for i in range(len(lines) - n + 1):
+                own = collections.Counter(t for x in lines[i:i + n] for t in x)
+                norm = math.sqrt(sum((c * (index.idf[index.at[t]] if t in index.at else index.other)) ** 2 for t, c in own.items()))
+                dot = sum(c * index.idf[index.at[t]] * index.rows[:, index.at[t]] for t, c in own.items() if t in index.at)
+                scores = np.maximum(scores, dot / norm)
+        name, score = index.best(text)
+        assert score == pytest.approx(scores.max())
+        assert name == (index.names[int(scores.argmax())] if score else None)
+
+
 # --- repeated lines
 
 def test_repeated_lines_equal_brute_force(spark):
