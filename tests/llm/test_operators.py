@@ -460,6 +460,15 @@ def test_suffix_tree_base_scores_and_gain(spark):
     assert pst.score_texts(docs_frame(spark, texts).limit(0), F.lit(True)).count() == 0
 
 
+def test_suffix_tree_counts_next_words_that_are_rare_themselves(spark):
+    rng = random.Random(12)
+    texts = [" ".join(f"a{i} r{i}x{rng.randrange(10)}" for i in rng.choices(range(10), k=60)) for _ in range(100)]
+    # a context has a share of about 1/20, each next word one of 1/200, below p_min and above p_next
+    rows = pst.score_texts(docs_frame(spark, texts), F.lit(True), p_min=2.0 ** -6, p_next=2.0 ** -12).collect()
+    gain = sum(r.score - r.base_score for r in rows) / (100 * 60)
+    assert gain == pytest.approx(math.log10(20), abs=0.2)
+
+
 def test_layer_distributions_sum_to_one():
     rng = np.random.default_rng(3)
     n_words = 40
