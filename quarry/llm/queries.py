@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (bpe, chat, jaccard_join, licenses, near_dedup, packing, pst, quality, substring, topk)
+from quarry.llm import (bpe, chat, disclosure, divergence, jaccard_join, licenses, near_dedup, packing, pst, quality, substring,
+                        topk, whitening)
 
 #: Where the vocabularies are; operators take the files as parameters.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -96,9 +97,27 @@ def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(_table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.private_spans(_table(spark, sf_dir, "documents"), ["doc_id"])
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return found.select(
+        "doc_id", *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
+                    for k in ("email", "ip", "card", "phone")],
+        F.sha2(disclosure.span_text(base).cast("binary"), 256).alias("base_sha256"),
+        disclosure.span_text(F.col("spans")).alias("spans"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_jaccard_join, op3_chat_format, op4_near_dedup, op5_topk, op6_quality, op7_license_scan,
-    op8_bpe, op9_substring_dedup, op10_suffix_tree)}
+    op8_bpe, op9_substring_dedup, op10_suffix_tree, op11_source_divergence, op12_whitening, op13_pii)}
 
 _REACH = """
 reach AS (
@@ -149,6 +168,36 @@ scored AS (
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM scored)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM ranked WHERE n <= 10
+""",
+    "op11_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS term FROM d),
+stay AS (SELECT lang, term, count(*) AS nl FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(nl) AS tl FROM stay GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN stay USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, stay.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(s.total, 0) + 5 * v.v) AS p,
+    1 + (1000000000::HUGEINT * (stay.nl + 5)) // (v.tl + 5 * v.v) AS q
+  FROM g JOIN stay USING (lang) JOIN v USING (lang) LEFT JOIN s ON s.lang = g.lang AND s.source = g.source
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = stay.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+everything AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM everything)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(k AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR k <= 50
 """,
     "op9_substring_dedup": r"""
 WITH lines AS (
