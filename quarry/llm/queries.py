@@ -108,11 +108,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = disclosure.private_spans(_table(spark, sf_dir, "documents"), ["doc_id"])
     base = F.filter("spans", lambda s: s["kind"] != "term")
-    return found.select(
-        "doc_id", *[F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}")
-                    for k in ("email", "ip", "card", "phone")],
-        F.sha2(disclosure.span_text(base).cast("binary"), 256).alias("base_sha256"),
-        disclosure.span_text(F.col("spans")).alias("spans"))
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, ("email", "ip", "card", "phone")),
+                        F.sha2(disclosure.span_text(base).cast("binary"), 256).alias("base_sha256"),
+                        disclosure.span_text(F.col("spans")).alias("spans"))
 
 
 QUERIES = {f.__name__: f for f in (

@@ -205,7 +205,7 @@ def test_disclosure_equals_brute_force(spark):
         if text is None:
             assert r.sanitised is None
         elif "Zorblax" in text:
-            assert "x x9 [EMAIL]" in r.sanitised and "Zorblax" not in r.sanitised
+            assert "x  [EMAIL]" in r.sanitised and "Zorblax" not in r.sanitised
     assert disclosure.sanitise(frame.limit(0), ["doc_id"]).count() == 0
     plain = spark.createDataFrame([(1, "only a@b.cc"), (1, "only a@b.cc"), (None, None)], "doc_id long, text string")
     found = disclosure.private_spans(plain, ["doc_id"]).select("doc_id", disclosure.span_text(F.col("spans")).alias("s")).collect()
