@@ -11,9 +11,9 @@ duplications our detectors find.
 
 Token clones: a k-gram is k consecutive ASCII tokens ``[a-z0-9]+`` of the
 lower-cased text. Each document computes all its k-gram fingerprints in one
-pass (vectorised rolling hashes, or a JVM expression); only the fingerprints
-(two independent 64-bit values, i.e. 128 bits) are shuffled, never the
-k-gram text.
+pass (vectorised rolling hashes); only the fingerprints (two independent
+64-bit values, i.e. 128 bits) are shuffled, never the k-gram text. Longer
+fragments are put together from them in ``operators.maximal``.
 Repeated k-grams are found by two partially aggregated ``groupBy``s, so a
 k-gram repeated millions of times costs one row per map partition before
 the shuffle. The text of a repeated k-gram is re-extracted from its first
@@ -22,13 +22,11 @@ occurrence only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators.successor import next_in_order
-
-FP_SEED = "quarry-kgram"
+from quarry.operators.fingerprints import rolling_fingerprints
 
 
 # --------------------------------------------------------------------------- line model
@@ -121,52 +119,10 @@ def projects_with(dups: DataFrame, project_col: str = "project") -> Column:
 
 
 # --------------------------------------------------------------------------- token k-grams
-def _token_lines(text: Column) -> Column:
-    """Array of struct(t, ln): every ASCII token of the text with its 1-based line."""
-    ls = T.lines(text)
-    per_line = F.transform(ls, lambda l, i: F.transform(
-        T.ascii_tokens(l), lambda t: F.struct(t.alias("t"), (i + 1).alias("ln"))))
-    return F.flatten(per_line)
-
-
-def kgram_fingerprints(docs: DataFrame, project_col: str, doc_col: str, text_col: str,
-                       k: int = 20, engine: str = "numpy") -> DataFrame:
-    """One row per k-gram position: (project, doc, pos, h1, h2, first_line, last_line).
-
-    Whole texts are tokenised; a document with fewer than k tokens has no row.
-    ``engine="numpy"`` (default) computes two independent 64-bit polynomial
-    rolling fingerprints per document with vectorised numpy inside
-    ``mapInPandas`` (measured 2.4x faster than the JVM form at sf0.1, where
-    Spark evaluates the per-position lambda interpretively); ``engine="jvm"``
-    builds the same positions from built-in array functions (seeded
-    ``xxhash64`` of each k-token slice). Both tokenise exactly like
-    ``functions.text.ascii_tokens``; fingerprints differ between engines, the
-    positions and repeats they find do not.
-    """
-    if engine == "numpy":
-        from quarry.operators.fingerprints import rolling_fingerprints
-
-        return rolling_fingerprints(docs, project_col, doc_col, text_col, k)
-    if engine != "jvm":
-        raise ValueError(engine)
-    tl = _token_lines(F.col(text_col))
-    # The token array is materialised as a column; the per-position lambda
-    # only slices it (referencing it twice keeps Catalyst from inlining it).
-    base = docs.select(F.col(project_col).alias("project"), F.col(doc_col).alias("doc"),
-                       tl.alias("_tl")).withColumn(
-        "_toks", F.transform(F.col("_tl"), lambda x: x["t"])).withColumn(
-        "_lns", F.transform(F.col("_tl"), lambda x: x["ln"]))
-    n = F.size("_toks")
-
-    def at(i: Column) -> Column:
-        gram = F.slice("_toks", i + 1, k)
-        return F.struct(i.alias("pos"), F.xxhash64(gram).alias("h1"),
-                        F.xxhash64(F.lit(FP_SEED), gram).alias("h2"),
-                        F.element_at("_lns", (i + 1).cast("int")).alias("first_line"),
-                        F.element_at("_lns", (i + k).cast("int")).alias("last_line"))
-
-    grams = F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), at))
-    return base.select("project", "doc", F.inline(grams))
+def kgram_fingerprints(docs: DataFrame, project_col: str, doc_col: str, text_col: str, k: int = 20) -> DataFrame:
+    """One row per k-gram position (see ``fingerprints.rolling_fingerprints``). Whole texts are tokenised, exactly
+    like ``functions.text.ascii_tokens``; a document with fewer than k tokens has no row."""
+    return rolling_fingerprints(docs, project_col, doc_col, text_col, k)
 
 
 def repeated_kgrams(fps: DataFrame, min_occurrences: int = 2) -> DataFrame:
@@ -205,100 +161,8 @@ def kgram_text(repeated: DataFrame, docs: DataFrame, doc_col: str, text_col: str
 
 
 def token_clones(docs: DataFrame, project_col: str, doc_col: str, text_col: str,
-                 k: int = 20, min_occurrences: int = 2, engine: str = "numpy") -> DataFrame:
+                 k: int = 20, min_occurrences: int = 2) -> DataFrame:
     """Repeated k-grams per project with their text, occurrences and documents."""
-    rep = repeated_kgrams(kgram_fingerprints(docs, project_col, doc_col, text_col, k, engine),
+    rep = repeated_kgrams(kgram_fingerprints(docs, project_col, doc_col, text_col, k),
                           min_occurrences)
     return kgram_text(rep, docs, doc_col, text_col, k)
-
-
-def clone_runs(fps: DataFrame, k: int = 20) -> DataFrame:
-    """Clone runs: consecutive positions whose k-grams repeat in step.
-
-    Each occurrence of a repeated k-gram is chained to the next occurrence of
-    the same k-gram in (doc, pos) order - linear output, no all-pairs and no
-    cap. A run is a set of consecutive positions, as long as possible, that
-    chain to the same document with the same offset (gaps and islands on that
-    diagonal). Where a third text holds part of a fragment, the chain goes
-    through that text, so the run between the two others ends there.
-    Output: (project, doc, start, other_doc, other_start, n_kgrams, tokens,
-    first_line, last_line, lines); tokens = n_kgrams + k - 1.
-
-    A k-gram is repeated exactly when its row has a successor, so all positions
-    go through one range shuffle (a hot k-gram is spread over many tasks), and
-    positions without one are dropped inside the sorted partitions.
-    """
-    chained = next_in_order(fps, keys=["project", "h1", "h2"], order=["doc", "pos"],
-                            carry=["doc", "pos", "first_line"], prefix="next_", matched_only=True)
-    pairs = chained.withColumn(
-        "_delta", F.col("next_pos") - F.col("pos"))
-    diag = Window.partitionBy("project", "doc", "next_doc", "_delta").orderBy("pos")
-    islands = pairs.withColumn("_island", F.col("pos") - F.row_number().over(diag))
-    # content: the run's k-gram fingerprints in order (a list no longer than one document)
-    seq = F.array_sort(F.collect_list(F.struct("pos", "h1", "h2")))
-    runs = islands.groupBy("project", "doc", "next_doc", "_delta", "_island").agg(
-        F.min("pos").alias("start"), F.count(F.lit(1)).alias("n_kgrams"),
-        F.min("first_line").alias("first_line"), F.max("last_line").alias("last_line"),
-        F.min("next_first_line").alias("other_first_line"), seq.alias("_seq"))
-    content = F.transform("_seq", lambda x: F.struct(x["h1"], x["h2"]))
-    return runs.select(
-        "project", "doc", "start", F.col("next_doc").alias("other_doc"),
-        (F.col("start") + F.col("_delta")).alias("other_start"), "n_kgrams",
-        (F.col("n_kgrams") + k - 1).alias("tokens"), "first_line", "last_line",
-        (F.col("last_line") - F.col("first_line") + 1).alias("lines"), "other_first_line",
-        F.xxhash64(content).alias("content_h1"), F.xxhash64(F.lit(FP_SEED), content).alias("content_h2"))
-
-
-def grouped_duplications(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Clone-report model of the runs: one duplication per distinct fragment.
-
-    Runs with the same content (same k-gram fingerprint sequence) in a project
-    are one duplication; its occurrences are the distinct (document, start)
-    ends of those runs, so a fragment copied into n places is one duplication
-    with n occurrences (chaining links them pairwise). Lines come from the
-    duplication's first occurrence.
-    """
-    key = ["project", "content_h1", "content_h2", "n_kgrams"]
-    keyed = runs.withColumn("dup_id", F.xxhash64(*key))
-    ends = keyed.select("dup_id", F.col("doc").alias("path"), "start", F.col("first_line").alias("line"),
-                        "lines").unionByName(
-        keyed.select("dup_id", F.col("other_doc").alias("path"), F.col("other_start").alias("start"),
-                     F.col("other_first_line").alias("line"), F.lit(None).cast("long").alias("lines")))
-    occs = ends.groupBy("dup_id", "path", "start").agg(F.min("line").alias("line"))
-    dups = keyed.groupBy("dup_id", "project").agg(
-        F.first("tokens").alias("tokens"),
-        F.min(F.struct("doc", "start", "lines"))["lines"].alias("lines"),
-        F.lit(None).cast("string").alias("code"))
-    return dups, occs.select("dup_id", "path", "line")
-
-
-def classified_fragments(runs: DataFrame) -> DataFrame:
-    """The duplications of ``grouped_duplications`` with both kinds as flags: (project, tokens, lines,
-    same_file, across_file), keyed by the fragment itself (not by a hash of it). Three partially
-    aggregated ``groupBy``s over the ends of the runs, no join; the runs are read once."""
-    key = ["project", "content_h1", "content_h2", "n_kgrams"]
-    first = F.struct(F.col("doc").alias("path"), "start", "lines")
-    none = F.lit(None).cast(runs.select(first.alias("f")).schema["f"].dataType)
-    ends = runs.select(*key, "tokens", F.inline(F.array(
-        F.struct(F.col("doc").alias("path"), F.col("start").alias("at"), first.alias("first")),
-        F.struct(F.col("other_doc").alias("path"), F.col("other_start").alias("at"), none.alias("first")))))
-    occs = ends.groupBy(*key, "tokens", "path", "at").agg(F.min("first").alias("first"))
-    per_path = occs.groupBy(*key, "tokens", "path").agg(F.count(F.lit(1)).alias("_k"), F.min("first").alias("first"))
-    return per_path.groupBy(*key, "tokens").agg(
-        F.min("first")["lines"].alias("lines"), (F.max("_k") > 1).alias("same_file"),
-        (F.min("_k") <= 1).alias("across_file")).select("project", "tokens", "lines", "same_file", "across_file")
-
-
-def runs_as_duplications(runs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The duplication/occurrence model of clone runs: one duplication per run, with
-    its two occurrences (path = document, line = first line of the copy).
-
-    ``dup_id`` hashes the run's natural key. A run inside one document has
-    both occurrences in the same path (a same-file clone); a run between two
-    documents has one in each (an across-file clone).
-    """
-    keyed = runs.withColumn("dup_id", F.xxhash64("project", "doc", "start", "other_doc", "other_start"))
-    dups = keyed.select("dup_id", "project", "lines", "tokens", F.lit(None).cast("string").alias("code"))
-    occs = keyed.select("dup_id", F.col("doc").alias("path"), F.col("first_line").alias("line")).unionByName(
-        keyed.select("dup_id", F.col("other_doc").alias("path"), F.col("other_first_line").alias("line")))
-    return dups, occs

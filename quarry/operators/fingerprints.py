@@ -1,33 +1,31 @@
 """Vectorised k-gram fingerprints of whole documents (the per-document helper of CLN1).
 
-Per document: tokens ``[a-z0-9]+`` of the lower-cased text (as
-``functions.text.ascii_tokens``), a 64-bit hash per token, then for every
-window of k tokens the polynomial fingerprint sum(h[i+j] * B^j) mod 2^64,
-computed for all windows at once from prefix sums weighted by B^j and the
-inverse powers B^-i (B odd, so invertible mod 2^64; numpy uint64 arithmetic
-wraps). Two bases over two independent token hashes give 128 bits.
-Documents are independent, so Spark spreads them over tasks; nothing is
-grouped here.
+Per document: tokens ``[a-z0-9]+`` of the lower-cased text (as ``functions.text.ascii_tokens``), two 64-bit hashes
+per distinct token, then for every window of k tokens the polynomial fingerprint sum(h[i+j] * B^j) mod 2^64,
+computed for all windows at once from prefix sums weighted by B^j and the inverse powers B^-i (B odd, so invertible
+mod 2^64; numpy uint64 arithmetic wraps). Two bases over two independent token hashes give 128 bits.
+
+A fingerprint row is small but there is one per token, about eight times the text. So the texts are dealt out by
+document in front of this step: one shuffle of the texts, where a file of a single row group
+would otherwise be one task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Odd multipliers of the two fingerprints (any odd 64-bit constants work).
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 TOKEN_SEEDS = (0, 0x5151)
-# Positions buffered before a pandas frame is handed back to Spark (memory bound).
-MAX_ROWS_PER_OUTPUT = 1_000_000
-
-
-def _token_hasher():
-    import xxhash  # required on every worker: all must hash alike
+# Positions handed back to Spark at once, and distinct tokens whose hashes a task remembers (memory bounds).
+MAX_ROWS_PER_OUTPUT, MAX_TOKENS = 250_000, 500_000
 
-    return lambda t, seed: xxhash.xxh64_intdigest(t, seed)
+SCHEMA = ("project string, doc long, pos int, h1 long, h2 long, prev long, next long, first_line int, last_line int")
 
 
 def _fingerprints(h: np.ndarray, k: int, base: int) -> np.ndarray:
@@ -42,56 +40,90 @@ def _fingerprints(h: np.ndarray, k: int, base: int) -> np.ndarray:
         return ((s[k:k + m] - s[:m]) * ipw[:m]).view(np.int64)
 
 
-def _batches(k: int):
-    def fn(batches):
+class _Tokens(dict):
+    """token -> number; the hashes of token n are ``hashes[:, n]``."""
+
+    def __init__(self):
+        import xxhash  # required on every worker: all must hash alike
+
+        self._hash = xxhash.xxh64_intdigest
+        self.hashes = np.empty((len(TOKEN_SEEDS), 1 << 14), np.uint64)
+
+    def __missing__(self, token: str) -> int:
+        value = len(self)
+        if value == self.hashes.shape[1]:
+            self.hashes = np.concatenate([self.hashes, np.empty_like(self.hashes)], axis=1)
+        for i, seed in enumerate(TOKEN_SEEDS):
+            self.hashes[i, value] = self._hash(token, seed)
+        self[token] = value
+        return value
+
+
+def apart(h: np.ndarray, k: int) -> np.ndarray:
+    """Which places count, if those of one k-gram must not overlap: in order, each that begins at least k tokens
+    after the last counted one."""
+    counted = np.ones(len(h), bool)
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    starts = np.flatnonzero(np.concatenate([[True], ~same]))
+    close = np.unique(np.searchsorted(starts, np.flatnonzero(same & (np.diff(order) < k)), "right") - 1)
+    for group in close:  # k-grams of short patterns that are repeated on end
+        last = -k
+        for at in order[starts[group]:starts[group + 1] if group + 1 < len(starts) else None].tolist():
+            if at - last >= k:
+                last = at
+            else:
+                counted[at] = False
+    return counted
+
+
+def _rolling(k: int, spaced: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
 
-        tok = re.compile(r"[a-z0-9]+")
-        hasher = _token_hasher()
-        names = ("project", "doc", "pos", "h1", "h2", "first_line", "last_line")
-
-        def flush(cols):
-            return pd.DataFrame({c: np.concatenate(v) for c, v in cols.items()})
-
-        for pdf in batches:
-            cols = {c: [] for c in names}
-            pending = 0
-            for proj, doc, text in zip(pdf["project"], pdf["doc"], pdf["text"]):
+        token = re.compile(r"[a-z0-9]+")
+        tokens = _Tokens()
+        for batch in batches:
+            for row in range(batch.num_rows):
+                text = batch.column(2)[row].as_py()
                 if text is None:
                     continue
-                low = text.lower()
-                ms = list(tok.finditer(low))
-                n = len(ms)
+                words, per_line = [], []
+                for line in text.lower().split("\n"):
+                    found = token.findall(line)
+                    per_line.append(len(found))
+                    words += found
+                n = len(words)
                 if n < k:
                     continue
-                words = [m.group() for m in ms]
-                starts = np.fromiter((m.start() for m in ms), dtype=np.int64, count=n)
-                newlines = np.flatnonzero(np.frombuffer(low.encode("utf-32-le"), dtype=np.uint32) == 10)
-                line = (np.searchsorted(newlines, starts) + 1).astype(np.int32)
-                m = n - k + 1
-                for key, base, seed in (("h1", BASES[0], TOKEN_SEEDS[0]), ("h2", BASES[1], TOKEN_SEEDS[1])):
-                    h = np.fromiter((hasher(w, seed) for w in words), dtype=np.uint64, count=n)
-                    cols[key].append(_fingerprints(h, k, base))
-                cols["pos"].append(np.arange(m, dtype=np.int32))
-                cols["first_line"].append(line[:m])
-                cols["last_line"].append(line[k - 1:])
-                cols["project"].append(np.full(m, proj, dtype=object))
-                cols["doc"].append(np.full(m, doc, dtype=np.int64))
-                pending += m
-                if pending >= MAX_ROWS_PER_OUTPUT:  # output is ~8x the text: flush early
-                    yield flush(cols)
-                    cols = {c: [] for c in names}
-                    pending = 0
-            if cols["pos"]:
-                yield flush(cols)
-
-    return fn
+                if len(tokens) > MAX_TOKENS:
+                    tokens = _Tokens()
+                code = np.fromiter(map(tokens.__getitem__, words), np.int64, n)
+                line = np.repeat(np.arange(1, len(per_line) + 1, dtype=np.int32), per_line)
+                h1, h2 = (_fingerprints(t[code], k, base) for t, base in zip(tokens.hashes, BASES, strict=True))
+                m = len(h1)
+                counted = apart(h1, k) if spaced else np.ones(m, bool)
+                gap = np.concatenate([[True], ~counted, [True]])
+                prev, after = np.roll(h1, 1), np.roll(h1, -1)
+                places = np.flatnonzero(counted)
+                for at in range(0, len(places), MAX_ROWS_PER_OUTPUT):  # also inside a long document
+                    cut = places[at:at + MAX_ROWS_PER_OUTPUT]
+                    same = pa.array(np.full(len(cut), row), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(same), batch.column(1).take(same), pa.array(cut.astype(np.int32)),
+                         pa.array(h1[cut]), pa.array(h2[cut]), pa.array(prev[cut], mask=gap[cut]),
+                         pa.array(after[cut], mask=gap[cut + 2]), pa.array(line[cut]), pa.array(line[cut + k - 1])],
+                        ["project", "doc", "pos", "h1", "h2", "prev", "next", "first_line", "last_line"])
+
+    return run
 
 
 def rolling_fingerprints(docs: DataFrame, project_col: str, doc_col: str, text_col: str,
-                         k: int = 20) -> DataFrame:
-    """(project, doc, pos, h1, h2, first_line, last_line) for every k-gram position."""
+                         k: int = 20, spaced: bool = False) -> DataFrame:
+    """(project, doc, pos, h1, h2, prev, next, first_line, last_line) for every k-gram position; prev and next are h1 of
+    the k-grams one position before and after (null at the ends of the document). With ``spaced``, places of one k-gram
+    that overlap in a document don't count beside the first (``apart``); they have no row and are nobody's neighbours."""
     src = docs.select(F.col(project_col).cast("string").alias("project"),
                       F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    schema = ("project string, doc long, pos int, h1 long, h2 long, first_line int, last_line int")
-    return src.mapInPandas(_batches(k), schema)
+    wide = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), src.rdd.getNumPartitions())
+    return src.repartition(wide, "doc").mapInArrow(_rolling(k, spaced), SCHEMA)

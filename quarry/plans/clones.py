@@ -1,7 +1,7 @@
 r"""Clone queries on ``documents`` (project = source, file = doc_id).
 
 Line model: a duplication is a trimmed non-empty line repeated in a project.
-Token model: k-grams (k = 20) of ASCII tokens and their maximal clone runs.
+Token model: k-grams (k = 20) of ASCII tokens and the maximal clones made of them.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import clones as C
+from quarry.operators import maximal as M
 from quarry.plans.registry import register
 from quarry.sources.tables import table
 
@@ -100,87 +101,113 @@ def q_token_clones(spark: SparkSession, sf: str) -> DataFrame:
     return tc.select("project", "kgram", "n_occ", "n_docs")
 
 
-RUNS_SQL = KGRAM_SQL + f""",
-occ AS (SELECT fk.* FROM fk JOIN rep ON fk.source = rep.source AND fk.kgram = rep.kgram),
-ch AS (SELECT *, lead(doc_id) OVER (PARTITION BY source, kgram ORDER BY doc_id, pos) AS next_doc,
-                 lead(pos) OVER (PARTITION BY source, kgram ORDER BY doc_id, pos) AS next_pos FROM occ),
-pr AS (SELECT *, next_pos - pos AS delta FROM ch WHERE next_doc IS NOT NULL),
-isl AS (SELECT *, pos - ROW_NUMBER() OVER (PARTITION BY source, doc_id, next_doc, delta ORDER BY pos) AS island FROM pr),
-isl_runs AS (SELECT source, doc_id, next_doc, delta, island, min(pos) AS start, COUNT(*) AS n_kgrams,
-                    min(first_line) AS first_line, max(last_line) AS last_line,
-                    string_agg(kgram, '|' ORDER BY pos) AS content
-             FROM isl GROUP BY source, doc_id, next_doc, delta, island),
-runs AS (SELECT source AS project, doc_id AS doc, CAST(min(pos) AS BIGINT) AS start, next_doc AS other_doc,
-       CAST(min(pos) + delta AS BIGINT) AS other_start, CAST(COUNT(*) AS BIGINT) AS n_kgrams,
-       CAST(COUNT(*) + {K - 1} AS BIGINT) AS tokens, CAST(min(first_line) AS BIGINT) AS first_line,
-       CAST(max(last_line) AS BIGINT) AS last_line, CAST(max(last_line) - min(first_line) + 1 AS BIGINT) AS lines
-FROM isl GROUP BY source, doc_id, next_doc, delta, island)"""
-
-
-@register("q_clone_runs", "WITH " + RUNS_SQL + "\nSELECT * FROM runs")
+# Longest matches of all pairs of occurrences (no chaining): their texts are the maximal fragments, whose occurrences
+# are then looked up by text.
+FRAGMENTS_SQL = KGRAM_SQL + f""",
+near AS (SELECT DISTINCT doc_id, kgram FROM (
+  SELECT doc_id, kgram, pos - lag(pos) OVER (PARTITION BY doc_id, kgram ORDER BY pos) AS gap FROM fk) x WHERE gap < {K}),
+spots AS MATERIALIZED (SELECT fk.doc_id, fk.kgram, list(fk.pos ORDER BY fk.pos) AS p FROM fk JOIN near USING (doc_id, kgram) GROUP BY ALL),
+spaced AS (
+  SELECT doc_id, kgram, p[1] AS pos, p FROM spots
+  UNION ALL SELECT doc_id, kgram, list_filter(p, lambda x: x >= pos + {K})[1], p FROM spaced
+  WHERE len(list_filter(p, lambda x: x >= pos + {K})) > 0),
+counted AS MATERIALIZED (
+  SELECT fk.*, ROW_NUMBER() OVER (PARTITION BY fk.doc_id ORDER BY fk.pos) AS rn FROM fk
+  WHERE NOT EXISTS (SELECT 1 FROM near n WHERE n.doc_id = fk.doc_id AND n.kgram = fk.kgram)
+     OR EXISTS (SELECT 1 FROM spaced s WHERE s.doc_id = fk.doc_id AND s.kgram = fk.kgram AND s.pos = fk.pos)),
+again AS (SELECT source, kgram FROM counted GROUP BY source, kgram HAVING COUNT(*) >= 2),
+occ AS MATERIALIZED (SELECT c.source, c.doc_id, c.pos, c.rn, c.kgram FROM counted c JOIN again USING (source, kgram)),
+pr AS (SELECT a.source, a.doc_id AS d1, a.pos AS p1, b.doc_id AS d2, b.pos - a.pos AS delta
+       FROM occ a JOIN occ b ON a.source = b.source AND a.kgram = b.kgram
+         AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.pos < b.pos))),
+isl AS (SELECT *, p1 - ROW_NUMBER() OVER (PARTITION BY source, d1, d2, delta ORDER BY p1) AS island FROM pr),
+mem AS (SELECT source, d1, min(p1) AS p1, COUNT(*) + {K - 1} AS tokens FROM isl GROUP BY source, d1, d2, delta, island),
+tl AS MATERIALIZED (SELECT source, doc_id, string_agg(tok, ' ' ORDER BY pos) || ' ' AS toks FROM tp GROUP BY source, doc_id),
+tok_at AS MATERIALIZED (SELECT source, doc_id, pos, ln, tok, coalesce(sum(length(tok) + 1) OVER (PARTITION BY doc_id ORDER BY pos
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c FROM tp),
+frag AS MATERIALIZED (SELECT m.source, m.tokens, array_slice(t.toks, CAST(a.c AS BIGINT) + 1, CAST(z.c AS BIGINT)) AS code, min(o.kgram) AS kgram
+         FROM mem m JOIN tl t ON t.source = m.source AND t.doc_id = m.d1 JOIN tok_at a ON a.doc_id = m.d1 AND a.pos = m.p1
+           JOIN (SELECT doc_id, pos + 1 AS stop, c + length(tok) + 1 AS c FROM tok_at) z
+             ON z.doc_id = m.d1 AND z.stop = m.p1 + m.tokens
+           JOIN occ o ON o.doc_id = m.d1 AND o.pos = m.p1 GROUP BY ALL),
+fo AS MATERIALIZED (SELECT f.source, f.tokens, f.code, o.doc_id, o.pos, a.ln AS first_line, z.ln AS last_line
+       FROM frag f JOIN occ o ON o.source = f.source AND o.kgram = f.kgram
+         JOIN tl t ON t.source = o.source AND t.doc_id = o.doc_id JOIN tok_at a ON a.doc_id = o.doc_id AND a.pos = o.pos
+         JOIN tok_at z ON z.doc_id = o.doc_id AND z.pos = o.pos + f.tokens - 1
+         JOIN occ e ON e.doc_id = o.doc_id AND e.pos = o.pos + f.tokens - {K} AND e.rn - o.rn = f.tokens - {K}
+       WHERE array_slice(t.toks, CAST(a.c AS BIGINT) + 1, CAST(a.c AS BIGINT) + length(f.code)) = f.code),
+per_doc AS (SELECT source, code, doc_id, COUNT(*) AS k FROM fo GROUP BY source, code, doc_id),
+kinds AS (SELECT source, code, max(k) > 1 AS same_file, min(k) <= 1 AS across_file FROM per_doc GROUP BY source, code),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY source, code ORDER BY doc_id, pos) AS i,
+                  COUNT(*) OVER (PARTITION BY source, code) AS n_occ FROM fo),
+dup AS (SELECT r.source AS project, r.code, CAST(r.tokens AS BIGINT) AS tokens, CAST(r.n_occ AS BIGINT) AS n_occ,
+               CAST(n.n_docs AS BIGINT) AS n_docs, r.doc_id AS doc, CAST(r.pos AS BIGINT) AS start,
+               CAST(r.first_line AS BIGINT) AS first_line, CAST(r.last_line AS BIGINT) AS last_line,
+               CAST(r.last_line - r.first_line + 1 AS BIGINT) AS lines, k.same_file, k.across_file
+        FROM ranked r JOIN kinds k ON k.source = r.source AND k.code = r.code
+          JOIN (SELECT source, code, COUNT(*) AS n_docs FROM per_doc GROUP BY source, code) n
+            ON n.source = r.source AND n.code = r.code WHERE r.i = 1)"""
+
+
+def _windows(spark: SparkSession, sf: str) -> DataFrame:
+    return M.clone_windows(table(spark, sf, "documents"), "source", "doc_id", "text", k=K)
+
+
+def _maximal(spark: SparkSession, sf: str) -> DataFrame:
+    found = M.maximal_clones(_windows(spark, sf), k=K)
+    return found.select("project", *[F.col(c).cast("long").alias(c) for c in (
+        "tokens", "n_occ", "n_docs", "doc", "start", "first_line", "last_line", "lines")], "same_file", "across_file")
+
+
+@register("q_clone_runs", "WITH RECURSIVE " + FRAGMENTS_SQL + """
+SELECT project, tokens, n_occ, n_docs, doc, start, first_line, last_line, lines FROM dup""")
 def q_clone_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """Token clone runs (consecutive-occurrence chaining + gaps and islands)."""
-    fps = C.kgram_fingerprints(table(spark, sf, "documents"), "source", "doc_id", "text", k=K)
-    runs = C.clone_runs(fps, k=K)
-    return runs.select("project", "doc", *[F.col(c).cast("long").alias(c) for c in (
-        "start", "other_doc", "other_start", "n_kgrams", "tokens", "first_line", "last_line", "lines")])
+    """Maximal token clones, each once with its number of occurrences and its first one (CLN1, CLN2)."""
+    return _maximal(spark, sf).drop("same_file", "across_file")
 
 
-def _run_hist(spark: SparkSession, sf: str, by: str) -> DataFrame:
-    fps = C.kgram_fingerprints(table(spark, sf, "documents"), "source", "doc_id", "text", k=K)
-    # a run has two occurrences: both in one document, or one in each of two
-    kind = F.when(F.col("doc") == F.col("other_doc"), "same_file").otherwise("across_file")
-    return C.clone_runs(fps, k=K).groupBy(kind.alias("kind"), F.col(by).cast("long").alias(by)).agg(
-        F.count(F.lit(1)).alias("dup_count"))
+@register("q_clone_fragments", "WITH RECURSIVE " + FRAGMENTS_SQL + """
+SELECT d.project, d.doc AS first_doc, d.start AS first_start, d.tokens, f.doc_id AS doc, CAST(f.pos AS BIGINT) AS start,
+       CAST(f.first_line AS BIGINT) AS line
+FROM fo f JOIN dup d ON d.project = f.source AND d.code = f.code""")
+def q_clone_fragments(spark: SparkSession, sf: str) -> DataFrame:
+    """The clone report of the maximal clones: every occurrence of every duplication (CLN2)."""
+    windows = _windows(spark, sf)
+    found = M.clone_occurrences(windows, M.maximal_clones(windows, k=K))
+    return found.select("project", *[F.col(c).cast("long").alias(c) for c in (
+        "first_doc", "first_start", "tokens", "doc", "start", "line")])
 
 
-RUN_HIST_SQL = """
-SELECT 'same_file' AS kind, {by}, CAST(COUNT(*) AS BIGINT) AS dup_count FROM runs WHERE doc = other_doc GROUP BY {by}
-UNION ALL
-SELECT 'across_file' AS kind, {by}, CAST(COUNT(*) AS BIGINT) AS dup_count FROM runs WHERE doc <> other_doc GROUP BY {by}"""
+HIST_SQL = """
+SELECT kind, CAST({by} AS BIGINT) AS {alias}, CAST(COUNT(*) AS BIGINT) AS dup_count{more} FROM (
+  SELECT 'same_file' AS kind, dup.* FROM dup WHERE same_file
+  UNION ALL SELECT 'across_file' AS kind, dup.* FROM dup WHERE across_file) x GROUP BY kind, {by}"""
 
 
-@register("q_run_hist_tokens", "WITH " + RUNS_SQL + RUN_HIST_SQL.format(by="tokens"))
-def q_run_hist_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """Token clone runs as duplications: same-file / across-file histograms by tokens (CLN3-CLN5)."""
-    return _run_hist(spark, sf, "tokens")
-
+def _by_kind(clones: DataFrame) -> DataFrame:
+    """A row per clone and kind it has."""
+    return clones.select("tokens", "lines", F.explode(F.array_compact(F.array(
+        F.when(F.col("same_file"), F.lit("same_file")), F.when(F.col("across_file"), F.lit("across_file"))))).alias("kind"))
 
-@register("q_run_hist_lines", "WITH " + RUNS_SQL + RUN_HIST_SQL.format(by="lines"))
-def q_run_hist_lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Token clone runs as duplications: same-file / across-file histograms by lines (CLN3-CLN5)."""
-    return _run_hist(spark, sf, "lines")
 
+@register("q_run_hist_tokens", "WITH RECURSIVE " + FRAGMENTS_SQL + HIST_SQL.format(by="tokens", alias="tokens", more=""))
+def q_run_hist_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Maximal token clones: same-file / across-file histograms by tokens (CLN3-CLN5)."""
+    return _by_kind(_maximal(spark, sf)).groupBy("kind", "tokens").agg(F.count(F.lit(1)).alias("dup_count"))
 
 
-def _dup_hist(spark: SparkSession, sf: str) -> DataFrame:
-    fps = C.kgram_fingerprints(table(spark, sf, "documents"), "source", "doc_id", "text", k=K)
-    flagged = C.classified_fragments(C.clone_runs(fps, k=K))
-    kinds = flagged.select("tokens", "lines", F.explode(F.filter(F.array(
-        F.when(F.col("same_file"), F.lit("same_file")),
-        F.when(F.col("across_file"), F.lit("across_file"))), lambda x: x.isNotNull())).alias("kind"))
-    by_measure = kinds.select("kind", F.inline(F.array(
-        F.struct(F.lit("tokens").alias("measure"), F.col("tokens").cast("long").alias("size")),
-        F.struct(F.lit("lines").alias("measure"), F.col("lines").cast("long").alias("size")))))
-    return by_measure.groupBy("kind", "measure", "size").agg(F.count(F.lit(1)).alias("dup_count"))
+@register("q_run_hist_lines", "WITH RECURSIVE " + FRAGMENTS_SQL + HIST_SQL.format(by="lines", alias="lines", more=""))
+def q_run_hist_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Maximal token clones: same-file / across-file histograms by lines (CLN3-CLN5)."""
+    return _by_kind(_maximal(spark, sf)).groupBy("kind", "lines").agg(F.count(F.lit(1)).alias("dup_count"))
 
 
-@register("q_dup_hist", "WITH " + RUNS_SQL + """,
-dg AS (SELECT r.*, dense_rank() OVER (ORDER BY source, content, n_kgrams) AS dup FROM isl_runs r),
-dends AS (SELECT dup, doc_id AS path, start, first_line AS line FROM dg
-         UNION ALL SELECT dup, next_doc, start + delta, NULL FROM dg),
-docc AS (SELECT dup, path, start FROM dends GROUP BY dup, path, start),
-dpp AS (SELECT dup, path, COUNT(*) AS k FROM docc GROUP BY dup, path),
-dfl AS (SELECT dup, max(k) > 1 AS same_file, min(k) <= 1 AS across_file FROM dpp GROUP BY dup),
-dd AS (SELECT dup, min(n_kgrams) + """ + str(K - 1) + """ AS tokens,
-             arg_min(last_line - first_line + 1, doc_id * 1000000000 + start) AS lines FROM dg GROUP BY dup),
-dk AS (SELECT 'same_file' AS kind, dd.* FROM dd JOIN dfl USING (dup) WHERE same_file
-      UNION ALL SELECT 'across_file', dd.* FROM dd JOIN dfl USING (dup) WHERE across_file)
-SELECT kind, 'tokens' AS measure, CAST(tokens AS BIGINT) AS size, CAST(COUNT(*) AS BIGINT) AS dup_count
-FROM dk GROUP BY kind, tokens
-UNION ALL
-SELECT kind, 'lines', CAST(lines AS BIGINT), CAST(COUNT(*) AS BIGINT) FROM dk GROUP BY kind, lines""")
+@register("q_dup_hist", "WITH RECURSIVE " + FRAGMENTS_SQL + HIST_SQL.format(by="tokens", alias="size", more=", 'tokens' AS measure")
+          + " UNION ALL" + HIST_SQL.format(by="lines", alias="size", more=", 'lines' AS measure"))
 def q_dup_hist(spark: SparkSession, sf: str) -> DataFrame:
-    """Token clones as a clone report (one duplication per distinct fragment, all its
+    """Token clones as a clone report (one duplication per maximal fragment, all its
     occurrences): same-file / across-file histograms by tokens and by lines (CLN2-CLN5)."""
-    return _dup_hist(spark, sf)
+    by_measure = _by_kind(_maximal(spark, sf)).select("kind", F.inline(F.array(
+        F.struct(F.lit("tokens").alias("measure"), F.col("tokens").alias("size")),
+        F.struct(F.lit("lines").alias("measure"), F.col("lines").alias("size")))))
+    return by_measure.groupBy("kind", "measure", "size").agg(F.count(F.lit(1)).alias("dup_count"))

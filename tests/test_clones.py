@@ -5,6 +5,7 @@ from collections import defaultdict
 from pyspark.sql import functions as F
 
 from quarry.operators import clones as C
+from quarry.operators import maximal as M
 from quarry.operators.successor import next_in_order
 
 
@@ -31,25 +32,45 @@ def _brute_kgrams(docs, k):
     return {key: v for key, v in out.items() if len(v) >= 2}
 
 
-def _brute_runs(docs, k):
-    rep = _brute_kgrams(docs, k)
-    pairs = []
-    for (proj, _), occ in rep.items():
-        occ = sorted(occ)
-        for (d, p), (nd, np_) in zip(occ, occ[1:]):
-            pairs.append((proj, d, nd, np_ - p, p))
-    pairs.sort()
-    runs, cur = [], None
-    for proj, d, nd, delta, p in pairs:
-        if cur and cur[:4] == (proj, d, nd, delta) and cur[4] + cur[5] == p:
-            cur = cur[:5] + (cur[5] + 1,)
-        else:
-            if cur:
-                runs.append(cur)
-            cur = (proj, d, nd, delta, p, 1)
-    if cur:
-        runs.append(cur)
-    return sorted((r[0], r[1], r[4], r[2], r[4] + r[3], r[5]) for r in runs)
+def _brute_fragments(docs, k):
+    """Longest matches of all pairs of counted places, and the places of their texts: {(project, text): [(doc, start)]}."""
+    toks = {(p, d): re.findall(r"[a-z0-9]+", t.lower()) for p, d, t in docs if t is not None}
+    grams = {}
+    for (p, d), ts in toks.items():
+        last = {}
+        for i in range(len(ts) - k + 1):
+            g = tuple(ts[i:i + k])
+            if i - last.get(g, -k) >= k:
+                last[g] = i
+                grams[p, d, i] = g
+    out = {}
+    for p in {p for p, _ in toks}:
+        places = sorted((d, i) for q, d, i in grams if q == p)
+        texts = set()
+        for n, (d, i) in enumerate(places):
+            for e, j in places[n + 1:]:
+                if grams[p, d, i] != grams[p, e, j] or (p, d, i - 1) in grams and grams[p, d, i - 1] == grams.get((p, e, j - 1)):
+                    continue
+                size = 1
+                while (p, d, i + size) in grams and grams[p, d, i + size] == grams.get((p, e, j + size)):
+                    size += 1
+                texts.add(tuple(toks[p, d][i:i + size + k - 1]))
+        for x in texts:
+            out[p, " ".join(x)] = [(d, i) for d, i in places if tuple(toks[p, d][i:i + len(x)]) == x
+                                   and all((p, d, i + n) in grams for n in range(len(x) - k + 1))]
+    return out
+
+
+def _found_fragments(spark, docs, k):
+    df = spark.createDataFrame(docs, "project string, doc long, text string")
+    windows = M.clone_windows(df, "project", "doc", "text", k=k)
+    clones = M.maximal_clones(windows, k=k).collect()
+    places = defaultdict(list)
+    toks = {(p, d): re.findall(r"[a-z0-9]+", (t or "").lower()) for p, d, t in docs}
+    for r in M.clone_occurrences(windows, M.maximal_clones(windows, k=k)).collect():
+        text = " ".join(toks[r.project, r.first_doc][r.first_start:r.first_start + r.tokens])
+        places[r.project, text].append((r.doc, r.start))
+    return {x: sorted(v) for x, v in places.items()}, clones
 
 
 DOCS = [
@@ -71,17 +92,28 @@ def test_token_clones_against_brute_force(spark):
     assert got == {key: (len(v), len({d for d, _ in v})) for key, v in brute.items()}
 
 
-def test_clone_runs_against_brute_force(spark):
-    k = 4
-    df = spark.createDataFrame(DOCS, "project string, doc long, text string")
-    fps = C.kgram_fingerprints(df, "project", "doc", "text", k)
-    runs = C.clone_runs(fps, k=k)
-    got = sorted(tuple(r) for r in runs.select("project", "doc", "start", "other_doc", "other_start",
-                                                "n_kgrams").collect())
-    assert got == _brute_runs(DOCS, k)
-    lines = {(r["doc"], r["start"], r["other_doc"]): (r["first_line"], r["last_line"], r["tokens"])
-             for r in runs.collect()}
-    assert lines[(1, 0, 1)] == (1, 1, 8)  # tokens 0-7 of doc 1 are all on line 1
+def test_maximal_clones_against_brute_force(spark):
+    for k in (4, 2):
+        got, clones = _found_fragments(spark, DOCS, k)
+        brute = _brute_fragments(DOCS, k)
+        assert got == brute
+        assert sorted((c.project, c.tokens, c.n_occ, c.n_docs, c.same_file, c.across_file) for c in clones) == sorted(
+            (p, len(x.split()), len(v), len({d for d, _ in v}), len(v) > len({d for d, _ in v}),
+             any([d for d, _ in v].count(e) == 1 for e, _ in v)) for (p, x), v in brute.items())
+    lines = {(c.doc, c.start): (c.first_line, c.last_line, c.tokens, c.lines) for c in clones}
+    assert lines[1, 0] == (1, 1, 8, 1)  # tokens 0-7 of document 1 are all on line 1
+
+
+def test_a_fragment_and_its_beginning_are_two_clones(spark):
+    words = [f"w{i}" for i in range(100)]
+    docs = [("p", 1, "x " + " ".join(words) + " y"), ("p", 2, "z " + " ".join(words[:50]) + " q"),
+            ("p", 3, " ".join(words)), ("q", 4, " ".join(words)), (None, 5, " ".join(words[:30])), (None, 6, " ".join(words[:30])),
+            ("p", 7, None)]
+    got, _ = _found_fragments(spark, docs, 20)
+    assert got == {("p", " ".join(words)): [(1, 1), (3, 0)], ("p", " ".join(words[:50])): [(1, 1), (2, 1), (3, 0)],
+                   (None, " ".join(words[:30])): [(5, 0), (6, 0)]}
+    empty = spark.createDataFrame([], "project string, doc long, text string")
+    assert M.maximal_clones(M.clone_windows(empty, "project", "doc", "text")).count() == 0
 
 
 def test_line_model_same_and_across(spark):
@@ -107,16 +139,6 @@ def test_line_duplications_equal_the_occurrence_queries(spark):
     assert occs.count() == 7
 
 
-def test_classified_fragments_equal_the_clone_report(spark):
-    k = 4
-    df = spark.createDataFrame(DOCS, "project string, doc long, text string")
-    runs = C.clone_runs(C.kgram_fingerprints(df, "project", "doc", "text", k), k=k)
-    dups, occs = C.grouped_duplications(runs)
-    cols = ["project", "tokens", "lines", "same_file", "across_file"]
-    assert (sorted(map(tuple, C.classified_fragments(runs).select(cols).collect()))
-            == sorted(map(tuple, C.classify_duplications(dups, occs).select(cols).collect())))
-
-
 def test_successor_matched_only_with_null_keys(spark):
     rows = [(None if i % 5 == 0 else f"k{i % 90}", i % 7, i) for i in range(600)]
     df = spark.createDataFrame(rows, "key string, doc long, pos long")
@@ -135,22 +157,20 @@ def test_duplication_both_same_and_across(spark):
     assert h == [(3, 1)]
 
 
-def test_numpy_and_jvm_fingerprints_agree(spark):
+def test_fingerprints_of_positions_lines_and_neighbours(spark):
     k = 4
-    df = spark.createDataFrame(DOCS + [("p3", 7, "Ünïcode wörds ÄND MORE and more\nend Ünïcode wörds and more")],
-                               "project string, doc long, text string")
-    a = C.kgram_fingerprints(df, "project", "doc", "text", k, engine="numpy")
-    b = C.kgram_fingerprints(df, "project", "doc", "text", k, engine="jvm")
-    cols = ["project", "doc", "pos", "first_line", "last_line"]
-    assert sorted(map(tuple, a.select(cols).collect())) == sorted(map(tuple, b.select(cols).collect()))
-    ra = sorted(map(tuple, C.repeated_kgrams(a).select("project", "n_occ", "n_docs", "first_doc", "first_pos").collect()))
-    rb = sorted(map(tuple, C.repeated_kgrams(b).select("project", "n_occ", "n_docs", "first_doc", "first_pos").collect()))
-    assert ra == rb
-    cols = ["project", "doc", "start", "other_doc", "other_start", "n_kgrams", "first_line", "last_line",
-            "other_first_line"]  # content hashes are engine-specific
-    runs_a = sorted(map(tuple, C.clone_runs(a, k=k).select(cols).collect()))
-    runs_b = sorted(map(tuple, C.clone_runs(b, k=k).select(cols).collect()))
-    assert runs_a == runs_b
+    docs = [*DOCS, ("p3", 7, "\u00dcn\u00efcode w\u00f6rds \u00c4ND MORE and more\nend \u00dcn\u00efcode w\u00f6rds and more")]
+    rows = C.kgram_fingerprints(spark.createDataFrame(docs, "project string, doc long, text string"), "project", "doc", "text", k).collect()
+    by_place, names = {(r.doc, r.pos): r for r in rows}, {}
+    for _, doc, text in docs:
+        toks = [(t, i + 1) for i, line in enumerate(text.lower().split("\n")) for t in re.findall("[a-z0-9]+", line)]
+        for i in range(len(toks) - k + 1):
+            r = by_place.pop((doc, i))
+            assert (r.first_line, r.last_line) == (toks[i][1], toks[i + k - 1][1])
+            assert names.setdefault(tuple(t for t, _ in toks[i:i + k]), (r.h1, r.h2)) == (r.h1, r.h2)
+            assert r.prev == (by_h[doc, i - 1] if i else None)
+            by_h = {(doc, i): r.h1}
+    assert not by_place and len(set(names.values())) == len(names)
 
 
 def test_classify_equals_semi_joins(spark):
@@ -180,19 +200,12 @@ def test_successor_with_coalesced_range_partitions(spark):
         spark.conf.set("spark.sql.shuffle.partitions", old)
 
 
-
-def test_grouped_duplications_one_per_fragment(spark):
-    k = 3
+def test_one_duplication_per_fragment(spark):
     frag = "alpha beta gamma delta"
     docs = [("p", 1, f"x {frag} y"), ("p", 2, f"{frag} z"), ("p", 3, f"q q {frag}\n{frag}")]
-    df = spark.createDataFrame(docs, "project string, doc long, text string")
-    dups, occs = C.grouped_duplications(C.clone_runs(C.kgram_fingerprints(df, "project", "doc", "text", k), k=k))
-    d = dups.collect()
-    assert len(d) == 1 and d[0]["tokens"] == 4
-    got = sorted((r["path"], r["line"]) for r in occs.collect())
-    assert got == [(1, 1), (2, 1), (3, 1), (3, 2)]
-    flags = C.classify_duplications(dups, occs).collect()[0]
-    assert flags["same_file"] and flags["across_file"]
+    got, clones = _found_fragments(spark, docs, 3)
+    assert got == {("p", frag): [(1, 1), (2, 0), (3, 2), (3, 6)]}
+    assert clones[0].same_file and clones[0].across_file
 
 
 def test_rolling_fingerprint_math():

@@ -44,7 +44,7 @@ doc_text = st.lists(st.lists(words, min_size=0, max_size=6).map(" ".join), min_s
 @given(texts=st.lists(doc_text, min_size=1, max_size=5))
 def test_clones_match_brute_force(spark, texts):
     from quarry.operators import clones as C
-    from tests.test_clones import _brute_kgrams, _brute_runs
+    from tests.test_clones import _brute_fragments, _brute_kgrams, _found_fragments
 
     k = 3
     docs = [("p" if i % 2 else "q", i, t) for i, t in enumerate(texts)]
@@ -53,10 +53,7 @@ def test_clones_match_brute_force(spark, texts):
            for r in C.token_clones(df, "project", "doc", "text", k=k).collect()}
     brute = _brute_kgrams(docs, k)
     assert got == {key: (len(v), len({d for d, _ in v})) for key, v in brute.items()}
-    fps = C.kgram_fingerprints(df, "project", "doc", "text", k)
-    runs = sorted(tuple(r) for r in C.clone_runs(fps, k=k).select(
-        "project", "doc", "start", "other_doc", "other_start", "n_kgrams").collect())
-    assert runs == _brute_runs(docs, k)
+    assert _found_fragments(spark, docs, k)[0] == _brute_fragments(docs, k)
 
 
 @settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
