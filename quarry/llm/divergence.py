@@ -1,174 +1,262 @@
 """Source divergence audit by chunk factorization: how far each source's words are from its language's.
 
 Texts are cut at white space into chunks; a term never crosses one. Each distinct chunk of the corpus
-is tokenized once, and its terms are joined back to the documents that hold the chunk:
-
-1. *Blocks.* A task counts the chunks of each document, a bounded block of documents at a time. A block
-   gives one row per distinct chunk with the documents that hold it (a number of two bytes for each
-   occurrence), so what is shuffled is far less than a row per document and chunk.
-2. *Dictionary.* Chunks are grouped over all blocks and tokenized. A term's documents are at most the sum
-   of its chunks' documents: where that sum is too small, the term can't be kept, and chunks
-   without any other term drop out. The bound is exact; nothing that counts is lost.
-3. *Join.* The blocks are cut again, now only with chunks of the dictionary (a Bloom filter of fixed size
-   keeps the others away from the shuffle, the join drops what it lets through), and joined to it; the rows of
-   a chunk that all documents hold can be split, as both sides are plain exchanges.
-4. *Counts.* The rows of a block meet again, where several chunks of a document may share a term: distinct
-   documents and occurrences of each term by (lang, source), summed over the blocks by Spark.
+is tokenized once, and its terms are joined back to what was counted by chunk:
+
+1. *Blocks.* A task counts the chunks of each document, a bounded block of documents at a time, and adds
+   them up by (lang, source): occurrences and documents. Chunks are dealt into buckets by their letters, so
+   that "Word," and "word" meet; a block gives one packed row per bucket.
+2. *Buckets.* The rows of a bucket are merged (in steps of bounded fan-in where there are many blocks), each
+   distinct chunk is tokenized, and its counts go to its terms: (lang, source, term) rows, summed by Spark.
+3. *Documents.* A document may hold several chunks of a term, so their documents add up to at least the
+   term's, and the most frequent chunk's are at most the term's. Where both bounds fall on one side of the limit,
+   the term is decided. The others' chunks (a Bloom filter of fixed size finds them in a second pass over the
+   texts, a join with the dictionary makes that exact) give (document, term) rows, whose distinct documents are counted.
 
 Shares are integers and all arithmetic is exact (decimals where a product may pass 64 bits).
 """
 
 from __future__ import annotations
 
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.bloom import filter_of, may_hold
 from quarry.llm.tables import kept, remove
 from quarry.session import ensure_checkpoint_dir
 
-#: Characters that end a term: all ASCII but letters.
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of text and documents of a block (two-byte numbers).
-BLOCK_BYTES, BLOCK_DOCS = 1 << 24, 1 << 16
+BLOCK_BYTES, BLOCK_DOCS = 1 << 24, (1 << 16) - 1
+#: Blocks that one task merges.
+FAN = 256
 #: Cells (sources x terms) and sources of one task of the pairwise comparison.
 PAIR_CELLS, PAIR_SOURCES = 4_000_000, 512
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_BLOCK_SCHEMA = "block long, chunk string, n_docs int, docs binary, groups array<struct<lang:string,source:string>>"
+#: A term: ASCII letters and bytes of other characters (of UTF-8, lower-cased A-Z).
+_TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
+_NO_LETTERS = bytes(c for c in range(128) if not chr(c).isalpha())
+
+#: Chunks (joined by line feeds), groups per chunk, and per chunk and group its number, occurrences and documents.
+_PACKED = ("bucket int, block long, words binary, sizes binary, groups binary, n binary, docs binary, "
+           "names array<struct<lang:string,source:string>>")
+_COUNTED = ("lang string, source string, term string, n long, most long, least long, words binary, terms binary")
 
 
 class _Index(dict):
-    """Word -> number in order of appearance."""
+    """Key -> number in order of appearance."""
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
+    def __missing__(self, key) -> int:
+        value = self[key] = len(self)
         return value
 
 
-def _blocks(bits: bytes | None, block_bytes: int):
-    """Map function: (lang, source, text) -> the rows of the blocks of a partition."""
+def _packed(bucket, block, words, sizes, groups, n, docs, names) -> dict:
+    return {"bucket": bucket, "block": block, "words": b"\n".join(words), "sizes": sizes.astype("<u4").tobytes(),
+            "groups": groups.astype("<u4").tobytes(), "n": n.astype("<u8").tobytes(), "docs": docs.astype("<u8").tobytes(),
+            "names": [{"lang": a, "source": b} for a, b in names]}
+
+
+def _batch(rows: list[dict], like: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=like)
+
+
+_NAMES = pa.list_(pa.struct([("lang", pa.string()), ("source", pa.string())]))
+_ARROW = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("words", "sizes", "groups", "n", "docs")),
+                    ("names", _NAMES)])
+
+
+def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The distinct keys in order, and the sums of the values of each."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    return key[starts], *(np.add.reduceat(v[order], starts) if len(key) else v for v in values)
+
+
+def _blocks(buckets: int, block_bytes: int):
+    """Map function: (lang, source, text) -> packed rows of the blocks of a partition."""
 
     def rows(block, index, ids, groups):
-        sizes = np.array([len(x) for x in ids])
-        flat = np.concatenate(ids)
         words = list(index)
-        wanted = may_hold(bits, words) if bits else np.ones(len(words), bool)
-        doc = np.repeat(np.arange(len(ids)), sizes)
-        some = wanted[flat]
-        flat, doc = flat[some], doc[some]
-        order = np.argsort(flat, kind="stable")  # documents of a word stay in order
-        flat, doc = flat[order], doc[order]
-        new = np.ones(len(flat), bool)
-        new[1:] = (flat[1:] != flat[:-1]) | (doc[1:] != doc[:-1])
-        counts = np.bincount(flat, minlength=len(words))[wanted]
-        n_docs = np.bincount(flat[new], minlength=len(words))[wanted].astype(np.int32)
-        names = [words[i] for i in np.flatnonzero(wanted)]
-        chunk = pa.array(names, pa.binary())
-        chunk = pa.StringArray.from_buffers(len(chunk), chunk.buffers()[1], chunk.buffers()[2])
-        ends = np.concatenate([[0], np.cumsum(counts * 2)]).astype(np.int32)
-        docs = pa.BinaryArray.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(ends), pa.py_buffer(doc.astype("<u2"))])
-        kind = pa.list_(pa.struct([("lang", pa.string()), ("source", pa.string())]))
-        columns = ["block", "chunk", "n_docs", "docs", "groups"]
-        for at in range(0, len(names), 1 << 16):
-            n = min(1 << 16, len(names) - at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(n, block, np.int64)), chunk.slice(at, n), pa.array(n_docs[at:at + n]), docs.slice(at, n),
-                 pa.nulls(n, kind)], columns)
-        # the block's own row: the number of each document's group, and the groups; no chunk begins with a space
-        where = {g: i for i, g in enumerate(dict.fromkeys(groups))}
-        numbers = np.array([where[g] for g in groups], "<u4").tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.array([f" {block}"], pa.string()), pa.array([0], pa.int32()),
-             pa.array([numbers], pa.binary()), pa.array([[{"lang": a, "source": b} for a, b in where]], kind)], columns)
+        names = _Index()
+        of_doc = np.fromiter((names[g] for g in groups), np.int64, len(groups))
+        flat, doc = np.concatenate(ids).astype(np.int64), np.repeat(np.arange(len(ids)), [len(x) for x in ids])
+        once, n = _sums(flat * len(ids) + doc, np.ones(len(flat), np.int64))  # per chunk and document
+        cells, n, docs = _sums(once // len(ids) * len(names) + of_doc[once % len(ids)], n, np.ones(len(once), np.int64))
+        word, group = cells // len(names), cells % len(names)
+        bucket = np.fromiter((zlib.crc32(w.lower().translate(None, _NO_LETTERS)) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(bucket[word], kind="stable")
+        word, group, n, docs = word[order], group[order], n[order], docs[order]
+        ends = np.searchsorted(bucket[word], np.arange(buckets + 1))
+        names = list(names)
+        for b in np.flatnonzero(ends[1:] > ends[:-1]).tolist():
+            cut = slice(ends[b], ends[b + 1])
+            own, sizes = np.unique(word[cut], return_counts=True)  # in order already
+            used, number = np.unique(group[cut], return_inverse=True)
+            yield _batch([_packed(b, block, [words[i] for i in own], sizes, number, n[cut], docs[cut], [names[i] for i in used])], _ARROW)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() << 16
         index, ids, groups, size = _Index(), [], [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 for lang, source, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(),
                                               part.column(2).cast(pa.binary()).to_pylist(), strict=True):
-                    words = (text or b"").split()  # ASCII white space
+                    words = text.split()  # ASCII white space
                     ids.append(np.fromiter(map(index.__getitem__, words), np.int32, len(words)))
                     groups.append((lang, source))
-                    size += len(text or b"")
+                    size += len(text)
                     if size >= block_bytes or len(ids) >= BLOCK_DOCS:
                         yield from rows(block, index, ids, groups)
                         block += 1
                         index, ids, groups, size = _Index(), [], [], 0
-        if ids:
+        if index:
             yield from rows(block, index, ids, groups)
 
     return run
 
 
-def _block_counts(table: pa.Table) -> pa.Table:
-    """Group function: the rows (id, k, docs, groups) of one block -> lang, source, id, n, docs."""
-    own = np.flatnonzero(table.column("groups").is_valid().to_numpy(zero_copy_only=False))
-    group = np.frombuffer(table.column("docs")[int(own[0])].as_py(), "<u4").astype(np.int64)
-    names = table.column("groups")[int(own[0])].as_py()
-    table = table.filter(table.column("groups").is_null())
-    lists = table.column("docs").combine_chunks()
-    sizes = np.diff(np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, lists.offset * 4)) // 2 if len(lists) else np.empty(0, np.int64)
-    doc = np.frombuffer(b"".join(lists.to_pylist()), "<u2").astype(np.int64)
-    ids, number = np.unique(table.column("id").to_numpy(), return_inverse=True)
-    key = np.repeat(number, sizes) * BLOCK_DOCS + doc
-    times = np.repeat(table.column("k").to_numpy(), sizes).astype(np.int64)
-    order = np.argsort(key, kind="stable")
-    key, times = key[order], times[order]
-    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    n = np.add.reduceat(times, starts) if len(key) else times
-    key = key[starts]
-    cell = group[key % BLOCK_DOCS] * len(ids) + key // BLOCK_DOCS
-    cells, place = np.unique(cell, return_inverse=True)
-    total = np.zeros(len(cells), np.int64)
-    np.add.at(total, place, n)
-    docs = np.bincount(place, minlength=len(cells))
-    which = pa.array(cells // max(len(ids), 1), pa.int64())
-    return pa.table({"lang": pa.array([g["lang"] for g in names], pa.string()).take(which),
-                     "source": pa.array([g["source"] for g in names], pa.string()).take(which),
-                     "id": pa.array(ids[cells % max(len(ids), 1)], pa.int64()),
-                     "n": pa.array(total, pa.int64()), "docs": pa.array(docs, pa.int64())})
-
-
-def terms_of(chunk: Column) -> Column:
-    """The terms of a chunk with their number in it: array<struct<term, k>>."""
-    found = F.regexp_extract_all(F.translate(chunk, UPPER, LOWER), F.lit(TERM), F.lit(0))
-    return F.transform(F.array_distinct(found), lambda t: F.struct(
-        t.alias("term"), F.size(F.filter(found, lambda x: x == t)).cast("int").alias("k")))
-
-
-def term_counts(df: DataFrame, min_docs: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def _merged(table: pa.Table):
+    """The packed rows of a bucket in one: words, groups, and per word and group occurrences and documents."""
+    index, names, parts = _Index(), _Index(), []
+    for r in table.to_pylist():
+        words = r["words"].split(b"\n")
+        ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
+        where = np.fromiter((names[g["lang"], g["source"]] for g in r["names"]), np.int64, len(r["names"]))
+        parts.append((np.repeat(ids, np.frombuffer(r["sizes"], "<u4")), where[np.frombuffer(r["groups"], "<u4")],
+                      np.frombuffer(r["n"], "<u8").astype(np.int64), np.frombuffer(r["docs"], "<u8").astype(np.int64)))
+    word, group, n, docs = (np.concatenate(x) for x in zip(*parts, strict=True))
+    cells, n, docs = _sums(word * len(names) + group, n, docs)
+    return list(index), list(names), cells // len(names), cells % len(names), n, docs
+
+
+def _merge(key: tuple, table: pa.Table) -> pa.Table:
+    """Group function: packed rows -> one packed row."""
+    words, names, word, group, n, docs = _merged(table)
+    return pa.Table.from_batches([_batch([_packed(key[0].as_py(), key[1].as_py(), words, np.unique(word, return_counts=True)[1],
+                                                  group, n, docs, names)], _ARROW)])
+
+
+def _count(table: pa.Table) -> pa.Table:
+    """Group function: the packed rows of a bucket -> its (lang, source, term) counts, and a row with its dictionary."""
+    words, names, word, group, n, docs = _merged(table)
+    index, per_word = _Index(), [_TERM.findall(w.lower()) for w in words]
+    some = [(i, index[t], k) for i, ts in enumerate(per_word) for t, k in (((ts[0], 1),) if len(ts) == 1 else Counter(ts).items())]
+    pairs = np.array(some, np.int64).reshape(-1, 3)  # word, term, k: by word
+    many = np.bincount(pairs[:, 0], minlength=len(words))
+    first = np.cumsum(many) - many
+    times = many[word]  # each cell once per term of its word
+    cell = np.repeat(np.arange(len(word)), times)
+    pair = first[word[cell]] + np.arange(len(cell)) - np.repeat(np.cumsum(times) - times, times)
+    term = pairs[pair, 1]
+    cells, n_term, most = _sums(term * len(names) + group[cell], n[cell] * pairs[pair, 2], docs[cell])
+    # documents of each word in each lang, and per lang and term those of its most frequent word
+    langs = _Index()
+    lang = np.fromiter((langs[a] for a, _ in names), np.int64, len(names))
+    of_word, total = _sums(word * len(langs) + lang[group], docs)
+    spread = many[of_word // len(langs)]
+    at = np.repeat(np.arange(len(of_word)), spread)
+    of_pair = first[of_word[at] // len(langs)] + np.arange(len(at)) - np.repeat(np.cumsum(spread) - spread, spread)
+    keys = pairs[of_pair, 1] * len(langs) + of_word[at] % len(langs)
+    order = np.lexsort((total[at], keys))
+    last = np.flatnonzero(np.concatenate([keys[order][1:] != keys[order][:-1], [True]])) if len(keys) else np.empty(0, np.int64)
+    least_keys, least = keys[order][last], total[at][order][last]
+    t, g = cells // len(names), cells % len(names)
+    low = least[np.searchsorted(least_keys, t * len(langs) + lang[g])]
+    terms = pa.array(list(index), pa.binary()).cast(pa.string()) if index else pa.array([], pa.string())
+    rows = len(cells)
+    g = pa.array(g, pa.int64())
+    dictionary = [b"\n".join(words), b"\n".join(b" ".join(ts) for ts in per_word)]
+
+    def column(values, kind, tail=None):
+        return pa.concat_arrays([values, pa.array([tail], kind)])
+
+    return pa.table({
+        "lang": column(pa.array([a for a, _ in names], pa.string()).take(g), pa.string()),
+        "source": column(pa.array([b for _, b in names], pa.string()).take(g), pa.string()),
+        "term": column(terms.take(pa.array(t, pa.int64())), pa.string()), "n": column(pa.array(n_term, pa.int64()), pa.int64()),
+        "most": column(pa.array(most, pa.int64()), pa.int64()), "least": column(pa.array(low, pa.int64()), pa.int64()),
+        "words": column(pa.nulls(rows, pa.binary()), pa.binary(), dictionary[0]),
+        "terms": column(pa.nulls(rows, pa.binary()), pa.binary(), dictionary[1])})
+
+
+def _entries(bits: bytes):
+    """Map function: dictionaries (words, terms) -> chunk, term where the filter may hold the term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, terms in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines = [x.split(b" ") for x in terms.split(b"\n")]
+                distinct = list({t for x in lines for t in x})
+                held = {t for t, x in zip(distinct, may_hold(bits, distinct), strict=True) if x}
+                out = [(w.decode("utf-8", "replace"), t.decode("utf-8", "replace")) for w, x in zip(words.split(b"\n"), lines, strict=True) for t in set(x) if t in held]
+                yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.string()), pa.array([t for _, t in out], pa.string())],
+                                                 ["chunk", "term"])
+
+    return run
+
+
+def _holders(bits: bytes):
+    """Map function: (lang, text) -> lang, document (a number of its own), chunk: the chunks the filter may hold, each
+    once per document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                sets = [set(x.split()) for x in part.column(1).cast(pa.binary()).to_pylist()]
+                words = list(set().union(*sets))
+                held = {w for w, x in zip(words, may_hold(bits, words), strict=True) if x}
+                found = [(i, w) for i, x in enumerate(sets) for w in x & held]
+                row = np.array([i for i, _ in found], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(row)), pa.array(row + number), pa.array([w.decode("utf-8", "replace") for _, w in found], pa.string())],
+                    ["lang", "document", "chunk"])
+                number += part.num_rows
+
+    return run
+
+
+def term_counts(df: DataFrame, min_docs: int, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """(lang, term, source, n): occurrences of each lang's kept terms (in at least ``min_docs`` of its
     documents) in each of its sources, where there are any. ``df``: lang, source, text without nulls; each
-    row is a document. It must give the same rows in the same order when read again, as files do."""
+    row is a document."""
     spark = df.sparkSession
-    first = df.mapInArrow(_blocks(None, block_bytes), _BLOCK_SCHEMA)
-    chunks = first.where("groups is null").groupBy("chunk").agg(F.sum("n_docs").alias("n_docs"))
-    chunks, chunks_path = kept(chunks.select("n_docs", "chunk", terms_of(F.col("chunk")).alias("terms")).where(F.size("terms") > 0))
-    parts = chunks.select("chunk", "n_docs", F.inline("terms"))
-    likely = parts.groupBy("term").agg(F.sum("n_docs").alias("most")).where(F.col("most") >= min_docs)
-    terms, terms_path = kept(likely.select("term", F.monotonically_increasing_id().alias("id")))
-    known, known_path = kept(parts.join(terms, "term").groupBy("chunk").agg(F.collect_list(F.struct("id", "k")).alias("terms")))
-    remove(spark, chunks_path)
-    again = df.mapInArrow(_blocks(filter_of(known, "chunk"), block_bytes), _BLOCK_SCHEMA)
-    rows = again.join(known, "chunk", "left").where("groups is not null or terms is not null")
-    rows = rows.select("block", "docs", "groups", F.inline_outer("terms"))  # id, k
-    counted = rows.groupBy("block").applyInArrow(_block_counts, "lang string, source string, id long, n long, docs long")
-    counted, counted_path = kept(counted.groupBy("lang", "source", "id").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
-    stay = counted.groupBy("lang", "id").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
-    stay, stay_path = kept(stay.join(terms, "id").select("lang", "id", "term"))
-    out, _ = kept(counted.join(stay, ["lang", "id"]).select("lang", "term", "source", "n"))
-    for path in (terms_path, known_path, counted_path, stay_path):
-        remove(spark, path)
+    parts = df.rdd.getNumPartitions()
+    rows = df.mapInArrow(_blocks(2 * parts + 16, block_bytes), _PACKED)
+    while parts > fan:  # hot chunks stand in every block: their rows are merged step by step
+        parts = -(-parts // fan)
+        rows = rows.groupBy("bucket", F.pmod(F.xxhash64("block"), F.lit(parts)).alias("part")).applyInArrow(_merge, _PACKED)
+    counted, path = kept(rows.groupBy("bucket").applyInArrow(_count, _COUNTED))
+    cells = counted.where("term is not null").groupBy("lang", "source", "term").agg(
+        F.sum("n").alias("n"), F.sum("most").alias("most"), F.max("least").alias("least"))
+    cells, cells_path = kept(cells)
+    bounds = cells.groupBy("lang", "term").agg(F.sum("most").alias("most"), F.max("least").alias("least")).where(F.col("most") >= min_docs)
+    bounds, bounds_path = kept(bounds)
+    sure, open_terms = bounds.where(F.col("least") >= min_docs).select("lang", "term"), bounds.where(F.col("least") < min_docs).select("lang", "term")
+    if not open_terms.isEmpty():
+        entries = counted.where("words is not null").select("words", "terms").mapInArrow(_entries(filter_of(open_terms, "term")), "chunk string, term string")
+        entries, entries_path = kept(entries.join(open_terms.select("term").distinct(), "term"))
+        held = df.select("lang", "text").mapInArrow(_holders(filter_of(entries, "chunk")), "lang string, document long, chunk string")
+        docs = held.join(entries, "chunk").select("lang", "term", "document").distinct().groupBy("lang", "term").agg(F.count("*").alias("docs"))
+        sure = sure.unionByName(open_terms.join(docs.where(F.col("docs") >= min_docs), ["lang", "term"]).select("lang", "term"))
+    out, _ = kept(cells.join(sure, ["lang", "term"]).select("lang", "term", "source", "n"))
+    remove(spark, path)
+    remove(spark, cells_path)
+    remove(spark, bounds_path)
     return out
 
 

@@ -48,8 +48,7 @@ def brute_divergence(rows, least, top):
 def test_divergence_equals_brute_force(spark, odd_texts, block, monkeypatch):  # noqa: F811
     monkeypatch.setattr(divergence, "PAIR_CELLS", 40)
     monkeypatch.setattr(divergence, "PAIR_SOURCES", 2)
-    monkeypatch.setattr(divergence, "BLOCK_BYTES", block)
-    monkeypatch.setattr(divergence.term_counts, "__defaults__", (block,))
+    monkeypatch.setattr(divergence.term_counts, "__defaults__", (block, 2 if block == 300 else 256))
     rng = random.Random(8)
     rows = []
     for i in range(120):
