@@ -144,12 +144,12 @@ def near_copies(rng, n_groups, size):
     return texts
 
 
-@pytest.mark.parametrize("width,num,cell,split", [(3, 90, 2_000_000, 200), (5, 80, 2_000_000, 2_000_000), (5, 80, 2_000_000, 100),
-                                                  (3, 90, 300, 2_000_000)])
-def test_jaccard_join_equals_brute_force(spark, width, num, cell, split):
+@pytest.mark.parametrize("width,num,cell,block", [(3, 90, 2_000_000, 2_000), (5, 80, 2_000_000, 1 << 22), (5, 80, 2_000_000, 500),
+                                                  (3, 90, 300, 1 << 22)])
+def test_jaccard_join_equals_brute_force(spark, width, num, cell, block):
     texts = near_copies(random.Random(width * num + cell), 14 if cell > 1000 else 4, 9)
     found = jaccard_join.jaccard_components(docs_frame(spark, texts, 5), width, num, 100, cell_shingles=cell,
-                                            split_shingles=split).collect()
+                                            block_bytes=block).collect()
     sets = {5 + i: shingle_set(t, width) for i, t in enumerate(texts)}
     wanted = brute_components(sets, num, 100)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == {i: (len(s), wanted[i]) for i, s in sets.items()}
@@ -164,18 +164,17 @@ def test_jaccard_join_of_odd_rows(spark):
     assert jaccard_join.jaccard_components(df.limit(0), 3, 90).count() == 0
 
 
-def test_parts_never_miss_a_partner():
+def test_windows_never_miss_a_partner():
     rng = np.random.default_rng(1)
+    order = rng.permutation(400)  # any order of the shingles common to all sets
     for num in (80, 90):
         t = jaccard_join.Threshold(num, 100)
-        for _ in range(300):
-            n = int(rng.integers(5, 200))
-            a = np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64))
-            b = np.unique(np.concatenate([a[rng.permutation(len(a))[: max(1, int(len(a) * rng.uniform(num / 100, 1)))]],
-                                          rng.integers(0, 1 << 60, int(rng.integers(0, 4))).astype(np.uint64)]))
-            common = len(np.intersect1d(a, b))
-            if t.linked(common, len(a) + len(b)) and not np.array_equal(a, b):
-                assert np.intersect1d(jaccard_join.part_signatures(a, t), jaccard_join.part_signatures(b, t)).size
+        for _ in range(600):
+            a = rng.choice(400, int(rng.integers(1, 120)), replace=False)
+            b = np.unique(np.concatenate([a[: max(1, int(len(a) * rng.uniform(num / 100, 1)))], rng.choice(400, int(rng.integers(0, 4)))]))
+            if t.linked(len(np.intersect1d(a, b)), len(a) + len(b)):
+                first = [x[np.argsort(order[x])][:t.window(len(x))] for x in (a, b)]
+                assert np.intersect1d(*first).size
 
 
 def test_components_of_long_chains_and_stars(spark):
