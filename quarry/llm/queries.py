@@ -206,22 +206,39 @@ WITH lines AS (
   SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS x
   FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) t(i)),
 spans AS (
-  SELECT doc_id, i, x, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i
+  SELECT doc_id, coalesce(sum(length(x) + 1) OVER (PARTITION BY doc_id ORDER BY i
       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
     length(x) + CASE WHEN i < max(i) OVER (PARTITION BY doc_id) THEN 1 ELSE 0 END AS size,
     trim(regexp_replace(lower(x), '\s+', ' ', 'g')) AS unit FROM lines),
-ranked AS (
-  SELECT *, len(string_split(unit, ' ')) >= 10 AND unit <> '' AS is_unit,
-    row_number() OVER (PARTITION BY unit ORDER BY doc_id, start) AS n FROM spans)
-SELECT d.doc_id, any_value(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END) AS text,
-  any_value(coalesce(k.n_removed, 0)) AS n_removed, any_value(coalesce(k.removed, '')) AS removed
-FROM documents d LEFT JOIN (
-  SELECT r.doc_id, count(*) FILTER (is_unit AND n > 1) AS n_removed,
-    string_agg(CASE WHEN is_unit AND n > 1 THEN CAST(start AS BIGINT) || '-' || CAST(start + size AS BIGINT) END, ','
-      ORDER BY i) AS removed,
-    string_agg(CASE WHEN is_unit AND n > 1 THEN '' ELSE substr(t.text, CAST(start AS BIGINT) + 1, CAST(size AS BIGINT)) END, ''
-      ORDER BY i) AS text
-  FROM ranked r JOIN documents t ON t.doc_id = r.doc_id GROUP BY r.doc_id) k ON k.doc_id = d.doc_id
-GROUP BY d.doc_id
+tokens AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '\s*\S+')) AS x,
+    generate_subscripts(regexp_extract_all(text, '\s*\S+'), 1) AS i FROM documents),
+words AS (
+  SELECT doc_id, i, lower(regexp_extract(x, '\S+')) AS w, length(regexp_extract(x, '\S+')) AS size,
+    sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop FROM tokens),
+runs AS (
+  SELECT doc_id, stop - size AS start, max(stop) OVER w AS stop, count(*) OVER w AS n, string_agg(w, ' ') OVER w AS unit
+  FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 50 FOLLOWING)),
+cuts AS (
+  SELECT doc_id, start, start + size AS stop FROM (
+    SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, start) AS k FROM spans
+    WHERE unit <> '' AND len(string_split(unit, ' ')) >= 10) a WHERE k > 1
+  UNION SELECT doc_id, start, stop FROM (
+    SELECT *, row_number() OVER (PARTITION BY unit ORDER BY doc_id, start) AS k FROM runs WHERE n = 51) b WHERE k > 1),
+fresh AS (
+  SELECT *, CASE WHEN start >= max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS new FROM cuts),
+parts AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS part FROM fresh),
+merged AS (SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max(stop) AS BIGINT) AS stop FROM parts GROUP BY doc_id, part),
+pieces AS (
+  SELECT m.doc_id, m.start, m.stop, substr(d.text, CAST(coalesce(lag(m.stop) OVER o, 0) AS BIGINT) + 1,
+    CAST(m.start - coalesce(lag(m.stop) OVER o, 0) AS BIGINT)) AS x
+  FROM merged m JOIN documents d USING (doc_id) WINDOW o AS (PARTITION BY m.doc_id ORDER BY m.start)),
+cut AS (
+  SELECT doc_id, string_agg(x, '' ORDER BY start) AS head, max(stop) AS last, count(*) AS n,
+    string_agg(start || '-' || stop, ',' ORDER BY start) AS removed FROM pieces GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN c.doc_id IS NULL THEN d.text ELSE c.head || substr(d.text, c.last + 1) END AS text,
+  coalesce(c.n, 0) AS n_removed, coalesce(c.removed, '') AS removed
+FROM documents d LEFT JOIN cut c ON c.doc_id = d.doc_id
 """,
 }

@@ -1,20 +1,21 @@
 """Removal of repeated lines and passages: unit hashing with global digests and original offsets.
 
-Every whole text is cut into lines; a line of at least ``min_words`` words is a unit,
-normalised (case, white space) and hashed to 128 bits. Digests are grouped over all
-documents; the earliest occurrence by (doc_id, place) stays, every other occurrence
-is cut out. What is shuffled for the grouping are digests and offsets, not texts.
-
-The earliest occurrences of repeated digests are checkpointed before they are joined
-back to the occurrences, so both sides are plain exchanges and AQE can split the rows
-of a line that a third of all documents hold.
-
-Passages are units of ``run_words`` + 1 words running, wherever they start, line breaks
-folded, grouped the same way; overlapping repeats merge to runs. Not all of them are
-grouped: a unit's anchor is the least hash of the shorter word runs inside it (half
-its length), which depends on the unit's words only, so equal units have equal anchors
-wherever they stand. Only units whose anchor stands in more than one place are
-hashed and grouped, which loses no repeat.
+Every whole text has two kinds of units: its lines of at least ``min_words`` words, and all runs of ``run_words`` + 1
+words, wherever they start, line breaks folded. A unit is normalised (case, white space) and hashed to 128 bits. The
+earliest occurrence over all documents, by (doc_id, place), stays; every other one is cut out, and cuts that overlap
+merge.
+
+1. *Candidates.* A word run's anchor is the least hash of the shorter word runs inside it (half its length). It
+   depends on the run's words only, so equal runs have equal anchors wherever they stand: about one anchor per 13
+   words is counted instead of a digest per word, and only units whose anchor (or line) stands in more than one
+   place can be repeated. The counts are packed by blocks of documents (``packed``).
+2. *Earliest places.* A block sends the first place of each candidate digest, packed by bucket; the others in the block
+   are repeats anyway, so a line that a third of all documents hold is one entry per block. What comes back
+   is a byte per digest: whether an earlier place exists elsewhere.
+3. *Cutting.* The block's documents meet that answer, and the spans are merged and cut out.
+
+Texts are shuffled by block, once for steps 2 and 3 together where Spark reuses the exchange; nothing is kept in
+tables.
 """
 
 from __future__ import annotations
@@ -24,22 +25,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quarry.llm.tables import kept
-from quarry.llm.words import mix, text_pieces
-from quarry.session import ensure_checkpoint_dir
+from quarry.llm.packed import BLOCK_BYTES, CLASSES, PACKED, PER_BLOCK, cut, frequencies, numbered, packed, unpacked
+from quarry.llm.words import mix, per_process, text_pieces
 
 #: Shorter lines are no units: common phrases repeat without being copied.
 MIN_WORDS = 10
 #: A passage has more words than that.
 RUN_WORDS = 50
-#: Distinct words a task remembers, and words it looks at together.
-HELD, BLOCK = 100_000, 1 << 17
+#: Distinct words a task remembers.
+HELD = 100_000
 _LINE = re.compile(r"[^\n]+\n?")
 _WORD = re.compile(r"\S+")  # the words of str.split()
+_NONE = np.empty(0, np.uint64)
+#: A digest's place: its document (known: not null) by id and hash of the text, and where it stands there.
+_PLACE = np.dtype([("high", "<u8"), ("low", "<u8"), ("known", "u1"), ("id", "<i8"), ("print", "<i8"), ("place", "<i4")])
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 _MULT, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
@@ -49,35 +55,6 @@ def unit_digest(line: str) -> tuple[int, bytes]:
     return len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace"))
 
 
-def units(df: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",),
-          min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per unit: the key columns, start and stop (characters of the original text, the
-    line's end included) and digest."""
-    keep = list(keys)
-    frame = df.select(*[df[k] for k in keep], df[text].alias("_source"))
-    schema = frame.drop("_source").schema.add("start", "long").add("stop", "long").add("digest", "binary")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                row, start, stop, digest = [], [], [], []
-                for n, t in enumerate(part.column(part.num_columns - 1).to_pylist()):
-                    for m in _LINE.finditer(t or ""):
-                        count, value = unit_digest(m.group())
-                        if count >= min_words:
-                            row.append(n)
-                            start.append(m.start())
-                            stop.append(m.end())
-                            digest.append(value)
-                found = part.take(pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [*found.columns[:-1], pa.array(start, pa.int64()), pa.array(stop, pa.int64()),
-                     pa.array(digest, pa.binary())], [*keep, "start", "stop", "digest"])
-
-    return frame.mapInArrow(run, schema)
-
-
 class _Words(dict):
     """Lower-cased word -> 64-bit hash, remembered up to HELD words."""
 
@@ -125,173 +102,216 @@ def _half(length: int) -> tuple[int, int]:
     return half, length - half + 1
 
 
-def _between(text: str, spans: list[dict], least: int) -> Iterator[tuple[int, str]]:
-    """What stands between the cut lines of at least ``least`` words, with its place."""
-    done = 0
-    for s in spans or ():
-        if len(text[s["start"]:s["stop"]].split()) >= least:
-            yield done, text[done:s["start"]]
-            done = s["stop"]
-    yield done, text[done:]
-
-
-def _anchors(df: DataFrame, length: int) -> DataFrame:
-    """(_id, _print, anchor): one row for each place of an anchor of some unit outside long cut lines."""
-    schema = df.select("_id", "_print").schema.add("anchor", "long")
-    half, width = _half(length)
-
-    def places(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the text and anchor, for some texts in a row."""
-        h, stops = np.concatenate(hashes), np.cumsum([len(x) for x in hashes])
-        runs = _runs(h, half)
-        least = _sliding(runs, width)
-        text = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes])
-        at = np.arange(len(least))
-        least[at + length > stops[text[:len(least)]]] = 0  # reaches into the next text
-        edge = np.zeros(width - 1, np.uint64)
-        some = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == runs)
-        return text[some], runs[some].view(np.int64)
+class _Block:
+    """The units of a block of texts: lines, and word runs with their anchors."""
+
+    def __init__(self, texts: list, min_words: int, length: int | None):
+        self.texts = [t or "" for t in texts]
+        self.length, hashes = length, per_process("passage words", _Words)
+        self.lines, self.words, self.anchors, places = [], [], [], []
+        for t in self.texts:
+            found = []
+            for m in _LINE.finditer(t):
+                count, digest = unit_digest(m.group())
+                if count >= min_words:
+                    found.append((*np.frombuffer(digest, np.uint64).tolist(), *m.span()))
+            self.lines.append(found)
+            places.append(np.array([x[0] for x in found], np.uint64))
+            words, least = hashes.of(t) if length else _NONE, _NONE
+            if length and len(words) >= length:
+                half, width = _half(length)
+                runs = _runs(words, half)
+                least = _sliding(runs, width)
+                edge = np.zeros(width - 1, np.uint64)
+                places.append(runs[_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == runs])
+            self.words.append(words)
+            self.anchors.append(least)
+        self.distinct, self.counts = np.unique(np.concatenate(places) if places else _NONE, return_counts=True)
+
+    def entries(self, rank: np.ndarray, repeated: np.ndarray) -> dict[str, np.ndarray]:
+        """The units that may be repeated: digest (high, low), row, its rank, place (order inside a text), start, stop."""
+        parts = [[] for _ in range(6)]
+
+        def often(x):
+            return repeated[np.searchsorted(self.distinct, x)]
+
+        for row, text in enumerate(self.texts):
+            found = [x for x in self.lines[row] if often(np.uint64(x[0]))]
+            if found:
+                x = np.array([f[:2] for f in found], np.uint64)
+                span = np.array([f[2:] for f in found], np.int64)
+                for part, value in zip(parts, (x[:, 0], x[:, 1], np.full(len(x), row), span[:, 0], span[:, 0], span[:, 1]), strict=True):
+                    part.append(value)
+            some = np.flatnonzero(often(self.anchors[row])) if len(self.anchors[row]) else ()
+            if len(some):
+                h = self.words[row]
+                at = np.array([m.span() for m in _WORD.finditer(text)], np.int64)
+                for part, value in zip(parts, (_runs(h, self.length)[some], _runs(mix(h ^ _OTHER), self.length)[some], np.full(len(some), row), some,
+                                               at[some, 0], at[some + self.length - 1, 1]), strict=True):
+                    part.append(value)
+        names = ("high", "low", "row", "place", "start", "stop")
+        out = {n: np.concatenate(x) if x else np.empty(0, np.uint64 if n in names[:2] else np.int64) for n, x in zip(names, parts, strict=True)}
+        return out | {"rank": rank[out["row"]]}
+
+
+def _order(ids: pa.ChunkedArray, prints: np.ndarray) -> np.ndarray:
+    """The rank of each row by id (null first), then by its text's hash; equal rows have equal ranks."""
+    null = ids.is_null().to_numpy()
+    keys = np.stack([(~null).astype(np.int64), ids.fill_null(0).to_numpy(), prints], 1)
+    order = np.lexsort((keys[:, 2], keys[:, 1], keys[:, 0]))
+    new = np.concatenate([[False], (keys[order][1:] != keys[order][:-1]).any(axis=1)])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def _firsts(high, low, *place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per digest, in order: the entry with the least place; the digest's number of each entry; and whether an entry
+    has that place itself."""
+    order = np.lexsort((*place[::-1], low, high))
+    h, w = high[order], low[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (w[1:] != w[:-1])]) if len(h) else np.empty(0, bool)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    head = order[new]
+    same = np.ones(len(order), bool)
+    for p in place:
+        same &= p == p[head][number]
+    return head, number, same
+
+
+def _counted(min_words: int, length: int | None, buckets: int, size: int):
+    """Map function: (..., text) -> the block's anchors and line hashes, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for batch in batches:
-            row, hashes, size = [], [], 0
-            for n in range(batch.num_rows):
-                for _, x in _between(batch.column("_source")[n].as_py() or "", batch.column("removed")[n].as_py(), length):
-                    h = words.of(x)
-                    if len(h) >= length:
-                        row.append(n)
-                        hashes.append(h)
-                        size += len(h)
-                if size >= BLOCK or n + 1 == batch.num_rows and size:
-                    text, anchor = places(hashes)
-                    found = batch.select(["_id", "_print"]).take(pa.array(np.array(row)[text]))
-                    yield pa.RecordBatch.from_arrays([*found.columns, pa.array(anchor)], ["_id", "_print", "anchor"])
-                    row, hashes, size = [], [], 0
-
-    return df.mapInArrow(run, schema)
-
-
-def _passages(df: DataFrame, length: int) -> DataFrame:
-    """One row per unit of ``length`` words with one of the document's ``anchors``: _id, _print, start, stop,
-    digest. Units don't reach into cut lines (``removed``) that are as long themselves."""
-    schema = df.select("_id", "_print").schema.add("start", "long").add("stop", "long").add("digest", "binary")
-    half, width = _half(length)
+        for number, table in numbered(batches, size):
+            block = _Block(table.column(table.num_columns - 1).to_pylist(), min_words, length)
+            yield packed(number, block.distinct, block.counts, buckets)
+
+    return run
+
+
+def _tagged(names: list[str], size: int):
+    """Map function: the rows (text last) with their block's number in front."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for batch in batches:
-            for n in range(batch.num_rows):
-                part = batch.slice(n, 1)
-                text, spans = part.column("_source")[0].as_py(), part.column("removed")[0].as_py()
-                anchors = part.column("anchors")[0].values.to_numpy().view(np.uint64)
-                for place, x in _between(text, spans, length):
-                    h = words.of(x)
-                    if len(h) < length:
-                        continue
-                    some = np.flatnonzero(np.isin(_sliding(_runs(h, half), width), anchors))
-                    if not len(some):
-                        continue
-                    at = np.array([m.span() for m in _WORD.finditer(x)], np.int64) + place
-                    both = np.stack([_runs(h, length)[some], _runs(mix(h ^ _OTHER), length)[some]], 1)
-                    digest = pa.FixedSizeBinaryArray.from_buffers(
-                        pa.binary(16), len(some), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
-                    key = part.select(["_id", "_print"]).take(pa.array(np.zeros(len(some), np.int64)))
-                    yield pa.RecordBatch.from_arrays(
-                        [*key.columns, pa.array(at[some, 0]),
-                         pa.array(at[some + length - 1, 1]), digest], ["_id", "_print", "start", "stop", "digest"])
-
-    return df.mapInArrow(run, schema)
-
-
-def _repeats(found: DataFrame) -> DataFrame:
-    """The units (_id, _print, start, stop) whose digest stands in an earlier place."""
-    place = F.struct("_id", "_print", "start")
-    first = (found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-             .where("first < last").select("digest", "first").checkpoint())
-    return found.join(first, "digest").where(place > F.col("first")).select("_id", "_print", "start", "stop")
-
-
-def _merged(cut: DataFrame) -> DataFrame:
-    """Overlapping spans put together; spans that only touch stay apart."""
-    own = Window.partitionBy("_id", "_print").orderBy("start", "stop")
-    before = F.max("stop").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    rows = cut.withColumn("new", F.coalesce(F.col("start") >= before, F.lit(True)).cast("int"))
-    rows = rows.withColumn("part", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy("_id", "_print", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("part")
-
-
-def _spans(cut: DataFrame) -> DataFrame:
-    spans = cut.groupBy("_id", "_print").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("removed"))
-    return spans.withColumnsRenamed({"_id": "_id2", "_print": "_print2"})
-
-
-def _same(rows: DataFrame, other: DataFrame):
-    return rows["_id"].eqNullSafe(other["_id2"]) & (rows["_print"] == other["_print2"])
-
-
-def _with_passages(rows: DataFrame, cut: DataFrame, length: int) -> DataFrame:
-    """The cut lines and the repeated units of ``length`` words."""
-    cut = cut.checkpoint()
-    texts = rows.select("_id", "_print", "_source")
-    lines = _spans(cut).checkpoint()
-    anchors, _ = kept(_anchors(texts.join(lines, _same(texts, lines), "left"), length))
-    repeated = anchors.groupBy("anchor").count().where("count > 1").select("anchor").checkpoint()
-    own = anchors.join(repeated, "anchor").groupBy("_id", "_print").agg(F.collect_set("anchor").alias("anchors"))
-    own = own.join(lines, _same(own, lines), "left").select(
-        F.col("_id").alias("_id2"), F.col("_print").alias("_print2"), "anchors", "removed")
-    some = texts.join(own, _same(texts, own)).select("_id", "_print", "_source", "anchors", "removed")
-    return cut.unionByName(_repeats(kept(_passages(some, length))[0]))
-
-
-def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            texts = []
-            names = part.schema.names
-            whole = part.column(names.index("_source")).to_pylist()
-            cuts = part.column(names.index("removed")).to_pylist()
-            for t, spans in zip(whole, cuts, strict=True):
-                if t is not None and spans:
-                    kept, done = [], 0
-                    for s in spans:
-                        kept.append(t[done:s["start"]])
-                        done = s["stop"]
-                    t = "".join([*kept, t[done:]])
-                texts.append(t)
-            rest = [n for n in names if n != "_source"]
-            yield pa.RecordBatch.from_arrays([part.column(n) for n in rest] + [pa.array(texts, pa.string())],
-                                             [*rest, "_text"])
+        for number, table in numbered(batches, size):
+            for batch in table.to_batches():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, number, np.int64)), *batch.columns], ["block", *names])
+
+    return run
+
+
+def _candidates(docs: pa.Table, answers: pa.Table, min_words: int, length: int | None, buckets: int):
+    """A block's entries, sorted out: (entries, head of each digest, digest of each entry, whether it has the head's place)."""
+    block = _Block(docs.column("_source").to_pylist(), min_words, length)
+    classes = answers.filter(pc.is_valid(answers.column("classes")))
+    rank = _order(docs.column("_id"), docs.column("_print").to_numpy())
+    e = block.entries(rank, unpacked(block.distinct, classes, buckets) > 0)
+    return e, *_firsts(e["high"], e["low"], e["rank"], e["place"])
+
+
+def _heads(min_words: int, length: int | None, buckets: int):
+    """Cogroup function: a block's documents and classes -> the first place of each candidate digest, packed by bucket."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        e, head, _, _ = _candidates(docs, answers, min_words, length, buckets)
+        row = e["row"][head]
+        ids = docs.column("_id")
+        entry = np.zeros(len(head), _PLACE)
+        entry["high"], entry["low"], entry["place"] = e["high"][head], e["low"][head], e["place"][head]
+        entry["known"], entry["id"] = ids.is_valid().to_numpy()[row], ids.fill_null(0).to_numpy()[row]
+        entry["print"] = docs.column("_print").to_numpy()[row]
+        order, ends = cut(entry["high"], buckets)
+        some = np.flatnonzero(ends[1:] > ends[:-1])
+        number = docs.column("block")[0].as_py()
+        return pa.table({"bucket": pa.array(some.astype(np.int32)), "block": pa.array(np.full(len(some), number, np.int64)),
+                         "places": pa.array([entry[order[ends[b]:ends[b + 1]]].tobytes() for b in some], pa.binary())})
+
+    return run
+
+
+def _earliest(table: pa.Table) -> pa.Table:
+    """Group function: places of a bucket -> bucket, block, later: a byte per place, 1 where another block has an earlier one."""
+    lists = [np.frombuffer(x, _PLACE) for x in table.column("places").to_pylist()]
+    e = np.concatenate(lists)
+    _, _, same = _firsts(e["high"], e["low"], e["known"], e["id"], e["print"], e["place"])
+    later, cuts = (~same).astype(np.uint8), np.cumsum([0, *map(len, lists)])
+    return pa.table({"bucket": table.column("bucket"), "block": table.column("block"),
+                     "later": pa.array([later[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
+
+
+def _without(names: list[str], min_words: int, length: int | None, buckets: int):
+    """Cogroup function: a block's documents and all answers -> ``names``, the cut text and the spans."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        e, head, number, same = _candidates(docs, answers, min_words, length, buckets)
+        order, ends = cut(e["high"][head], buckets)
+        later = np.zeros(len(head), bool)
+        found = answers.filter(pc.is_valid(answers.column("later")))
+        for bucket, x in zip(found.column("bucket").to_pylist(), found.column("later").to_pylist(), strict=True):
+            later[order[ends[bucket]:ends[bucket + 1]]] = np.frombuffer(x, np.uint8) == 1
+        gone = ~same | later[number]
+        row, start, stop = (e[c][gone] for c in ("row", "start", "stop"))
+        order = np.lexsort((stop, start, row))
+        row, start, stop = row[order], start[order], stop[order]
+        texts, spans = [], []
+        ends = np.searchsorted(row, np.arange(docs.num_rows + 1))
+        for i, text in enumerate(docs.column("_source").to_pylist()):
+            own = []
+            for s, t in zip(start[ends[i]:ends[i + 1]].tolist(), stop[ends[i]:ends[i + 1]].tolist(), strict=True):
+                if own and s < own[-1]["stop"]:
+                    own[-1]["stop"] = max(own[-1]["stop"], t)
+                else:
+                    own.append({"start": s, "stop": t})
+            if own:
+                cuts = [0, *(x for o in own for x in (o["start"], o["stop"])), len(text)]
+                text = "".join(text[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True))
+            texts.append(text)
+            spans.append(own)
+        return pa.table([*(docs.column(n) for n in names), pa.array(texts, pa.string()), pa.array(spans, _SPANS)],
+                        names=[*names, "_text", "_spans"])
+
+    return run
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None,
-                   min_words: int = MIN_WORDS, run_words: int | None = None) -> DataFrame:
-    """Every document with the repeated lines cut out of its text: the ``keep`` columns (default:
-    all, the text replaced) and ``removed``, the cut spans (start, stop; characters of the original
-    text, in order). A line's earliest occurrence over all documents stays, by doc_id (null
+                   min_words: int = MIN_WORDS, run_words: int | None = None, removed: str = "removed",
+                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Every document with the repeated units cut out of its text: the ``keep`` columns (default:
+    all, the text replaced) and ``removed`` (the column's name), the cut spans (start, stop; characters of the original
+    text, in order). A unit's earliest occurrence over all documents stays, by doc_id (a long; null
     first), then text, then place; a repeat inside one document goes as well.
 
-    With ``run_words``, passages of more words than that (lower-cased, between white space; line breaks count
-    as spaces) go as well, wherever they start and stop, if all their words stand so in an earlier place, which
-    may overlap them. A repeated line of over ``run_words`` words is a passage by itself: what stands before and
-    after it is looked at apart. Spans that overlap are put together.
+    Units are lines of at least ``min_words`` words, their end included, and, with ``run_words``, passages of more words than
+    that (lower-cased, between white space; line breaks count as spaces), wherever they start and stop: every word that
+    stands in such a run with an earlier place goes, and the earlier place may overlap it. Spans that overlap are put
+    together; spans that only touch stay apart.
 
     A null text stays null and an empty one empty, with nothing removed; a document may end up
     empty, but its row stays. Rows with the same doc_id and the same text count as one document
-    and get the same cuts. Lines of any length are hashed whole. An empty table gives no rows.
-    Columns named ``removed`` or starting with an underscore must not be among ``keep``.
+    and get the same cuts. Lines of any length are hashed whole. An empty table gives no rows. A column named like
+    ``removed`` must not be among ``keep``. ``df`` must give the same rows in the same order when read again, as files do.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     keep = list(df.columns) if keep is None else list(keep)
-    rest = [c for c in keep if c not in (doc_id, text)]
-    rows = df.select(df[doc_id].alias("_id"), F.xxhash64(df[text]).alias("_print"), df[text].alias("_source"),
-                     *[df[c] for c in rest])
-    cut = _repeats(units(rows, "_source", ("_id", "_print"), min_words).checkpoint()).distinct()
-    spans = _spans(cut if run_words is None else _merged(_with_passages(rows, cut, run_words + 1)))
-    both = rows.join(spans, _same(rows, spans), "left")
-    both = both.select("_id", *rest, F.coalesce("removed", F.array().cast(spans.schema["removed"].dataType))
-                       .alias("removed"), "_source")
-    out = both.mapInArrow(_without, both.drop("_source").schema.add("_text", "string"))
-    names = {doc_id: "_id", text: "_text"}
-    return out.select(*[F.col(names.get(c, c)).alias(c) for c in keep], "removed")
+    if removed in keep:
+        raise ValueError(f"a column {removed} is there already")
+    rest = [c for c in keep if c != text]
+    names = [f"_k{i}" for i in range(len(rest))]
+    rows = df.select(*[df[c].alias(n) for c, n in zip(rest, names, strict=True)], df[doc_id].cast("long").alias("_id"),
+                     F.coalesce(F.xxhash64(df[text]), F.lit(0)).alias("_print"), df[text].cast("string").alias("_source"))
+    length = run_words + 1 if run_words else None
+    buckets = PER_BLOCK * df.rdd.getNumPartitions() + 16
+    classes = rows.select("_source").mapInArrow(_counted(min_words, length, buckets, block_bytes), PACKED).groupBy("bucket").applyInArrow(
+        frequencies, CLASSES)
+    columns = StructType([StructField("block", LongType()), *rows.schema.fields])
+    tagged = rows.mapInArrow(_tagged(rows.columns, block_bytes), columns)
+    places = tagged.groupBy("block").cogroup(classes.groupBy("block")).applyInArrow(
+        _heads(min_words, length, buckets), "bucket int, block long, places binary")
+    later = places.groupBy("bucket").applyInArrow(_earliest, "bucket int, block long, later binary")
+    answers = classes.withColumn("later", F.lit(None).cast("binary")).unionByName(later, allowMissingColumns=True)
+    schema = StructType([*rows.schema.fields[:len(rest)], *StructType.fromDDL(
+        "_text string, _spans array<struct<start:bigint,stop:bigint>>").fields])
+    out = tagged.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_without(names, min_words, length, buckets), schema)
+    places_of = dict(zip(rest, names, strict=True)) | {text: "_text"}
+    return out.select(*[F.col(places_of[c]).alias(c) for c in keep], F.col("_spans").alias(removed))
