@@ -21,16 +21,20 @@ from quarry.session import ensure_checkpoint_dir
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labels of this stage's documents, doesn't reject."""
+    """Documents that the classifier, learnt from the labels of this stage's documents, doesn't reject.
+
+    A null or empty text has a score like any other; a row with a null doc_id has one but no label; repeated rows are
+    judged alike. Columns of the caller named score or predicted are kept as they are. An empty table gives no rows."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = classify(docs.withColumn("_text", F.col("text")), labels, train=id_remainder("doc_id", 4) != 2,
-                      text="_text", keep=docs.columns)
-    return scored.where("predicted = 1").select(*docs.columns)
+    rows = docs.select("doc_id", F.col("text").alias("_text"), F.struct(*docs.columns).alias("_row"))  # names can't clash
+    scored = classify(rows, labels, train=id_remainder("doc_id", 4) != 2, text="_text", keep=["doc_id", "_row"])
+    return scored.where("predicted = 1").select("_row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more): the
-    one with the smallest doc_id. Rows that repeat a doc_id stay or go together."""
+    one with the smallest doc_id. Rows that repeat a doc_id stay or go together; rows with a null doc_id and texts
+    that are null, empty or without words stay. An empty table gives no rows."""
     found = jaccard_components(docs, width=5, num=80, den=100)
     gone = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -38,13 +42,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without lines and passages of over 50 words that stand in an earlier document (or place);
-    n_chars is renewed."""
-    out = remove_repeats(docs, run_words=RUN_WORDS).select(*docs.columns)
+    n_chars is renewed. A null text stays null; a document whose whole text goes stays with an empty one; rows that
+    repeat doc_id and text get the same cuts. Other columns are kept, whatever their names. An empty table gives no rows."""
+    spans = "_removed"
+    while spans in docs.columns:
+        spans += "_"
+    out = remove_repeats(docs, run_words=RUN_WORDS, removed=spans).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents packed into sequences of 2048 tokens, with their ids."""
+    """The pieces of the documents packed into sequences of 2048 tokens, with their ids. A null or empty text has its
+    end token only; every row is a document. An empty table gives no rows."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048, 1)
 
 
