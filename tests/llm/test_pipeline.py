@@ -1,15 +1,76 @@
 """The pipeline against a plain Python one on a small folder."""
 
 import random
+import re
 
 import numpy as np
 import public_tokenizers
 
 import __spark_entry__
 import corpus_pipeline
+from quarry.llm import substring
 from test_operators import brute_components, sentence, shingle_set
 
 
+def brute_repeats(texts, least=10, length=51):
+    """Texts by id without repeated lines and repeated runs of words, character by character."""
+    seen, final = set(), {}
+    for i in sorted(texts):
+        text = texts[i] or ""
+        gone, at = set(), 0
+        for line in re.findall(r"[^\n]*\n|[^\n]+", text):
+            unit = " ".join(line.lower().split())
+            if len(unit.split()) >= least:
+                if ("line", unit) in seen:
+                    gone.update(range(at, at + len(line)))
+                seen.add(("line", unit))
+            at += len(line)
+        words = [(m.group().lower(), *m.span()) for m in re.finditer(r"\S+", text)]
+        for k in range(len(words) - length + 1):
+            unit = tuple(w for w, _, _ in words[k:k + length])
+            if unit in seen:
+                gone.update(range(words[k][1], words[k + length - 1][2]))
+            seen.add(unit)
+        final[i] = "".join(c for n, c in enumerate(text) if n not in gone)
+    return final
+
+
+def test_lines_and_passages_together(spark):
+    """A shared passage whose first 60 words are a line goes whole, with the 40 words after the line break."""
+    rng = random.Random(5)
+    shared = sentence(rng, 60) + "\n" + sentence(rng, 40)
+    stock = [sentence(rng, rng.randint(4, 70)) for _ in range(6)]
+    texts = {0: f"start {shared} end", 1: sentence(rng, 5) + "\n" + shared, 2: shared.replace("\n", " "), 3: "", 4: None}
+    texts |= {i: rng.choice([" ", "\n", "\n\n"]).join(rng.choices(stock, k=rng.randint(1, 9))) for i in range(5, 60)}
+    rows = [(i, t, 1, "x") for i, t in texts.items()]
+    frame = spark.createDataFrame([*rows, rows[7]], "doc_id long, text string, start int, predicted string").repartition(3).cache()
+    for size in (400, 1 << 22):
+        found = substring.remove_repeats(frame, run_words=50, block_bytes=size).collect()
+        wanted = brute_repeats(texts)
+        assert len(found) == len(rows) + 1
+        for r in found:
+            assert (r.text or "") == wanted[r.doc_id] and (r.text is None) == (texts[r.doc_id] is None)
+    assert wanted[1].split() == texts[1].split()[:5]
+
+
+def test_stages_keep_columns_and_stand_empty_tables(spark, tmp_path):
+    rng = random.Random(9)
+    line = sentence(rng, 12)
+    rows = [(i, sentence(rng, 30) + "\n" + line, 77.0, "p", "r", None) for i in range(40)] + [(None, None, 1.0, "p", "r", 3)]
+    schema = "doc_id long, text string, score double, predicted string, removed string, n_chars int"
+    spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert {(r.score, r.predicted, r.removed) for r in got} <= {(77.0, "p", "r"), (1.0, "p", "r")}
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.columns == docs.columns and empty.count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     from tokenizers import Tokenizer
 
@@ -39,15 +100,7 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     parts = brute_components({i: shingle_set(t, 5) for i, t in good.items()}, 80, 100)
     stay = {i: t for i, t in good.items() if parts[i] == i}
     assert len(stay) < len(good)
-    seen, final = set(), {}
-    for i in sorted(stay):
-        out = []
-        for line in (stay[i] or "").splitlines(keepends=True):
-            unit = " ".join(line.lower().split())
-            if len(unit.split()) < 10 or unit not in seen:
-                out.append(line)
-                seen.add(unit)
-        final[i] = "".join(out)
+    final = brute_repeats(stay)
     assert any(shared in (stay[i] or "") and shared not in final[i] for i in final)
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
