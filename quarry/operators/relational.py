@@ -37,14 +37,13 @@ def missing_from(left: DataFrame, right: DataFrame, left_key: str,
 
 
 def first_seen_ids(df: DataFrame, key: str, order_col: str, id_col: str = "id",
-                   method: str = "window") -> DataFrame:
+                   method: str = "range") -> DataFrame:
     """Dimension of distinct ``key`` values with a dense id in first-seen order.
 
     The distinct keys are found by a partially aggregated ``groupBy``; the
     dense numbering then runs over the dimension only, never over the fact
-    rows. ``method="window"`` numbers it in one task (rule, ruleset, type
-    dimensions); ``method="range"`` range-partitions the numbering for a
-    dimension with very many keys.
+    rows, range-partitioned so that no task holds the whole dimension.
+    ``method="window"`` numbers it in one task (rule, ruleset, type dimensions).
     """
     first = f"first_{order_col}"
     dim = df.groupBy(key).agg(F.min(order_col).alias(first))

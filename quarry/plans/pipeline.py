@@ -40,8 +40,9 @@ def analyse_corpus(spark: SparkSession, corpus_root: str, archives_root: str | N
         "self_call_candidates": M.self_call_candidates(decls),
         "rejected_files": rejected.select("project", "file", "length"),
     }
-    listed, _ = FS.split_rejects(FS.list_files(spark, corpus_root))
-    projects = FS.project_index(listed).select("project_id")
+    listed, _ = FS.split_rejects(FS.list_files(spark, corpus_root, contents=False))
+    folders, _ = FS.split_rejects(FS.list_projects(spark, corpus_root))
+    projects = FS.project_index(folders).select("project_id")
     # bytes per project before and after its empty files are taken out
     sizes = FS.folder_sizes(scanned.join(per_file.select("project_id", "file", "is_empty"),
                                          ["project_id", "file"], "left")

@@ -62,6 +62,7 @@ def latex_table(summary: DataFrame, caption: str, label: str) -> DataFrame:
         F.col("_first"), "metric_group", F.col("ord").alias("_o"), "line")
     hlines = groups.select("_first", "metric_group", F.lit(1 << 30).alias("_o"), F.lit("\\hline").alias("line"))
     body = order.unionByName(hlines)
+    # The head and foot lines of the LaTeX table.
     head = [f"\\caption{{{caption}}}", f"\\label{{{label}}}\\begin{{tabularx}}{{\\textwidth}}{{llrrrrrr}}",
             " & & \\textbf{mean} & \\textbf{min} & \\textbf{Q1} & \\textbf{median} & \\textbf{Q3} "
             "& \\textbf{max} \\\\ ", "\\hline"]

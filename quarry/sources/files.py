@@ -1,55 +1,50 @@
 """Project file trees: recursive listing, project ids, decoding, sizes (SRC1-SRC4, SRC6, SRC16, SRC17).
 
-Layout: ``<root>/<project id>/**/<file>``. Listing is Spark's ``binaryFile``
-source with recursive lookup; the file content is only read when a later
-step needs it (the source prunes the ``content`` column). Scans by suffix or
-name hand a glob to the listing, so the contents of other files aren't read.
+Layout: ``<root>/<project id>/**/<file>``. The tree is listed by ``sources.tree`` (every name, folders without
+files too); contents are read by the tasks, only of the files that a scan by suffix or name wants.
 """
 
 from __future__ import annotations
 
 import os
-import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.paths import id_from_name
 from quarry.functions.text import java_trim
+from quarry.sources.tree import tree, with_contents
 
 
 def _abs(root: str) -> str:
     return root if "://" in root else os.path.abspath(root)
 
 
-#: Scheme and authority of a path: "file:", "hdfs://host:8020".
-_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+def _located(rows: DataFrame, root: str) -> DataFrame:
+    project = F.substring_index("rel", "/", 1)
+    return rows.select(project.alias("project"), F.col("rel").alias("file"), "name", F.concat(F.lit(root + "/"), "rel").alias("path"),
+                       "is_dir", "length", project.try_cast("int").alias("project_id"))
 
 
-def _any_case(name: str) -> str:
-    """Glob that matches ``name`` in upper and lower case; other special characters match any one."""
-    return "".join(f"[{c.lower()}{c.upper()}]" if c.isascii() and c.isalpha()
-                   else c if c.isascii() and (c.isalnum() or c in "._- ") else "?" for c in name)
+def list_files(spark: SparkSession, root: str, wanted: Column | None = None, contents: bool = True) -> DataFrame:
+    """Regular files under ``root`` with (project, file, name, path, length, project_id) and, if ``contents``, content.
 
+    ``file`` is the path relative to ``root``; ``project`` the first folder (a file directly under ``root``: its own name);
+    ``project_id`` its integer value (NULL for a non-numeric folder: a reject, see ``split_rejects``).
+    ``wanted`` is a condition on these columns; other files are never opened. Names that begin with '.' are
+    left out directly under ``root`` only.
+    """
+    root = _abs(root).rstrip("/")
+    files = _located(tree(spark, root), root).where(~F.col("is_dir")).drop("is_dir")
+    files = files if wanted is None else files.where(wanted)
+    return with_contents(files, root, "file") if contents else files
 
-def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Regular files under ``root`` with (project, project_id, file, name, length, content).
 
-    ``file`` is the path relative to ``root``; ``project`` the first folder;
-    ``project_id`` its integer value (NULL for a non-numeric folder: a reject, see
-    ``split_rejects``). ``glob`` limits the listing by file name, so other files are never
-    opened. Spark's own listing leaves out files and folders whose name starts with '.' or '_'.
-    """
+def list_projects(spark: SparkSession, root: str) -> DataFrame:
+    """(project, project_id) of every folder directly under ``root``, those without files too, and of every stray file
+    there (SRC4)."""
     root = _abs(root).rstrip("/")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    df = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
-    top = re.sub(_SCHEME, "", root)
-    rel = F.regexp_replace("path", _SCHEME, "").substr(F.lit(len(top) + 2), F.length("path"))
-    name = F.substring_index(F.col("path"), "/", -1)
-    out = df.select(
-        F.substring_index(rel, "/", 1).alias("project"), rel.alias("file"), name.alias("name"),
-        "path", "length", "content")
-    return out.withColumn("project_id", F.col("project").try_cast("int"))
+    return _located(tree(spark, root), root).where(~F.contains("file", F.lit("/"))).select("project", "project_id")
 
 
 def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -59,22 +54,19 @@ def split_rejects(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def scan_project_files(spark: SparkSession, root: str, suffix: str = ".java") -> DataFrame:
-    """Files whose trimmed, lower-cased name ends with ``suffix`` (case-insensitive). The listing
-    leaves out names without the suffix (what follows may be white space to trim)."""
-    files = list_files(spark, root, f"*{_any_case(suffix)}*")
-    return files.filter(F.endswith(F.lower(java_trim("name")), F.lit(suffix.lower())))
+    """Files whose trimmed, lower-cased name ends with ``suffix`` (case-insensitive)."""
+    return list_files(spark, root, F.endswith(F.lower(java_trim("name")), F.lit(suffix.lower())))
 
 
 def scan_files_named(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Files with exactly this name, compared case-insensitively (SRC2)."""
-    files = list_files(spark, root, _any_case(name))
-    return files.filter(F.lower("name") == F.lit(name.lower()))
+    return list_files(spark, root, F.lower("name") == F.lit(name.lower()))
 
 
 def project_index(files: DataFrame) -> DataFrame:
     """Distinct project folders ordered by their integer id; non-numeric ids are NULL (SRC4).
 
-    Folders holding no file are not visible to a file listing.
+    ``files``: a listing of files, or ``list_projects``, which has the folders without files too.
     """
     return (files.select("project", "project_id").distinct()
             .orderBy(F.col("project_id").asc_nulls_last(), "project"))

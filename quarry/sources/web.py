@@ -10,6 +10,7 @@ from quarry.functions.paths import url_origin
 # Fixed value: the listing link pattern of the crawled site.
 SCENARIO_LINK = r"/scenarios/[0-9]+"
 
+# The fields of the issue-search response and its time format.
 ISSUE_SCHEMA = ("issues ARRAY<STRUCT<key: STRING, fields: STRUCT<issuetype: STRUCT<name: STRING>, "
                 "reporter: STRUCT<name: STRING>, created: STRING>>>")
 ISSUE_TIME_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSZ"

@@ -13,19 +13,19 @@ def read_text(path):
 
 
 def test_latex_table(spark, tmp_dir):
-    rows = [("Size", 1, "Classes", 3, 11.5, 1.0, 5.0, 7.0, 13.0, 288.0),
-            ("Size", 2, "Methods", 3, 35.4, 1.0, 11.0, 21.0, 42.0, 816.0),
-            ("Complexity", 1, "CC per class", 3, 2.9, 1.0, 2.0, 2.0, 3.0, 327.0)]
+    rows = [("Trees", 1, "Leaves", 4, 2.25, 0.0, 1.0, 2.0, 3.5, 6.0),
+            ("Trees", 2, "Boughs", 4, 17.5, 4.0, 9.0, 12.0, 30.0, 45.0),
+            ("Birds", 1, "Nests", 4, 0.75, 0.0, 0.0, 0.0, 1.0, 3.0)]
     summary = spark.createDataFrame(rows, "metric_group string, ord int, name string, n long, mean double, "
                                           "min double, q1 double, median double, q3 double, max double")
     out = os.path.join(tmp_dir, "latex")
-    W.write_latex_table(summary, out, "Summary", "table:basicstats", group_order=["Size", "Complexity"])
+    W.write_latex_table(summary, out, "A wood", "tab:wood", group_order=["Trees", "Birds"])
     lines = read_text(out)
-    assert lines[0] == "\\caption{Summary}"
-    assert lines[4] == " Size & Classes & 11.5 & 1 & 5 & 7 & 13 & 288 \\\\ "
-    assert lines[5] == "  & Methods & 35.4 & 1 & 11 & 21 & 42 & 816 \\\\ "
+    assert lines[0] == "\\caption{A wood}"
+    assert lines[4] == " Trees & Leaves & 2.2 & 0 & 1 & 2 & 3.5 & 6 \\\\ "
+    assert lines[5] == "  & Boughs & 17.5 & 4 & 9 & 12 & 30 & 45 \\\\ "
     assert lines[6] == "\\hline"
-    assert lines[7] == " Complexity & CC per class & 2.9 & 1 & 2 & 2 & 3 & 327 \\\\ "
+    assert lines[7] == " Birds & Nests & 0.8 & 0 & 0 & 0 & 1 & 3 \\\\ "
     assert lines[-1] == "\\end{tabularx}"
 
 

@@ -39,6 +39,24 @@ def test_project_tree_listing(spark, tmp_dir):
     assert sizes[2] == 20
 
 
+def test_every_name_below_the_top_is_listed(spark, tmp_dir):
+    root = os.path.join(tmp_dir, "names")
+    write(f"{root}/1/_x.java", "class X {}")
+    write(f"{root}/1/_old/.hid/Deep.java", "class Deep {}")
+    write(f"{root}/2/.hid/Y.java", "class Y {}")
+    write(f"{root}/.git/Z.java", "class Z {}")
+    write(f"{root}/stray.txt", "s")
+    os.makedirs(f"{root}/77/empty/inner")
+    for place in (root, f"file://{root}"):
+        java = FS.scan_project_files(spark, place).collect()
+        assert sorted((r["file"], r["project_id"], bytes(r["content"]).decode()) for r in java) == [
+            ("1/_old/.hid/Deep.java", 1, "class Deep {}"), ("1/_x.java", 1, "class X {}"), ("2/.hid/Y.java", 2, "class Y {}")]
+    assert [tuple(r) for r in FS.project_index(FS.list_projects(spark, root)).collect()] == [
+        ("1", 1), ("2", 2), ("77", 77), ("stray.txt", None)]
+    os.makedirs(os.path.join(tmp_dir, "nothing"))
+    assert FS.list_files(spark, os.path.join(tmp_dir, "nothing")).count() == 0
+
+
 def test_root_name_inside_a_project_and_rejects(spark, tmp_dir):
     root = os.path.join(tmp_dir, "src")
     inner = root.lstrip("/")  # the root's own path occurs again inside a project
