@@ -13,6 +13,7 @@ from quarry.functions import text as T
 from quarry.operators import relational as rel
 from quarry.operators import rules as rl
 from quarry.operators import stats
+from quarry.operators.dimension import StoredDimension
 from quarry.plans.registry import register
 from quarry.plans.sqlfmt import duck_display_number
 from quarry.sources.tables import table
@@ -396,3 +397,42 @@ def q_lookup_fk(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events")
     dim = rel.first_seen_ids(events, "event_type", "event_id", "type_id")
     return rel.lookup_ids(events.select("event_id", "event_type"), dim, "event_type", "type_id")
+
+
+# --------------------------------------------------------------------------- loads into a stored dimension
+VISITS_SQL = """
+visits AS (SELECT event_id, user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS visit_day, event_id < half AS early
+           FROM events, (SELECT max(event_id) // 2 AS half FROM events) h),
+one AS (SELECT user_id, visit_day, min(event_id) AS event_id FROM visits WHERE early GROUP BY user_id, visit_day),
+two AS (SELECT user_id, visit_day, min(event_id) AS event_id FROM visits v WHERE NOT early AND NOT EXISTS (
+          SELECT 1 FROM one WHERE one.user_id = v.user_id AND one.visit_day = v.visit_day) GROUP BY user_id, visit_day),
+dimension AS (
+  SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY event_id, user_id, visit_day) AS BIGINT) AS visit_id FROM one
+  UNION ALL SELECT *, CAST((SELECT COUNT(*) FROM one) + ROW_NUMBER() OVER (ORDER BY event_id, user_id, visit_day) AS BIGINT)
+  FROM two)"""
+
+
+def _visits(spark: SparkSession, sf: str) -> tuple[DataFrame, StoredDimension]:
+    """The events as visits (user and day), and the dimension of visits after two loads, one per half of the events."""
+    events = table(spark, sf, "events")
+    visits = events.select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("visit_day"))
+    half = events.select(F.floor(F.max("event_id") / 2)).scalar()
+    dim = StoredDimension(spark, ["user_id", "visit_day"], "event_id", "visit_id")
+    dim.load(visits.filter(F.col("event_id") < half))
+    dim.load(visits.filter(F.col("event_id") >= half))
+    return visits, dim
+
+
+@register("q_stored_dimension", "WITH " + VISITS_SQL + "\nSELECT user_id, visit_day, event_id, visit_id FROM dimension")
+def q_stored_dimension(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored dimension after two loads by INSERT IGNORE: the ids of the first load stay (SNK9, WN1)."""
+    _, dim = _visits(spark, sf)
+    return dim.taken(dim.rows())
+
+
+@register("q_stored_lookup", "WITH " + VISITS_SQL + """
+SELECT v.event_id, d.visit_id FROM visits v LEFT JOIN dimension d ON d.user_id = v.user_id AND d.visit_day = v.visit_day""")
+def q_stored_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Fact rows with their id in the stored dimension; only the facts are shuffled (JN7)."""
+    visits, dim = _visits(spark, sf)
+    return dim.taken(dim.lookup(visits).select("event_id", "visit_id"))
