@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from quarry.operators.bitmaps import bitmaps, distinct_ids, distinct_in_any
 
 RULE_SCHEMA = "rule string, metric string, op string, threshold double"
 OPS = (">=", ">", "<=", "<", "=")
@@ -51,9 +54,13 @@ def rule_prevalence(violations: DataFrame, entity_col: str, rule_col: str = "rul
                     any_label: str = "*any*", alias: str = "n_entities") -> DataFrame:
     """Distinct entities per rule plus one row for entities violating any rule.
 
-    ``rollup`` computes both levels from one scan; ``grouping`` tells the
-    grand-total row apart from a real NULL rule.
+    Integer entities are counted as bitmaps, and "any" is their OR (``operators.bitmaps``); for other types,
+    ``rollup`` computes both levels from one scan, ``grouping`` telling the grand total from a real NULL rule.
     """
+    if isinstance(violations.schema[entity_col].dataType, IntegralType):
+        maps = bitmaps(violations, [rule_col], entity_col)
+        every = distinct_in_any(maps, alias).select(F.lit(any_label).alias(rule_col), alias)
+        return distinct_ids(maps, [rule_col], alias).unionByName(every)
     agg = violations.rollup(rule_col).agg(
         F.count_distinct(entity_col).alias(alias), F.grouping(rule_col).alias("_g"))
     return agg.select(

@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import bitmaps as B
 from quarry.operators import clones as C
 from quarry.operators import relational as rel
 from quarry.operators import rules as R
@@ -108,7 +109,7 @@ def projects_with_clones(dups: DataFrame, occs: DataFrame, n_projects: int | Non
     flagged = C.classify_duplications(dups, occs)
     same = flagged.filter("same_file").select(F.lit("same_file").alias("kind"), "project_id")
     across = flagged.filter("across_file").select(F.lit("across_file").alias("kind"), "project_id")
-    out = same.unionByName(across).groupBy("kind").agg(F.count_distinct("project_id").alias("project_count"))
+    out = B.distinct_ids(B.bitmaps(same.unionByName(across), ["kind"], "project_id"), ["kind"], "project_count")
     if n_projects:
         out = out.withColumn("pct", F.round(F.lit(100.0) * F.col("project_count") / F.lit(n_projects), 2))
     return out
@@ -116,8 +117,8 @@ def projects_with_clones(dups: DataFrame, occs: DataFrame, n_projects: int | Non
 
 def god_class_projects(violations: DataFrame) -> DataFrame:
     """Distinct projects with a god-class violation in the first report set."""
-    return reports.godclass_values(main_set(violations), GOD_CLASS_RULE).agg(
-        F.count_distinct("project_id").alias("project_count"))
+    found = reports.godclass_values(main_set(violations), GOD_CLASS_RULE)
+    return B.distinct_ids(B.bitmaps(found, [], "project_id"), [], "project_count").fillna(0)
 
 
 def rule_projects(violations: DataFrame, rule_names, report_set: str = "main") -> DataFrame:

@@ -171,3 +171,15 @@ def test_running_sum_keeps_null_keys(spark):
     got = {(r.k, r.i): r.running for r in running_sum(df, ["k"], ["i"], "v", method="range").collect()}
     want = {(r.k, r.i): r.running for r in running_sum(df, ["k"], ["i"], "v", method="window").collect()}
     assert got == want and len(got) == 180
+
+
+def test_bitmap_counts_equal_distinct_counts(spark):
+    from quarry.operators import bitmaps as B
+
+    rows = [("a", i % 7) for i in range(50)] + [("b", 10 ** 6 + i) for i in range(9)] + [("a", -3), ("b", -3), ("c", None), (None, 5)]
+    df = spark.createDataFrame(rows, "rule string, id long")
+    maps = B.bitmaps(df, ["rule"], "id")
+    got = {r.rule: r.n for r in B.distinct_ids(maps, ["rule"], "n").collect()}
+    assert got == {"a": 8, "b": 10, "c": 0, None: 1}
+    assert B.distinct_in_any(maps, "n").first().n == len({i for _, i in rows if i is not None})
+    assert B.distinct_in_any(B.bitmaps(df.limit(0), ["rule"], "id"), "n").count() == 0
