@@ -13,6 +13,7 @@ broadcast (a bounded size) and answered by one map-only pass over the candidates
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +22,18 @@ from pyspark.sql import functions as F
 
 #: Queries broadcast at once, and candidate rows with one dense score array.
 QUERY_BLOCK, SCORE_BLOCK = 16_384, 8_192
-#: Weights beyond this magnitude could overflow a 64-bit score.
-_LARGEST = float(1 << 27)
+#: A weight beyond this magnitude is taken as that: products of two, summed over 2**10 components, fit 38 digits.
+_LARGEST = float(1 << 58)
+#: Scores on their way to the merge.
+_SCORE = pa.decimal128(38, 0)
 
 
 def integer_weights(vectors: Column, scale: int) -> Column:
-    """floor(scale * x) per component as array<long>; null for vectors that are null, hold null or
-    non-finite components, or a component whose weight passes 2^27 in magnitude."""
-    weights = F.transform(vectors, lambda x: F.floor(x.cast("double") * F.lit(float(scale))))
-    bad = F.exists(vectors, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double") * scale) > _LARGEST))
+    """floor(scale * x) per component as array<long>, at most 2^58 in magnitude; null for vectors that are null or
+    hold null or non-finite components."""
+    bound = F.lit(_LARGEST)
+    weights = F.transform(vectors, lambda x: F.floor(F.least(F.greatest(x.cast("double") * F.lit(float(scale)), -bound), bound)).cast("long"))
+    bad = F.exists(vectors, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == F.lit(float("inf"))))
     return F.when(vectors.isNotNull() & ~F.coalesce(bad, F.lit(True)), weights)
 
 
@@ -51,6 +55,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
         at = np.flatnonzero(scores >= kth)
     else:
         at = np.arange(len(scores))
+    if scores.dtype == object:  # wider than 64 bits
+        return np.array(sorted(at.tolist(), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
@@ -71,12 +77,14 @@ def _search(queries, k: int):
                 stops = np.append(first[1:], len(term))
                 postings = {int(t): (row[a:b] if b - a < len(ids) else slice(None), weight[a:b])
                             for t, a, b in zip(names, first, stops, strict=True)}
+                largest = max((abs(int(w)) for w in (weight.min(initial=0), weight.max(initial=0))), default=0)
                 for n, own in enumerate(q_ids):
-                    scores = np.zeros(len(ids), np.int64)
+                    wide = largest * sum(map(abs, q_weights[n])) >= 1 << 62  # else no sum can overflow
+                    scores = np.zeros(len(ids), object if wide else np.int64)
                     for t, w in zip(q_terms[n], q_weights[n], strict=True):
                         if t in postings:
                             rows, weights = postings[t]
-                            scores[rows] += w * weights
+                            scores[rows] += w * (weights.astype(object) if wide else weights)
                     others = np.flatnonzero(ids != own)
                     s, i = scores[others], ids[others]
                     if top[n] is not None:
@@ -89,7 +97,8 @@ def _search(queries, k: int):
             yield pa.RecordBatch.from_pydict({
                 "query_id": pa.array(np.concatenate([np.full(len(top[n][0]), q_ids[n]) for n in some])),
                 "vec_id": pa.array(np.concatenate([top[n][1] for n in some])),
-                "score": pa.array(np.concatenate([top[n][0] for n in some]))})
+                "score": pa.concat_arrays([pa.array(top[n][0].tolist(), pa.int64()).cast(_SCORE) if top[n][0].dtype != object
+                                           else pa.array([Decimal(x) for x in top[n][0]], _SCORE) for n in some])})
 
     return run
 
@@ -99,9 +108,9 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, scale: int = 1024, vec_id
     """Per row for which ``queries`` holds, the ``k`` other rows with the highest integer inner
     product, over all rows: query_id, rank (from 1), vec_id, score. Ties go to the smaller vec_id.
 
-    Weights are floor(scale * x). Rows whose vector is null, holds null or non-finite components
-    (or one whose weight passes 2^27) take no part, nor do rows without an id; an empty vector
-    scores 0; vectors of unlike lengths meet in the terms they share. "Other" goes by id: rows that repeat the
+    Weights are floor(scale * x), at most 2^58 in magnitude. Rows whose vector is null or holds null or non-finite
+    components take no part, nor do rows without an id; an empty vector scores 0; scores are exact and ranked so, and
+    one beyond 64 bits is shown as the nearest long; vectors of unlike lengths meet in the terms they share. "Other" goes by id: rows that repeat the
     query's id are not its candidates; other repeated rows are candidates each; a repeated query
     id is answered once, by its first weights in order. A query without candidates and an empty
     table give no rows. Other columns are not looked at.
@@ -121,7 +130,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, scale: int = 1024, vec_id
         value = (block.column("vec_id").to_pylist(), [x.tolist() for x in np.split(term, cuts)],
                  [x.tolist() for x in np.split(weight, cuts)]) if block.num_rows else ([], [], [])
         parts.append(base.select("vec_id", "weights").mapInArrow(
-            _search(spark.sparkContext.broadcast(value), k), "query_id long, vec_id long, score long"))
+            _search(spark.sparkContext.broadcast(value), k), "query_id long, vec_id long, score decimal(38,0)"))
     if not parts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = parts[0]
@@ -129,4 +138,5 @@ def top_k(df: DataFrame, queries: Column, k: int = 10, scale: int = 1024, vec_id
         found = found.union(p)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+            .select("query_id", "rank", "vec_id", F.least(F.greatest("score", F.lit(-2 ** 63).cast("decimal(38,0)")),
+                                                          F.lit(2 ** 63 - 1).cast("decimal(38,0)")).cast("long").alias("score")))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import disclosure, divergence, whitening
+from quarry.llm import disclosure, divergence, topk, whitening
 from test_operators import docs_frame, odd_texts, sentence  # noqa: F401
 
 
@@ -211,3 +211,14 @@ def test_disclosure_equals_brute_force(spark):
     assert sorted((str(r.doc_id), r.s) for r in found) == [("1", "email:5:11"), ("1", "email:5:11"), ("None", "")]
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(disclosure.span_text(
         F.array().cast("array<struct<kind:string,start:bigint,stop:bigint>>")).cast("binary"), 256)).first()[0]
+
+
+def test_search_keeps_wide_weights(spark):
+    vectors = {0: [200000.0, 1.0], 100: [1.0, 1.0], 1: [1e13, -3.0], 2: [-1e13, 2.5], 3: [1e13, 7.0], 200: [1e13, 1.0], 5: [0.1, 0.2], 6: None}
+    frame = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(frame, F.col("vec_id") % 100 == 0, 3).collect()}
+    ints = {i: [math.floor(1024 * x) for x in v] for i, v in vectors.items() if v}
+    for q in (0, 100, 200):
+        scores = sorted(((sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q), key=lambda x: (-x[0], x[1]))
+        for n, (s, i) in enumerate(scores[:3]):
+            assert got[q, n + 1] == (i, min(max(s, -2 ** 63), 2 ** 63 - 1))
