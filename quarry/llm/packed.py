@@ -15,8 +15,9 @@ import pyarrow.compute as pc
 
 from quarry.llm.words import mix
 
-#: Bytes of text of a block; buckets per input partition.
-BLOCK_BYTES, PER_BLOCK = 1 << 22, 2
+#: Bytes of text of a block; buckets per input partition; bytes of a hash that are counted. Hashes that share those
+#: bytes share a class, which may only be too high then: a frequency is an order to all who ask, never a proof.
+BLOCK_BYTES, PER_BLOCK, HASH_BYTES = 1 << 22, 2, 6
 PACKED = "bucket int, block long, hashes binary, counts binary"
 CLASSES = "bucket int, block long, classes binary"
 
@@ -41,9 +42,9 @@ def numbered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int
         yield block, pa.Table.from_batches(held)
 
 
-def cut(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the distinct hashes by bucket, and where each bucket ends."""
-    bucket = (mix(distinct) % np.uint64(buckets)).astype(np.int64)
+def cut(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of hashes by bucket, and where each bucket ends; hashes with the same counted bytes share a bucket."""
+    bucket = (mix(hashes >> np.uint64(64 - 8 * HASH_BYTES)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
@@ -51,7 +52,8 @@ def cut(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def packed(block: int, distinct: np.ndarray, counts: np.ndarray, buckets: int) -> pa.RecordBatch:
     """A block's distinct hashes and their counts, one row per bucket."""
     order, ends = cut(distinct, buckets)
-    values, many = distinct[order].astype("<u8"), counts[order].astype("<u4")
+    values = distinct[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - HASH_BYTES:]
+    many = counts[order].astype("<u4")
     some = np.flatnonzero(ends[1:] > ends[:-1])
     return pa.RecordBatch.from_arrays(
         [pa.array(some.astype(np.int32)), pa.array(np.full(len(some), block, np.int64)),
@@ -62,7 +64,11 @@ def packed(block: int, distinct: np.ndarray, counts: np.ndarray, buckets: int) -
 def frequencies(table: pa.Table) -> pa.Table:
     """Group function: the rows of a bucket -> bucket, block, classes: of each hash, 0 if its count over all blocks
     is one, else the power of two of that count, plus one."""
-    lists = [np.frombuffer(x, "<u8") for x in table.column("hashes").to_pylist()]
+    lists = []
+    for x in table.column("hashes").to_pylist():
+        wide = np.zeros((len(x) // HASH_BYTES, 8), np.uint8)
+        wide[:, :HASH_BYTES] = np.frombuffer(x, np.uint8).reshape(-1, HASH_BYTES)
+        lists.append(wide.reshape(-1).view("<u8"))
     many = np.concatenate([np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]).astype(np.float64)
     _, place = np.unique(np.concatenate(lists), return_inverse=True)
     classes = np.log2(np.bincount(place, many)).astype(np.uint8) + (np.bincount(place, many) > 1)
