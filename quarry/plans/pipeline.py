@@ -9,6 +9,8 @@ persists them as Parquet tables (the store the queries read back).
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,9 @@ def analyse_corpus(spark: SparkSession, corpus_root: str, archives_root: str | N
     out["folder_sizes"] = sizes
     if archives_root:
         out["project_sizes"] = FS.archive_sizes(projects, FS.list_archives(spark, archives_root))
+    broken = [R.malformed_reports(spark, folder) for folder in (clone_reports, violation_reports, size_reports) if folder]
+    if broken:
+        out["rejected_reports"] = reduce(DataFrame.unionByName, broken)
     if clone_reports:
         dups, occs = R.read_clone_reports(spark, clone_reports)
         dups, out["rejected_duplications"] = FS.split_rejects(dups)

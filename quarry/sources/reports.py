@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.paths import id_from_name
 from quarry.functions.text import with_marker_line
+from quarry.sources.tree import tree, with_contents
 
 XML_GLOB = "*.[xX][mM][lL]"
 TXT_GLOB = "*.[tT][xX][tT]"
@@ -90,6 +91,20 @@ def violations_from_xml_rows(raw: DataFrame, report_set: str = "main") -> DataFr
         F.col("v._method").alias("method"), F.trim(F.col("v._VALUE")).alias("message"))
 
 
+def malformed_reports(spark: SparkSession, path: str) -> DataFrame:
+    """(report, project_id, reason) of the XML reports under ``path`` (named from there) that aren't well-formed to their end (cut off,
+    broken tags, no element at all). The row readers give what they find before the break, or nothing;
+    this tells such a file from an empty report. A file is parsed whole, by one task, in PERMISSIVE mode with its text
+    routed to the corrupt-record column."""
+    found = tree(spark, path).where(~F.col("is_dir") & F.endswith(F.lower("name"), F.lit(".xml")))  # empty files too
+    files = with_contents(found, path).select(F.col("content").cast("string").alias("value"), F.col("rel").alias("report"))
+    parsed = F.from_xml("value", "_any string, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    broken = files.select("report", "value", parsed.alias("_x")).where(
+        (F.trim("value") == "") | F.col("_x").isNull() | F.col("_x._corrupt").isNotNull())
+    return broken.select("report", id_from_name(F.substring_index("report", "/", -1)).alias("project_id"),
+                         F.when(F.trim("value") == "", "no element").otherwise("not well-formed").alias("reason"))
+
+
 def violation_dimensions(violations: DataFrame) -> dict[str, DataFrame]:
     """Natural-key dimensions of a violation set: files, rules, rulesets (distinct)."""
     return {"files": violations.select("report_set", "project_id", "file").distinct(),

@@ -75,6 +75,14 @@ def read_issue_json(df: DataFrame, json_col: str = "value") -> DataFrame:
         F.unix_timestamp(created, ISSUE_TIME_FORMAT).alias("epoch"))
 
 
+def malformed_json(df: DataFrame, json_col: str = "value") -> DataFrame:
+    """The rows whose response isn't JSON of the expected form (cut off, for instance), as they are: ``read_issue_json``
+    gives no row for them. A null response is one too; an empty list of issues is not."""
+    schema = f"struct<{ISSUE_SCHEMA.replace('issues ARRAY', 'issues: ARRAY', 1)}, _corrupt: STRING>"
+    parsed = F.from_json(F.col(json_col), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    return df.withColumn("_x", parsed).where(F.col("_x").isNull() | F.col("_x._corrupt").isNotNull()).drop("_x")
+
+
 def issue_lines(issues: DataFrame) -> DataFrame:
     """``key;type;reporter;epoch`` text lines (the reference's issue export)."""
     return issues.select(F.concat_ws(";", "key", "type", "reporter",

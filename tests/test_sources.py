@@ -193,3 +193,23 @@ def test_violation_ids_are_stable_and_unique(spark, tmp_dir):
     a = sorted(r["violation_id"] for r in R.read_violation_reports(spark, root).collect())
     b = sorted(r["violation_id"] for r in R.read_violation_reports(spark, root).collect())
     assert a == b and len(set(a)) == 3
+
+
+def test_broken_reports_are_rejects(spark, tmp_dir):
+    from quarry.sources import reports as R
+    from quarry.sources import web as Wb
+
+    root = os.path.join(tmp_dir, "clones")
+    good = '<?xml version="1.0"?><pmd-cpd><duplication lines="2" tokens="30"><file line="1" path="a"/><codefragment>x</codefragment></duplication></pmd-cpd>'
+    write(f"{root}/1.xml", good)
+    write(f"{root}/2.xml", good[:-20])
+    write(f"{root}/3.xml", "<pmd-cpd/>")
+    write(f"{root}/sub/4.XML", "")
+    write(f"{root}/5.xml", good.replace("</duplication>", ""))
+    write(f"{root}/6.txt", "<")
+    got = {r["project_id"]: r["reason"] for r in R.malformed_reports(spark, root).collect()}
+    assert got == {2: "not well-formed", 4: "no element", 5: "not well-formed"}
+    texts = ['{"issues": [{"key": "A-1"}]}', '{"issues": [{"key": "A-', '{"issues": []}', None]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "n int, value string")
+    assert sorted(r["n"] for r in Wb.malformed_json(rows).collect()) == [1, 3]
+    assert [r["key"] for r in Wb.read_issue_json(rows).collect()] == ["A-1"]
