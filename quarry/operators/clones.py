@@ -11,9 +11,9 @@ duplications our detectors find.
 
 Token clones: a k-gram is k consecutive ASCII tokens ``[a-z0-9]+`` of the
 lower-cased text. Each document computes all its k-gram fingerprints in one
-pass (vectorised rolling hashes); only the fingerprints (two independent
-64-bit values, i.e. 128 bits) are shuffled, never the k-gram text. Longer
-fragments are put together from them in ``operators.maximal``.
+pass (vectorised rolling hashes, two independent 64-bit values, i.e. 128
+bits); only those of k-grams that may be repeated (``operators.repeats``)
+become rows. Longer fragments are put together from them in ``operators.maximal``.
 Repeated k-grams are found by two partially aggregated ``groupBy``s, so a
 k-gram repeated millions of times costs one row per map partition before
 the shuffle. The text of a repeated k-gram is re-extracted from its first
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators.fingerprints import rolling_fingerprints
+from quarry.operators.repeats import Repeats
 
 
 # --------------------------------------------------------------------------- line model
@@ -163,6 +164,8 @@ def kgram_text(repeated: DataFrame, docs: DataFrame, doc_col: str, text_col: str
 def token_clones(docs: DataFrame, project_col: str, doc_col: str, text_col: str,
                  k: int = 20, min_occurrences: int = 2) -> DataFrame:
     """Repeated k-grams per project with their text, occurrences and documents."""
-    rep = repeated_kgrams(kgram_fingerprints(docs, project_col, doc_col, text_col, k),
-                          min_occurrences)
+    if min_occurrences < 2:
+        rep = repeated_kgrams(kgram_fingerprints(docs, project_col, doc_col, text_col, k), min_occurrences)
+    else:  # only k-grams that may be repeated become rows
+        rep = repeated_kgrams(Repeats(docs, project_col, doc_col, text_col, k).grams(), min_occurrences)
     return kgram_text(rep, docs, doc_col, text_col, k)

@@ -8,7 +8,7 @@ Overlapping places of one k-gram in a document count once (a word repeated on en
 length): after a counted place, the next one begins at least k tokens later.
 
 1. *Symbols.* Two neighbouring k-grams belong together if each occurrence of one stands next to the other (one
-   count per k-gram, with the only k-gram before and after it, and one join of k-grams decide that). Runs of such
+   count per k-gram, and whether one k-gram is before and after all its places, decide that: ``repeats``). Runs of such
    k-grams occur as a whole; a text becomes the short sequence of its runs, its symbols. A maximal
    clone begins and ends with a symbol.
 2. *Length doubling.* A window of 2L symbols can be repeated only where both its halves are. Starting from
@@ -25,46 +25,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.fingerprints import BASES, rolling_fingerprints
+from quarry.operators.fingerprints import BASES
+from quarry.operators.repeats import Repeats
 from quarry.operators.stored import drop, stored
 
 #: Rows of windows handed back to Spark at once.
 MAX_ROWS_PER_OUTPUT = 250_000
 
 
-def _only(side: str):
-    """The one value of a neighbour column that all rows of a group have, or null."""
-    return F.when((F.count(side) == F.count(F.lit(1))) & (F.min(side) == F.max(side)), F.min(side)).alias(f"only_{side}")
-
-
-def symbols(fps: DataFrame) -> tuple[DataFrame, str]:
+def symbols(repeats: Repeats) -> tuple[DataFrame, str]:
     """(project, doc, start, stop, s1, s2, first_line, last_line): the runs of repeated k-grams that always occur as a
     whole, named by their first k-gram; ``stop`` is the position of the last one. Also the path of the table."""
-    key = ["project", "h1", "h2"]
-    classes = fps.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), _only("prev"), _only("next")).where("n >= 2")
-    classes, path = stored(classes.drop("n"))
-    a, b = classes.alias("a"), classes.select(
-        F.col("project").alias("p"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("only_next").alias("after")).alias("b")
-    # a follows b everywhere, and b is followed by a everywhere
-    together = a.join(b, F.col("a.project").eqNullSafe(F.col("b.p")) & (F.col("a.only_prev") == F.col("b.b1"))
-                      & (F.col("b.after") == F.col("a.h1")))
-    inner = together.select("project", F.inline(F.array(
-        F.struct(F.col("h1"), F.col("h2"), F.lit(False).alias("head"), F.lit(None).cast("boolean").alias("tail")),
-        F.struct(F.col("b1").alias("h1"), F.col("b2").alias("h2"), F.lit(None).cast("boolean").alias("head"), F.lit(False).alias("tail")))))
-    every = classes.select(*key, F.lit(None).cast("boolean").alias("head"), F.lit(None).cast("boolean").alias("tail"))
-    ends = every.unionByName(inner).groupBy(*key).agg(F.coalesce(F.min("head"), F.lit(True)).alias("head"),
-                                                      F.coalesce(F.min("tail"), F.lit(True)).alias("tail")).where("head or tail")
-    e = ends.withColumnsRenamed({c: "_" + c for c in key})
-    rows = fps.join(e, F.col("project").eqNullSafe(F.col("_project")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")))
+    rows = repeats.ends()
     # of a document's ends, each head that isn't a tail is followed by its tail
     place = Window.partitionBy("project", "doc").orderBy("pos")
     rows = rows.select(
         "project", "doc", F.col("pos").alias("start"), F.when(F.col("tail"), F.col("pos")).otherwise(F.lead("pos").over(place)).alias("stop"),
         F.col("h1").alias("s1"), F.col("h2").alias("s2"), "first_line",
         F.when(F.col("tail"), F.col("last_line")).otherwise(F.lead("last_line").over(place)).alias("last_line"), "head")
-    out, out_path = stored(rows.where("head").drop("head"))
-    drop(fps.sparkSession, path)
-    return out, out_path
+    return stored(rows.where("head").drop("head"))
 
 
 def _doubled(level: DataFrame) -> DataFrame:
@@ -140,8 +119,7 @@ KEY = ["project", "w1", "w2", "size"]
 def clone_windows(docs: DataFrame, project_col: str, doc_col: str, text_col: str, k: int = 20) -> DataFrame:
     """Every window of symbols that may be a clone, one row per occurrence (see ``WINDOW_SCHEMA``)."""
     spark = docs.sparkSession
-    # read twice, and computed twice: that is cheaper than to write and read a row per token
-    syms, syms_path = symbols(rolling_fingerprints(docs, project_col, doc_col, text_col, k, spaced=True))
+    syms, syms_path = symbols(Repeats(docs, project_col, doc_col, text_col, k))
     reach, paths = reaches(syms)
     r = reach.withColumnsRenamed({c: "_" + c for c in ("project", "doc", "start")})
     rows = syms.join(r, F.col("project").eqNullSafe(F.col("_project")) & (F.col("doc") == F.col("_doc")) & (F.col("start") == F.col("_start")),

@@ -225,3 +225,19 @@ def test_rolling_fingerprint_math():
             acc = (acc + int(h[i + j]) * pow(base, j, 1 << 64)) & mask
         want.append(acc - (1 << 64) if acc >= 1 << 63 else acc)
     assert got.tolist() == want
+
+
+def test_only_kgrams_that_may_be_repeated_become_rows(spark):
+    from quarry.operators.repeats import Repeats
+
+    rnd, k = random.Random(5), 20
+    docs = [("p" if i % 3 else None, i, " ".join(f"w{rnd.randint(0, 10 ** 6)}" for _ in range(300))) for i in range(40)]
+    shared = docs[1][2].split()[100:150]  # the same project, another one, and twice in one text
+    docs += [("p", 40, " ".join(["a", *shared, "b"])), (None, 41, " ".join(shared)), ("q", 42, " ".join([*shared[:25], "c", *shared[:25]]))]
+    repeats = Repeats(spark.createDataFrame(docs, "project string, doc long, text string"), "project", "doc", "text", k)
+    rows = [(r.doc, r.pos) for r in repeats.grams().collect()]
+    assert len(rows) == len(set(rows)) < 150  # of 11,000 places
+    assert set(rows) >= {(1, 100 + i) for i in range(31)} | {(40, 1 + i) for i in range(31)} | {(42, i) for i in (*range(6), *range(26, 32))}
+    ends = sorted((r.doc, r.pos, r.head, r.tail) for r in repeats.ends().collect())
+    assert ends == [(1, 100, True, False), (1, 130, False, True), (40, 1, True, False), (40, 31, False, True),
+                    (42, 0, True, False), (42, 5, False, True), (42, 26, True, False), (42, 31, False, True)]
