@@ -32,15 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from quarry.llm.packed import BLOCK_BYTES, CLASSES, PACKED, PER_BLOCK, cut, frequencies, numbered, packed, unpacked
-from quarry.llm.words import mix, per_process, text_pieces
+from quarry.llm.words import mix, per_process
 
 #: Shorter lines are no units: common phrases repeat without being copied.
 MIN_WORDS = 10
 #: A passage has more words than that.
 RUN_WORDS = 50
 #: Distinct words a task remembers.
-HELD = 100_000
-_LINE = re.compile(r"[^\n]+\n?")
+HELD = 200_000
 _WORD = re.compile(r"\S+")  # the words of str.split()
 _NONE = np.empty(0, np.uint64)
 #: A digest's place: its document (known: not null) by id and hash of the text, and where it stands there.
@@ -49,10 +48,9 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 _MULT, _OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
-def unit_digest(line: str) -> tuple[int, bytes]:
-    """Words of a line, and the digest of its normal form (lower case, single spaces)."""
-    words = line.lower().split()
-    return len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace"))
+def unit_digest(words: list[str]) -> bytes:
+    """Digest of the normal form of a line (lower case, single spaces), given its lower-cased words."""
+    return xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "replace"))
 
 
 class _Words(dict):
@@ -64,13 +62,9 @@ class _Words(dict):
         value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
         return value
 
-    def of(self, text: str) -> np.ndarray:
-        """Hashes of the words of a text, in order."""
-        parts = []
-        for piece in text_pieces(text):
-            words = piece.lower().split()
-            parts.append(np.fromiter(map(self.__getitem__, words), np.uint64, len(words)))
-        return parts[0] if len(parts) == 1 else np.concatenate(parts)
+    def of(self, words: list[str]) -> np.ndarray:
+        """Hashes of words, in order."""
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def _runs(h: np.ndarray, length: int) -> np.ndarray:
@@ -110,14 +104,21 @@ class _Block:
         self.length, hashes = length, per_process("passage words", _Words)
         self.lines, self.words, self.anchors, places = [], [], [], []
         for t in self.texts:
-            found = []
-            for m in _LINE.finditer(t):
-                count, digest = unit_digest(m.group())
-                if count >= min_words:
-                    found.append((*np.frombuffer(digest, np.uint64).tolist(), *m.span()))
+            found, parts, every, at = [], [], [], 0
+            # the words of a text are those of its lines: each line is lower-cased and split once for both kinds of units
+            for line in t.split("\n"):
+                stop, words = min(at + len(line) + 1, len(t)), line.lower().split()
+                if len(words) >= min_words and line:
+                    found.append((*np.frombuffer(unit_digest(words), np.uint64).tolist(), at, stop))
+                if length:
+                    every += words
+                    if len(every) >= HELD:
+                        parts.append(hashes.of(every))
+                        every = []
+                at = stop
             self.lines.append(found)
             places.append(np.array([x[0] for x in found], np.uint64))
-            words, least = hashes.of(t) if length else _NONE, _NONE
+            words, least = np.concatenate([*parts, hashes.of(every)]) if length else _NONE, _NONE
             if length and len(words) >= length:
                 half, width = _half(length)
                 runs = _runs(words, half)
