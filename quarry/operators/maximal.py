@@ -84,7 +84,8 @@ def reaches(syms: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def _windows(key: tuple, table: pa.Table) -> pa.Table:
-    """Group function: the symbols of one document -> its windows within reach."""
+    """Group function: the symbols of one document -> its windows within reach; ``in_doc`` of a window's first row counts
+    its places in the document, that of its other rows is 0."""
     table = table.sort_by("start")
     col = {c: table.column(c).to_numpy() for c in ("start", "stop", "s1", "s2", "first_line", "last_line", "reach")}
     n = table.num_rows
@@ -101,6 +102,11 @@ def _windows(key: tuple, table: pa.Table) -> pa.Table:
             power, back = np.cumprod(np.full(n, b)) * inverse, np.cumprod(np.full(n, inverse)) * b
             sums = np.concatenate([[np.uint64(0)], np.cumsum(h * power)])
             hashes.append(((sums[last + 1] - sums[at]) * back[at]).view(np.int64))
+    order = np.lexsort((size, hashes[1], hashes[0]))
+    same = np.all([x[order][1:] == x[order][:-1] for x in (*hashes, size)], axis=0)
+    heads = np.flatnonzero(np.concatenate([[True], ~same]))
+    in_doc = np.zeros(len(at), np.int32)
+    in_doc[order[heads]] = np.diff(np.append(heads, len(at)))
     before_none = np.concatenate([[True], broken[:-1]])
     before, after = np.roll(col["s1"], 1), np.roll(col["s1"], -1)
     return pa.table({
@@ -108,11 +114,11 @@ def _windows(key: tuple, table: pa.Table) -> pa.Table:
         "start": pa.array(col["start"][at], pa.int32()), "size": pa.array(size, pa.int32()),
         "grams": pa.array(col["stop"][last] - col["start"][at] + 1, pa.int32()), "w1": pa.array(hashes[0]), "w2": pa.array(hashes[1]),
         "prev": pa.array(before[at], mask=before_none[at]), "next": pa.array(after[last], mask=broken[last]),
-        "first_line": pa.array(col["first_line"][at], pa.int32()), "last_line": pa.array(col["last_line"][last], pa.int32())})
+        "first_line": pa.array(col["first_line"][at], pa.int32()), "last_line": pa.array(col["last_line"][last], pa.int32()), "in_doc": pa.array(in_doc)})
 
 
 WINDOW_SCHEMA = ("project string, doc long, start int, size int, grams int, w1 long, w2 long, prev long, next long, "
-                 "first_line int, last_line int")
+                 "first_line int, last_line int, in_doc int")
 KEY = ["project", "w1", "w2", "size"]
 
 
@@ -132,16 +138,13 @@ def clone_windows(docs: DataFrame, project_col: str, doc_col: str, text_col: str
 def maximal_clones(windows: DataFrame, k: int = 20) -> DataFrame:
     """One row per maximal clone: project, w1, w2, size (its key), tokens, n_occ, n_docs, the first occurrence (doc,
     start, first_line, last_line), lines, and both kinds as flags: ``same_file`` (some document holds more than one
-    occurrence) and ``across_file`` (some document holds just one). Two partially aggregated ``groupBy``s; a
-    fragment of a third of all documents is combined before each shuffle. A null project is a project."""
-    first = F.struct("doc", "start", "first_line", "last_line")
-    per_doc = windows.groupBy(*KEY, "doc").agg(
-        F.count(F.lit(1)).alias("k"), F.min(first).alias("first"), F.first("grams").alias("grams"),
-        *[f(c).alias(f"{f.__name__}_{c}") for c in ("prev", "next") for f in (F.min, F.max, F.count)])
-    alone = {c: (F.sum(f"count_{c}") == F.sum("k")) & (F.min(f"min_{c}") == F.max(f"max_{c}")) for c in ("prev", "next")}
-    found = per_doc.groupBy(*KEY).agg(
-        F.sum("k").alias("n_occ"), F.count(F.lit(1)).alias("n_docs"), F.min("first").alias("first"), F.first("grams").alias("grams"),
-        (F.max("k") > 1).alias("same_file"), (F.min("k") <= 1).alias("across_file"),
+    occurrence) and ``across_file`` (some document holds just one). One partially aggregated ``groupBy``; a
+    fragment of a third of all documents is combined before the shuffle. A null project is a project."""
+    alone = {c: (F.count(c) == F.count(F.lit(1))) & (F.min(c) == F.max(c)) for c in ("prev", "next")}
+    found = windows.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("n_occ"), F.count_if(F.col("in_doc") > 0).alias("n_docs"),
+        F.min(F.struct("doc", "start", "first_line", "last_line")).alias("first"), F.first("grams").alias("grams"),
+        (F.max("in_doc") > 1).alias("same_file"), F.bool_or(F.col("in_doc") == 1).alias("across_file"),
         F.coalesce(alone["prev"] | alone["next"], F.lit(False)).alias("extends"))
     return found.where("n_occ >= 2 and not extends").select(
         *KEY, (F.col("grams") + (k - 1)).cast("long").alias("tokens"), "n_occ", "n_docs", "first.*",
