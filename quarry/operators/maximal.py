@@ -11,11 +11,13 @@ length): after a counted place, the next one begins at least k tokens later.
    count per k-gram, and whether one k-gram is before and after all its places, decide that: ``repeats``). Runs of such
    k-grams occur as a whole; a text becomes the short sequence of its runs, its symbols. A maximal
    clone begins and ends with a symbol.
-2. *Length doubling.* A window of 2L symbols can be repeated only where both its halves are. Starting from
-   single symbols, the class of 2L symbols is the pair of two L classes; classes that occur once leave. After
-   logarithmically many rounds, no window is left, and each place knows how far repeats can reach from it.
-3. *Windows.* The windows within that reach are counted with the symbol before and after them: where all
-   occurrences share one, the fragment isn't maximal and goes.
+2. *Extents.* If not all occurrences of a window of symbols have the same symbol before them, the same is true of every
+   shorter window from there, as that has those occurrences and more. So a symbol has a left extent, the most symbols
+   that a window from it may have, and likewise a right extent for windows that end with it. Windows of 1, 2, 4, ... symbols
+   are tested where the half as long one held, in packed blocks (``repeats``): both extents are known to a factor of two
+   after logarithmically many rounds, and to a quarter after one more.
+3. *Windows.* The windows within both extents of their ends are counted with the symbol before and after them: where all
+   occurrences share one, the fragment isn't maximal and goes. Nearly all that become rows are occurrences of clones.
 """
 
 from __future__ import annotations
@@ -25,16 +27,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.fingerprints import BASES
-from quarry.operators.repeats import Repeats
+from quarry.operators.fingerprints import BASES, text_hash
+from quarry.operators.repeats import _GRAM, GRAMS, NEXT, PREV, TWICE, Repeats, _answers, _count_grams, _merged, _packed
 from quarry.operators.stored import drop, stored
 
-#: Rows of windows handed back to Spark at once.
-MAX_ROWS_PER_OUTPUT = 250_000
+#: Candidate windows that a block looks at together (a memory bound).
+MAX_WINDOWS = 4_000_000
+ANSWERS = "bucket int, block long, flags binary"
+#: The level of the tests between the lengths of the rounds.
+BETWEEN = -1
 
 
 def symbols(repeats: Repeats) -> tuple[DataFrame, str]:
-    """(project, doc, start, stop, s1, s2, first_line, last_line): the runs of repeated k-grams that always occur as a
+    """(project, doc, start, stop, s1, s2, first_line, last_line, block): the runs of repeated k-grams that always occur as a
     whole, named by their first k-gram; ``stop`` is the position of the last one. Also the path of the table."""
     rows = repeats.ends()
     # of a document's ends, each head that isn't a tail is followed by its tail
@@ -42,79 +47,174 @@ def symbols(repeats: Repeats) -> tuple[DataFrame, str]:
     rows = rows.select(
         "project", "doc", F.col("pos").alias("start"), F.when(F.col("tail"), F.col("pos")).otherwise(F.lead("pos").over(place)).alias("stop"),
         F.col("h1").alias("s1"), F.col("h2").alias("s2"), "first_line",
-        F.when(F.col("tail"), F.col("last_line")).otherwise(F.lead("last_line").over(place)).alias("last_line"), "head")
+        F.when(F.col("tail"), F.col("last_line")).otherwise(F.lead("last_line").over(place)).alias("last_line"), "head",
+        F.pmod(F.xxhash64("project", "doc"), F.lit(repeats.n_blocks)).alias("block"))
     return stored(rows.where("head").drop("head"))
 
 
-def _doubled(level: DataFrame) -> DataFrame:
-    """Windows (project, doc, start, stop, c1, c2) of L symbols -> those of 2L symbols that are repeated."""
-    b = level.select(F.col("project").alias("_p"), F.col("doc").alias("_d"), F.col("start").alias("_s"), F.col("stop").alias("_e"),
-                     F.col("c1").alias("_1"), F.col("c2").alias("_2"))
-    both = level.join(b, F.col("project").eqNullSafe(F.col("_p")) & (F.col("doc") == F.col("_d")) & (F.col("stop") + 1 == F.col("_s")))
-    pair = ["c1", "c2", "_1", "_2"]
-    return both.select("project", "doc", "start", F.col("_e").alias("stop"), F.xxhash64(*pair).alias("c1"),
-                       F.xxhash64(F.lit("second"), *pair).alias("c2"))
-
-
-def _repeated(windows: DataFrame) -> DataFrame:
-    often = windows.groupBy("project", "c1", "c2").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select(
-        F.col("project").alias("_p"), F.col("c1").alias("_1"), F.col("c2").alias("_2"))
-    return windows.join(often, F.col("project").eqNullSafe(F.col("_p")) & (F.col("c1") == F.col("_1")) & (F.col("c2") == F.col("_2")),
-                        "left_semi")
-
-
-def reaches(syms: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(project, doc, start, reach): the most symbols that a repeated window from each symbol may have, where that is
-    more than one; and the paths of the tables read for it. Rounds end when no window is repeated."""
-    level = syms.select("project", "doc", "start", "stop", F.col("s1").alias("c1"), F.col("s2").alias("c2"))
-    found, paths, size = None, [], 1
-    while True:
-        wide, path = stored(_doubled(level))
-        level, level_path = stored(_repeated(wide))
-        drop(syms.sparkSession, path)
-        paths.append(level_path)
-        if level.isEmpty():
-            break
-        size *= 2
-        rows = level.select("project", "doc", "start", F.lit(2 * size - 1).alias("reach"))
-        found = rows if found is None else found.unionByName(rows)
-    if found is None:
-        return syms.select("project", "doc", "start", F.lit(1).alias("reach")).limit(0), paths
-    return found.groupBy("project", "doc", "start").agg(F.max("reach").alias("reach")), paths
-
-
-def _windows(key: tuple, table: pa.Table) -> pa.Table:
-    """Group function: the symbols of one document -> its windows within reach; ``in_doc`` of a window's first row counts
-    its places in the document, that of its other rows is 0."""
-    table = table.sort_by("start")
-    col = {c: table.column(c).to_numpy() for c in ("start", "stop", "s1", "s2", "first_line", "last_line", "reach")}
-    n = table.num_rows
-    broken = np.concatenate([col["start"][1:] != col["stop"][:-1] + 1, [True]])
-    ends = np.flatnonzero(broken)
-    most = np.minimum(ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) + 1, col["reach"])
-    at = np.repeat(np.arange(n), most)
-    size = np.arange(len(at)) - np.repeat(np.cumsum(most) - most, most) + 1
-    last = at + size - 1
-    hashes = []
-    with np.errstate(over="ignore"):
-        for name, base in (("s1", BASES[0]), ("s2", BASES[1])):
-            h, b, inverse = col[name].view(np.uint64), np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
-            power, back = np.cumprod(np.full(n, b)) * inverse, np.cumprod(np.full(n, inverse)) * b
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(h * power)])
-            hashes.append(((sums[last + 1] - sums[at]) * back[at]).view(np.int64))
-    order = np.lexsort((size, hashes[1], hashes[0]))
-    same = np.all([x[order][1:] == x[order][:-1] for x in (*hashes, size)], axis=0)
-    heads = np.flatnonzero(np.concatenate([[True], ~same]))
-    in_doc = np.zeros(len(at), np.int32)
-    in_doc[order[heads]] = np.diff(np.append(heads, len(at)))
-    before_none = np.concatenate([[True], broken[:-1]])
-    before, after = np.roll(col["s1"], 1), np.roll(col["s1"], -1)
-    return pa.table({
-        "project": pa.array([key[0].as_py()] * len(at), pa.string()), "doc": pa.array(np.full(len(at), key[1].as_py(), np.int64)),
-        "start": pa.array(col["start"][at], pa.int32()), "size": pa.array(size, pa.int32()),
-        "grams": pa.array(col["stop"][last] - col["start"][at] + 1, pa.int32()), "w1": pa.array(hashes[0]), "w2": pa.array(hashes[1]),
-        "prev": pa.array(before[at], mask=before_none[at]), "next": pa.array(after[last], mask=broken[last]),
-        "first_line": pa.array(col["first_line"][at], pa.int32()), "last_line": pa.array(col["last_line"][last], pa.int32()), "in_doc": pa.array(in_doc)})
+class _Chains:
+    """The symbols of a block's documents in order; neighbours hang together in chains. The tests whose answers are given
+    are gone through again: ``left`` and ``right`` are how many rounds the windows from, and up to, a symbol have held."""
+
+    def __init__(self, table: pa.Table, answers: pa.Table, buckets: int):
+        table = table.sort_by([(c, "ascending") for c in ("project", "doc", "start", "stop")])
+        self.table, self.n, self.buckets = table, table.num_rows, buckets
+        self.col = {c: table.column(c).to_numpy() for c in ("start", "stop", "s1", "s2", "first_line", "last_line")}
+        place = np.arange(self.n)
+        docs = list(zip(table.column("project").to_pylist(), table.column("doc").to_pylist(), strict=True))
+        new = np.array([x != y for x, y in zip(docs[1:], docs, strict=False)], bool)
+        self.doc = np.concatenate([[0], np.cumsum(new)])
+        broken = new | (self.col["start"][1:] != self.col["stop"][:-1] + 1)
+        ends, starts = np.append(np.flatnonzero(broken), self.n - 1), np.append(0, np.flatnonzero(broken) + 1)
+        self.first, self.last = starts[np.searchsorted(starts, place, "right") - 1], ends[np.searchsorted(ends, place)]
+        of = {name: [text_hash(name, seed) for seed in (7, 8)] for name, _ in set(docs)}
+        self.salt = np.array([of[name] for name, _ in docs], np.uint64).T
+        self.sums, self.back = [], []
+        with np.errstate(over="ignore"):
+            for name, base in (("s1", BASES[0]), ("s2", BASES[1])):
+                h, b, inverse = self.col[name].view(np.uint64), np.uint64(base), np.uint64(pow(base, -1, 1 << 64))
+                power = np.cumprod(np.full(self.n, b)) * inverse
+                self.back.append(np.cumprod(np.full(self.n, inverse)) * b)
+                self.sums.append(np.concatenate([[np.uint64(0)], np.cumsum(h * power)]))
+        self.left, self.right = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        levels = np.array(answers.column("level").to_pylist(), np.int64)
+        for level in range(int(levels.max(initial=-1)) + 1):
+            self._learn(level, answers.filter(pa.array(levels == level)))
+        # the greatest lengths that may hold
+        self.from_, self.to = ((1 << level) - 1 for level in (self.left, self.right))
+        if (levels == BETWEEN).any():
+            self._narrow(answers.filter(pa.array(levels == BETWEEN)))
+
+    def hashes(self, at: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
+        """Both hashes of the windows from ``at`` to ``last``."""
+        with np.errstate(over="ignore"):
+            return [(sums[last + 1] - sums[at]) * back[at] for sums, back in zip(self.sums, self.back, strict=True)]
+
+    def lengths(self, level: int) -> list[tuple[int, int]]:
+        """The lengths tested at a level, with the rounds that must have held."""
+        if level != BETWEEN:
+            return [(1 << level, level)]
+        most = int(max(self.left.max(initial=0), self.right.max(initial=0)))
+        return [(n, i + 1) for i in range(1, most) for n in sorted({(1 << i) * c // 4 for c in (5, 6, 7)} - {1 << i})]
+
+    def tests(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """First and last symbols of the windows tested at a level. All occurrences of a window are tested or none, as its
+        halves decide that."""
+        firsts, lasts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for size, held in self.lengths(level):
+            some = self.left >= held
+            from_end = np.flatnonzero(self.right >= held) - size + 1
+            some[from_end[from_end >= 0]] = True
+            at = np.flatnonzero(some)
+            at = at[at + size - 1 <= self.last[at]]
+            firsts.append(at)
+            lasts.append(at + size - 1)
+        return np.concatenate(firsts), np.concatenate(lasts)
+
+    def grams(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The windows tested at a level, an entry for each different one; the entry, first and last symbol of each."""
+        at, last = self.tests(level)
+        out = np.zeros(len(at), _GRAM)
+        before, after = at > self.first[at], last < self.last[last]
+        names = self.col["s1"].view(np.uint64)
+        for name, value, salt in zip(("a", "b"), self.hashes(at, last), self.salt, strict=True):
+            out[name] = value ^ salt[at]
+        out["prev"][before], out["next"][after] = names[at[before] - 1], names[last[after] + 1]
+        out["flags"] = np.where(before, PREV, 0) | np.where(after, NEXT, 0)
+        grams, number = _merged(out)
+        return grams, number, at, last
+
+    def _held(self, level: int, answers: pa.Table):
+        grams, number, at, last = self.grams(level)
+        flags = _answers(grams["a"], answers, "flags", self.buckets)[number]
+        twice = (flags & TWICE) > 0
+        return at, last, twice & ((flags & PREV) == 0), twice & ((flags & NEXT) == 0)
+
+    def _learn(self, level: int, answers: pa.Table) -> None:
+        at, last, left, right = self._held(level, answers)
+        for rounds, places in ((self.left, at[left]), (self.right, last[right])):
+            rounds[places[rounds[places] == level]] = level + 1
+
+    def _narrow(self, answers: pa.Table) -> None:
+        at, last, left, right = self._held(BETWEEN, answers)
+        size = last - at + 1
+        for bound, rounds, places, held in ((self.from_, self.left, at, left), (self.to, self.right, last, right)):
+            own = ~held & (size >> (np.maximum(rounds[places], 1) - 1) == 1)  # between the last length that held and the next
+            np.minimum.at(bound, places[own], size[own] - 1)
+
+
+def _send_windows(level: int, buckets: int):
+    """Cogroup function: a block and the answers so far -> the windows tested at a level, packed by bucket."""
+
+    def run(syms: pa.Table, answers: pa.Table) -> pa.Table:
+        grams = _Chains(syms, answers, buckets).grams(level)[0]
+        return _packed(syms.column("block")[0].as_py(), grams["a"], buckets, grams=grams)
+
+    return run
+
+
+def extents(syms: DataFrame, buckets: int) -> tuple[DataFrame, list[str]]:
+    """The answers to the tests of windows: bucket, block, flags (a byte per window of the block), level. Also the paths of
+    the tables read for them. Rounds end when no window is left to be tested."""
+    spark = syms.sparkSession
+    answers, paths = spark.createDataFrame([], ANSWERS + ", level int"), []
+
+    def ask(level: int) -> bool:
+        nonlocal answers
+        sent = syms.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_send_windows(level, buckets), GRAMS)
+        flags, path = stored(sent.groupBy("bucket").applyInArrow(_count_grams, ANSWERS).withColumn("level", F.lit(level)))
+        paths.append(path)
+        answers = answers.unionByName(flags) if len(paths) > 1 else flags
+        return not flags.isEmpty()
+
+    level = 0
+    while ask(level):
+        level += 1
+    if level > 2:
+        ask(BETWEEN)
+    return answers, paths
+
+
+def _windows(buckets: int):
+    """Cogroup function: the symbols of a block and all answers -> its windows within both extents; ``in_doc`` of a window's
+    first row counts its places in the document, that of its other rows is 0."""
+
+    def run(syms: pa.Table, answers: pa.Table) -> pa.Table:
+        c = _Chains(syms, answers, buckets)
+        starts, stops = np.flatnonzero(c.from_), np.flatnonzero(c.to)
+        low = np.searchsorted(stops, starts)
+        many = np.searchsorted(stops, np.minimum(starts + c.from_[starts] - 1, c.last[starts]), "right") - low
+        total = np.cumsum(many)
+        firsts, lasts, begin = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        while begin < len(starts):
+            done = total[begin - 1] if begin else 0
+            end = max(begin + 1, int(np.searchsorted(total, done + MAX_WINDOWS, "right")))
+            size = many[begin:end]
+            last = stops[np.repeat(low[begin:end] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            at = np.repeat(starts[begin:end], size)
+            both = last - at < c.to[last]
+            firsts.append(at[both])
+            lasts.append(last[both])
+            begin = end
+        at, last = np.concatenate(firsts), np.concatenate(lasts)
+        size, hashes = last - at + 1, [h.view(np.int64) for h in c.hashes(at, last)]
+        keys = (c.doc[at], *hashes, size)
+        order = np.lexsort(keys[::-1])
+        same = np.all([x[order][1:] == x[order][:-1] for x in keys], axis=0)
+        heads = np.flatnonzero(np.concatenate([np.ones(min(len(at), 1), bool), ~same]))
+        in_doc = np.zeros(len(at), np.int32)
+        in_doc[order[heads]] = np.diff(np.append(heads, len(at)))
+        col, pick = c.col, pa.array(at)
+        before, after = np.roll(col["s1"], 1), np.roll(col["s1"], -1)
+        return pa.table({
+            "project": c.table.column("project").take(pick), "doc": c.table.column("doc").take(pick),
+            "start": pa.array(col["start"][at], pa.int32()), "size": pa.array(size, pa.int32()),
+            "grams": pa.array(col["stop"][last] - col["start"][at] + 1, pa.int32()), "w1": pa.array(hashes[0]), "w2": pa.array(hashes[1]),
+            "prev": pa.array(before[at], mask=at == c.first[at]), "next": pa.array(after[last], mask=last == c.last[last]),
+            "first_line": pa.array(col["first_line"][at], pa.int32()), "last_line": pa.array(col["last_line"][last], pa.int32()),
+            "in_doc": pa.array(in_doc)})
+
+    return run
 
 
 WINDOW_SCHEMA = ("project string, doc long, start int, size int, grams int, w1 long, w2 long, prev long, next long, "
@@ -124,14 +224,11 @@ KEY = ["project", "w1", "w2", "size"]
 
 def clone_windows(docs: DataFrame, project_col: str, doc_col: str, text_col: str, k: int = 20) -> DataFrame:
     """Every window of symbols that may be a clone, one row per occurrence (see ``WINDOW_SCHEMA``)."""
-    spark = docs.sparkSession
-    syms, syms_path = symbols(Repeats(docs, project_col, doc_col, text_col, k))
-    reach, paths = reaches(syms)
-    r = reach.withColumnsRenamed({c: "_" + c for c in ("project", "doc", "start")})
-    rows = syms.join(r, F.col("project").eqNullSafe(F.col("_project")) & (F.col("doc") == F.col("_doc")) & (F.col("start") == F.col("_start")),
-                     "left").select(*syms.columns, F.coalesce("reach", F.lit(1)).alias("reach"))
-    windows, _ = stored(rows.groupBy("project", "doc").applyInArrow(_windows, WINDOW_SCHEMA))
-    drop(spark, syms_path, *paths)
+    repeats = Repeats(docs, project_col, doc_col, text_col, k)
+    syms, syms_path = symbols(repeats)
+    answers, paths = extents(syms, repeats.buckets)
+    windows, _ = stored(syms.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_windows(repeats.buckets), WINDOW_SCHEMA))
+    drop(docs.sparkSession, syms_path, *paths)
     return windows
 
 

@@ -241,3 +241,19 @@ def test_only_kgrams_that_may_be_repeated_become_rows(spark):
     ends = sorted((r.doc, r.pos, r.head, r.tail) for r in repeats.ends().collect())
     assert ends == [(1, 100, True, False), (1, 130, False, True), (40, 1, True, False), (40, 31, False, True),
                     (42, 0, True, False), (42, 5, False, True), (42, 26, True, False), (42, 31, False, True)]
+
+
+def test_windows_of_edited_copies_are_about_their_clones(spark):
+    rnd, k = random.Random(3), 5
+    text, docs = [f"w{i}" for i in range(300)], []
+    for doc in range(14):
+        copy = list(text)
+        for at in rnd.sample(range(300), 8):
+            copy[at] = f"x{rnd.randint(0, 10 ** 9)}" if rnd.random() < 0.7 else f"w{rnd.randint(0, 299)}"
+        docs.append(("p" if doc % 7 else None, doc, " ".join(copy[rnd.randint(0, 30):])))
+    got, clones = _found_fragments(spark, docs, k)
+    assert got == _brute_fragments(docs, k)
+    df = spark.createDataFrame(docs, "project string, doc long, text string")
+    rows = M.clone_windows(df, "project", "doc", "text", k=k).count()
+    assert max(c.size for c in clones) > 8  # symbols; a row per window that may be repeated was 5 times as many
+    assert rows < 1.2 * sum(c.n_occ for c in clones)
