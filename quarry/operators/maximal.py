@@ -14,8 +14,8 @@ length): after a counted place, the next one begins at least k tokens later.
 2. *Extents.* If not all occurrences of a window of symbols have the same symbol before them, the same is true of every
    shorter window from there, as that has those occurrences and more. So a symbol has a left extent, the most symbols
    that a window from it may have, and likewise a right extent for windows that end with it. Windows of 1, 2, 4, ... symbols
-   are tested where the half as long one held, in packed blocks (``repeats``): both extents are known to a factor of two
-   after logarithmically many rounds, and to a quarter after one more.
+   are tested in packed blocks (``repeats``), a few lengths a round and only where those of the round before held: both extents are
+   known to a factor of two after logarithmically many rounds, and to a quarter after one more.
 3. *Windows.* The windows within both extents of their ends are counted with the symbol before and after them: where all
    occurrences share one, the fragment isn't maximal and goes. Nearly all that become rows are occurrences of clones.
 """
@@ -33,6 +33,8 @@ from quarry.operators.stored import drop, stored
 
 #: Candidate windows that a block looks at together (a memory bound).
 MAX_WINDOWS = 4_000_000
+#: Doublings of the length that are tested in one round, and blocks of symbols for each input partition.
+STEP, BLOCKS = 3, 2
 ANSWERS = "bucket int, block long, flags binary"
 #: The level of the tests between the lengths of the rounds.
 BETWEEN = -1
@@ -48,18 +50,18 @@ def symbols(repeats: Repeats) -> tuple[DataFrame, str]:
         "project", "doc", F.col("pos").alias("start"), F.when(F.col("tail"), F.col("pos")).otherwise(F.lead("pos").over(place)).alias("stop"),
         F.col("h1").alias("s1"), F.col("h2").alias("s2"), "first_line",
         F.when(F.col("tail"), F.col("last_line")).otherwise(F.lead("last_line").over(place)).alias("last_line"), "head",
-        F.pmod(F.xxhash64("project", "doc"), F.lit(repeats.n_blocks)).alias("block"))
+        F.pmod(F.xxhash64("project", "doc"), F.lit(BLOCKS * repeats.parts + 16)).alias("block"))
     return stored(rows.where("head").drop("head"))
 
 
 class _Chains:
     """The symbols of a block's documents in order; neighbours hang together in chains. The tests whose answers are given
-    are gone through again: ``left`` and ``right`` are how many rounds the windows from, and up to, a symbol have held."""
+    are gone through again: ``left`` and ``right`` are how many lengths 1, 2, 4, ... of windows from, and up to, a symbol have held."""
 
     def __init__(self, table: pa.Table, answers: pa.Table, buckets: int):
         table = table.sort_by([(c, "ascending") for c in ("project", "doc", "start", "stop")])
         self.table, self.n, self.buckets = table, table.num_rows, buckets
-        self.col = {c: table.column(c).to_numpy() for c in ("start", "stop", "s1", "s2", "first_line", "last_line")}
+        self.col = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("project", "doc", "block")}
         place = np.arange(self.n)
         docs = list(zip(table.column("project").to_pylist(), table.column("doc").to_pylist(), strict=True))
         new = np.array([x != y for x, y in zip(docs[1:], docs, strict=False)], bool)
@@ -81,7 +83,7 @@ class _Chains:
         for level in range(int(levels.max(initial=-1)) + 1):
             self._learn(level, answers.filter(pa.array(levels == level)))
         # the greatest lengths that may hold
-        self.from_, self.to = ((1 << level) - 1 for level in (self.left, self.right))
+        self.from_, self.to = ((1 << powers) - 1 for powers in (self.left, self.right))
         if (levels == BETWEEN).any():
             self._narrow(answers.filter(pa.array(levels == BETWEEN)))
 
@@ -91,15 +93,15 @@ class _Chains:
             return [(sums[last + 1] - sums[at]) * back[at] for sums, back in zip(self.sums, self.back, strict=True)]
 
     def lengths(self, level: int) -> list[tuple[int, int]]:
-        """The lengths tested at a level, with the rounds that must have held."""
+        """The lengths tested at a level, each with how many powers must have held."""
         if level != BETWEEN:
-            return [(1 << level, level)]
+            return [(1 << i, STEP * level) for i in range(STEP * level, STEP * level + STEP)]
         most = int(max(self.left.max(initial=0), self.right.max(initial=0)))
         return [(n, i + 1) for i in range(1, most) for n in sorted({(1 << i) * c // 4 for c in (5, 6, 7)} - {1 << i})]
 
     def tests(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """First and last symbols of the windows tested at a level. All occurrences of a window are tested or none, as its
-        halves decide that."""
+        """First and last symbols of the windows tested at a level. All occurrences of a window are tested or none, as
+        windows at its start and end decide that."""
         firsts, lasts = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for size, held in self.lengths(level):
             some = self.left >= held
@@ -132,14 +134,16 @@ class _Chains:
 
     def _learn(self, level: int, answers: pa.Table) -> None:
         at, last, left, right = self._held(level, answers)
-        for rounds, places in ((self.left, at[left]), (self.right, last[right])):
-            rounds[places[rounds[places] == level]] = level + 1
+        size = last - at + 1
+        for i in range(STEP * level, STEP * level + STEP):
+            for held, places in ((self.left, at[left & (size == 1 << i)]), (self.right, last[right & (size == 1 << i)])):
+                held[places[held[places] == i]] = i + 1
 
     def _narrow(self, answers: pa.Table) -> None:
         at, last, left, right = self._held(BETWEEN, answers)
         size = last - at + 1
-        for bound, rounds, places, held in ((self.from_, self.left, at, left), (self.to, self.right, last, right)):
-            own = ~held & (size >> (np.maximum(rounds[places], 1) - 1) == 1)  # between the last length that held and the next
+        for bound, powers, places, held in ((self.from_, self.left, at, left), (self.to, self.right, last, right)):
+            own = ~held & (size >> (np.maximum(powers[places], 1) - 1) == 1)  # between the last length that held and the next
             np.minimum.at(bound, places[own], size[own] - 1)
 
 
@@ -156,7 +160,7 @@ def _send_windows(level: int, buckets: int):
 def extents(syms: DataFrame, buckets: int) -> tuple[DataFrame, list[str]]:
     """The answers to the tests of windows: bucket, block, flags (a byte per window of the block), level. Also the paths of
     the tables read for them. Rounds end when no window is left to be tested."""
-    spark = syms.sparkSession
+    spark, syms = syms.sparkSession, syms.drop("first_line", "last_line")
     answers, paths = spark.createDataFrame([], ANSWERS + ", level int"), []
 
     def ask(level: int) -> bool:
@@ -170,7 +174,7 @@ def extents(syms: DataFrame, buckets: int) -> tuple[DataFrame, list[str]]:
     level = 0
     while ask(level):
         level += 1
-    if level > 2:
+    if level > 1:
         ask(BETWEEN)
     return answers, paths
 
@@ -226,8 +230,9 @@ def clone_windows(docs: DataFrame, project_col: str, doc_col: str, text_col: str
     """Every window of symbols that may be a clone, one row per occurrence (see ``WINDOW_SCHEMA``)."""
     repeats = Repeats(docs, project_col, doc_col, text_col, k)
     syms, syms_path = symbols(repeats)
-    answers, paths = extents(syms, repeats.buckets)
-    windows, _ = stored(syms.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_windows(repeats.buckets), WINDOW_SCHEMA))
+    buckets = repeats.parts + 16
+    answers, paths = extents(syms, buckets)
+    windows, _ = stored(syms.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_windows(buckets), WINDOW_SCHEMA))
     drop(docs.sparkSession, syms_path, *paths)
     return windows
 

@@ -242,10 +242,10 @@ class Repeats:
 
     def __init__(self, docs: DataFrame, project_col: str, doc_col: str, text_col: str, k: int):
         rows = docs.select(F.col(project_col).cast("string").alias("project"), F.col(doc_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-        parts = rows.rdd.getNumPartitions()
-        self.k, self.buckets, self.n_blocks = k, BUCKETS * parts + 16, BLOCKS * parts
+        self.parts = parts = rows.rdd.getNumPartitions()
+        self.k, self.buckets = k, BUCKETS * parts + 16
         self.blocks = rows.where("text is not null").select(
-            F.pmod(F.xxhash64("project", "doc", "text"), F.lit(self.n_blocks)).alias("block"), "project", "doc", "text")
+            F.pmod(F.xxhash64("project", "doc", "text"), F.lit(BLOCKS * parts)).alias("block"), "project", "doc", "text")
         self.anchors = (self.blocks.groupBy("block").applyInArrow(_send_anchors(k, self.buckets), ANCHORS)
                         .groupBy("bucket").applyInArrow(_count_anchors, "bucket int, block long, repeated binary"))
 
