@@ -1,23 +1,23 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-The tree's states are contexts of up to two words. The root is the add-one unigram model over all
-training tokens. A context is a candidate when its share of the training tokens reaches ``P_MIN``
-(so there are at most 1 / P_MIN candidates per depth at any size), and it is retained when its
-next-word counts diverge from its parent's distribution by more than they cost to describe. Next
-words with a share of at least ``P_NEXT`` in their context's counts over all tokens have a smoothed
-probability of their own; the others share what is left in the parent's proportions, so every state's
-distribution sums to one. A token is scored by the state of the longest retained suffix before it.
-
-Counting covers all training texts: words, then the words after candidate contexts, are counted per
-partition and summed by Spark. Word counts grow with the corpus and never leave Spark. Only
-words with a share of at least ``P_WORD`` are broadcast (at most 1 / P_WORD of them); the others, none of
-which can be a hot key, meet their counts in a join, summed per document.
+The tree's states are contexts of one to ``ORDER`` words. The root is the add-one unigram model over all
+training tokens. Every context that occurs at least twice in training is tested, at any size of the corpus: it is
+retained when its next-word counts diverge from its parent's distribution by more than they cost to describe.
+Next words seen at least twice after a context have a smoothed probability of their own; the others share what is
+left in the parent's proportions, so every state's distribution sums to one. A token is scored by the state of the
+longest retained suffix before it. Words after a context that always has the same next word, or never the
+same one twice, need no longer context: none can tell more about training.
+
+Texts are read and split once, in blocks. A round a context length: a block sends its distinct (context, next word)
+pairs with their training counts, packed by bucket of the context; a bucket adds up the blocks' counts, tests its
+contexts and answers each block, pair by pair. The pairs' counts are the next round's context counts, so only
+places whose whole context is repeated ask again, and blocks keep only the words around them. Contexts
+with a share of at least ``HOT`` of the tokens are dealt over buckets by next word; their sums, one row a
+context, meet on the driver (at most 1 / HOT rows a round). Nothing else leaves the tasks.
 """
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,18 +27,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-from quarry.llm.words import split_words, text_pieces
-from quarry.session import ensure_checkpoint_dir
+from quarry.llm.packed import BLOCK_BYTES, numbered
+from quarry.llm.tables import kept, remove
+from quarry.llm.words import mix, split_words, text_pieces
 
-#: Least share of all training tokens of a broadcast word, of a context, and of a context's next word.
-P_WORD, P_MIN, P_NEXT = 2.0 ** -20, 2.0 ** -14, 2.0 ** -19
+#: Words of the longest contexts: the order of the model.
+ORDER = 8
+#: Share of all training tokens from which a context's next words are dealt over several buckets.
+HOT = 2.0 ** -14
 #: Weight of the parent's distribution in a state's, in tokens.
 PRIOR = 20.0
-#: Distinct words (or pairs) a counting task holds before it hands its counts on.
-HELD = 400_000
+#: Buckets per partition of the texts.
+PER_PARTITION = 6
 _END = b" "  # no word holds white space
-_SHIFT = 21  # bits of a word code in the key of a context and its next word
-
+_SHIFT = 32  # bits of a word code in the key of a context and its next word
+_MULT = np.uint64(0x9E3779B97F4A7C15)
+_UNSEEN = np.uint32(0xFFFFFFFF)  # the number of all words that don't occur in training
+_RETAINED, _OPEN, _PARTS = 1, 2, 4  # of a context: a state; longer ones may differ; dealt over buckets
+_DEAD, _ASKS, _SURE = 0, 1, 2  # of a place: no longer context counts; asks; its context has this next word only
 
 def word_hash(word: bytes) -> int:
     """64-bit hash of a word as a signed integer."""
@@ -46,122 +52,6 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-class _Codes(dict):
-    """word -> code of a frequent word, or a negative number: its place in ``rare``."""
-
-    def __init__(self, hashes: np.ndarray):
-        super().__init__()
-        self.frequent = {h: i for i, h in enumerate(hashes.tolist())}
-        self.rare = array("q")
-
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        code = self.frequent.get(h)
-        if code is None:
-            self.rare.append(h)
-            code = -len(self.rare)
-        self[word] = code
-        return code
-
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the words of whole texts, each with one end, in a row; and where each text starts.
-        As an end is in no context, contexts don't reach from one text into the next."""
-        if len(self) >= HELD:
-            self.clear()
-            self.rare = array("q")
-        parts, starts, n = [], [], 0
-        for text in texts:
-            starts.append(n)
-            for words in map(split_words, text_pieces(text or "")):
-                parts.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
-                n += len(words)
-            parts.append(np.array([self[_END]], np.int64))
-            n += 1
-        return np.concatenate(parts), np.array(starts)
-
-    def rare_hashes(self, codes: np.ndarray) -> np.ndarray:
-        return np.frombuffer(self.rare, np.int64)[-1 - codes] if len(codes) else np.empty(0, np.int64)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-
-    def out():
-        return pa.RecordBatch.from_pydict({"word": pa.array(list(map(word_hash, counts)), pa.int64()),
-                                           "n": pa.array(list(counts.values()), pa.int64())})
-
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            for piece in text_pieces(text or ""):
-                counts.update(split_words(piece))
-            counts[_END] += 1
-            if len(counts) >= HELD:
-                yield out()
-                counts.clear()
-    if counts:
-        yield out()
-
-
-def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(word, n): how often each token (as word_hash; a text ends with one end) occurs."""
-    return (texts.select(text).mapInArrow(_count_words, "word long, n long")
-            .groupBy("word").agg(F.sum("n").alias("n")))
-
-
-class _PairCounts:
-    """Counts of integer keys, merged whenever enough have come together."""
-
-    def __init__(self):
-        self.new: list[np.ndarray] = []
-        self.size = 0
-        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def add(self, keys: np.ndarray) -> None:
-        self.new.append(keys)
-        self.size += len(keys)
-        if self.size >= 2 * HELD:
-            self.merge()
-
-    def merge(self) -> None:
-        if not self.new:
-            return
-        keys, counts = np.unique(np.concatenate(self.new), return_counts=True)
-        both = np.concatenate([self.keys, keys])
-        self.keys, where = np.unique(both, return_inverse=True)
-        self.counts = np.bincount(where, np.concatenate([self.counts, counts])).astype(np.int64)
-        self.new, self.size = [], 0
-
-    def batches(self) -> Iterator[pa.RecordBatch]:
-        self.merge()
-        for at in range(0, len(self.keys), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(self.keys[at:at + (1 << 16)]),
-                                              pa.array(self.counts[at:at + (1 << 16)])], ["key", "n"])
-        self.keys, self.counts = np.empty(0, np.int64), np.empty(0, np.int64)
-
-
-def _count_next(frequent, contexts, depth: int):
-    """Map function: counts of (context, next word) keys, over candidate contexts of ``depth`` words and
-    all broadcast words and the end as next words. ``contexts``: sorted word codes (depth 1) or
-    pair keys (depth 2); ``frequent``: hashes of the broadcast words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = frequent.value
-        codes, counts, states = _Codes(hashes), _PairCounts(), _States(contexts.value, depth, len(hashes))
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                c, _ = codes.of(whole.column(0).slice(at, 256).to_pylist())
-                if len(c) <= depth:
-                    continue
-                state, to = states.before(c), c[depth:]
-                some = np.flatnonzero((state >= 0) & (to >= 0))
-                counts.add((state[some] << _SHIFT) | to[some])
-                if len(counts.keys) >= 4 * HELD:
-                    yield from counts.batches()
-        yield from counts.batches()
-
-    return run
-
-
 class _States:
     """Finds the state of the ``depth`` words before a token."""
 
@@ -212,42 +102,359 @@ class Layer:
         return out
 
 
+def _sums(k: int, state: np.ndarray, n: np.ndarray, q: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each of k contexts: next words, their counts, their parent's probability, and what they add to the
+    divergence (in nats). These add up over parts of a context's next words."""
+    gain = np.bincount(state, n * np.log(n / totals[state] / q), k).astype(float)  # no counts at all: integer zeros
+    return np.bincount(state, minlength=k), np.bincount(state, n, k), np.bincount(state, q, k), gain
+
+
+def _retained(totals, words, seen, q_seen, gain) -> tuple[np.ndarray, np.ndarray]:
+    """Which contexts diverge from the parent's distribution by more than half a log of their total per next
+    word (in nats), and the parent's probability of their other words."""
+    others = 1 - np.minimum(q_seen, 1 - 1e-9)
+    rest = np.maximum(totals - seen, 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = gain + np.where(rest > 0, rest * np.log(rest / totals / others), 0.0)
+    return gain > 0.5 * (words + 1) * np.log(np.maximum(totals, 2)), others
+
+
+def _rest(totals, seen, q_seen, others, prior: float) -> np.ndarray:
+    """log10 of what a state leaves to its parent's other words per unit of the parent's probability."""
+    left = 1 - np.minimum((seen + prior * q_seen) / (totals + prior), 1 - 1e-9)
+    return np.log10(left / others)
+
+
 def _layer(contexts: np.ndarray, totals: np.ndarray, key: np.ndarray, n: np.ndarray, parent, prior: float) -> Layer:
-    """Retain the contexts whose counts diverge from the parent's distribution by more than half a log of
-    their total per next word (in nats); smooth what is retained towards the parent."""
+    """Retain the contexts whose counts diverge enough from the parent's distribution; smooth what is retained
+    towards the parent."""
     order = np.argsort(key)
     key, n = key[order], n[order].astype(float)
     state, to = key >> _SHIFT, key & ((1 << _SHIFT) - 1)
     q = np.minimum(parent(contexts[state], to), 1 - 1e-9)  # the parent's probability of the next word
-    total = totals[state].astype(float)
-    k = len(contexts)
-    seen = np.bincount(state, n, k)
-    q_seen = np.minimum(np.bincount(state, q, k), 1 - 1e-9)
-    rest = np.maximum(totals - seen, 0.0)
-    gain = np.bincount(state, n * np.log(n / total / q), k).astype(float)  # no counts at all: integer zeros
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain += np.where(rest > 0, rest * np.log(rest / totals / (1 - q_seen)), 0.0)
-    cost = 0.5 * (np.bincount(state, minlength=k) + 1) * np.log(np.maximum(totals, 2))
-    kept = np.flatnonzero(gain > cost)
-    new = np.full(k, -1)
-    new[kept] = np.arange(len(kept))
-    p = (n + prior * q) / (total + prior)
-    left = 1 - np.minimum(np.bincount(state, p, k), 1 - 1e-9)
+    words, seen, q_seen, gain = _sums(len(contexts), state, n, q, totals)
+    good, others = _retained(totals, words, seen, q_seen, gain)
+    kept_ = np.flatnonzero(good)
+    new = np.full(len(contexts), -1)
+    new[kept_] = np.arange(len(kept_))
     some = new[state] >= 0
-    return Layer(contexts[kept], np.log10(left / (1 - q_seen))[kept],
-                 (new[state[some]] << _SHIFT) | to[some], np.log10(p[some]))
+    return Layer(contexts[kept_], _rest(totals, seen, q_seen, others, prior)[kept_],
+                 (new[state[some]] << _SHIFT) | to[some],
+                 np.log10((n + prior * q) / (totals[state] + prior))[some])
 
 
-def _pairs(df: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts that reach the least count, sorted (at most 1 / share of them)."""
-    t = df.where(F.col("n") >= least).toArrow()
-    key, n = t.column(0).to_numpy(), t.column(1).to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order]
+class _Book(dict):
+    """word -> its number in a block."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = code = len(self)
+        return code
+
+
+#: What a block holds, packed: of its documents (``here``: places left), of its distinct words, of its places.
+_DOCS = {"train": "?", "n_tokens": "<i8", "n_known": "<i8", "here": "<i8", "base": "<f8", "score": "<f8"}
+_WORDS = {"hash": "<u8", "count": "<i8", "id": "<u4"}
+#: Word; log10 above the unigram model so far; training count of the context; _DEAD, _ASKS or _SURE.
+_PLACES = {"code": "<i4", "delta": "<f4", "total": "<u4", "status": "u1"}
+_BLOCK = _DOCS | _WORDS | _PLACES
+_COUNTED, _NUMBERED = {"hash": "<u8", "n": "<u4"}, {"count": "<i8", "id": "<u4"}
+_PAIRS = {"context": "<u8", "total": "<u4", "next": "<u4", "n": "<u4", "q": "<f4"}
+_REPLY = {"count": "<u4", "rest": "<f4", "flags": "u1"}
+_HOT = "hot array<struct<context: long, total: double, words: double, seen: double, q: double, gain: double, most: double>>"
+
+
+def _columns(kinds: dict) -> str:
+    return ", ".join(f"{name} binary" for name in kinds)
+
+
+def _pack(x: np.ndarray, kind: str) -> bytes:
+    """An array as compressed bytes, all first bytes of its values first."""
+    planes = np.ascontiguousarray(x, kind).view(np.uint8).reshape(len(x), np.dtype(kind).itemsize).T
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, kind: str) -> np.ndarray:
+    n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data[8:], n * size, "zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n)
+
+
+def _held(table: pa.Table | pa.RecordBatch, row: int) -> dict:
+    b = {name: _unpack(table.column(name)[row].as_py(), kind) for name, kind in _BLOCK.items()}
+    return b | {"doc": np.repeat(np.arange(len(b["here"])), b["here"])}
+
+
+def _row(block: int, doc_ids: pa.Array, held: dict) -> dict:
+    """A block as columns; ``asks``: its places that ask in the next round."""
+    ids = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
+    return {"block": pa.array([block], pa.int64()), "asks": pa.array([int((held["status"] == _ASKS).sum())], pa.int64()),
+            "doc_id": ids} | {name: pa.array([_pack(held[name], kind)], pa.binary()) for name, kind in _BLOCK.items()}
+
+
+def _blocks(size: int):
+    """Map function: (doc_id, train, text) -> blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, table in numbered(batches, size):
+            book, parts, lengths = _Book(), [], []
+            end = np.array([book[_END]], np.int32)
+            for text in table.column(2):
+                n = 1
+                for words in map(split_words, text_pieces(text.as_py() or "")):
+                    parts.append(np.fromiter(map(book.__getitem__, words), np.int32, len(words)))
+                    n += len(words)
+                parts.append(end)
+                lengths.append(n)
+            code, docs = np.concatenate(parts), len(lengths)
+            held = {name: np.zeros(docs if name in _DOCS else 0, kind) for name, kind in _BLOCK.items()}
+            held |= {"code": code, "n_tokens": np.array(lengths), "here": np.array(lengths),
+                     "train": table.column(1).combine_chunks().fill_null(False).to_numpy(zero_copy_only=False),
+                     "hash": np.array([word_hash(w) for w in book], np.int64).view(np.uint64)}
+            yield pa.RecordBatch.from_pydict(_row(block, table.column(0).combine_chunks(), held))
+
+    return run
+
+
+def _by_bucket(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order of values by bucket, and where each bucket ends."""
+    order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
+    return order, np.append(0, np.cumsum(np.bincount(bucket.astype(np.int64), minlength=buckets)))
+
+
+def _dealt(block: int, bucket: np.ndarray, buckets: int, values: dict, kinds: dict) -> pa.RecordBatch:
+    """Arrays cut by bucket, one row each."""
+    order, ends = _by_bucket(bucket, buckets)
+    some = np.flatnonzero(ends[1:] > ends[:-1])
+    columns = {"bucket": pa.array(some.astype(np.int32)), "block": pa.array(np.full(len(some), block, np.int64))}
+    for name, kind in kinds.items():
+        x = values[name][order]
+        columns[name] = pa.array([_pack(x[ends[b]:ends[b + 1]], kind) for b in some], pa.binary())
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def _returned(answers: pa.Table, bucket: np.ndarray, buckets: int, kinds: dict) -> dict:
+    """What came back for values that ``_dealt`` cut, in their order."""
+    order, ends = _by_bucket(bucket, buckets)
+    out = {name: np.zeros(len(bucket), kind) for name, kind in kinds.items()}
+    numbers = answers.column("bucket").to_pylist()
+    for name, kind in kinds.items():
+        for b, x in zip(numbers, answers.column(name).to_pylist(), strict=True):
+            out[name][order[ends[b]:ends[b + 1]]] = _unpack(x, kind)
+    return out
 
 
-def score_texts(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text",
-                p_word: float = P_WORD, p_min: float = P_MIN, p_next: float = P_NEXT, prior: float = PRIOR) -> DataFrame:
+def _joined(table: pa.Table, kinds: dict) -> tuple[dict, np.ndarray]:
+    """The arrays of a bucket's rows end to end, and where each row starts."""
+    lists = {name: [_unpack(x, kind) for x in table.column(name).to_pylist()] for name, kind in kinds.items()}
+    cuts = np.cumsum([0, *map(len, next(iter(lists.values())))])
+    return {name: np.concatenate(x) for name, x in lists.items()}, cuts
+
+
+def _cut(x: np.ndarray, kind: str, cuts: np.ndarray) -> pa.Array:
+    return pa.array([_pack(x[a:b], kind) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+
+
+def _ask_words(buckets: int):
+    """Map function: a block's distinct words with their training counts, by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = _held(batch, i)
+                n = np.bincount(b["code"], b["train"][b["doc"]], len(b["hash"]))
+                yield _dealt(batch.column("block")[i].as_py(), mix(b["hash"]) % np.uint64(buckets), buckets,
+                             {"hash": b["hash"], "n": n}, _COUNTED)
+
+    return run
+
+
+def _answer_words(buckets: int):
+    """Group function: the rows of a bucket -> each word's training count and number, tokens and distinct words."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, cuts = _joined(table, _COUNTED)
+        words, place = np.unique(x["hash"], return_inverse=True)
+        counts = np.bincount(place, x["n"], len(words)).astype("<i8")
+        number = np.arange(len(words), dtype=np.int64) * buckets + table.column("bucket")[0].as_py()
+        if len(number) and number[-1] >= _UNSEEN:
+            raise OverflowError("more distinct words than 32 bits number")
+        first = np.arange(table.num_rows) == 0
+        return pa.table({"bucket": table.column("bucket"), "block": table.column("block"),
+                         "count": _cut(counts[place], "<i8", cuts),
+                         "id": _cut(np.where(counts > 0, number, _UNSEEN)[place], "<u4", cuts),
+                         "total": pa.array(np.where(first, counts.sum(), 0)),
+                         "words": pa.array(np.where(first, (counts > 0).sum(), 0))})
+
+    return run
+
+
+def _learn_words(buckets: int, scale: int, floor: float):
+    """Cogroup function: a block and its words' answers -> the block, scored by the unigram model."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        b = _held(table, 0)
+        b |= _returned(answers, mix(b["hash"]) % np.uint64(buckets), buckets, _NUMBERED)
+        code, doc = b["code"], b["doc"]
+        docs = len(b["train"])
+        b["base"] = np.bincount(doc, np.log10((b["count"] + 1) / scale)[code], docs)
+        b["n_known"] = np.bincount(doc, b["count"][code] > 0, docs)
+        total = np.zeros(len(code), np.int64)
+        total[1:] = np.where(code[:-1] != 0, b["count"][code[:-1]], 0)  # an end (0) is in no context
+        b["total"], b["status"] = total, np.where(total >= floor, _ASKS, _DEAD)
+        b["hash"], b["delta"] = b["hash"][:0], np.zeros(len(code))
+        return pa.table(_row(table.column("block")[0].as_py(), table.column("doc_id").combine_chunks().flatten(), b))
+
+    return run
+
+
+def _pairs_of(b: dict, depth: int, scale: int, hot: float, buckets: int):
+    """The distinct (context, next word) pairs of a block's asking places: (the places, the pair of each, its log10
+    probability so far, the pairs, their buckets)."""
+    at = np.flatnonzero(b["status"] == _ASKS)
+    number = b["id"].astype(np.uint64)
+    h = np.full(len(at), depth, np.uint64)
+    for back in range(1, depth + 1):
+        h = mix(h * _MULT + number[b["code"][at - back]])
+    logs = np.log10((b["count"] + 1) / scale)[b["code"][at]] + b["delta"][at]
+    which = b["code"][at - 1].astype(np.int64) if depth == 1 else np.unique(h, return_inverse=True)[1]
+    _, first, pair = np.unique(which * len(b["id"]) + b["code"][at], return_index=True, return_inverse=True)
+    pairs = {"context": h[first], "total": b["total"][at][first], "next": b["id"][b["code"][at]][first],
+             "n": np.bincount(pair, b["train"][b["doc"][at]], len(first)).astype("<u4"),
+             "q": (10.0 ** logs[first]).astype("<f4")}
+    spread = np.where(pairs["total"] >= hot, mix(pairs["context"] * _MULT + pairs["next"]), mix(pairs["context"]))
+    return at, pair, logs, pairs, spread % np.uint64(buckets)
+
+
+def _ask_pairs(depth: int, scale: int, hot: float, buckets: int):
+    """Map function: a block's distinct pairs by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column("asks")[i].as_py():
+                    *_, pairs, bucket = _pairs_of(_held(batch, i), depth, scale, hot, buckets)
+                    yield _dealt(batch.column("block")[i].as_py(), bucket, buckets, pairs, _PAIRS)
+
+    return run
+
+
+def _answer_pairs(hot: float, least: float, prior: float):
+    """Group function: the rows of a bucket -> per pair its count over all blocks, and its context's rest and flags;
+    of contexts dealt over buckets, their sums here."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, cuts = _joined(table, _PAIRS)
+        order = np.lexsort((x["next"], x["context"]))
+        context, to = x["context"][order], x["next"][order]
+        new_context = np.append(True, context[1:] != context[:-1])
+        new_pair = new_context | np.append(True, to[1:] != to[:-1])
+        starts, pair_of = np.flatnonzero(new_pair), np.cumsum(new_pair) - 1
+        state = (np.cumsum(new_context) - 1)[starts]  # of each pair
+        n = np.add.reduceat(x["n"][order], starts, dtype=np.int64)
+        totals = x["total"][order][new_context].astype(float)
+        own = np.flatnonzero(n >= least)
+        q = np.minimum(x["q"][order][starts[own]].astype(float), 1 - 1e-9)
+        words, seen, q_seen, gain = _sums(len(totals), state[own], n[own].astype(float), q, totals)
+        most = np.zeros(len(totals))
+        np.maximum.at(most, state, n)
+        rest, flags = _decided(totals, words, seen, q_seen, gain, most, prior)
+        parts = totals >= hot
+        flags[parts] = _PARTS
+        count_of, rest_of, flags_of = (np.empty(len(order), kind) for kind in _REPLY.values())
+        count_of[order], rest_of[order], flags_of[order] = n[pair_of], rest[state][pair_of], flags[state][pair_of]
+        sums = [dict(zip(("context", "total", "words", "seen", "q", "gain", "most"), v, strict=True)) for v in zip(
+            context[new_context][parts].view(np.int64).tolist(),
+            *(y[parts].astype(float).tolist() for y in (totals, words, seen, q_seen, gain, most)), strict=True)]
+        kind = pa.struct([("context", pa.int64()), *((f, pa.float64()) for f in ("total", "words", "seen", "q", "gain", "most"))])
+        return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), **{name: _cut(of, kind_, cuts) for (name, kind_), of in zip(_REPLY.items(), (count_of, rest_of, flags_of), strict=True)},
+                         "hot": pa.array([sums] + [[]] * (table.num_rows - 1), pa.list_(kind))})
+
+    return run
+
+
+def _decided(totals, words, seen, q_seen, gain, most, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The rest and the flags of contexts, given the sums over all their next words."""
+    good, others = _retained(totals, words, seen, q_seen, gain)
+    good &= words > 0
+    flags = np.where(good, _RETAINED, 0) | np.where((words > 0) & (most < totals), _OPEN, 0)
+    return np.where(good, _rest(totals, seen, q_seen, others, prior), 0.0), flags.astype(np.uint8)
+
+
+def _learn_pairs(depth: int, order: int, scale: int, hot: float, buckets: int, dealt, floor: float, least: float, prior: float):
+    """Cogroup function: a block and its pairs' answers -> the block, scored by contexts up to this length. ``dealt``:
+    contexts dealt over buckets (sorted), their rests and flags."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        b = _held(table, 0)
+        code, doc, status = b["code"], b["doc"], b["status"].copy()
+        if (status == _ASKS).any():
+            at, pair, logs, pairs, bucket = _pairs_of(b, depth, scale, hot, buckets)
+            got = _returned(answers, bucket, buckets, _REPLY)
+            contexts, rests, kinds = dealt.value
+            some = np.flatnonzero(got["flags"] == _PARTS)
+            if len(some):
+                where = np.searchsorted(contexts, pairs["context"][some])
+                got["rest"][some], got["flags"][some] = rests[where], kinds[where]
+            n, flags, total = got["count"][pair].astype(float), got["flags"][pair], b["total"][at].astype(float)
+            q = np.minimum(10.0 ** logs, 1 - 1e-9)
+            value = np.where(n >= least, np.log10((n + prior * q) / (total + prior)) - logs, got["rest"][pair])
+            delta = b["delta"].copy()
+            delta[at] += np.where(flags & _RETAINED, value, 0.0)
+            after = np.where(status == _SURE, b["total"], 0).astype(np.int64)  # count of context and word
+            after[at] = n
+            status[at] = np.where(flags & _OPEN, _ASKS, np.where(n == total, _SURE, _DEAD))
+            follows = np.append(False, (doc[1:] == doc[:-1]) & (code[:-1] != 0))
+            context = np.where(follows, np.append(0, after[:-1]), 0)
+            status[(status == _ASKS) & (context < floor)] = _DEAD
+            b |= {"delta": delta, "total": context, "status": status}
+        return pa.table(_row(table.column("block")[0].as_py(), table.column("doc_id").combine_chunks().flatten(), _around(b, order)))
+
+    return run
+
+
+def _around(b: dict, order: int) -> dict:
+    """The block with only those places that a place that asks has among the ``order`` before it; what the others
+    added is summed by document. (A wrong context count at a place after a gap moves on by one place a round, so it
+    doesn't get to the places that ask.)"""
+    asks = np.append((b["status"] == _ASKS).astype(np.int64), np.zeros(order, np.int64))
+    ahead = np.append(0, np.cumsum(asks))
+    keep = ahead[order + 1:] > ahead[:-order - 1]
+    b = b | {"score": b["score"] + np.bincount(b["doc"][~keep], b["delta"][~keep], len(b["score"]))}
+    b |= {name: b[name][keep] for name in _PLACES} | {"here": np.bincount(b["doc"][keep], minlength=len(b["here"]))}
+    used, code = np.unique(np.append(0, b["code"]), return_inverse=True)  # the end stays 0
+    return b | {"code": code[1:], "count": b["count"][used], "id": b["id"][used]}
+
+
+def _scores(total: int):
+    """Map function: blocks -> a row per document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                b = _held(batch, i)
+                more = b["score"] + np.bincount(b["doc"], b["delta"], len(b["score"]))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").slice(i, 1).flatten(), pa.array(b["n_tokens"]), pa.array(b["n_known"]),
+                     pa.array(np.full(len(more), total)), pa.array(b["base"]), pa.array(b["base"] + more)],
+                    ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return run
+
+
+def _kept(df: DataFrame) -> tuple[DataFrame, str]:
+    """``kept``, and what was shuffled for it is deleted with the job, not when the driver collects garbage."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return kept(df)
+    finally:
+        conf.set(name, before)
+
+
+def score_texts(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", p_min: float = 0.0,
+                p_next: float = 0.0, prior: float = PRIOR, order: int = ORDER, hot: float = HOT,
+                block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_tokens, n_known, train_tokens, base_score, score. Learns from the rows for
     which ``train`` holds (null: not); scores all rows.
 
@@ -255,100 +462,58 @@ def score_texts(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     log10((c + 1) / (N + V + 1)) over the tokens (c: the token's training count, N: all training tokens, V: distinct
     ones), n_known counts tokens with c > 0, score is the tree's log10 probability of the text.
 
+    Contexts have up to ``order`` words. Every context and every next word of it that occur twice count;
+    ``p_min`` and ``p_next`` ask for a higher share of the training tokens. ``hot`` and ``block_bytes``
+    change how the work is dealt, not what comes out.
+
     Null and empty texts are one end. A null doc_id is scored like any other; repeated rows are
     documents each, learnt from and scored; very long texts are split into words piece by piece. Without
     training rows, N and V are 0: every token scores 0. Ties at a threshold are kept. An empty table gives no
     rows. Other columns are not looked at.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    sc = spark.sparkContext
-    texts = df.select(df[text].alias("text"), df[doc_id].alias("doc_id"), train.alias("train"))
-    learn = texts.where("train").select("text")
-    counts = word_counts(learn).checkpoint()
-    total, distinct = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
-    scale = total + distinct + 1
-    words, known = _pairs(counts.select("word", "n"), max(1.0, p_word * total))
-    end = int(np.searchsorted(words, word_hash(_END)))
-    if end >= len(words) or words[end] != word_hash(_END):  # an end as rare as that can't be told from a rare word
-        words = np.insert(words, end, word_hash(_END))
-        known = np.insert(known, end, 0 if not total else counts.where(F.col("word") == word_hash(_END)).first().n)
-    frequent = np.flatnonzero(known >= max(1.0, p_min * total))
-    contexts = frequent[frequent != end]
-    root_logs = np.log10((known + 1) / scale)
-
-    shared = sc.broadcast(words)
-    next_counts = learn.mapInArrow(_count_next(shared, sc.broadcast(contexts), 1), "key long, n long")
-    next_counts = next_counts.groupBy("key").agg(F.sum("n").alias("n")).checkpoint()
-    key, n = _pairs(next_counts, max(2.0, p_next * total))
-    # the end is no context: a text's last word is followed by the end, every other by a word
-    one = _layer(contexts, known[contexts], key, n, lambda _, to: 10.0 ** root_logs[to], prior)
-    # candidate contexts of two words: frequent pairs whose shorter suffix is retained or not alike
-    pair_key, pair_n = key, n
-    some = (pair_n >= max(2.0, p_min * total)) & ((pair_key & ((1 << _SHIFT) - 1)) != end)
-    pairs = (contexts[pair_key[some] >> _SHIFT] << _SHIFT) | (pair_key[some] & ((1 << _SHIFT) - 1))
-    order = np.argsort(pairs)
-    pairs, pair_totals = pairs[order], pair_n[some][order]
-    two = Layer(*(np.empty(0, np.int64), np.empty(0)) * 2)
-    if len(pairs):
-        third = learn.mapInArrow(_count_next(shared, sc.broadcast(pairs), 2), "key long, n long")
-        key, n = _pairs(third.groupBy("key").agg(F.sum("n").alias("n")), max(2.0, p_next * total))
-
-        def by_last_word(context, to):
-            """The parent's probability: by the context's last word where that is a retained state."""
-            c = np.stack([context & ((1 << _SHIFT) - 1), to], 1)
-            out = np.empty(len(to))
-            state = np.full(len(to), -1)
-            if len(one.contexts):
-                at = np.minimum(np.searchsorted(one.contexts, c[:, 0]), len(one.contexts) - 1)
-                state = np.where(one.contexts[at] == c[:, 0], at, -1)
-            out = root_logs[to].copy()
-            has = np.flatnonzero(state >= 0)
-            out[has] += one.rest[state[has]]
-            if len(one.keys):
-                k = np.where(state >= 0, (state << _SHIFT) | to, -1)
-                at = np.minimum(np.searchsorted(one.keys, k), len(one.keys) - 1)
-                out = np.where(one.keys[at] == k, one.logs[at], out)
-            return 10.0 ** out
-
-        two = _layer(pairs, pair_totals, key, n, by_last_word, prior)
-
-    model = sc.broadcast((words, root_logs, known, one.arrays(), two.arrays(), float(np.log10(scale))))
-
-    def known_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, root_logs, known, one, two, log_scale = model.value
-        one, two = Layer(*one), Layer(*two)
-        states = [_States(layer.contexts, depth, len(words)) for layer, depth in ((one, 1), (two, 2))]
-        codes = _Codes(words)
-        logs_of, is_known = np.append(root_logs, -log_scale), np.append(known > 0, False)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                c, starts = codes.of(batch.column(0).to_pylist())
-                place = np.maximum(c, -1)
-                logs = logs_of[place]
-                best = two.apply(c, one.apply(c, logs, states[0]), states[1])
-                outside = c < 0
-                ends = np.append(starts, len(c))
-                lists = np.concatenate([[0], np.cumsum(np.add.reduceat(outside, starts, dtype=np.int64))])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(1), pa.array(np.diff(ends)),
-                     pa.array(np.add.reduceat(is_known[place], starts, dtype=np.int64)),
-                     pa.array(np.add.reduceat(logs, starts)), pa.array(np.add.reduceat(best, starts)),
-                     pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.array(codes.rare_hashes(c[outside])))],
-                    ["doc_id", "n_tokens", "n_known", "base", "score", "rare"])
-
-    schema = texts.select("doc_id").schema
-    for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("score", "double"),
-                       ("rare", Ty.ArrayType(Ty.LongType()))):
-        schema = schema.add(name, kind)
-    parts = (texts.select("text", "doc_id").mapInArrow(known_part, schema)
-             .withColumn("row", F.monotonically_increasing_id()).checkpoint())
-    # rare words: their counts' part of both scores
-    rare = parts.select("row", F.explode("rare").alias("word")).join(counts, "word").groupBy("row").agg(
-        F.sum(F.log10(F.col("n") + 1)).alias("more"), F.count("*").alias("found"))
-    out = parts.drop("rare").join(rare, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-                      F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"),
-                      (F.col("score") + more).alias("score"))
+    texts = df.select(df[doc_id].alias("doc_id"), train.alias("train"), df[text].alias("text"))
+    buckets = PER_PARTITION * texts.rdd.getNumPartitions() + 8
+    kind = texts.schema["doc_id"].dataType
+    schema = (Ty.StructType().add("block", "long").add("asks", "long").add("doc_id", Ty.ArrayType(kind)))
+    for name in _BLOCK:
+        schema = schema.add(name, "binary")
+    blocks, path = _kept(texts.mapInArrow(_blocks(block_bytes), schema))
+    paths = [path]
+
+    def learnt(answers: DataFrame, work) -> tuple[DataFrame, int]:
+        """The blocks after a round, and how many of their places ask again; what the round read is removed."""
+        nonlocal paths
+        both = blocks.groupBy("block").cogroup(answers.groupBy("block"))
+        out, path = _kept(both.applyInArrow(work, schema))
+        for old in paths:
+            remove(spark, old)
+        paths = [path]
+        return out, out.agg(F.sum("asks")).first()[0] or 0
+
+    asked = blocks.mapInArrow(_ask_words(buckets), f"bucket int, block long, {_columns(_COUNTED)}")
+    answers, path = _kept(asked.groupBy("bucket").applyInArrow(
+        _answer_words(buckets), f"bucket int, block long, {_columns(_NUMBERED)}, total long, words long"))
+    paths.append(path)
+    total, distinct = (x or 0 for x in answers.agg(F.sum("total"), F.sum("words")).first())
+    scale, floor, least = total + distinct + 1, max(2.0, p_min * total), max(2.0, p_next * total)
+    blocks, asks = learnt(answers, _learn_words(buckets, scale, floor))
+    for depth in range(1, order + 1):
+        if not asks:
+            break
+        share = max(2.0, hot * total)
+        asked = blocks.mapInArrow(_ask_pairs(depth, scale, share, buckets), f"bucket int, block long, {_columns(_PAIRS)}")
+        answers, path = _kept(asked.groupBy("bucket").applyInArrow(
+            _answer_pairs(share, least, prior), f"bucket int, block long, {_columns(_REPLY)}, {_HOT}"))
+        paths.append(path)
+        parts = answers.select(F.explode("hot").alias("x")).select("x.*").groupBy("context")
+        t = parts.agg(F.max("total"), *(F.sum(x) for x in ("words", "seen", "q", "gain")), F.max("most")).toArrow()
+        context, *sums = (t.column(i).to_numpy() for i in range(7))
+        ranked = np.argsort(context.view(np.uint64))
+        rest, flags = _decided(*(x[ranked].astype(float) for x in sums), prior)
+        dealt = spark.sparkContext.broadcast((context.view(np.uint64)[ranked], rest, flags))
+        blocks, asks = learnt(answers.drop("hot"), _learn_pairs(depth, order, scale, share, buckets, dealt, floor, least, prior))
+    out = Ty.StructType().add("doc_id", kind)
+    for name, of in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
+        out = out.add(name, of)
+    return blocks.mapInArrow(_scores(int(total)), out)

@@ -468,6 +468,71 @@ def test_suffix_tree_counts_next_words_that_are_rare_themselves(spark):
     assert gain == pytest.approx(math.log10(20), abs=0.2)
 
 
+def suffix_tree_by_hand(tokens, train, order, prior=20.0):
+    """Scores of token lists by a suffix tree over tuples, every repeated context tested."""
+    c = collections.Counter(x for t, learn in zip(tokens, train, strict=True) if learn for x in t)
+    scale = sum(c.values()) + len(c) + 1
+    after = collections.defaultdict(collections.Counter)
+    for t, learn in zip(tokens, train, strict=True):
+        for i in range(len(t) if learn else 0):
+            for d in range(1, min(order, i) + 1):
+                after[tuple(t[i - d:i])][t[i]] += 1
+    states = {}
+
+    def p(context, w):
+        for d in range(len(context), 0, -1):
+            if context[-d:] in states:
+                n, total, rest = states[context[-d:]]
+                below = p(context[-d + 1:] if d > 1 else (), w)
+                return (n[w] + prior * below) / (total + prior) if n.get(w, 0) >= 2 else below * rest
+        return (c[w] + 1) / scale
+
+    sure = set()
+    for s in sorted(after, key=len):
+        n, total = after[s], sum(after[s].values())
+        if s[1:] in sure or len(n) == 1:
+            sure.add(s)
+        if total < 2 or s[1:] in sure:
+            continue
+        own = {w: k for w, k in n.items() if k >= 2}
+        q = {w: p(s[1:], w) for w in own}
+        others, left = 1 - sum(q.values()), total - sum(own.values())
+        gain = sum(k * math.log(k / total / q[w]) for w, k in own.items()) + (left and left * math.log(left / total / others))
+        if own and gain > 0.5 * (len(own) + 1) * math.log(total):
+            states[s] = own, total, (1 - sum((k + prior * q[w]) / (total + prior) for w, k in own.items())) / others
+    return [sum(math.log10(p(tuple(t[max(0, i - order):i]), t[i])) for i in range(len(t))) for t in tokens], states
+
+
+@pytest.mark.parametrize("hot", [0.0, 2.0 ** -9, 1.0])
+def test_suffix_tree_is_the_one_by_hand(spark, hot):
+    rng = random.Random(5)
+    vocab = [f"w{int(i)}" for i in np.random.default_rng(1).zipf(1.3, 30_000) % 4000]
+    texts = [" ".join(rng.choices(vocab, k=rng.randint(0, 300))) for _ in range(300)]
+    for i in range(0, 200, 4):  # copies, some cut, some with other words inside
+        words = texts[i].split()
+        texts[i + 1] = " ".join(words[rng.randrange(9):])
+        texts[i + 2] = " ".join(w if rng.random() > 0.05 else rng.choice(vocab) for w in words)
+    texts += ["ha " * 200, "ha " * 60 + "ho", "ha", None, "", texts[0]]
+    train = [i % 7 != 2 for i in range(len(texts))]
+    tokens = [(t or "").split() + [" "] for t in texts]
+    assert sum(map(len, tokens)) > 2 ** 15  # a share of 2^-14 is more than two tokens
+    expected, states = suffix_tree_by_hand(tokens, train, 5)
+    assert {1, 2, 3, 4, 5} == set(map(len, states))
+    rows = pst.score_texts(docs_frame(spark, texts).repartition(3), F.col("doc_id") % 7 != 2, order=5, hot=hot,
+                           block_bytes=1 << 15).collect()
+    found = {r.doc_id: r.score for r in rows}
+    assert len(rows) == len(texts)
+    assert [found[i] for i in range(len(texts))] == pytest.approx(expected, rel=1e-6)
+
+
+def test_suffix_tree_learns_passages_that_stand_twice(spark):
+    rng = random.Random(6)
+    texts = [" ".join(f"v{rng.randrange(3000)}" for _ in range(200)) for _ in range(300)]
+    texts[7] = texts[151]
+    rows = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in pst.score_texts(docs_frame(spark, texts), F.lit(True)).collect()}
+    assert min(rows[7], rows[151]) > 1.5 and max(v for k, v in rows.items() if k not in (7, 151)) < 0.5
+
+
 def test_layer_distributions_sum_to_one():
     rng = np.random.default_rng(3)
     n_words = 40
