@@ -181,9 +181,17 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
 
 def _held(table: pa.Table | pa.RecordBatch, row: int) -> dict:
     b = {name: _unpack(table.column(name)[row].as_py(), kind) for name, kind in _BLOCK.items()}
+    if len(b["count"]) and len(b["total"]) < len(b["code"]):
+        b["total"] = _first_totals(b)
     return b | {"doc": np.repeat(np.arange(len(b["here"])), b["here"])}
 
 
+def _first_totals(b: dict) -> np.ndarray:
+    """Counts of the contexts of one word; not kept, as they follow from the words."""
+    before = b["code"][:-1]
+    return np.append(0, np.where(before != 0, b["count"][before], 0))  # an end (0) is in no context
+
+
 def _row(block: int, doc_ids: pa.Array, held: dict) -> dict:
     """A block as columns; ``asks``: its places that ask in the next round."""
     ids = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
@@ -298,9 +306,7 @@ def _learn_words(buckets: int, scale: int, floor: float):
         docs = len(b["train"])
         b["base"] = np.bincount(doc, np.log10((b["count"] + 1) / scale)[code], docs)
         b["n_known"] = np.bincount(doc, b["count"][code] > 0, docs)
-        total = np.zeros(len(code), np.int64)
-        total[1:] = np.where(code[:-1] != 0, b["count"][code[:-1]], 0)  # an end (0) is in no context
-        b["total"], b["status"] = total, np.where(total >= floor, _ASKS, _DEAD)
+        b["status"] = np.where(_first_totals(b) >= floor, _ASKS, _DEAD)
         b["hash"], b["delta"] = b["hash"][:0], np.zeros(len(code))
         return pa.table(_row(table.column("block")[0].as_py(), table.column("doc_id").combine_chunks().flatten(), b))
 
@@ -406,21 +412,21 @@ def _learn_pairs(depth: int, order: int, scale: int, hot: float, buckets: int, d
             follows = np.append(False, (doc[1:] == doc[:-1]) & (code[:-1] != 0))
             context = np.where(follows, np.append(0, after[:-1]), 0)
             status[(status == _ASKS) & (context < floor)] = _DEAD
-            b |= {"delta": delta, "total": context, "status": status}
+            # what no longer asks goes to its document's sum
+            b["score"] = b["score"] + np.bincount(doc, np.where(status == _ASKS, 0, delta), len(b["score"]))
+            b |= {"delta": np.where(status == _ASKS, delta, 0), "total": np.where(status == _DEAD, 0, context), "status": status}
         return pa.table(_row(table.column("block")[0].as_py(), table.column("doc_id").combine_chunks().flatten(), _around(b, order)))
 
     return run
 
 
 def _around(b: dict, order: int) -> dict:
-    """The block with only those places that a place that asks has among the ``order`` before it; what the others
-    added is summed by document. (A wrong context count at a place after a gap moves on by one place a round, so it
+    """The block with only those places that a place that asks has among the ``order`` before it. (A wrong context count at a place after a gap moves on by one place a round, so it
     doesn't get to the places that ask.)"""
     asks = np.append((b["status"] == _ASKS).astype(np.int64), np.zeros(order, np.int64))
     ahead = np.append(0, np.cumsum(asks))
     keep = ahead[order + 1:] > ahead[:-order - 1]
-    b = b | {"score": b["score"] + np.bincount(b["doc"][~keep], b["delta"][~keep], len(b["score"]))}
-    b |= {name: b[name][keep] for name in _PLACES} | {"here": np.bincount(b["doc"][keep], minlength=len(b["here"]))}
+    b = b | {name: b[name][keep] for name in _PLACES} | {"here": np.bincount(b["doc"][keep], minlength=len(b["here"]))}
     used, code = np.unique(np.append(0, b["code"]), return_inverse=True)  # the end stays 0
     return b | {"code": code[1:], "count": b["count"][used], "id": b["id"][used]}
 
