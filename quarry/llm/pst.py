@@ -8,11 +8,12 @@ left in the parent's proportions, so every state's distribution sums to one. A t
 longest retained suffix before it. Words after a context that always has the same next word, or never the
 same one twice, need no longer context: none can tell more about training.
 
-Texts are read and split once, in blocks. A round a context length: a block sends its distinct (context, next word)
-pairs with their training counts, packed by bucket of the context; a bucket adds up the blocks' counts, tests its
-contexts and answers each block, pair by pair. The pairs' counts are the next round's context counts, so only
-places whose whole context is repeated ask again, and blocks keep only the words around them. Contexts
-with a share of at least ``HOT`` of the tokens are dealt over buckets by next word; their sums, one row a
+Texts are read and split once, in blocks. All longer contexts of a place end with its context, so whoever has all places
+of a context can test that one and all that extend it: a block sends its distinct windows (context, the words
+before it, next word) with their training counts, packed by bucket of the context, and a bucket tests ``NEAR`` lengths at once
+and answers each window. Few places are left for longer contexts then; a second round tests all of them. Blocks keep
+only the words around places that ask again. Contexts with more than a bucket's share of the tokens are tested before, a
+round a length: their distinct (context, next word) pairs are dealt over buckets by next word, and their sums, one row a
 context, meet on the driver (at most 1 / HOT rows a round). Nothing else leaves the tasks.
 """
 
@@ -33,7 +34,9 @@ from quarry.llm.words import mix, split_words, text_pieces
 
 #: Words of the longest contexts: the order of the model.
 ORDER = 8
-#: Share of all training tokens from which a context's next words are dealt over several buckets.
+#: Context lengths of the first round of windows.
+NEAR = 3
+#: Least share of all training tokens from which a context's next words are dealt over several buckets.
 HOT = 2.0 ** -14
 #: Weight of the parent's distribution in a state's, in tokens.
 PRIOR = 20.0
@@ -43,8 +46,9 @@ _END = b" "  # no word holds white space
 _SHIFT = 32  # bits of a word code in the key of a context and its next word
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _UNSEEN = np.uint32(0xFFFFFFFF)  # the number of all words that don't occur in training
-_RETAINED, _OPEN, _PARTS = 1, 2, 4  # of a context: a state; longer ones may differ; dealt over buckets
-_DEAD, _ASKS, _SURE = 0, 1, 2  # of a place: no longer context counts; asks; its context has this next word only
+_RETAINED, _OPEN = 1, 2  # of a context: a state; longer ones may differ
+_DEAD, _ASKS, _SURE = 0, 1, 2  # of a place: no longer context is dealt; asks; its dealt context has this next word only
+_HASHED = np.uint64(1 << 63)  # marks a context of several words, which is a hash
 
 def word_hash(word: bytes) -> int:
     """64-bit hash of a word as a signed integer."""
@@ -154,12 +158,14 @@ class _Book(dict):
 #: What a block holds, packed: of its documents (``here``: places left), of its distinct words, of its places.
 _DOCS = {"train": "?", "n_tokens": "<i8", "n_known": "<i8", "here": "<i8", "base": "<f8", "score": "<f8"}
 _WORDS = {"hash": "<u8", "count": "<i8", "id": "<u4"}
-#: Word; log10 above the unigram model so far; training count of the context; _DEAD, _ASKS or _SURE.
-_PLACES = {"code": "<i4", "delta": "<f4", "total": "<u4", "status": "u1"}
+#: Word; log10 above the unigram model so far; training count of the dealt context; _DEAD, _ASKS or _SURE; length of the
+#: shortest context that is to be tested in windows (0: none).
+_PLACES = {"code": "<i4", "delta": "<f4", "total": "<u4", "status": "u1", "start": "u1"}
 _BLOCK = _DOCS | _WORDS | _PLACES
 _COUNTED, _NUMBERED = {"hash": "<u8", "n": "<u4"}, {"count": "<i8", "id": "<u4"}
 _PAIRS = {"context": "<u8", "total": "<u4", "next": "<u4", "n": "<u4", "q": "<f4"}
-_REPLY = {"count": "<u4", "rest": "<f4", "flags": "u1"}
+_REPLY = {"count": "<u4"}
+_FOUND = {"delta": "<f4", "open": "?"}
 _HOT = "hot array<struct<context: long, total: double, words: double, seen: double, q: double, gain: double, most: double>>"
 
 
@@ -181,22 +187,20 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
 
 def _held(table: pa.Table | pa.RecordBatch, row: int) -> dict:
     b = {name: _unpack(table.column(name)[row].as_py(), kind) for name, kind in _BLOCK.items()}
-    if len(b["count"]) and len(b["total"]) < len(b["code"]):
-        b["total"] = _first_totals(b)
     return b | {"doc": np.repeat(np.arange(len(b["here"])), b["here"])}
 
 
 def _first_totals(b: dict) -> np.ndarray:
-    """Counts of the contexts of one word; not kept, as they follow from the words."""
+    """Counts of the contexts of one word."""
     before = b["code"][:-1]
     return np.append(0, np.where(before != 0, b["count"][before], 0))  # an end (0) is in no context
 
 
 def _row(block: int, doc_ids: pa.Array, held: dict) -> dict:
-    """A block as columns; ``asks``: its places that ask in the next round."""
+    """A block as columns; ``asks``, ``waits``: its places that ask in the next round of pairs, and of windows."""
     ids = pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)
     return {"block": pa.array([block], pa.int64()), "asks": pa.array([int((held["status"] == _ASKS).sum())], pa.int64()),
-            "doc_id": ids} | {name: pa.array([_pack(held[name], kind)], pa.binary()) for name, kind in _BLOCK.items()}
+            "waits": pa.array([int(np.count_nonzero(held["start"]))], pa.int64()), "doc_id": ids} | {name: pa.array([_pack(held[name], kind)], pa.binary()) for name, kind in _BLOCK.items()}
 
 
 def _blocks(size: int):
@@ -283,8 +287,9 @@ def _answer_words(buckets: int):
         x, cuts = _joined(table, _COUNTED)
         words, place = np.unique(x["hash"], return_inverse=True)
         counts = np.bincount(place, x["n"], len(words)).astype("<i8")
-        number = np.arange(len(words), dtype=np.int64) * buckets + table.column("bucket")[0].as_py()
-        if len(number) and number[-1] >= _UNSEEN:
+        number = np.empty(len(words), np.int64)  # small ones for frequent words: they pack well
+        number[np.argsort(-counts, kind="stable")] = np.arange(len(words)) * buckets + table.column("bucket")[0].as_py()
+        if len(number) and number.max() >= _UNSEEN:
             raise OverflowError("more distinct words than 32 bits number")
         first = np.arange(table.num_rows) == 0
         return pa.table({"bucket": table.column("bucket"), "block": table.column("block"),
@@ -296,7 +301,7 @@ def _answer_words(buckets: int):
     return run
 
 
-def _learn_words(buckets: int, scale: int, floor: float):
+def _learn_words(buckets: int, scale: int, floor: float, hot: float):
     """Cogroup function: a block and its words' answers -> the block, scored by the unigram model."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -306,47 +311,65 @@ def _learn_words(buckets: int, scale: int, floor: float):
         docs = len(b["train"])
         b["base"] = np.bincount(doc, np.log10((b["count"] + 1) / scale)[code], docs)
         b["n_known"] = np.bincount(doc, b["count"][code] > 0, docs)
-        b["status"] = np.where(_first_totals(b) >= floor, _ASKS, _DEAD)
+        total = _first_totals(b)
+        b["status"] = np.where(total >= hot, _ASKS, _DEAD)
+        b["total"], b["start"] = np.where(total >= hot, total, 0), (total >= floor) & (total < hot)
         b["hash"], b["delta"] = b["hash"][:0], np.zeros(len(code))
         return pa.table(_row(table.column("block")[0].as_py(), table.column("doc_id").combine_chunks().flatten(), b))
 
     return run
 
 
-def _pairs_of(b: dict, depth: int, scale: int, hot: float, buckets: int):
+def _hash(b: dict, at: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """Hashes of the contexts of ``depth`` words before places."""
+    number = b["id"].astype(np.uint64)
+    h = depth.astype(np.uint64)
+    for back in range(1, int(depth.max(initial=0)) + 1):
+        some = np.flatnonzero(depth >= back)
+        h[some] = mix(h[some] * _MULT + number[b["code"][at[some] - back]])
+    return h
+
+
+def _logs(b: dict, at: np.ndarray, scale: int) -> np.ndarray:
+    """log10 probabilities of places so far."""
+    return np.log10((b["count"] + 1) / scale)[b["code"][at]] + b["delta"][at]
+
+
+def _further(b: dict, at: np.ndarray, depth: np.ndarray, order: int, floor: float) -> np.ndarray:
+    """``depth`` where the document has a context of so many words that may be repeated before the place, else 0."""
+    back = np.maximum(at - depth, 0)
+    there = (depth <= order) & (at >= depth) & (b["doc"][back] == b["doc"][at]) & (b["count"][b["code"][back]] >= floor)
+    return np.where(there, depth, 0)
+
+
+def _pairs_of(b: dict, depth: int, scale: int, buckets: int):
     """The distinct (context, next word) pairs of a block's asking places: (the places, the pair of each, its log10
     probability so far, the pairs, their buckets)."""
     at = np.flatnonzero(b["status"] == _ASKS)
-    number = b["id"].astype(np.uint64)
-    h = np.full(len(at), depth, np.uint64)
-    for back in range(1, depth + 1):
-        h = mix(h * _MULT + number[b["code"][at - back]])
-    logs = np.log10((b["count"] + 1) / scale)[b["code"][at]] + b["delta"][at]
+    h, logs = _hash(b, at, np.full(len(at), depth)), _logs(b, at, scale)
     which = b["code"][at - 1].astype(np.int64) if depth == 1 else np.unique(h, return_inverse=True)[1]
     _, first, pair = np.unique(which * len(b["id"]) + b["code"][at], return_index=True, return_inverse=True)
     pairs = {"context": h[first], "total": b["total"][at][first], "next": b["id"][b["code"][at]][first],
              "n": np.bincount(pair, b["train"][b["doc"][at]], len(first)).astype("<u4"),
              "q": (10.0 ** logs[first]).astype("<f4")}
-    spread = np.where(pairs["total"] >= hot, mix(pairs["context"] * _MULT + pairs["next"]), mix(pairs["context"]))
-    return at, pair, logs, pairs, spread % np.uint64(buckets)
+    return at, pair, logs, pairs, mix(pairs["context"] * _MULT + pairs["next"]) % np.uint64(buckets)
 
 
-def _ask_pairs(depth: int, scale: int, hot: float, buckets: int):
+def _ask_pairs(depth: int, scale: int, buckets: int):
     """Map function: a block's distinct pairs by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column("asks")[i].as_py():
-                    *_, pairs, bucket = _pairs_of(_held(batch, i), depth, scale, hot, buckets)
+                    *_, pairs, bucket = _pairs_of(_held(batch, i), depth, scale, buckets)
                     yield _dealt(batch.column("block")[i].as_py(), bucket, buckets, pairs, _PAIRS)
 
     return run
 
 
-def _answer_pairs(hot: float, least: float, prior: float):
-    """Group function: the rows of a bucket -> per pair its count over all blocks, and its context's rest and flags;
-    of contexts dealt over buckets, their sums here."""
+def _answer_pairs(least: float):
+    """Group function: the rows of a bucket -> per pair its count over all blocks; of its contexts, their sums here."""
 
     def run(table: pa.Table) -> pa.Table:
         x, cuts = _joined(table, _PAIRS)
@@ -363,16 +386,15 @@ def _answer_pairs(hot: float, least: float, prior: float):
         words, seen, q_seen, gain = _sums(len(totals), state[own], n[own].astype(float), q, totals)
         most = np.zeros(len(totals))
         np.maximum.at(most, state, n)
-        rest, flags = _decided(totals, words, seen, q_seen, gain, most, prior)
-        parts = totals >= hot
-        flags[parts] = _PARTS
-        count_of, rest_of, flags_of = (np.empty(len(order), kind) for kind in _REPLY.values())
-        count_of[order], rest_of[order], flags_of[order] = n[pair_of], rest[state][pair_of], flags[state][pair_of]
-        sums = [dict(zip(("context", "total", "words", "seen", "q", "gain", "most"), v, strict=True)) for v in zip(
-            context[new_context][parts].view(np.int64).tolist(),
-            *(y[parts].astype(float).tolist() for y in (totals, words, seen, q_seen, gain, most)), strict=True)]
-        kind = pa.struct([("context", pa.int64()), *((f, pa.float64()) for f in ("total", "words", "seen", "q", "gain", "most"))])
-        return pa.table({"bucket": table.column("bucket"), "block": table.column("block"), **{name: _cut(of, kind_, cuts) for (name, kind_), of in zip(_REPLY.items(), (count_of, rest_of, flags_of), strict=True)},
+        count_of = np.empty(len(order), _REPLY["count"])
+        count_of[order] = n[pair_of]
+        fields = ("total", "words", "seen", "q", "gain", "most")
+        sums = [dict(zip(("context", *fields), v, strict=True)) for v in zip(
+            context[new_context].view(np.int64).tolist(),
+            *(y.astype(float).tolist() for y in (totals, words, seen, q_seen, gain, most)), strict=True)]
+        kind = pa.struct([("context", pa.int64()), *((f, pa.float64()) for f in fields)])
+        return pa.table({"bucket": table.column("bucket"), "block": table.column("block"),
+                         "count": _cut(count_of, _REPLY["count"], cuts),
                          "hot": pa.array([sums] + [[]] * (table.num_rows - 1), pa.list_(kind))})
 
     return run
@@ -386,44 +408,162 @@ def _decided(totals, words, seen, q_seen, gain, most, prior: float) -> tuple[np.
     return np.where(good, _rest(totals, seen, q_seen, others, prior), 0.0), flags.astype(np.uint8)
 
 
+def _learnt_row(table: pa.Table, b: dict, order: int) -> pa.Table:
+    """A block after a round: what no longer asks goes to its document's sum."""
+    alive = (b["status"] == _ASKS) | (b["start"] > 0)
+    b["score"] = b["score"] + np.bincount(b["doc"], np.where(alive, 0, b["delta"]), len(b["score"]))
+    b["delta"] = np.where(alive, b["delta"], 0)
+    return pa.table(_row(table.column("block")[0].as_py(), table.column("doc_id").combine_chunks().flatten(),
+                         _around(b, alive, order)))
+
+
 def _learn_pairs(depth: int, order: int, scale: int, hot: float, buckets: int, dealt, floor: float, least: float, prior: float):
-    """Cogroup function: a block and its pairs' answers -> the block, scored by contexts up to this length. ``dealt``:
-    contexts dealt over buckets (sorted), their rests and flags."""
+    """Cogroup function: a block and its pairs' answers -> the block, scored by dealt contexts up to this length.
+    ``dealt``: the contexts (sorted), their rests and flags."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         b = _held(table, 0)
         code, doc, status = b["code"], b["doc"], b["status"].copy()
         if (status == _ASKS).any():
-            at, pair, logs, pairs, bucket = _pairs_of(b, depth, scale, hot, buckets)
-            got = _returned(answers, bucket, buckets, _REPLY)
+            at, pair, logs, pairs, bucket = _pairs_of(b, depth, scale, buckets)
+            count = _returned(answers, bucket, buckets, _REPLY)["count"]
             contexts, rests, kinds = dealt.value
-            some = np.flatnonzero(got["flags"] == _PARTS)
-            if len(some):
-                where = np.searchsorted(contexts, pairs["context"][some])
-                got["rest"][some], got["flags"][some] = rests[where], kinds[where]
-            n, flags, total = got["count"][pair].astype(float), got["flags"][pair], b["total"][at].astype(float)
+            where = np.searchsorted(contexts, pairs["context"])
+            n, flags, total = count[pair].astype(float), kinds[where][pair], b["total"][at].astype(float)
             q = np.minimum(10.0 ** logs, 1 - 1e-9)
-            value = np.where(n >= least, np.log10((n + prior * q) / (total + prior)) - logs, got["rest"][pair])
-            delta = b["delta"].copy()
-            delta[at] += np.where(flags & _RETAINED, value, 0.0)
+            value = np.where(n >= least, np.log10((n + prior * q) / (total + prior)) - logs, rests[where][pair])
+            b["delta"] = b["delta"].copy()
+            b["delta"][at] += np.where(flags & _RETAINED, value, 0.0)
             after = np.where(status == _SURE, b["total"], 0).astype(np.int64)  # count of context and word
             after[at] = n
             status[at] = np.where(flags & _OPEN, _ASKS, np.where(n == total, _SURE, _DEAD))
             follows = np.append(False, (doc[1:] == doc[:-1]) & (code[:-1] != 0))
             context = np.where(follows, np.append(0, after[:-1]), 0)
-            status[(status == _ASKS) & (context < floor)] = _DEAD
-            # what no longer asks goes to its document's sum
-            b["score"] = b["score"] + np.bincount(doc, np.where(status == _ASKS, 0, delta), len(b["score"]))
-            b |= {"delta": np.where(status == _ASKS, delta, 0), "total": np.where(status == _DEAD, 0, context), "status": status}
-        return pa.table(_row(table.column("block")[0].as_py(), table.column("doc_id").combine_chunks().flatten(), _around(b, order)))
+            # what is too rare to be dealt isn't known here
+            rare = np.flatnonzero((status == _ASKS) & ((context < hot) | (depth == order)))
+            b["start"] = b["start"].copy()
+            b["start"][rare] = _further(b, rare, np.full(len(rare), depth + 1), order, floor)
+            status[rare] = _DEAD
+            b |= {"total": np.where(status == _DEAD, 0, context), "status": status}
+        return _learnt_row(table, b, order)
+
+    return run
+
+
+def _windows_of(b: dict, levels: int, order: int, scale: int, floor: float, least: float, buckets: int):
+    """The distinct windows of a block's waiting places: (the places, the window of each, the windows, their buckets).
+    A window has the shortest context to test, the words before it that the other ``levels`` take, and the next word;
+    words that are too rare to be in a repeated context, or a repeated next word, are all the same."""
+    at = np.flatnonzero(b["start"])
+    start, code, doc = b["start"][at].astype(np.int64), b["code"], b["doc"]
+    number = np.where(b["count"] >= floor, b["id"], _UNSEEN)
+    context = number[code[at - 1]].astype(np.uint64)
+    long = np.flatnonzero(start > 1)
+    context[long] = _hash(b, at[long], start[long]) | _HASHED
+    x = {"context": context, "next": np.where(b["count"] >= least, b["id"], _UNSEEN)[code[at]]}
+    x["q"] = np.where(x["next"] == _UNSEEN, 1.0, 10.0 ** _logs(b, at, scale)).astype("<f4")
+    there = np.ones(len(at), bool)
+    for i in range(1, levels):
+        back = np.maximum(at - start - i, 0)
+        there &= (start + i <= order) & (at >= start + i) & (doc[back] == doc[at])
+        x[f"word{i}"] = np.where(there, number[code[back]], _UNSEEN)
+        there &= x[f"word{i}"] != _UNSEEN
+    h = np.zeros(len(at), np.uint64)
+    for name, values in x.items():
+        if name != "q":
+            h = mix(h * _MULT + values)
+    ranked = np.argsort((context << np.uint64(32)) | (h >> np.uint64(32)), kind="stable")
+    new = np.zeros(len(at), bool)
+    new[:1] = True
+    for values in x.values():
+        y = values[ranked]
+        new[1:] |= y[1:] != y[:-1]
+    window = np.empty(len(at), np.int64)
+    window[ranked] = np.cumsum(new) - 1
+    windows = {name: values[ranked[new]] for name, values in x.items()}
+    windows["n"] = np.bincount(window, b["train"][doc[at]], len(windows["next"])).astype("<u4")
+    return at, window, windows, mix(windows["context"]) % np.uint64(buckets)
+
+
+def _window_kinds(levels: int) -> dict:
+    return {"context": "<u8", "next": "<u4", "n": "<u4", "q": "<f4"} | {f"word{i}": "<u4" for i in range(1, levels)}
+
+
+def _ask_windows(levels: int, order: int, scale: int, floor: float, least: float, buckets: int):
+    """Map function: a block's distinct windows by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column("waits")[i].as_py():
+                    *_, windows, bucket = _windows_of(_held(batch, i), levels, order, scale, floor, least, buckets)
+                    yield _dealt(batch.column("block")[i].as_py(), bucket, buckets, windows, _window_kinds(levels))
+
+    return run
+
+
+def _answer_windows(levels: int, floor: float, least: float, prior: float):
+    """Group function: the rows of a bucket -> per window what its contexts add to the log10 probability of the next
+    word, and whether longer ones may add more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, cuts = _joined(table, _window_kinds(levels))
+        p = x["q"].astype(float)
+        open_ = np.zeros(len(p), bool)
+        some, context = np.arange(len(p)), x["context"]  # of the windows that have a context of this length: the rows, contexts
+        for i in range(1, levels + 1):
+            _, state = np.unique(context, return_inverse=True)
+            totals = np.bincount(state, x["n"][some])
+            repeated = totals[state] >= floor
+            some, state = some[repeated], state[repeated]
+            if not len(some):
+                break
+            _, first, pair = np.unique((state << _SHIFT) | x["next"][some], return_index=True, return_inverse=True)
+            n, of = np.bincount(pair, x["n"][some]), state[first]
+            own = (n >= least) & (x["next"][some][first] != _UNSEEN)
+            q = np.minimum(p[some], 1 - 1e-9)
+            words, seen, q_seen, gain = _sums(len(totals), of[own], n[own], q[first][own], np.maximum(totals, 1))
+            most = np.zeros(len(totals))
+            np.maximum.at(most, of, np.where(own, n, 0))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rest, flags = _decided(totals, words, seen, q_seen, gain, most, prior)
+            retained = (flags[state] & _RETAINED) > 0
+            smoothed = np.where(own[pair], (n[pair] + prior * q) / (totals[state] + prior), p[some] * 10.0 ** rest[state])
+            p[some] = np.where(retained, smoothed, p[some])
+            longer = (flags[state] & _OPEN) > 0
+            some, state = some[longer], state[longer]
+            if i == levels:
+                open_[some] = True
+            else:
+                word = x[f"word{i}"][some]
+                there = word != _UNSEEN
+                some, context = some[there], (state[there] << _SHIFT) | word[there]
+        return pa.table({"bucket": table.column("bucket"), "block": table.column("block"),
+                         "delta": _cut(np.log10(p) - np.log10(x["q"].astype(float)), _FOUND["delta"], cuts),
+                         "open": _cut(open_, _FOUND["open"], cuts)})
+
+    return run
+
+
+def _learn_windows(levels: int, order: int, scale: int, floor: float, least: float, buckets: int):
+    """Cogroup function: a block and its windows' answers -> the block, scored by contexts of ``levels`` more lengths."""
+
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        b = _held(table, 0)
+        at, window, _, bucket = _windows_of(b, levels, order, scale, floor, least, buckets)
+        got = _returned(answers, bucket, buckets, _FOUND)
+        delta, start = b["delta"].copy(), b["start"].copy()
+        delta[at] += got["delta"][window]
+        start[at] = np.where(got["open"][window], _further(b, at, start[at].astype(np.int64) + levels, order, floor), 0)
+        return _learnt_row(table, b | {"delta": delta, "start": start}, order)
 
     return run
 
 
-def _around(b: dict, order: int) -> dict:
-    """The block with only those places that a place that asks has among the ``order`` before it. (A wrong context count at a place after a gap moves on by one place a round, so it
-    doesn't get to the places that ask.)"""
-    asks = np.append((b["status"] == _ASKS).astype(np.int64), np.zeros(order, np.int64))
+def _around(b: dict, alive: np.ndarray, order: int) -> dict:
+    """The block with only those places that an ``alive`` one has among the ``order`` before it. (A wrong context count
+    at a place after a gap moves on by one place a round, so it doesn't get to the places that ask.)"""
+    asks = np.append(alive.astype(np.int64), np.zeros(order, np.int64))
     ahead = np.append(0, np.cumsum(asks))
     keep = ahead[order + 1:] > ahead[:-order - 1]
     b = b | {name: b[name][keep] for name in _PLACES} | {"here": np.bincount(b["doc"][keep], minlength=len(b["here"]))}
@@ -459,7 +599,7 @@ def _kept(df: DataFrame) -> tuple[DataFrame, str]:
 
 
 def score_texts(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", p_min: float = 0.0,
-                p_next: float = 0.0, prior: float = PRIOR, order: int = ORDER, hot: float = HOT,
+                p_next: float = 0.0, prior: float = PRIOR, order: int = ORDER, hot: float | None = None,
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: doc_id, n_tokens, n_known, train_tokens, base_score, score. Learns from the rows for
     which ``train`` holds (null: not); scores all rows.
@@ -469,8 +609,9 @@ def score_texts(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     ones), n_known counts tokens with c > 0, score is the tree's log10 probability of the text.
 
     Contexts have up to ``order`` words. Every context and every next word of it that occur twice count;
-    ``p_min`` and ``p_next`` ask for a higher share of the training tokens. ``hot`` and ``block_bytes``
-    change how the work is dealt, not what comes out.
+    ``p_min`` and ``p_next`` ask for a higher share of the training tokens. ``hot`` (share of the tokens
+    from which a context's next words are dealt over several buckets; None: a bucket's share, at least ``HOT``) and
+    ``block_bytes`` change how the work is dealt, not what comes out.
 
     Null and empty texts are one end. A null doc_id is scored like any other; repeated rows are
     documents each, learnt from and scored; very long texts are split into words piece by piece. Without
@@ -481,21 +622,21 @@ def score_texts(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     texts = df.select(df[doc_id].alias("doc_id"), train.alias("train"), df[text].alias("text"))
     buckets = PER_PARTITION * texts.rdd.getNumPartitions() + 8
     kind = texts.schema["doc_id"].dataType
-    schema = (Ty.StructType().add("block", "long").add("asks", "long").add("doc_id", Ty.ArrayType(kind)))
+    schema = (Ty.StructType().add("block", "long").add("asks", "long").add("waits", "long").add("doc_id", Ty.ArrayType(kind)))
     for name in _BLOCK:
         schema = schema.add(name, "binary")
     blocks, path = _kept(texts.mapInArrow(_blocks(block_bytes), schema))
     paths = [path]
 
-    def learnt(answers: DataFrame, work) -> tuple[DataFrame, int]:
-        """The blocks after a round, and how many of their places ask again; what the round read is removed."""
+    def learnt(answers: DataFrame, work) -> tuple[DataFrame, int, int]:
+        """The blocks after a round, and how many of their places ask and wait; what the round read is removed."""
         nonlocal paths
         both = blocks.groupBy("block").cogroup(answers.groupBy("block"))
         out, path = _kept(both.applyInArrow(work, schema))
         for old in paths:
             remove(spark, old)
         paths = [path]
-        return out, out.agg(F.sum("asks")).first()[0] or 0
+        return out, *(x or 0 for x in out.agg(F.sum("asks"), F.sum("waits")).first())
 
     asked = blocks.mapInArrow(_ask_words(buckets), f"bucket int, block long, {_columns(_COUNTED)}")
     answers, path = _kept(asked.groupBy("bucket").applyInArrow(
@@ -503,14 +644,14 @@ def score_texts(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     paths.append(path)
     total, distinct = (x or 0 for x in answers.agg(F.sum("total"), F.sum("words")).first())
     scale, floor, least = total + distinct + 1, max(2.0, p_min * total), max(2.0, p_next * total)
-    blocks, asks = learnt(answers, _learn_words(buckets, scale, floor))
+    share = max(floor, total * (max(HOT, 1 / buckets) if hot is None else hot))
+    blocks, asks, waits = learnt(answers, _learn_words(buckets, scale, floor, share))
     for depth in range(1, order + 1):
         if not asks:
             break
-        share = max(2.0, hot * total)
-        asked = blocks.mapInArrow(_ask_pairs(depth, scale, share, buckets), f"bucket int, block long, {_columns(_PAIRS)}")
+        asked = blocks.mapInArrow(_ask_pairs(depth, scale, buckets), f"bucket int, block long, {_columns(_PAIRS)}")
         answers, path = _kept(asked.groupBy("bucket").applyInArrow(
-            _answer_pairs(share, least, prior), f"bucket int, block long, {_columns(_REPLY)}, {_HOT}"))
+            _answer_pairs(least), f"bucket int, block long, {_columns(_REPLY)}, {_HOT}"))
         paths.append(path)
         parts = answers.select(F.explode("hot").alias("x")).select("x.*").groupBy("context")
         t = parts.agg(F.max("total"), *(F.sum(x) for x in ("words", "seen", "q", "gain")), F.max("most")).toArrow()
@@ -518,7 +659,17 @@ def score_texts(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str
         ranked = np.argsort(context.view(np.uint64))
         rest, flags = _decided(*(x[ranked].astype(float) for x in sums), prior)
         dealt = spark.sparkContext.broadcast((context.view(np.uint64)[ranked], rest, flags))
-        blocks, asks = learnt(answers.drop("hot"), _learn_pairs(depth, order, scale, share, buckets, dealt, floor, least, prior))
+        blocks, asks, waits = learnt(answers.drop("hot"), _learn_pairs(
+            depth, order, scale, share, buckets, dealt, floor, least, prior))
+    for levels in (min(NEAR, order), order - NEAR):
+        if not waits:
+            break
+        asked = blocks.mapInArrow(_ask_windows(levels, order, scale, floor, least, buckets),
+                                  f"bucket int, block long, {_columns(_window_kinds(levels))}")
+        answers, path = _kept(asked.groupBy("bucket").applyInArrow(
+            _answer_windows(levels, floor, least, prior), f"bucket int, block long, {_columns(_FOUND)}"))
+        paths.append(path)
+        blocks, _, waits = learnt(answers, _learn_windows(levels, order, scale, floor, least, buckets))
     out = Ty.StructType().add("doc_id", kind)
     for name, of in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
         out = out.add(name, of)
