@@ -41,14 +41,14 @@ HOT = 2.0 ** -14
 #: Weight of the parent's distribution in a state's, in tokens.
 PRIOR = 20.0
 #: Buckets per partition of the texts.
-PER_PARTITION = 6
+PER_PARTITION = 3
 _END = b" "  # no word holds white space
 _SHIFT = 32  # bits of a word code in the key of a context and its next word
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _UNSEEN = np.uint32(0xFFFFFFFF)  # the number of all words that don't occur in training
 _RETAINED, _OPEN = 1, 2  # of a context: a state; longer ones may differ
 _DEAD, _ASKS, _SURE = 0, 1, 2  # of a place: no longer context is dealt; asks; its dealt context has this next word only
-_HASHED = np.uint64(1 << 63)  # marks a context of several words, which is a hash
+_HASHED = np.uint64(1 << 63)  # marks a context that is a hash, not one or two numbers of words
 
 def word_hash(word: bytes) -> int:
     """64-bit hash of a word as a signed integer."""
@@ -174,15 +174,22 @@ def _columns(kinds: dict) -> str:
 
 
 def _pack(x: np.ndarray, kind: str) -> bytes:
-    """An array as compressed bytes, all first bytes of its values first."""
+    """An array as compressed bytes, all first bytes of its values first. Of a kind in ``steps`` (signed numbers), what is
+    added or taken from value to value (the sign last), which is little where neighbours are alike."""
+    kind, _, steps = kind.partition(" ")
+    if steps:
+        x = np.diff(x.astype(kind), prepend=np.zeros(1, kind))
+        x = (x << 1) ^ (x >> (8 * x.itemsize - 1))
     planes = np.ascontiguousarray(x, kind).view(np.uint8).reshape(len(x), np.dtype(kind).itemsize).T
     return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def _unpack(data: bytes, kind: str) -> np.ndarray:
+    kind, _, steps = kind.partition(" ")
     n, size = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
     planes = np.frombuffer(pa.decompress(data[8:], n * size, "zstd"), np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n)
+    x = np.ascontiguousarray(planes.reshape(size, n).T).view(kind).reshape(n)
+    return np.cumsum((x >> 1 & ~(-1 << (8 * size - 1))) ^ -(x & 1), dtype=kind) if steps else x
 
 
 def _held(table: pa.Table | pa.RecordBatch, row: int) -> dict:
@@ -450,7 +457,7 @@ def _learn_pairs(depth: int, order: int, scale: int, hot: float, buckets: int, d
     return run
 
 
-def _windows_of(b: dict, levels: int, order: int, scale: int, floor: float, least: float, buckets: int):
+def _windows_of(b: dict, levels: int, order: int, floor: float, least: float, buckets: int):
     """The distinct windows of a block's waiting places: (the places, the window of each, the windows, their buckets).
     A window has the shortest context to test, the words before it that the other ``levels`` take, and the next word;
     words that are too rare to be in a repeated context, or a repeated next word, are all the same."""
@@ -458,10 +465,13 @@ def _windows_of(b: dict, levels: int, order: int, scale: int, floor: float, leas
     start, code, doc = b["start"][at].astype(np.int64), b["code"], b["doc"]
     number = np.where(b["count"] >= floor, b["id"], _UNSEEN)
     context = number[code[at - 1]].astype(np.uint64)
-    long = np.flatnonzero(start > 1)
+    two = np.flatnonzero((start == 2) & (context < np.uint64((1 << 31) - 1)))
+    long = np.flatnonzero((start > 1) & ((start > 2) | (context >= np.uint64((1 << 31) - 1))))
+    context[two] = ((context[two] + np.uint64(1)) << np.uint64(_SHIFT)) | number[code[at[two] - 2]]
     context[long] = _hash(b, at[long], start[long]) | _HASHED
     x = {"context": context, "next": np.where(b["count"] >= least, b["id"], _UNSEEN)[code[at]]}
-    x["q"] = np.where(x["next"] == _UNSEEN, 1.0, 10.0 ** _logs(b, at, scale)).astype("<f4")
+    some = x["next"] != _UNSEEN
+    x |= {"count": np.where(some, b["count"][code[at]], 0), "delta": np.where(some, b["delta"][at], 0).astype("<f4")}
     there = np.ones(len(at), bool)
     for i in range(1, levels):
         back = np.maximum(at - start - i, 0)
@@ -470,9 +480,10 @@ def _windows_of(b: dict, levels: int, order: int, scale: int, floor: float, leas
         there &= x[f"word{i}"] != _UNSEEN
     h = np.zeros(len(at), np.uint64)
     for name, values in x.items():
-        if name != "q":
+        if name not in ("count", "delta"):  # these follow from the others
             h = mix(h * _MULT + values)
-    ranked = np.argsort((context << np.uint64(32)) | (h >> np.uint64(32)), kind="stable")
+    # by next word: frequent words have small numbers, so counts change little from one to the next
+    ranked = np.argsort((x["next"].astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)), kind="stable")
     new = np.zeros(len(at), bool)
     new[:1] = True
     for values in x.values():
@@ -486,29 +497,31 @@ def _windows_of(b: dict, levels: int, order: int, scale: int, floor: float, leas
 
 
 def _window_kinds(levels: int) -> dict:
-    return {"context": "<u8", "next": "<u4", "n": "<u4", "q": "<f4"} | {f"word{i}": "<u4" for i in range(1, levels)}
+    return {"context": "<u8", "next": "<i8 steps", "count": "<i8 steps", "delta": "<f4", "n": "<u4"} | {f"word{i}": "<u4" for i in range(1, levels)}
 
 
-def _ask_windows(levels: int, order: int, scale: int, floor: float, least: float, buckets: int):
+def _ask_windows(levels: int, order: int, floor: float, least: float, buckets: int):
     """Map function: a block's distinct windows by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column("waits")[i].as_py():
-                    *_, windows, bucket = _windows_of(_held(batch, i), levels, order, scale, floor, least, buckets)
+                    *_, windows, bucket = _windows_of(_held(batch, i), levels, order, floor, least, buckets)
                     yield _dealt(batch.column("block")[i].as_py(), bucket, buckets, windows, _window_kinds(levels))
 
     return run
 
 
-def _answer_windows(levels: int, floor: float, least: float, prior: float):
+def _answer_windows(levels: int, scale: int, floor: float, least: float, prior: float):
     """Group function: the rows of a bucket -> per window what its contexts add to the log10 probability of the next
     word, and whether longer ones may add more."""
 
     def run(table: pa.Table) -> pa.Table:
         x, cuts = _joined(table, _window_kinds(levels))
-        p = x["q"].astype(float)
+        # the parent's probability; of words that are too rare to be a repeated next word, any
+        below = np.where(x["next"] == _UNSEEN, 1.0, (x["count"] + 1.0) / scale * 10.0 ** x["delta"].astype(float))
+        p = below.copy()
         open_ = np.zeros(len(p), bool)
         some, context = np.arange(len(p)), x["context"]  # of the windows that have a context of this length: the rows, contexts
         for i in range(1, levels + 1):
@@ -539,18 +552,18 @@ def _answer_windows(levels: int, floor: float, least: float, prior: float):
                 there = word != _UNSEEN
                 some, context = some[there], (state[there] << _SHIFT) | word[there]
         return pa.table({"bucket": table.column("bucket"), "block": table.column("block"),
-                         "delta": _cut(np.log10(p) - np.log10(x["q"].astype(float)), _FOUND["delta"], cuts),
+                         "delta": _cut(np.log10(p / below), _FOUND["delta"], cuts),
                          "open": _cut(open_, _FOUND["open"], cuts)})
 
     return run
 
 
-def _learn_windows(levels: int, order: int, scale: int, floor: float, least: float, buckets: int):
+def _learn_windows(levels: int, order: int, floor: float, least: float, buckets: int):
     """Cogroup function: a block and its windows' answers -> the block, scored by contexts of ``levels`` more lengths."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         b = _held(table, 0)
-        at, window, _, bucket = _windows_of(b, levels, order, scale, floor, least, buckets)
+        at, window, _, bucket = _windows_of(b, levels, order, floor, least, buckets)
         got = _returned(answers, bucket, buckets, _FOUND)
         delta, start = b["delta"].copy(), b["start"].copy()
         delta[at] += got["delta"][window]
@@ -664,12 +677,12 @@ def score_texts(df: DataFrame, train: Column, doc_id: str = "doc_id", text: str
     for levels in (min(NEAR, order), order - NEAR):
         if not waits:
             break
-        asked = blocks.mapInArrow(_ask_windows(levels, order, scale, floor, least, buckets),
+        asked = blocks.mapInArrow(_ask_windows(levels, order, floor, least, buckets),
                                   f"bucket int, block long, {_columns(_window_kinds(levels))}")
         answers, path = _kept(asked.groupBy("bucket").applyInArrow(
-            _answer_windows(levels, floor, least, prior), f"bucket int, block long, {_columns(_FOUND)}"))
+            _answer_windows(levels, scale, floor, least, prior), f"bucket int, block long, {_columns(_FOUND)}"))
         paths.append(path)
-        blocks, _, waits = learnt(answers, _learn_windows(levels, order, scale, floor, least, buckets))
+        blocks, _, waits = learnt(answers, _learn_windows(levels, order, floor, least, buckets))
     out = Ty.StructType().add("doc_id", kind)
     for name, of in (("n_tokens", "long"), ("n_known", "long"), ("train_tokens", "long"), ("base_score", "double"), ("score", "double")):
         out = out.add(name, of)

@@ -525,6 +525,27 @@ def test_suffix_tree_is_the_one_by_hand(spark, hot):
     assert [found[i] for i in range(len(texts))] == pytest.approx(expected, rel=1e-6)
 
 
+def test_suffix_tree_takes_two_rounds_of_windows(spark, monkeypatch):
+    rng = random.Random(8)
+    passages = [[f"w{rng.randrange(40)}" for _ in range(12)] for _ in range(30)]
+    texts = [" ".join(w for p in rng.choices(passages, k=rng.randint(0, 12)) for w in p if rng.random() > 0.02) for _ in range(200)]
+    train = [i % 5 != 2 for i in range(len(texts))]
+    expected, states = suffix_tree_by_hand([t.split() + [" "] for t in texts], train, pst.ORDER)
+    assert max(map(len, states)) == pst.ORDER
+    tables, kept = [], pst._kept
+    monkeypatch.setattr(pst, "_kept", lambda df: tables.append(df) or kept(df))
+    rows = pst.score_texts(docs_frame(spark, texts), F.col("doc_id") % 5 != 2, hot=1.0, block_bytes=1 << 13).collect()
+    assert len(tables) == 3 + 2 * 2  # not two for each of eight lengths: all blocks are shuffled for each
+    found = {r.doc_id: r.score for r in rows}
+    assert [found[i] for i in range(len(texts))] == pytest.approx(expected, rel=1e-6)
+
+
+def test_suffix_tree_packs_steps_of_numbers():
+    x = np.array([5, 5, 7, 2, 0, (1 << 62), 1, 0xFFFFFFFF, 3])
+    assert pst._unpack(pst._pack(x, "<i8 steps"), "<i8 steps").tolist() == x.tolist()
+    assert pst._unpack(pst._pack(x[:0], "<i8 steps"), "<i8 steps").tolist() == []
+
+
 def test_suffix_tree_learns_passages_that_stand_twice(spark):
     rng = random.Random(6)
     texts = [" ".join(f"v{rng.randrange(3000)}" for _ in range(200)) for _ in range(300)]
