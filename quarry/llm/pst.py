@@ -42,6 +42,8 @@ HOT = 2.0 ** -14
 PRIOR = 20.0
 #: Buckets per partition of the texts.
 PER_PARTITION = 3
+#: Windows that are made, and tested, at once (and the rest of a context). What a task holds of the others is a few numbers each.
+AT_ONCE = 1 << 17
 _END = b" "  # no word holds white space
 _SHIFT = 32  # bits of a word code in the key of a context and its next word
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -194,7 +196,7 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
 
 def _held(table: pa.Table | pa.RecordBatch, row: int) -> dict:
     b = {name: _unpack(table.column(name)[row].as_py(), kind) for name, kind in _BLOCK.items()}
-    return b | {"doc": np.repeat(np.arange(len(b["here"])), b["here"])}
+    return b | {"doc": np.repeat(np.arange(len(b["here"]), dtype=np.int32), b["here"])}
 
 
 def _first_totals(b: dict) -> np.ndarray:
@@ -262,11 +264,23 @@ def _returned(answers: pa.Table, bucket: np.ndarray, buckets: int, kinds: dict)
     return out
 
 
+def _cuts(table: pa.Table, name: str) -> np.ndarray:
+    """Where each row's array starts when a bucket's are laid end to end."""
+    return np.cumsum([0, *(int.from_bytes(x.as_buffer()[:8], "little") for x in table.column(name))])
+
+
+def _column(table: pa.Table, name: str, kind: str, cuts: np.ndarray, to: type | None = None) -> np.ndarray:
+    """The arrays of a bucket's rows end to end."""
+    out = np.empty(cuts[-1], to or kind.partition(" ")[0])
+    for a, b, x in zip(cuts[:-1], cuts[1:], table.column(name), strict=True):
+        out[a:b] = _unpack(x.as_py(), kind)
+    return out
+
+
 def _joined(table: pa.Table, kinds: dict) -> tuple[dict, np.ndarray]:
-    """The arrays of a bucket's rows end to end, and where each row starts."""
-    lists = {name: [_unpack(x, kind) for x in table.column(name).to_pylist()] for name, kind in kinds.items()}
-    cuts = np.cumsum([0, *map(len, next(iter(lists.values())))])
-    return {name: np.concatenate(x) for name, x in lists.items()}, cuts
+    """All arrays of a bucket's rows end to end, and where each row starts."""
+    cuts = _cuts(table, next(iter(kinds)))
+    return {name: _column(table, name, kind, cuts) for name, kind in kinds.items()}, cuts
 
 
 def _cut(x: np.ndarray, kind: str, cuts: np.ndarray) -> pa.Array:
@@ -458,42 +472,50 @@ def _learn_pairs(depth: int, order: int, scale: int, hot: float, buckets: int, d
 
 
 def _windows_of(b: dict, levels: int, order: int, floor: float, least: float, buckets: int):
-    """The distinct windows of a block's waiting places: (the places, the window of each, the windows, their buckets).
+    """The distinct windows of a block's waiting places: (the places, the window of each, the first of the places with each
+    window, what the windows of the places have, the windows' buckets).
     A window has the shortest context to test, the words before it that the other ``levels`` take, and the next word;
-    words that are too rare to be in a repeated context, or a repeated next word, are all the same."""
-    at = np.flatnonzero(b["start"])
-    start, code, doc = b["start"][at].astype(np.int64), b["code"], b["doc"]
+    words that are too rare to be in a repeated context, or a repeated next word, are all the same. Counts and log10
+    probabilities so far follow from these."""
+    code, doc = b["code"], b["doc"]
     number = np.where(b["count"] >= floor, b["id"], _UNSEEN)
-    context = number[code[at - 1]].astype(np.uint64)
-    two = np.flatnonzero((start == 2) & (context < np.uint64((1 << 31) - 1)))
-    long = np.flatnonzero((start > 1) & ((start > 2) | (context >= np.uint64((1 << 31) - 1))))
-    context[two] = ((context[two] + np.uint64(1)) << np.uint64(_SHIFT)) | number[code[at[two] - 2]]
-    context[long] = _hash(b, at[long], start[long]) | _HASHED
-    x = {"context": context, "next": np.where(b["count"] >= least, b["id"], _UNSEEN)[code[at]]}
-    some = x["next"] != _UNSEEN
-    x |= {"count": np.where(some, b["count"][code[at]], 0), "delta": np.where(some, b["delta"][at], 0).astype("<f4")}
-    there = np.ones(len(at), bool)
-    for i in range(1, levels):
-        back = np.maximum(at - start - i, 0)
-        there &= (start + i <= order) & (at >= start + i) & (doc[back] == doc[at])
-        x[f"word{i}"] = np.where(there, number[code[back]], _UNSEEN)
-        there &= x[f"word{i}"] != _UNSEEN
-    h = np.zeros(len(at), np.uint64)
-    for name, values in x.items():
-        if name not in ("count", "delta"):  # these follow from the others
-            h = mix(h * _MULT + values)
-    # by next word: frequent words have small numbers, so counts change little from one to the next
-    ranked = np.argsort((x["next"].astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)), kind="stable")
-    new = np.zeros(len(at), bool)
+    follows = np.where(b["count"] >= least, b["id"], _UNSEEN)
+    places = np.flatnonzero(b["start"])
+    names = ("next", *(f"word{i}" for i in range(1, levels)))
+    x = {"context": np.empty(len(places), np.uint64)} | {name: np.empty(len(places), np.uint32) for name in names}
+    key = np.empty(len(places), np.uint64)
+    for part in (slice(i, i + AT_ONCE) for i in range(0, len(places), AT_ONCE)):
+        at = places[part]
+        start = b["start"][at].astype(np.int64)
+        context = number[code[at - 1]].astype(np.uint64)
+        two = np.flatnonzero((start == 2) & (context < np.uint64((1 << 31) - 1)))
+        long = np.flatnonzero((start > 1) & ((start > 2) | (context >= np.uint64((1 << 31) - 1))))
+        context[two] = ((context[two] + np.uint64(1)) << np.uint64(_SHIFT)) | number[code[at[two] - 2]]
+        context[long] = _hash(b, at[long], start[long]) | _HASHED
+        values = {"context": context, "next": follows[code[at]]}
+        there = np.ones(len(at), bool)
+        for i in range(1, levels):
+            back = np.maximum(at - start - i, 0)
+            there &= (start + i <= order) & (at >= start + i) & (doc[back] == doc[at])
+            values[f"word{i}"] = np.where(there, number[code[back]], _UNSEEN)
+            there &= values[f"word{i}"] != _UNSEEN
+        h = np.zeros(len(at), np.uint64)
+        for name, y in values.items():
+            x[name][part] = y
+            h = mix(h * _MULT + y)
+        # by next word: frequent words have small numbers, so counts change little from one to the next
+        key[part] = (values["next"].astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32))
+    ranked = np.argsort(key, kind="stable")
+    del key
+    new = np.zeros(len(places), bool)
     new[:1] = True
-    for values in x.values():
-        y = values[ranked]
+    for y in x.values():
+        y = y[ranked]
         new[1:] |= y[1:] != y[:-1]
-    window = np.empty(len(at), np.int64)
-    window[ranked] = np.cumsum(new) - 1
-    windows = {name: values[ranked[new]] for name, values in x.items()}
-    windows["n"] = np.bincount(window, b["train"][doc[at]], len(windows["next"])).astype("<u4")
-    return at, window, windows, mix(windows["context"]) % np.uint64(buckets)
+    window = np.empty(len(places), np.int32)
+    window[ranked] = np.cumsum(new, dtype=np.int32) - 1
+    first = ranked[new]
+    return places, window, first, x, (mix(x["context"][first]) % np.uint64(buckets)).astype(np.int32)
 
 
 def _window_kinds(levels: int) -> dict:
@@ -507,53 +529,98 @@ def _ask_windows(levels: int, order: int, floor: float, least: float, buckets: i
         for batch in batches:
             for i in range(batch.num_rows):
                 if batch.column("waits")[i].as_py():
-                    *_, windows, bucket = _windows_of(_held(batch, i), levels, order, floor, least, buckets)
-                    yield _dealt(batch.column("block")[i].as_py(), bucket, buckets, windows, _window_kinds(levels))
+                    b = _held(batch, i)
+                    at, window, first, x, bucket = _windows_of(b, levels, order, floor, least, buckets)
+                    n = np.bincount(window[b["train"][b["doc"][at]]], minlength=len(first)).astype("<u4")
+                    at = at[first]
+                    del window
+                    for name, y in x.items():
+                        x[name] = y[first]
+                    some = x["next"] != _UNSEEN
+                    x |= {"n": n, "count": np.where(some, b["count"][b["code"][at]], 0), "delta": np.where(some, b["delta"][at], np.float32(0))}
+                    yield _dealt(batch.column("block")[i].as_py(), bucket, buckets, x, _window_kinds(levels))
 
     return run
 
 
+def _ordered(state: np.ndarray, word: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and a word of each in one number, and what has it, in order."""
+    key = state.astype(np.int64) << _SHIFT
+    key |= word
+    order = np.argsort(key)
+    return key[order], some[order]
+
+
+def _tested(x: dict, state: np.ndarray, levels: int, floor: float, least: float, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows of whole contexts, numbered by ``state``: the next words' probabilities by up to ``levels`` lengths of
+    context, and whether longer ones may change them. Words after a context have the same one so far in all its windows."""
+    p, open_ = x["below"].copy(), np.zeros(len(state), bool)
+    some = np.arange(len(state), dtype=state.dtype)  # the windows that have a context of this length
+    for i in range(1, levels + 1):
+        totals = np.bincount(state, x["n"][some])
+        repeated = totals[state] >= floor
+        some, state = some[repeated], state[repeated]
+        if not len(some):
+            break
+        key, some = _ordered(state, x["next"][some], some)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))  # of each pair of a context and a next word
+        times = np.diff(np.append(first, len(some)))
+        of, to = key[first] >> _SHIFT, key[first] & ((1 << _SHIFT) - 1)
+        del key
+        n = np.add.reduceat(x["n"][some], first, dtype=np.float64)
+        own = (n >= least) & (to != _UNSEEN)
+        above = p[some[first]]
+        q = np.minimum(above, 1 - 1e-9)
+        words, seen, q_seen, gain = _sums(len(totals), of[own], n[own], q[own], np.maximum(totals, 1))
+        most = np.zeros(len(totals))
+        np.maximum.at(most, of, np.where(own, n, 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rest, flags = _decided(totals, words, seen, q_seen, gain, most, prior)
+        smoothed = np.where(own, (n + prior * q) / (totals[of] + prior), above * 10.0 ** rest[of])
+        p[some] = np.repeat(np.where(flags[of] & _RETAINED, smoothed, above), times)
+        longer = (flags[of] & _OPEN) > 0
+        some, state = some[np.repeat(longer, times)], np.repeat(of[longer].astype(state.dtype), times[longer])
+        if i == levels:
+            open_[some] = True
+        else:
+            word = x[f"word{i}"][some]
+            there = word != _UNSEEN
+            key, some = _ordered(state[there], word[there], some[there])
+            state = np.cumsum(np.append(False, key[1:] != key[:-1])[:len(key)], dtype=state.dtype)
+    return p, open_
+
+
 def _answer_windows(levels: int, scale: int, floor: float, least: float, prior: float):
     """Group function: the rows of a bucket -> per window what its contexts add to the log10 probability of the next
     word, and whether longer ones may add more."""
 
     def run(table: pa.Table) -> pa.Table:
-        x, cuts = _joined(table, _window_kinds(levels))
-        # the parent's probability; of words that are too rare to be a repeated next word, any
-        below = np.where(x["next"] == _UNSEEN, 1.0, (x["count"] + 1.0) / scale * 10.0 ** x["delta"].astype(float))
-        p = below.copy()
-        open_ = np.zeros(len(p), bool)
-        some, context = np.arange(len(p)), x["context"]  # of the windows that have a context of this length: the rows, contexts
-        for i in range(1, levels + 1):
-            _, state = np.unique(context, return_inverse=True)
-            totals = np.bincount(state, x["n"][some])
-            repeated = totals[state] >= floor
-            some, state = some[repeated], state[repeated]
-            if not len(some):
-                break
-            _, first, pair = np.unique((state << _SHIFT) | x["next"][some], return_index=True, return_inverse=True)
-            n, of = np.bincount(pair, x["n"][some]), state[first]
-            own = (n >= least) & (x["next"][some][first] != _UNSEEN)
-            q = np.minimum(p[some], 1 - 1e-9)
-            words, seen, q_seen, gain = _sums(len(totals), of[own], n[own], q[first][own], np.maximum(totals, 1))
-            most = np.zeros(len(totals))
-            np.maximum.at(most, of, np.where(own, n, 0))
-            with np.errstate(divide="ignore", invalid="ignore"):
-                rest, flags = _decided(totals, words, seen, q_seen, gain, most, prior)
-            retained = (flags[state] & _RETAINED) > 0
-            smoothed = np.where(own[pair], (n[pair] + prior * q) / (totals[state] + prior), p[some] * 10.0 ** rest[state])
-            p[some] = np.where(retained, smoothed, p[some])
-            longer = (flags[state] & _OPEN) > 0
-            some, state = some[longer], state[longer]
-            if i == levels:
-                open_[some] = True
-            else:
-                word = x[f"word{i}"][some]
-                there = word != _UNSEEN
-                some, context = some[there], (state[there] << _SHIFT) | word[there]
-        return pa.table({"bucket": table.column("bucket"), "block": table.column("block"),
-                         "delta": _cut(np.log10(p / below), _FOUND["delta"], cuts),
-                         "open": _cut(open_, _FOUND["open"], cuts)})
+        kinds, cuts = _window_kinds(levels), _cuts(table, "context")
+        context = _column(table, "context", kinds["context"], cuts)
+        order = np.argsort(context).astype(np.uint32 if len(context) < 1 << 32 else np.int64)
+        context = context[order]
+        new = np.append(True, context[1:] != context[:-1])
+        del context
+        starts = np.flatnonzero(new)
+        ends = np.searchsorted(starts, np.arange(0, len(new), AT_ONCE))
+        ends = np.unique(np.append(starts[ends[ends < len(starts)]], len(new)))  # no context has windows on both sides
+        del starts
+        to = {"next": np.uint32, "count": np.float64}
+        x = {name: _column(table, name, kind, cuts, to.get(name))[order] for name, kind in kinds.items() if name != "context"}
+        open_ = np.empty(len(new), _FOUND["open"])
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            here = {name: y[a:b] for name, y in x.items()}
+            # the parent's probability; of words that are too rare to be a repeated next word, any
+            here["below"] = np.where(here["next"] == _UNSEEN, 1.0, (here["count"] + 1.0) / scale * 10.0 ** here["delta"].astype(float))
+            p, open_[a:b] = _tested(here, np.cumsum(new[a:b], dtype=np.int32) - 1, levels, floor, least, prior)
+            x["delta"][a:b] = np.log10(p / here["below"])
+        out = {"delta": x["delta"], "open": open_}
+        del x
+        for name, y in out.items():
+            out[name] = np.empty_like(y)
+            out[name][order] = y
+        return pa.table({"bucket": table.column("bucket"), "block": table.column("block")}
+                        | {name: _cut(y, _FOUND[name], cuts) for name, y in out.items()})
 
     return run
 
@@ -563,7 +630,8 @@ def _learn_windows(levels: int, order: int, floor: float, least: float, buckets:
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         b = _held(table, 0)
-        at, window, _, bucket = _windows_of(b, levels, order, floor, least, buckets)
+        at, window, *_, bucket = _windows_of(b, levels, order, floor, least, buckets)
+        del _
         got = _returned(answers, bucket, buckets, _FOUND)
         delta, start = b["delta"].copy(), b["start"].copy()
         delta[at] += got["delta"][window]
@@ -576,12 +644,13 @@ def _learn_windows(levels: int, order: int, floor: float, least: float, buckets:
 def _around(b: dict, alive: np.ndarray, order: int) -> dict:
     """The block with only those places that an ``alive`` one has among the ``order`` before it. (A wrong context count
     at a place after a gap moves on by one place a round, so it doesn't get to the places that ask.)"""
-    asks = np.append(alive.astype(np.int64), np.zeros(order, np.int64))
-    ahead = np.append(0, np.cumsum(asks))
+    ahead = np.cumsum(np.concatenate([[False], alive, np.zeros(order, bool)]), dtype=np.int32)
     keep = ahead[order + 1:] > ahead[:-order - 1]
     b = b | {name: b[name][keep] for name in _PLACES} | {"here": np.bincount(b["doc"][keep], minlength=len(b["here"]))}
-    used, code = np.unique(np.append(0, b["code"]), return_inverse=True)  # the end stays 0
-    return b | {"code": code[1:], "count": b["count"][used], "id": b["id"][used]}
+    used = np.zeros(len(b["count"]), bool)
+    used[:1] = used[b["code"]] = True  # the end stays 0
+    number = (np.cumsum(used) - 1).astype(np.int32)
+    return b | {"code": number[b["code"]], "count": b["count"][used], "id": b["id"][used]}
 
 
 def _scores(total: int):

@@ -6,9 +6,11 @@ import collections
 import hashlib
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -546,6 +548,48 @@ def test_suffix_tree_packs_steps_of_numbers():
     assert pst._unpack(pst._pack(x[:0], "<i8 steps"), "<i8 steps").tolist() == []
 
 
+def suffix_tree_block(n: int):
+    """A block of one training document of n places, all of which wait for contexts of two words."""
+    rng = np.random.default_rng(11)
+    code = np.append(0, rng.zipf(1.2, n - 1) % 50_000).astype(np.int32)
+    count = np.bincount(code, minlength=50_000)
+    held = {"code": code, "delta": -rng.random(50_000)[code], "total": np.zeros(n), "status": np.zeros(n),
+            "start": 2 * (np.arange(n) >= 2), "hash": np.zeros(0), "count": count, "id": np.arange(50_000), "train": np.array([True])}
+    held |= {name: np.array([n]) for name in ("n_tokens", "n_known", "here")} | {name: np.zeros(1) for name in ("base", "score")}
+    return pst._row(1, pa.array([1]), held)
+
+
+def peak_of(work):
+    """What a function returns, and the most memory it had."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_suffix_tree_tests_a_bucket_bit_by_bit(monkeypatch):
+    n = 600_000
+    block = pa.RecordBatch.from_pydict(suffix_tree_block(n))
+    _, peak = peak_of(lambda: list(pst._ask_windows(3, 8, 2.0, 2.0, 16)(iter([block]))))
+    assert peak < 110 * n
+    ask = pst._ask_windows(3, 8, 2.0, 2.0, 1)
+    bucket, = ask(iter([block]))
+    answer = pst._answer_windows(3, 2 * n, 2.0, 2.0, 20.0)
+    rows = pa.Table.from_batches([bucket] * 2)
+    windows = 2 * int.from_bytes(bucket.column("n")[0].as_py()[:8], "little")
+    assert windows > n
+    got, peak = peak_of(lambda: answer(rows))
+    assert peak < 80 * windows
+    # bits of any size give the same
+    monkeypatch.setattr(pst, "AT_ONCE", 1 << 30)
+    assert list(ask(iter([block]))) == [bucket] and answer(rows).equals(got)
+    monkeypatch.setattr(pst, "AT_ONCE", 1000)
+    assert list(ask(iter([block]))) == [bucket] and answer(rows).equals(got)
+    assert any(pst._unpack(x, "?").any() for x in got["open"].to_pylist())
+    assert len({pst._unpack(x, "<f4").tobytes() for x in got["delta"].to_pylist()}) == 1
+
+
 def test_suffix_tree_learns_passages_that_stand_twice(spark):
     rng = random.Random(6)
     texts = [" ".join(f"v{rng.randrange(3000)}" for _ in range(200)) for _ in range(300)]
